@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source workload has no streaming part: no watermark, window, state or
+late-data handling exists there, so nothing is built here. Batch operators in
+``foldspark.operators`` are plain DataFrame transformations and can be applied
+inside ``foreachBatch`` if a caller streams new rows to be scored.
+"""
