@@ -1,0 +1,176 @@
+"""Model queries on MLlib (survey steps 6-7). Results are prediction tables, so
+these are rows-only checks (model fits are not SQL-expressible)."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldspark.functions import exprs as X
+from foldspark.functions import recipe as R
+from foldspark.operators import calibrate as C
+from foldspark.operators import clean, folds
+from foldspark.plans import fixtures as FX
+from foldspark.plans import runs
+from foldspark.plans.catalog import query
+from foldspark.plans.models import learner
+from foldspark.plans.q_prep import cleaned_panel, round_doubles
+
+CODE_COLS = [f"{c}_code" for c in FX.PANEL_CATEGORIES]
+V1_NAMES = R.feature_names(R.V1)
+FEATURES = FX.PANEL_NUMERIC + V1_NAMES + CODE_COLS
+
+
+def model_frame(spark: SparkSession, sf: str, stratified: bool = False) -> DataFrame:
+    """Cleaned panel + v1 features + category codes + folds (K1, or K2 on the integer class)."""
+    p = R.features_v1(cleaned_panel(spark, sf))
+    p = clean.category_codes(p, FX.PANEL_CATEGORIES, suffix="_code")
+    if stratified:
+        tr = folds.stratified_folds(p.where("is_train").withColumn("cls", X.int_class("target")), "cls", 5, 42)
+        te = p.where(~F.col("is_train")).withColumn("cls", F.lit(None).cast("int")) \
+              .withColumn("fold", F.lit(None).cast("int"))
+        return tr.unionByName(te)
+    p = folds.hash_folds(p, 5, 42)
+    return p.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
+
+
+def cv_output(res: runs.CVResult) -> DataFrame:
+    """OOF rows and fold-averaged test rows: ``(experiment, id, split, fold, pred)``."""
+    oof = res.oof().select(F.lit(res.experiment).alias("experiment"), "id", F.lit("oof").alias("split"),
+                           "fold", "pred")
+    test = res.test_mean().select(F.lit(res.experiment).alias("experiment"), "id", F.lit("test").alias("split"),
+                                  F.lit(None).cast("int").alias("fold"), "pred")
+    return round_doubles(oof.unionByName(test))
+
+
+@query("cv_ridge", None, "M6, M11, P10, P11, X1, X2")
+def q_cv_ridge(spark, sf):
+    """M6 + M11: ridge on fold-median-filled, fold-standardised features, 5 folds."""
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("ridge")))
+
+
+@query("cv_gbt", None, "M1, M10, M11")
+def q_cv_gbt(spark, sf):
+    """M1 + M10: boosted trees with the best iteration chosen on the valid fold, then refit."""
+    lrn = learner("gbt_leafwise")
+    lrn.early_stop = True
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, lrn, experiment="gbt_leafwise"))
+
+
+@query("cv_gbt_depthwise", None, "M2, M11")
+def q_cv_gbt_depthwise(spark, sf):
+    """M2: second boosted-tree configuration (deeper trees, small leaves)."""
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_depthwise")))
+
+
+@query("cv_gbt_hist", None, "M4, M11")
+def q_cv_gbt_hist(spark, sf):
+    """M4: 255-bin boosted trees with a hash-chosen 10 % internal validation split."""
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_hist")))
+
+
+@query("cv_forest", None, "M5, M11, P10")
+def q_cv_forest(spark, sf):
+    """M5: random forest without bootstrap on fold-median-filled features."""
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("forest")))
+
+
+@query("cv_gbt_category", None, "M3, P5, E1")
+def q_cv_gbt_category(spark, sf):
+    """M3: boosted trees with fold-internal target statistics of the categories (missing as a level)."""
+    res = runs.run_cv_encoded(model_frame(spark, sf), FX.PANEL_NUMERIC + V1_NAMES, FX.PANEL_CATEGORIES,
+                              learner("gbt_depthwise"))
+    return cv_output(res)
+
+
+@query("importance_by_fold", None, "G22")
+def q_importance_by_fold(spark, sf):
+    """Feature importances of the five fold models of M2, averaged per feature."""
+    res = runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_depthwise"))
+    return round_doubles(runs.importance_table(spark, res), 6)
+
+
+@query("cv_log_target", None, "M13")
+def q_cv_log_target(spark, sf):
+    """Fit on log1p(target), predict expm1 (scored on the original scale)."""
+    res = runs.run_cv(model_frame(spark, sf), FEATURES, learner("forest"), experiment="forest_logy",
+                      label_fn=F.log1p, inverse_fn=F.expm1)
+    return cv_output(res)
+
+
+@query("cv_pseudo", None, "M12, U1, C9, P14")
+def q_cv_pseudo(spark, sf):
+    """Every fold's training rows plus test rows whose earlier prediction (p_a) lies
+    in [4, 7], labelled with that prediction; pseudo rows are never scored as OOF."""
+    mf = model_frame(spark, sf)
+    earlier = FX.preds(spark, sf).select("id", F.col("p_a").alias("earlier"))
+    te = mf.where(~F.col("is_train")).join(earlier, "id")
+    pseudo = C.pseudo_labels(te, "earlier")
+    extra = pseudo.select("*", F.col("earlier").alias("label"),
+                          F.explode(F.sequence(F.lit(0), F.lit(4))).alias("model_fold"))
+    res = runs.run_cv(mf, FEATURES, learner("forest"), experiment="forest_pseudo", extra_train=extra)
+    return cv_output(res)
+
+
+@query("cv_multi_seed", None, "M15, K3, G18")
+def q_cv_multi_seed(spark, sf):
+    """M15 + K3 + G18: two seeds, each with its own folds and model seed; OOF and test
+    predictions averaged over seeds."""
+    p = R.features_v1(cleaned_panel(spark, sf))
+    p = clean.category_codes(p, FX.PANEL_CATEGORIES, suffix="_code")
+    parts = []
+    for s in (42, 123):
+        x = folds.hash_folds(p, 5, s)
+        x = x.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
+        res = runs.run_cv(x, FEATURES, learner("forest"), seed=s, experiment=f"forest_seed{s}")
+        parts.append(cv_output(res).withColumn("seed", F.lit(s)))
+    allp = parts[0].unionByName(parts[1])
+    return round_doubles(allp.groupBy("id", "split").agg(F.avg("pred").alias("pred"),
+                                                        F.count(F.lit(1)).alias("n_seeds")))
+
+
+@query("cv_hybrid", None, "M7, M8, K2, F45, F46")
+def q_cv_hybrid(spark, sf):
+    """M7 + M8: 11-class forest -> expected value; boosted trees on the residual with the
+    expected value as a feature (same stratified folds); sum, clipped."""
+    mf = model_frame(spark, sf, stratified=True)
+    mf = mf.withColumn("cls_label", F.when(F.col("is_train"), X.int_class("target")))
+    stage1 = runs.run_cv(mf, FEATURES, learner("class_ev"), target="cls_label", experiment="class_ev")
+    ev = stage1.oof().select("id", F.col("pred").alias("ev")).unionByName(
+        stage1.test_mean().select("id", F.col("pred").alias("ev")))
+    x = mf.join(ev, "id").withColumn("residual", F.col("target") - F.col("ev"))
+    stage2 = runs.run_cv(x, FEATURES + ["ev"], learner("gbt_leafwise"), target="residual", experiment="residual")
+    res2 = stage2.oof().unionByName(stage2.test_mean().withColumn("fold", F.lit(None).cast("int")).select("id", "fold", "pred"))
+    out = res2.join(ev, "id").select("id", "fold", X.clip(F.col("ev") + F.col("pred")).alias("pred"),
+                                     F.col("ev"))
+    return round_doubles(out.withColumn("split", F.when(F.col("fold").isNull(), "test").otherwise("oof")))
+
+
+@query("cv_meta", None, "M9, J5")
+def q_cv_meta(spark, sf):
+    """M9: shallow boosted meta-learner on three OOF prediction columns, own folds."""
+    p = folds.hash_folds(FX.preds(spark, sf), 5, 7)
+    p = p.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
+    return cv_output(runs.run_cv(p, ["p_a", "p_b", "p_c"], learner("meta_gbt"), seed=7))
+
+
+@query("impute_chained", None, "M14, U2")
+def q_impute_chained(spark, sf):
+    """M14 + U2: chained-equation imputation of the numeric columns over train and test
+    together (target not used), mean start, five rounds."""
+    p = cleaned_panel(spark, sf)
+    out = runs.impute_chained(p, FX.PANEL_NUMERIC, rounds=5)
+    return round_doubles(out)
+
+
+@query("random_search", None, "M16, S14, G17")
+def q_random_search(spark, sf):
+    """Seeded random search (3 trials) over booster step size, depth, subsample and
+    leaf size; objective = OOF RMSE; trial table with the best flagged."""
+    space = runs.Space({"stepSize": ("logfloat", 0.05, 0.3), "maxDepth": ("int", 3, 6),
+                        "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 5, 100)})
+    trials, best = runs.random_search(model_frame(spark, sf), FEATURES, learner("gbt_leafwise", maxIter=10),
+                                      space, 3, seed=42)
+    best_rmse = trials.agg(F.min("cv_rmse").alias("b"))
+    from foldspark.operators.joins import attach_scalar_row
+    out = attach_scalar_row(trials, best_rmse).withColumn("is_best", F.col("cv_rmse") == F.col("b")).drop("b")
+    return round_doubles(out.withColumn("params_json", F.to_json("params")).drop("params"), 6)
