@@ -41,22 +41,36 @@ def group_stats(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
                 .agg(*aggs))
 
 
-def add_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
-                         agg_cols: Sequence[str] = DEFAULT_AGG_COLS,
-                         train_col: str | None = "is_train") -> DataFrame:
-    """G1: add ``fe_grp_<g>_<a>_{mean,std,dev}`` for every (g, a)."""
-    group_cols = [g for g in group_cols if g in df.columns]
-    agg_cols = [a for a in agg_cols if a in df.columns]
-    stats, small = checked_small(group_stats(df, group_cols, agg_cols, train_col))
+def apply_group_statistics(df: DataFrame, stats: DataFrame, small: bool,
+                           group_cols: Sequence[str], agg_cols: Sequence[str]) -> DataFrame:
+    """Join the fitted statistics per group column and add the deviations."""
     out = df
-    for g in group_cols:
-        cols = [F.col("level").alias("__lv")]
+    added = []
+    for i, g in enumerate(group_cols):
+        cols = [F.col("level").alias(f"__lv{i}")]
         for a in agg_cols:
             cols += [F.col(f"{a}_mean").alias(stats_name(g, a, "mean")),
                      F.col(f"{a}_std").alias(stats_name(g, a, "std"))]
         t = stats.where(F.col("group_col") == g).select(*cols)
         t = F.broadcast(t) if small else t
-        out = out.join(t, F.col(g).cast("string") == F.col("__lv"), "left").drop("__lv")
-        out = out.select("*", *[(F.col(a) - F.col(stats_name(g, a, "mean"))).alias(stats_name(g, a, "dev"))
-                                for a in agg_cols])
-    return out
+        out = out.join(t, F.col(g).cast("string") == F.col(f"__lv{i}"), "left")
+        for a in agg_cols:
+            added += [F.col(stats_name(g, a, "mean")), F.col(stats_name(g, a, "std")),
+                      (F.col(a) - F.col(stats_name(g, a, "mean"))).alias(stats_name(g, a, "dev"))]
+    return out.select(*[F.col(c) for c in df.columns], *added)
+
+
+def fit_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
+                         agg_cols: Sequence[str] = DEFAULT_AGG_COLS, train_col: str | None = "is_train"):
+    """Statistics table (persisted) and whether it passed the broadcast size check."""
+    return checked_small(group_stats(df, group_cols, agg_cols, train_col))
+
+
+def add_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
+                         agg_cols: Sequence[str] = DEFAULT_AGG_COLS,
+                         train_col: str | None = "is_train") -> DataFrame:
+    """G1: add ``fe_grp_<g>_<a>_{mean,std,dev}`` for every (g, a)."""
+    group_cols = [g for g in group_cols if g in df.columns]
+    agg_cols = [a for a in agg_cols if a in df.columns]
+    stats, small = fit_group_statistics(df, group_cols, agg_cols, train_col)
+    return apply_group_statistics(df, stats, small, group_cols, agg_cols)

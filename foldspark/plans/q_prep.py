@@ -356,11 +356,15 @@ def q_group_deviation(spark, sf):
 
 
 def features_v2(spark, sf) -> DataFrame:
-    """FV2: v2 row features + group statistics + out-of-fold target encoding."""
-    p = folds.hash_folds(cleaned_panel(spark, sf), 5, 42)
-    p = R.features_v2_rows(p)
-    p = groups.add_group_statistics(p, G_COLS, A_COLS)
-    return encode.target_encode(p, TE_COLS, smoothing=10.0)
+    """FV2: v2 row features + group statistics + out-of-fold target encoding.
+    Both statistics tables are fitted on the narrow cleaned table, then applied
+    to the wide feature rows (broadcast joins, no shuffle of wide rows)."""
+    base = folds.hash_folds(cleaned_panel(spark, sf), 5, 42)
+    gstats, small = groups.fit_group_statistics(base, G_COLS, A_COLS)
+    te = encode.fit_target_encoding(base, TE_COLS, smoothing=10.0)
+    wide = R.features_v2_rows(base)
+    wide = groups.apply_group_statistics(wide, gstats, small, G_COLS, A_COLS)
+    return encode.apply_target_encoding(wide, te)
 
 
 V2_ROW_NAMES = R.feature_names(R.V2_ROW)
