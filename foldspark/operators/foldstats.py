@@ -32,6 +32,15 @@ def fold_medians(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fo
                     for c in cols for f in range(k)])
 
 
+def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns that hold at least one null (one aggregate of ``len(cols)`` counts).
+    The source fills only such columns; medians of the others are never used."""
+    if not cols:
+        return []
+    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c] > 0]
+
+
 def _pick(prefix: str, c: str, k: int, fold: Column) -> Column:
     return F.element_at(F.array(*[F.col(f"{prefix}_{c}_{f}") for f in range(k)]), fold + 1)
 
@@ -47,26 +56,33 @@ def design_by_fold(df: DataFrame, k: int, fold_col: str = "fold", train_col: str
 
 def fold_median_fill(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
                      train_col: str = "is_train", exact: bool = True) -> DataFrame:
-    """P10: per model fold, nulls filled with the fold-train median."""
-    meds = fold_medians(df, cols, k, fold_col, train_col, exact)
-    x = design_by_fold(attach_scalar_row(df, meds), k, fold_col, train_col)
+    """P10: per model fold, nulls filled with the fold-train median (only columns
+    that contain nulls need medians)."""
+    need = columns_with_nulls(df, cols)
+    x = design_by_fold(attach_scalar_row(df, fold_medians(df, need, k, fold_col, train_col, exact))
+                       if need else df, k, fold_col, train_col)
     mf = F.col("model_fold")
-    x = x.select(*[F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf)).alias(c) if c in cols
-                   else F.col(c) for c in x.columns])
-    return x.drop(*[f"med_{c}_{f}" for c in cols for f in range(k)])
+    x = x.select(*[F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf)).alias(c) if c in need
+                   else (F.col(c).cast("double").alias(c) if c in cols else F.col(c)) for c in x.columns])
+    return x.drop(*[f"med_{c}_{f}" for c in need for f in range(k)])
 
 
 def fold_standardize(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
                      train_col: str = "is_train", exact: bool = True) -> DataFrame:
     """P10 then P11: fill with fold-train medians, then scale with the fold-train
     mean and population std of the filled values (std 0 -> scale 1)."""
-    meds = fold_medians(df, cols, k, fold_col, train_col, exact)
-    base = attach_scalar_row(df, meds)
+    need = columns_with_nulls(df, cols)
+    base = attach_scalar_row(df, fold_medians(df, need, k, fold_col, train_col, exact)) if need else df
+
+    def filled_f(c, f):
+        v = F.col(c).cast("double")
+        return F.coalesce(v, F.col(f"med_{c}_{f}")) if c in need else v
+
     tr = base.where(F.col(train_col))
     aggs = []
     for c in cols:
         for f in range(k):
-            v = F.when(F.col(fold_col) != f, F.coalesce(F.col(c).cast("double"), F.col(f"med_{c}_{f}")))
+            v = F.when(F.col(fold_col) != f, filled_f(c, f))
             aggs += [F.avg(v).alias(f"mu_{c}_{f}"), F.stddev_pop(v).alias(f"sd_{c}_{f}")]
     moments = tr.agg(*aggs)
     x = design_by_fold(attach_scalar_row(base, moments), k, fold_col, train_col)
@@ -74,11 +90,13 @@ def fold_standardize(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: s
     sel = []
     for c in x.columns:
         if c in cols:
-            filled = F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf))
+            filled = (F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf)) if c in need
+                      else F.col(c).cast("double"))
             sd = _pick("sd", c, k, mf)
             scale = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
             sel.append(((filled - _pick("mu", c, k, mf)) / scale).alias(c))
         else:
             sel.append(F.col(c))
-    drop = [f"{p}_{c}_{f}" for p in ("med", "mu", "sd") for c in cols for f in range(k)]
+    drop = [f"{p}_{c}_{f}" for p in ("mu", "sd") for c in cols for f in range(k)]
+    drop += [f"med_{c}_{f}" for c in need for f in range(k)]
     return x.select(*sel).drop(*drop)

@@ -127,9 +127,14 @@ def _collect(parts: list) -> DataFrame:
     return preds.checkpoint(eager=True)
 
 
+def _fill_expr(c: str, meds, f: int) -> Column:
+    key = f"med_{c}_{f}"
+    has = key in meds if isinstance(meds, dict) else key in meds.asDict()
+    return F.coalesce(F.col(c), _lit(meds[key])).alias(c) if has else F.col(c)
+
+
 def _filled(x: DataFrame, features: Sequence[str], meds, f: int) -> DataFrame:
-    fill = [F.coalesce(F.col(c), _lit(meds[f"med_{c}_{f}"])).alias(c) for c in features]
-    return x.select("id", "__train", "__fold", "label", *fill)
+    return x.select("id", "__train", "__fold", "label", *[_fill_expr(c, meds, f) for c in features])
 
 
 def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str = "target",
@@ -147,7 +152,8 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
     # reliable checkpoint: the fold jobs then plan against a plain scan of the
     # prepared table instead of re-optimising the whole upstream plan k times
     base = _prepare(df, features, target, fold_col, train_col, id_col, label_fn).checkpoint(eager=True)
-    meds = foldstats.fold_medians(base, features, k, "__fold", "__train", exact_medians).first()
+    need = foldstats.columns_with_nulls(base, features)
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact_medians).first() if need else {}
     extra = None
     if extra_train is not None:
         extra = extra_train.select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"),
@@ -160,7 +166,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
         ex = None
         if extra is not None:
             ex = extra.where(F.col("model_fold") == f).select(
-                "id", "label", *[F.coalesce(F.col(c), _lit(meds[f"med_{c}_{f}"])).alias(c) for c in features])
+                "id", "label", *[_fill_expr(c, meds, f) for c in features])
         return _fit_fold(f, x, features, lrn, seed, experiment, ex, inverse_fn, importances, best_iters)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex_:
