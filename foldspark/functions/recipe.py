@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
+from foldspark.operators.joins import lookup
 
 # Default binding of roles to the panel's columns.
 DEFAULT_ROLES = {
@@ -158,7 +159,8 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
     scope="split": median of the row's own split (the source computes train
     and test medians separately); scope="train": train medians for all rows;
     scope="all": one median over every row.
-    The statistics table has one row per split value, so it is broadcast.
+    The statistics have one row per split value: they are collected (bounded)
+    and attached as literals keyed by the split value, so no join is needed.
     """
     cols = list(dict.fromkeys(cols))
     if not cols:
@@ -169,13 +171,17 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
         return (F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)).alias(median_col(c))
 
     if scope == "split":
-        stats = df.groupBy(split_col).agg(*[agg(c) for c in cols])
-        return df.join(F.broadcast(stats), on=split_col, how="left")
-    key = "__scope_key"
+        rows = df.groupBy(split_col).agg(*[agg(c) for c in cols]).collect()
+        key = F.col(split_col)
+        out = []
+        for c in cols:
+            pairs = [(r[split_col], F.lit(r[median_col(c)]).cast("double")) for r in rows
+                     if r[split_col] is not None]
+            out.append(lookup(pairs, key, "double").alias(median_col(c)))
+        return df.select("*", *out)
     src = df.where(F.col(split_col)) if scope == "train" else df
-    stats = src.groupBy(F.lit(1).alias(key)).agg(*[agg(c) for c in cols])
-    return (df.withColumn(key, F.lit(1)).join(F.broadcast(stats), on=key, how="left")
-              .drop(key))
+    row = src.agg(*[agg(c) for c in cols]).first()
+    return df.select("*", *[F.lit(row[median_col(c)]).cast("double").alias(median_col(c)) for c in cols])
 
 
 def apply(df: DataFrame, features: Sequence[Feature], roles: dict | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldspark.functions import exprs as X
-from foldspark.operators.joins import checked_small
+from foldspark.operators.joins import checked_small, collect_if_small, lookup
 
 # The alias dictionaries of the source workload (country spellings).
 COUNTRY_ALIASES = {"Spain": "Ispanya", "South Korea": "Guney Kore", "Sweden": "Isvec"}
@@ -55,12 +55,32 @@ def category_levels(df: DataFrame, cols: Sequence[str], where=None) -> DataFrame
     return levels.select("col", "level", (F.dense_rank().over(w) - 1).cast("int").alias("code"), "n")
 
 
+def _dictionary(df: DataFrame, cols: Sequence[str], train_col: str):
+    """Train-level dictionary: literal rows when small, else a size-checked table."""
+    lv = category_levels(df, cols, F.col(train_col))
+    rows = collect_if_small(lv)
+    if rows is not None:
+        return rows, None, False
+    table, small = checked_small(lv)
+    return None, table, small
+
+
 def align_categories(df: DataFrame, cols: Sequence[str], train_col: str = "is_train") -> DataFrame:
     """Keep only levels seen in train rows; other levels (test-only) -> null."""
-    lv, small = checked_small(category_levels(df, cols, F.col(train_col)))
+    rows, table, small = _dictionary(df, cols, train_col)
+    if rows is not None:
+        sel = []
+        for c in df.columns:
+            if c in cols:
+                pairs = [(r["level"], r["code"]) for r in rows if r["col"] == c]
+                seen = lookup(pairs, F.col(c).cast("string"), "int").isNotNull()
+                sel.append(F.when(seen, F.col(c)).alias(c))
+            else:
+                sel.append(F.col(c))
+        return df.select(*sel)
     out = df
     for c in cols:
-        d = lv.where(F.col("col") == c).select(F.col("level").alias(f"__lv_{c}"))
+        d = table.where(F.col("col") == c).select(F.col("level").alias(f"__lv_{c}"))
         d = F.broadcast(d) if small else d
         out = (out.join(d, F.col(c).cast("string") == F.col(f"__lv_{c}"), "left")
                   .withColumn(c, F.when(F.col(f"__lv_{c}").isNotNull(), F.col(c)))
@@ -72,13 +92,19 @@ def category_codes(df: DataFrame, cols: Sequence[str], train_col: str = "is_trai
                    suffix: str = "") -> DataFrame:
     """Level -> integer code from the train dictionary; missing/unseen -> null.
 
-    The dictionary has one row per distinct level; it is broadcast after a
-    size check (``joins.checked_small``), else shuffle-joined.
-    """
-    lv, small = checked_small(category_levels(df, cols, F.col(train_col)))
+    A dictionary of at most ``joins.LITERAL_MAX_ROWS`` levels becomes a literal
+    map lookup (no join); a larger one is joined after a size check
+    (``joins.checked_small``: broadcast when small, else shuffle join)."""
+    rows, table, small = _dictionary(df, cols, train_col)
+    if rows is not None:
+        codes = {c: lookup([(r["level"], r["code"]) for r in rows if r["col"] == c],
+                           F.col(c).cast("string"), "int") for c in cols}
+        if suffix:
+            return df.select("*", *[codes[c].alias(c + suffix) for c in cols])
+        return df.select(*[codes[c].alias(c) if c in cols else F.col(c) for c in df.columns])
     out = df
     for c in cols:
-        d = lv.where(F.col("col") == c).select(F.col("level").alias("__lv"), F.col("code").alias("__code"))
+        d = table.where(F.col("col") == c).select(F.col("level").alias("__lv"), F.col("code").alias("__code"))
         d = F.broadcast(d) if small else d
         out = (out.join(d, F.col(c).cast("string") == F.col("__lv"), "left")
                   .withColumn(c + suffix, F.col("__code")).drop("__lv", "__code"))

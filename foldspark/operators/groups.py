@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.joins import checked_small
+from foldspark.operators.joins import checked_small, collect_if_small, lookup
 
 DEFAULT_GROUP_COLS = ["country", "occupation", "chronotype"]
 DEFAULT_AGG_COLS = ["age", "stress", "work_hours", "rem_pct", "bmi"]
@@ -41,9 +41,22 @@ def group_stats(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
                 .agg(*aggs))
 
 
-def apply_group_statistics(df: DataFrame, stats: DataFrame, small: bool,
+def apply_group_statistics(df: DataFrame, stats, small: bool,
                            group_cols: Sequence[str], agg_cols: Sequence[str]) -> DataFrame:
-    """Join the fitted statistics per group column and add the deviations."""
+    """Attach the fitted statistics per group column and add the deviations.
+    ``stats`` is a list of rows (literal map lookups, no join) or a DataFrame
+    (joined; broadcast when ``small``)."""
+    if isinstance(stats, list):
+        added = []
+        for g in group_cols:
+            rows = [r for r in stats if r["group_col"] == g]
+            key = F.col(g).cast("string")
+            for a in agg_cols:
+                mean = lookup([(r["level"], F.lit(r[f"{a}_mean"]).cast("double")) for r in rows], key, "double")
+                std = lookup([(r["level"], F.lit(r[f"{a}_std"]).cast("double")) for r in rows], key, "double")
+                added += [mean.alias(stats_name(g, a, "mean")), std.alias(stats_name(g, a, "std")),
+                          (F.col(a) - mean).alias(stats_name(g, a, "dev"))]
+        return df.select("*", *added)
     out = df
     added = []
     for i, g in enumerate(group_cols):
@@ -62,8 +75,13 @@ def apply_group_statistics(df: DataFrame, stats: DataFrame, small: bool,
 
 def fit_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
                          agg_cols: Sequence[str] = DEFAULT_AGG_COLS, train_col: str | None = "is_train"):
-    """Statistics table (persisted) and whether it passed the broadcast size check."""
-    return checked_small(group_stats(df, group_cols, agg_cols, train_col))
+    """Fitted statistics: ``(rows, True)`` when small enough for literal lookups,
+    else ``(persisted table, passed broadcast size check)``."""
+    st = group_stats(df, group_cols, agg_cols, train_col)
+    rows = collect_if_small(st)
+    if rows is not None:
+        return rows, True
+    return checked_small(st)
 
 
 def add_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,

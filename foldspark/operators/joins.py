@@ -12,21 +12,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
-def checked_small(stats: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+def checked_small(stats: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Persist ``stats`` and report whether it is small enough to broadcast."""
+    max_rows = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
     stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
     n = stats.limit(max_rows + 1).count()
     return stats, n <= max_rows
 
 
 def attach(df: DataFrame, stats: DataFrame, on, how: str = "left",
-           max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+           max_rows: int | None = None) -> DataFrame:
     stats, small = checked_small(stats, max_rows)
     return df.join(F.broadcast(stats) if small else stats, on=on, how=how)
 
@@ -52,3 +53,39 @@ def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("id",)) -> DataF
     only_a = ka.join(kb, keys, "left_anti").agg(F.count(F.lit(1)).alias("only_left"))
     only_b = kb.join(ka, keys, "left_anti").agg(F.count(F.lit(1)).alias("only_right"))
     return attach_scalar_row(only_a, only_b)
+
+
+# ---- literal lookups for small statistics tables -------------------------------------
+
+LITERAL_MAX_ROWS = 5_000
+
+
+def collect_if_small(stats: DataFrame, max_rows: int | None = None):
+    """Rows of ``stats`` when it has at most ``max_rows`` rows, else ``None``.
+
+    A statistics table this small is turned into a literal map lookup (see
+    ``literal_map``): no join, no broadcast exchange, evaluated inside the
+    generated code of the projection. Larger tables take the join path."""
+    max_rows = LITERAL_MAX_ROWS if max_rows is None else max_rows
+    rows = stats.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
+def _lit(v):
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def literal_map(pairs, value_type: str | None = None) -> Column:
+    """``map(k1, v1, k2, v2, ...)`` from Python keys and values (or Columns)."""
+    pairs = list(pairs)
+    if not pairs:
+        return F.create_map().cast(f"map<string,{value_type or 'string'}>")
+    return F.create_map(*[x for k, v in pairs for x in (_lit(k), _lit(v))])
+
+
+def lookup(pairs, key: Column, value_type: str) -> Column:
+    """Value of ``key`` in a literal map (null when absent)."""
+    pairs = list(pairs)
+    if not pairs:
+        return F.lit(None).cast(value_type)
+    return literal_map(pairs)[key].cast(value_type) if value_type != "struct" else literal_map(pairs)[key]

@@ -73,8 +73,57 @@ def _prepare(df: DataFrame, features: Sequence[str], target: str, fold_col: str,
                      label.alias("label"), *[F.col(c).cast("double").alias(c) for c in features])
 
 
+def _merge(a, b):
+    """Chan et al. pairwise merge of (n, mean, M2) summaries (numerically stable)."""
+    na, ma, qa = a
+    nb, mb, qb = b
+    n = na + nb
+    if n == 0:
+        return (0, 0.0, 0.0)
+    d = mb - ma
+    return (n, ma + d * nb / n, qa + qb + d * d * na * nb / n)
+
+
+def fold_moments(base: DataFrame, features: Sequence[str], meds, k: int) -> dict:
+    """Fold-train mean / population std of every median-filled feature and the
+    label's sample std and count, for all k folds.
+
+    One ``groupBy(fold)`` gives per-fold (count, mean, M2, nulls) of the observed
+    values (k rows); the fold-train summary of fold f merges the other folds and
+    the filled nulls (a group of ``nulls`` values at the median, M2 = 0)."""
+    aggs = [F.count(F.lit(1)).alias("__rows"), F.avg("label").alias("__my"),
+            (F.var_pop("label") * F.count("label")).alias("__qy")]
+    for c in features:
+        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
+                 (F.var_pop(c) * F.count(c)).alias(f"q_{c}")]
+    rows = {r["__fold"]: r.asDict() for r in base.where(F.col("__train")).groupBy("__fold").agg(*aggs).collect()}
+    md = meds if isinstance(meds, dict) else meds.asDict()
+    out = {}
+    for f in range(k):
+        others = [r for g, r in rows.items() if g != f]
+        y = (0, 0.0, 0.0)
+        for r in others:
+            y = _merge(y, (r["__rows"], r["__my"] or 0.0, r["__qy"] or 0.0))
+        mu, sd = {}, {}
+        for c in features:
+            acc = (0, 0.0, 0.0)
+            nulls = 0
+            for r in others:
+                acc = _merge(acc, (r[f"n_{c}"], r[f"m_{c}"] or 0.0, r[f"q_{c}"] or 0.0))
+                nulls += r["__rows"] - r[f"n_{c}"]
+            med = md.get(f"med_{c}_{f}")
+            if nulls and med is not None:
+                acc = _merge(acc, (nulls, float(med), 0.0))
+            mu[c] = acc[1] if acc[0] else None
+            sd[c] = math.sqrt(max(acc[2], 0.0) / acc[0]) if acc[0] else None
+        sdy = math.sqrt(max(y[2], 0.0) / (y[0] - 1)) if y[0] > 1 else None
+        out[f] = {"mu": mu, "sd": sd, "sdy": sdy, "n": y[0]}
+    return out
+
+
 def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, experiment: str,
-              extra: DataFrame | None, inverse_fn, importances: list, best_iters: dict) -> DataFrame:
+              extra: DataFrame | None, inverse_fn, importances: list, best_iters: dict,
+              moments: dict | None = None) -> DataFrame:
     """Fit on rows outside fold ``f`` (plus ``extra`` rows), score fold ``f`` and unlabelled rows."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     fit = x.where(F.col("__train") & (F.col("__fold") != f)).select("id", "label", *features)
@@ -83,17 +132,22 @@ def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, exp
     score = x.where(~F.col("__train") | (F.col("__fold") == f))
     over = {}
     if lrn.scale:
-        mom = fit.agg(*[F.avg(c).alias(f"mu_{c}") for c in features],
-                      *[F.stddev_pop(c).alias(f"sd_{c}") for c in features],
-                      F.stddev_samp("label").alias("__sdy"), F.count(F.lit(1)).alias("__n")).first()
+        if moments is None or extra is not None:
+            m = fit.agg(*[F.avg(c).alias(f"mu_{c}") for c in features],
+                        *[F.stddev_pop(c).alias(f"sd_{c}") for c in features],
+                        F.stddev_samp("label").alias("__sdy"), F.count(F.lit(1)).alias("__n")).first()
+            mom = {"mu": {c: m[f"mu_{c}"] for c in features}, "sd": {c: m[f"sd_{c}"] for c in features},
+                   "sdy": m["__sdy"], "n": m["__n"]}
+        else:
+            mom = moments[f]
 
         def scaled(c):
-            sd = mom[f"sd_{c}"] or 0.0
-            return ((F.col(c) - _lit(mom[f"mu_{c}"])) / F.lit(sd if sd > 0 else 1.0)).alias(c)
+            sd = mom["sd"][c] or 0.0
+            return ((F.col(c) - _lit(mom["mu"][c])) / F.lit(sd if sd > 0 else 1.0)).alias(c)
         fit = fit.select("id", "label", *[scaled(c) for c in features])
         score = score.select("id", "__train", "__fold", "label", *[scaled(c) for c in features])
         if lrn.ridge_alpha is not None:
-            over["regParam"] = lrn.ridge_alpha / mom["__n"] * (mom["__sdy"] or 1.0)
+            over["regParam"] = lrn.ridge_alpha / mom["n"] * (mom["sdy"] or 1.0)
     if lrn.name == "gbt_hist":
         # hash-chosen 10 % of the fit rows as internal validation (M4)
         fit = fit.withColumn("__val", (X.seeded_key("id", seed + 1) % 10) == 0)
@@ -142,7 +196,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
            seed: int = 42, experiment: str | None = None, extra_train: DataFrame | None = None,
            label_fn: Callable[[Column], Column] | None = None,
            inverse_fn: Callable[[Column], Column] | None = None,
-           parallel: int = 4, exact_medians: bool = True) -> CVResult:
+           parallel: int | None = None, exact_medians: bool = True) -> CVResult:
     """M11 (+ M12 with ``extra_train`` rows ``(id, label, model_fold, features...)``,
     M13 with ``label_fn`` / ``inverse_fn``)."""
     spark = df.sparkSession
@@ -160,6 +214,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
                                    F.col("model_fold").cast("int").alias("model_fold"),
                                    *[F.col(c).cast("double").alias(c) for c in features])
     importances, best_iters = [], {}
+    moments = fold_moments(base, features, meds, k) if lrn.scale and extra is None else None
 
     def one_fold(f: int) -> DataFrame:
         x = _filled(base, features, meds, f)
@@ -167,9 +222,10 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
         if extra is not None:
             ex = extra.where(F.col("model_fold") == f).select(
                 "id", "label", *[_fill_expr(c, meds, f) for c in features])
-        return _fit_fold(f, x, features, lrn, seed, experiment, ex, inverse_fn, importances, best_iters)
+        return _fit_fold(f, x, features, lrn, seed, experiment, ex, inverse_fn, importances, best_iters,
+                         moments)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex_:
+    with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
         parts = list(ex_.map(one_fold, range(k)))
     preds = _collect(parts)
     return CVResult(experiment, preds, importances, best_iters)
@@ -178,7 +234,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
 def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], lrn: Learner, *,
                    target: str = "target", k: int = 5, fold_col: str = "fold", train_col: str = "is_train",
                    id_col: str = "id", seed: int = 42, smoothing: float = 10.0, experiment: str | None = None,
-                   parallel: int = 4) -> CVResult:
+                   parallel: int | None = None) -> CVResult:
     """M3: categories (missing as a level, P5) enter as target statistics computed
     inside each model fold: fold-train rows get out-of-inner-fold encodings, the
     held-out fold and unlabelled rows get the full fold-train encoding (no target
@@ -204,7 +260,7 @@ def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], l
                      *[F.coalesce(F.col(c), _lit(meds[c])).alias(c) for c in features])
         return _fit_fold(f, x, features, lrn, seed, experiment, None, None, importances, best_iters)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel)) as ex_:
+    with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
         parts = list(ex_.map(one_fold, range(k)))
     preds = _collect(parts)
     return CVResult(experiment, preds, importances, best_iters)
