@@ -20,6 +20,9 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide feature projections generate very large methods; above 8000 bytes of
+    # bytecode the JVM does not JIT-compile them, so let such stages fall back
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
