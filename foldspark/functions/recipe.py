@@ -175,8 +175,7 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
         key = F.col(split_col)
         out = []
         for c in cols:
-            pairs = [(r[split_col], F.lit(r[median_col(c)]).cast("double")) for r in rows
-                     if r[split_col] is not None]
+            pairs = [(r[split_col], r[median_col(c)]) for r in rows if r[split_col] is not None]
             out.append(lookup(pairs, key, "double").alias(median_col(c)))
         return df.select("*", *out)
     src = df.where(F.col(split_col)) if scope == "train" else df

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.joins import checked_small, collect_if_small, lookup
+from foldspark.operators.joins import checked_small, collect_if_small, literal_map, sql_struct
 
 DEFAULT_GROUP_COLS = ["country", "occupation", "chronotype"]
 DEFAULT_AGG_COLS = ["age", "stress", "work_hours", "rem_pct", "bmi"]
@@ -47,16 +47,28 @@ def apply_group_statistics(df: DataFrame, stats, small: bool,
     ``stats`` is a list of rows (literal map lookups, no join) or a DataFrame
     (joined; broadcast when ``small``)."""
     if isinstance(stats, list):
-        added = []
-        for g in group_cols:
+        # one lookup per group column returning a struct of all its statistics,
+        # evaluated once per row in its own projection
+        structs = []
+        for i, g in enumerate(group_cols):
             rows = [r for r in stats if r["group_col"] == g]
-            key = F.col(g).cast("string")
+            pairs = [(r["level"], sql_struct({f"{a}_{st}": r[f"{a}_{st}"] for a in agg_cols
+                                              for st in ("mean", "std")})) for r in rows]
+            if pairs:
+                val = literal_map(pairs)[F.col(g).cast("string")]
+            else:
+                val = F.lit(None).cast(", ".join(f"{a}_{st}: double" for a in agg_cols for st in ("mean", "std"))
+                                       .join(["struct<", ">"]))
+            structs.append(val.alias(f"__gs{i}"))
+        x = df.select("*", *structs)
+        added = []
+        for i, g in enumerate(group_cols):
             for a in agg_cols:
-                mean = lookup([(r["level"], F.lit(r[f"{a}_mean"]).cast("double")) for r in rows], key, "double")
-                std = lookup([(r["level"], F.lit(r[f"{a}_std"]).cast("double")) for r in rows], key, "double")
-                added += [mean.alias(stats_name(g, a, "mean")), std.alias(stats_name(g, a, "std")),
+                mean = F.col(f"__gs{i}").getField(f"{a}_mean")
+                added += [mean.alias(stats_name(g, a, "mean")),
+                          F.col(f"__gs{i}").getField(f"{a}_std").alias(stats_name(g, a, "std")),
                           (F.col(a) - mean).alias(stats_name(g, a, "dev"))]
-        return df.select("*", *added)
+        return x.select(*[F.col(c) for c in df.columns], *added)
     out = df
     added = []
     for i, g in enumerate(group_cols):

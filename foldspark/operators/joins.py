@@ -9,6 +9,7 @@ bin) use ``attach_bounded`` and skip the check.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -71,21 +72,55 @@ def collect_if_small(stats: DataFrame, max_rows: int | None = None):
     return rows if len(rows) <= max_rows else None
 
 
-def _lit(v):
-    return v if isinstance(v, Column) else F.lit(v)
+def sql_value(v) -> str:
+    """SQL text of a Python scalar, exact for doubles (shortest round-trip repr)."""
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, int):
+        return f"{v}L"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "double('NaN')"
+        if math.isinf(v):
+            return "double('Infinity')" if v > 0 else "double('-Infinity')"
+        return f"({v!r}D)"
+    if isinstance(v, str):
+        return f"cast(X'{v.encode('utf-8').hex()}' as string)"
+    raise TypeError(f"unsupported literal {v!r}")
 
 
-def literal_map(pairs, value_type: str | None = None) -> Column:
-    """``map(k1, v1, k2, v2, ...)`` from Python keys and values (or Columns)."""
+def sql_double(v) -> str:
+    return "cast(NULL as double)" if v is None else f"cast({sql_value(float(v))} as double)"
+
+
+def sql_struct(fields: dict) -> str:
+    """``named_struct`` of double fields."""
+    return "named_struct(" + ", ".join(f"'{k}', {sql_double(v)}" for k, v in fields.items()) + ")"
+
+
+def sql_map(pairs) -> str:
+    """``map(k1, v1, ...)`` from (Python key, SQL value text) pairs."""
+    return "map(" + ", ".join(f"{sql_value(k)}, {v}" for k, v in pairs) + ")"
+
+
+def literal_map(pairs, value_type: str = "double") -> Column:
+    """Literal map column from (Python key, SQL value text) pairs, built as one
+    SQL expression (one call, however many entries)."""
     pairs = list(pairs)
     if not pairs:
-        return F.create_map().cast(f"map<string,{value_type or 'string'}>")
-    return F.create_map(*[x for k, v in pairs for x in (_lit(k), _lit(v))])
+        return F.expr(f"cast(map() as map<string,{value_type}>)")
+    return F.expr(sql_map(pairs))
 
 
 def lookup(pairs, key: Column, value_type: str) -> Column:
-    """Value of ``key`` in a literal map (null when absent)."""
+    """Value of ``key`` in a literal map of Python (key, value) scalars (null when absent)."""
     pairs = list(pairs)
     if not pairs:
         return F.lit(None).cast(value_type)
-    return literal_map(pairs)[key].cast(value_type) if value_type != "struct" else literal_map(pairs)[key]
+    if value_type == "double":
+        vals = [(k, sql_double(v)) for k, v in pairs]
+    else:
+        vals = [(k, f"cast({sql_value(v)} as {value_type})") for k, v in pairs]
+    return F.expr(sql_map(vals))[key]
