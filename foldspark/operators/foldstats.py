@@ -12,6 +12,7 @@ row, bounded by k).
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -67,36 +68,79 @@ def fold_median_fill(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: s
     return x.drop(*[f"med_{c}_{f}" for c in need for f in range(k)])
 
 
+def merge_moments(a, b):
+    """Chan et al. pairwise merge of ``(n, mean, M2)`` summaries (numerically stable)."""
+    na, ma, qa = a
+    nb, mb, qb = b
+    n = na + nb
+    if n == 0:
+        return (0, 0.0, 0.0)
+    d = mb - ma
+    return (n, ma + d * nb / n, qa + qb + d * d * na * nb / n)
+
+
+def fold_train_moments(df: DataFrame, cols: Sequence[str], k: int, meds: dict, fold_col: str = "fold",
+                       train_col: str = "is_train", label: str | None = None) -> dict:
+    """Mean and population std of each median-filled column over the labelled rows
+    outside fold f, for every f (and the label's sample std / count when given).
+
+    One ``groupBy(fold)`` returns per-fold (count, mean, M2, nulls) of the
+    observed values (k rows). The summary for fold f merges the other folds and
+    the nulls filled with fold f's median (a group at the median with M2 = 0)."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    if label is not None:
+        aggs += [F.avg(label).alias("__my"), (F.var_pop(label) * F.count(label)).alias("__qy")]
+    for c in cols:
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n_{c}"), F.avg(v).alias(f"m_{c}"), (F.var_pop(v) * F.count(v)).alias(f"q_{c}")]
+    rows = {r["__fold"]: r.asDict() for r in
+            df.where(F.col(train_col)).groupBy(F.col(fold_col).cast("int").alias("__fold")).agg(*aggs).collect()}
+    out = {}
+    for f in range(k):
+        others = [r for g, r in rows.items() if g != f]
+        mu, sd = {}, {}
+        for c in cols:
+            acc, nulls = (0, 0.0, 0.0), 0
+            for r in others:
+                acc = merge_moments(acc, (r[f"n_{c}"], r[f"m_{c}"] or 0.0, r[f"q_{c}"] or 0.0))
+                nulls += r["__rows"] - r[f"n_{c}"]
+            med = meds.get(f"med_{c}_{f}")
+            if nulls and med is not None:
+                acc = merge_moments(acc, (nulls, float(med), 0.0))
+            mu[c] = acc[1] if acc[0] else None
+            sd[c] = math.sqrt(max(acc[2], 0.0) / acc[0]) if acc[0] else None
+        entry = {"mu": mu, "sd": sd, "n": sum(r["__rows"] for r in others)}
+        if label is not None:
+            y = (0, 0.0, 0.0)
+            for r in others:
+                y = merge_moments(y, (r["__rows"], r["__my"] or 0.0, r["__qy"] or 0.0))
+            entry["sdy"] = math.sqrt(max(y[2], 0.0) / (y[0] - 1)) if y[0] > 1 else None
+        out[f] = entry
+    return out
+
+
 def fold_standardize(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
                      train_col: str = "is_train", exact: bool = True) -> DataFrame:
     """P10 then P11: fill with fold-train medians, then scale with the fold-train
-    mean and population std of the filled values (std 0 -> scale 1)."""
+    mean and population std of the filled values (std 0 -> scale 1). Statistics:
+    one filtered-median aggregate (columns with nulls only) and one ``groupBy(fold)``;
+    the per-fold parameters (k x columns numbers) are applied as literals."""
     need = columns_with_nulls(df, cols)
-    base = attach_scalar_row(df, fold_medians(df, need, k, fold_col, train_col, exact)) if need else df
+    meds = fold_medians(df, need, k, fold_col, train_col, exact).first().asDict() if need else {}
+    mom = fold_train_moments(df, cols, k, meds, fold_col, train_col)
+    x = design_by_fold(df, k, fold_col, train_col)
+    mf = F.col("model_fold")
 
-    def filled_f(c, f):
-        v = F.col(c).cast("double")
-        return F.coalesce(v, F.col(f"med_{c}_{f}")) if c in need else v
+    def per_fold(values: list) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast("double") for v in values]), mf + 1)
 
-    tr = base.where(F.col(train_col))
-    aggs = []
-    for c in cols:
-        for f in range(k):
-            v = F.when(F.col(fold_col) != f, filled_f(c, f))
-            aggs += [F.avg(v).alias(f"mu_{c}_{f}"), F.stddev_pop(v).alias(f"sd_{c}_{f}")]
-    moments = tr.agg(*aggs)
-    x = design_by_fold(attach_scalar_row(base, moments), k, fold_col, train_col)
-    mf = F.col("model_fold")
     sel = []
     for c in x.columns:
         if c in cols:
-            filled = (F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf)) if c in need
-                      else F.col(c).cast("double"))
-            sd = _pick("sd", c, k, mf)
-            scale = F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-            sel.append(((filled - _pick("mu", c, k, mf)) / scale).alias(c))
+            v = F.col(c).cast("double")
+            filled = F.coalesce(v, per_fold([meds.get(f"med_{c}_{f}") for f in range(k)])) if c in need else v
+            scale = [mom[f]["sd"][c] if mom[f]["sd"][c] else 1.0 for f in range(k)]
+            sel.append(((filled - per_fold([mom[f]["mu"][c] for f in range(k)])) / per_fold(scale)).alias(c))
         else:
             sel.append(F.col(c))
-    drop = [f"{p}_{c}_{f}" for p in ("mu", "sd") for c in cols for f in range(k)]
-    drop += [f"med_{c}_{f}" for c in need for f in range(k)]
-    return x.select(*sel).drop(*drop)
+    return x.select(*sel)

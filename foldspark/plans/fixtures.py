@@ -72,9 +72,34 @@ PANEL_NUMERIC = ["age", "bmi", "rem_pct", "deep_pct", "latency_min", "awakenings
 PANEL_MISSING = ["occupation", "bmi", "caffeine_mg", "stress", "chronotype", "mental_state"]
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    register(spark, sf_dir, ("orders", "customer", "nation", "lineitem"))
-    return spark.sql(PANEL_SQL.replace("{S}", "string"))
+_TABLES: dict = {}
+
+
+def _materialized(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    """The stand-in table written once per application as parquet under the
+    session's checkpoint directory (a shared folder on a cluster) and read back,
+    so operators that scan their input several times read a table, as they would
+    in production, instead of re-running the fixture joins."""
+    import hashlib
+    import os
+
+    from foldspark.session import ensure_checkpoint_dir
+    app = spark.sparkContext.applicationId
+    key = (app, name, os.path.abspath(sf_dir))
+    if key not in _TABLES:
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        tag = hashlib.md5(os.path.abspath(sf_dir).encode()).hexdigest()[:12]
+        path = f"{root}/foldspark-fixtures/{app}/{name}_{tag}"
+        build().write.mode("overwrite").parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
+def panel(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    def build():
+        register(spark, sf_dir, ("orders", "customer", "nation", "lineitem"))
+        return spark.sql(PANEL_SQL.replace("{S}", "string"))
+    return _materialized(spark, "panel", sf_dir, build) if materialize else build()
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:

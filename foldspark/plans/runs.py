@@ -73,52 +73,10 @@ def _prepare(df: DataFrame, features: Sequence[str], target: str, fold_col: str,
                      label.alias("label"), *[F.col(c).cast("double").alias(c) for c in features])
 
 
-def _merge(a, b):
-    """Chan et al. pairwise merge of (n, mean, M2) summaries (numerically stable)."""
-    na, ma, qa = a
-    nb, mb, qb = b
-    n = na + nb
-    if n == 0:
-        return (0, 0.0, 0.0)
-    d = mb - ma
-    return (n, ma + d * nb / n, qa + qb + d * d * na * nb / n)
-
-
 def fold_moments(base: DataFrame, features: Sequence[str], meds, k: int) -> dict:
-    """Fold-train mean / population std of every median-filled feature and the
-    label's sample std and count, for all k folds.
-
-    One ``groupBy(fold)`` gives per-fold (count, mean, M2, nulls) of the observed
-    values (k rows); the fold-train summary of fold f merges the other folds and
-    the filled nulls (a group of ``nulls`` values at the median, M2 = 0)."""
-    aggs = [F.count(F.lit(1)).alias("__rows"), F.avg("label").alias("__my"),
-            (F.var_pop("label") * F.count("label")).alias("__qy")]
-    for c in features:
-        aggs += [F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"),
-                 (F.var_pop(c) * F.count(c)).alias(f"q_{c}")]
-    rows = {r["__fold"]: r.asDict() for r in base.where(F.col("__train")).groupBy("__fold").agg(*aggs).collect()}
+    """Fold-train moments of the median-filled features and the label (one groupBy)."""
     md = meds if isinstance(meds, dict) else meds.asDict()
-    out = {}
-    for f in range(k):
-        others = [r for g, r in rows.items() if g != f]
-        y = (0, 0.0, 0.0)
-        for r in others:
-            y = _merge(y, (r["__rows"], r["__my"] or 0.0, r["__qy"] or 0.0))
-        mu, sd = {}, {}
-        for c in features:
-            acc = (0, 0.0, 0.0)
-            nulls = 0
-            for r in others:
-                acc = _merge(acc, (r[f"n_{c}"], r[f"m_{c}"] or 0.0, r[f"q_{c}"] or 0.0))
-                nulls += r["__rows"] - r[f"n_{c}"]
-            med = md.get(f"med_{c}_{f}")
-            if nulls and med is not None:
-                acc = _merge(acc, (nulls, float(med), 0.0))
-            mu[c] = acc[1] if acc[0] else None
-            sd[c] = math.sqrt(max(acc[2], 0.0) / acc[0]) if acc[0] else None
-        sdy = math.sqrt(max(y[2], 0.0) / (y[0] - 1)) if y[0] > 1 else None
-        out[f] = {"mu": mu, "sd": sd, "sdy": sdy, "n": y[0]}
-    return out
+    return foldstats.fold_train_moments(base, features, k, md, "__fold", "__train", label="label")
 
 
 def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, experiment: str,
