@@ -302,3 +302,113 @@ def random_search(df: DataFrame, features: Sequence[str], base: Learner, space:
     trials = spark.createDataFrame(rows, "trial int, params map<string,double>, cv_rmse double, cv_std double")
     best = min(rows, key=lambda r: r[2])
     return trials, best[1]
+
+
+# ---- M6 by sufficient statistics -------------------------------------------------------
+
+def _moment_sums(pdf_iter, features: list, q_idx: list, shift: np.ndarray):
+    """Per partition and fold: n, sum u, sum y, sum y^2, U'U, U'y with u = [x - shift (nulls 0), null flags]."""
+    import pandas as pd
+    q = len(q_idx)
+    for pdf in pdf_iter:
+        if pdf.empty:
+            continue
+        X = pdf[features].to_numpy(dtype=float)          # Arrow turns nulls into NaN
+        y = pdf["label"].to_numpy(dtype=float)
+        M = np.isnan(X[:, q_idx]).astype(float) if q else np.zeros((len(X), 0))
+        X0 = np.where(np.isnan(X), 0.0, X - shift)
+        U = np.hstack([X0, M])
+        out_f, out_v = [], []
+        for f in np.unique(pdf["__fold"].to_numpy()):
+            sel = pdf["__fold"].to_numpy() == f
+            Uf, yf = U[sel], y[sel]
+            v = np.concatenate([[sel.sum()], Uf.sum(0), [yf.sum(), (yf * yf).sum()],
+                                (Uf.T @ Uf).ravel(), Uf.T @ yf])
+            out_f.append(int(f))
+            out_v.append(v.tolist())
+        yield pd.DataFrame({"fold": out_f, "v": out_v})
+
+
+def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, target: str = "target",
+             k: int = 5, fold_col: str = "fold", train_col: str = "is_train", id_col: str = "id",
+             experiment: str = "ridge", exact_medians: bool = True) -> CVResult:
+    """M6 + M11 by sufficient statistics: ridge (with intercept) on columns filled with
+    fold-train medians and standardised with fold-train mean / population std,
+    one model per fold, exactly as a per-fold fit would compute it.
+
+    Passes over the data: null check + means, fold medians (columns with nulls),
+    one moment pass (numpy per partition: ``U'U`` and ``U'y`` for each fold, where
+    ``u`` = shifted values with nulls as 0 plus null flags; summed per fold by a
+    ``groupBy`` of ``k x P`` numbers), then scoring as a linear column expression.
+    The driver only solves ``k`` systems of size ``features x features``."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    features = list(features)
+    p = len(features)
+    base = _prepare(df, features, target, fold_col, train_col, id_col, None).checkpoint(eager=True)
+    tr = base.where(F.col("__train"))
+    stats = tr.agg(*[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in features],
+                   *[F.avg(c).alias(f"a_{c}") for c in features]).first()
+    need = [c for c in features if stats[f"z_{c}"] > 0]
+    q_idx = [features.index(c) for c in need]
+    shift = np.array([stats[f"a_{c}"] or 0.0 for c in features])
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact_medians).first().asDict() \
+        if need else {}
+    width = 1 + (p + len(need)) + 2 + (p + len(need)) ** 2 + (p + len(need))
+    parts = tr.select("__fold", *features, "label").mapInPandas(
+        lambda it: _moment_sums(it, features, q_idx, shift), "fold int, v array<double>")
+    sums = (parts.select("fold", F.posexplode("v").alias("i", "x")).groupBy("fold", "i").agg(F.sum("x").alias("x"))
+                 .collect())
+    per = {}
+    for r in sums:
+        per.setdefault(r["fold"], np.zeros(width))[r["i"]] = r["x"]
+    total = sum(per.values())
+    d = p + len(need)
+    coefs = {}
+    for f in range(k):
+        s = total - per.get(f, 0.0)
+        n = s[0]
+        su = s[1:1 + d]
+        sy, syy = s[1 + d], s[2 + d]
+        UU = s[3 + d:3 + d + d * d].reshape(d, d)
+        Uy = s[3 + d + d * d:3 + d + d * d + d]
+        T = np.zeros((p, d))                    # x_filled - shift = T u
+        T[:, :p] = np.eye(p)
+        for j, c in enumerate(need):
+            T[features.index(c), p + j] = (meds.get(f"med_{c}_{f}") or 0.0) - shift[features.index(c)]
+        sx, xx, xy = T @ su, T @ UU @ T.T, T @ Uy
+        mu = sx / n
+        gc = xx - n * np.outer(mu, mu)
+        sd = np.sqrt(np.clip(np.diag(gc) / n, 0, None))
+        sd[sd == 0] = 1.0
+        ybar = sy / n
+        gz = gc / np.outer(sd, sd)
+        bz = (xy - n * mu * ybar) / sd
+        wz = np.linalg.solve(gz + alpha * np.eye(p), bz)
+        w = wz / sd                            # on the (x - shift) scale
+        coefs[f] = (float(ybar - mu @ w), w)
+    # scoring: labelled rows with their fold's model; others with the mean of the k models
+    mf = F.col("__fold")
+
+    def per_fold(vals):
+        return F.element_at(F.array(*[F.lit(float(v)) for v in vals]), mf + 1)
+
+    valid = per_fold([coefs[f][0] for f in range(k)])
+    test = F.lit(float(np.mean([coefs[f][0] for f in range(k)])))
+    for j, c in enumerate(features):
+        xs = F.col(c) - F.lit(float(shift[j]))
+        ws = [coefs[f][1][j] for f in range(k)]
+        if c in need:
+            medv = [(meds.get(f"med_{c}_{f}") or 0.0) - shift[j] for f in range(k)]
+            valid = valid + per_fold(ws) * F.coalesce(xs, per_fold(medv))
+            test = test + F.when(F.col(c).isNull(), F.lit(float(np.mean([ws[f] * medv[f] for f in range(k)])))) \
+                .otherwise(F.lit(float(np.mean(ws))) * xs)
+        else:
+            valid = valid + per_fold(ws) * xs
+            test = test + F.lit(float(np.mean(ws))) * xs
+    pred = F.when(F.col("__train"), valid).otherwise(test)
+    preds = base.select(F.lit(experiment).alias("experiment"), "id",
+                        F.when(F.col("__train"), F.col("__fold")).alias("fold"),
+                        F.when(F.col("__train"), F.lit("oof")).otherwise(F.lit("test")).alias("split"),
+                        pred.cast("double").alias("pred")).checkpoint(eager=True)
+    return CVResult(experiment, preds, [], {})

@@ -53,6 +53,32 @@ def test_submission_and_logs(spark, tmp_path):
     assert store.load_params(spark, pp, "gbt") == {"maxDepth": 5.0, "stepSize": 0.1}
 
 
+def _numpy_ridge_fold(pdf, feats, f, alpha=1.0):
+    tr = pdf[pdf.is_train]
+    fit, va = tr[tr.fold != f], tr[tr.fold == f]
+    med = fit[feats].median()
+    Xf, Xv = fit[feats].fillna(med), va[feats].fillna(med)
+    mu, sd = Xf.mean(), Xf.std(ddof=0).replace(0, 1)
+    Zf, Zv = (Xf - mu) / sd, (Xv - mu) / sd
+    zm, ym = Zf.mean().values, fit.target.mean()
+    A = (Zf.values - zm)
+    w = np.linalg.solve(A.T @ A + alpha * np.eye(len(feats)), A.T @ (fit.target.values - ym))
+    return va.index, ym + (Zv.values - zm) @ w
+
+
+def test_ridge_sufficient_statistics_exact(spark, sf):
+    from foldspark.plans import q_models as Q, runs
+    feats = Q.FEATURES
+    mf = Q.model_frame(spark, sf)
+    res = runs.ridge_cv(mf, feats, alpha=1.0)
+    oof = res.oof().toPandas().set_index("id").sort_index()
+    pdf = mf.select("id", "is_train", "fold", "target", *feats).toPandas().set_index("id").sort_index()
+    for f in range(5):
+        idx, pred = _numpy_ridge_fold(pdf, feats, f)
+        assert np.allclose(oof.loc[idx, "pred"].values, pred, atol=1e-9)
+    assert res.test_mean().count() == mf.where("not is_train").count()
+
+
 def test_cv_ridge_matches_closed_form(spark, sf):
     from foldspark.plans import q_models as Q, runs
     from foldspark.plans.models import learner
