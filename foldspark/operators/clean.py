@@ -39,29 +39,56 @@ def normalize_aliases(df: DataFrame, column: str, aliases: Mapping | DataFrame)
               .drop("__alias", "__canonical"))
 
 
-def category_levels(df: DataFrame, cols: Sequence[str], where=None) -> DataFrame:
-    """Dictionary ``(col, level, code)`` of the levels seen in ``df`` (optionally
-    filtered); code = 0-based rank of the sorted level (pandas category codes).
-
-    The levels are stacked to long form and de-duplicated in one aggregate; the
-    rank runs per column over the (small) distinct-level table.
-    """
+def distinct_levels(df: DataFrame, cols: Sequence[str], where=None) -> DataFrame:
+    """``(col, level, n)``: non-null levels of several columns, stacked and
+    de-duplicated in one aggregate (partial aggregation before the shuffle)."""
     src = df.where(where) if where is not None else df
     long = src.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("level")) for c in cols
     ])).alias("kv")).select("kv.col", "kv.level").where(F.col("level").isNotNull())
-    levels = long.groupBy("col", "level").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("col").orderBy("level")
-    return levels.select("col", "level", (F.dense_rank().over(w) - 1).cast("int").alias("code"), "n")
+    return long.groupBy("col", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_levels(levels: DataFrame, n_parts: int | None = None) -> DataFrame:
+    """Add ``code`` = 0-based rank of ``level`` inside its ``col`` without a
+    single-partition window: range-partition by (col, level) so partitions are
+    ordered, number rows inside each partition, and add the count of all rows in
+    earlier partitions (a prefix sum over one row per partition) minus the
+    column's first rank."""
+    n_parts = n_parts or int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = (levels.repartitionByRange(n_parts, "col", "level")
+                  .withColumn("__pid", F.spark_partition_id()))
+    w_in = Window.partitionBy("__pid").orderBy("col", "level")
+    part = part.withColumn("__rn", F.row_number().over(w_in))
+    counts = part.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    prefix = counts.select("__pid", (F.coalesce(F.sum("__c").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__off"))
+    ranked = part.join(F.broadcast(prefix), "__pid").withColumn("__g", F.col("__off") + F.col("__rn") - 1)
+    first = ranked.groupBy("col").agg(F.min("__g").alias("__first"))
+    return (ranked.join(F.broadcast(first), "col")
+                  .select("col", "level", (F.col("__g") - F.col("__first")).cast("int").alias("code"), "n"))
+
+
+def category_levels(df: DataFrame, cols: Sequence[str], where=None) -> DataFrame:
+    """Dictionary ``(col, level, code, n)`` of the levels seen in ``df`` (optionally
+    filtered); code = 0-based rank of the sorted level (pandas category codes)."""
+    return ranked_levels(distinct_levels(df, cols, where))
 
 
 def _dictionary(df: DataFrame, cols: Sequence[str], train_col: str):
-    """Train-level dictionary: literal rows when small, else a size-checked table."""
-    lv = category_levels(df, cols, F.col(train_col))
+    """Train-level dictionary: literal rows (codes ranked on the driver, at most
+    ``joins.LITERAL_MAX_ROWS`` of them) when small, else a distributed-rank table
+    with a size check for broadcasting."""
+    lv = distinct_levels(df, cols, F.col(train_col))
     rows = collect_if_small(lv)
     if rows is not None:
-        return rows, None, False
-    table, small = checked_small(lv)
+        out = []
+        for c in cols:
+            # Spark orders strings by UTF-8 bytes, i.e. by code point, like Python
+            for code, r in enumerate(sorted((r for r in rows if r["col"] == c), key=lambda r: r["level"])):
+                out.append({"col": c, "level": r["level"], "code": code})
+        return out, None, False
+    table, small = checked_small(ranked_levels(lv))
     return None, table, small
 
 
@@ -113,8 +140,8 @@ def category_codes(df: DataFrame, cols: Sequence[str], train_col: str = "is_trai
 
 def unseen_levels(df: DataFrame, cols: Sequence[str], train_col: str = "is_train") -> DataFrame:
     """``(col, level)`` present in test rows but not in train rows (left-anti)."""
-    test_lv = category_levels(df, cols, ~F.col(train_col)).select("col", "level")
-    train_lv = category_levels(df, cols, F.col(train_col)).select("col", "level")
+    test_lv = distinct_levels(df, cols, ~F.col(train_col)).select("col", "level")
+    train_lv = distinct_levels(df, cols, F.col(train_col)).select("col", "level")
     return test_lv.join(train_lv, ["col", "level"], "left_anti")
 
 

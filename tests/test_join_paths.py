@@ -33,3 +33,15 @@ def test_paths_agree(frame, monkeypatch, literal, broadcast):
     other = _run(frame)
     assert list(base.columns) == list(other.columns)
     pd.testing.assert_frame_equal(base, other, check_exact=False, rtol=1e-12)
+
+
+def test_distributed_rank_equals_sorted_rank(spark):
+    rng = np.random.default_rng(1)
+    vals = ["".join(rng.choice(list("abcXYZ_é"), rng.integers(1, 6))) for _ in range(3000)]
+    pdf = pd.DataFrame({"a": vals[:1500], "b": vals[1500:]})
+    df = spark.createDataFrame(pdf)
+    got = clean.ranked_levels(clean.distinct_levels(df, ["a", "b"]), n_parts=7).toPandas()
+    for c in ["a", "b"]:
+        exp = {lv: i for i, lv in enumerate(sorted(set(pdf[c])))}
+        g = got[got.col == c]
+        assert len(g) == len(exp) and all(exp[lv] == code for lv, code in zip(g.level, g.code))
