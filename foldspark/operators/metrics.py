@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
-from foldspark.operators.joins import attach_bounded, attach_scalar_row
+from foldspark.operators.joins import attach, attach_scalar_row
 
 # Fixed values of the source's error analysis.
 TARGET_BIN_EDGES = [0, 2, 4, 5, 6, 8, 10]
@@ -179,7 +179,7 @@ def box_stats(df: DataFrame, group: Column, value: Column, exact: bool = True) -
                              _q(F.col("v"), 0.75, exact).alias("q3"), F.count(F.lit(1)).alias("n"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = attach_bounded(x, q, on="grp")
+    j = attach(x, q.select("grp", "lo_fence", "hi_fence"), on="grp")   # one row per group, size-checked
     w = j.groupBy("grp").agg(F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("lo_in"),
                              F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("hi_in"))
     out = q.join(w, "grp")

@@ -114,3 +114,20 @@ def test_seeded_sample_repeatable(spark, sf):
     b = [r.id for r in clean.seeded_sample(p, 50, 3).collect()]
     c = [r.id for r in clean.seeded_sample(p, 50, 4).collect()]
     assert a == b and len(a) == 50 and a != c
+
+
+def test_transform_chain_equals_package(spark):
+    """X3 / FV3: grouped adders chained with DataFrame.transform give the v1 package."""
+    df = _toy(spark)
+    chained = (df.transform(R.add_sleep).transform(R.add_lifestyle).transform(R.add_demographic))
+    a = chained.select("id", *R.feature_names(R.V1)).orderBy("id").collect()
+    b = R.features_v1(df).select("id", *R.feature_names(R.V1)).orderBy("id").collect()
+    assert a == b
+
+
+def test_feature_and_numeric_columns(spark):
+    df = _toy(spark).withColumn("flag", F.lit(1).cast("tinyint")).withColumn("target", F.lit(1.0))
+    feats = clean.feature_columns(df)
+    assert "id" not in feats and "target" not in feats and feats[0] == "is_train"
+    nums = clean.numeric_columns(df, exclude=["id"], skip_tinyint=True)
+    assert "flag" not in nums and "age" in nums and "gender" not in nums

@@ -33,6 +33,7 @@ def test_prediction_store_roundtrip(spark, tmp_path):
     ex = store.list_experiments(spark, path).toPandas()
     assert list(ex.experiment) == ["m1"] and bool(ex.complete.iloc[0])
     assert store.first_available(spark, path, ["zzz", "m2_ensemble", "m1"]) == "m1"
+    assert store.missing_experiments(spark, path, ["m1", "zzz"], split="test") == ["zzz"]
 
 
 def test_submission_and_logs(spark, tmp_path):
