@@ -79,6 +79,24 @@ def q_calibrate_quadratic(spark, sf):
     return round_doubles(out.select("id", "calibrated"), 6)
 
 
+@query("fold_average", _quad_sql().split("select d.id, round(")[0]
+       + "select d.id, count(*) as n_folds, round(avg(c2.b0 + c2.b1*x + c2.b2*x*x), 8) as pred "
+         "from d cross join c2 where not d.is_train group by d.id", "G19, J6")
+def q_fold_average(spark, sf):
+    """Each of the 5 fold models (quadratic correction) scores every test row;
+    the test prediction is the mean over folds (k rows per test id, then averaged)."""
+    base = calib_input(spark, sf)
+    coef = C.quadratic_coefficients(base, "pred", "target", 5).where(F.col("fold") >= 0)
+    test = base.where(~F.col("is_train")).select("id", "pred",
+                                                 F.explode(F.sequence(F.lit(0), F.lit(4))).alias("fold"))
+    from foldspark.operators.joins import attach_bounded
+    scored = attach_bounded(test, coef, on="fold").select(
+        "id", "fold", (F.col("b0") + F.col("b1") * F.col("pred") + F.col("b2") * F.col("pred") * F.col("pred"))
+        .alias("p_fold"))
+    out = B.average_over(scored, ["id"], value="p_fold", out="pred")
+    return round_doubles(out.select("id", F.col("n_avg").alias("n_folds"), "pred"))
+
+
 _PROBS = "[" + ", ".join(str(p) for p in C._probs(C.N_QUANTILE_BINS)) + "]"
 
 

@@ -345,7 +345,9 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     ensure_checkpoint_dir(spark)
     features = list(features)
     p = len(features)
-    base = _prepare(df, features, target, fold_col, train_col, id_col, None).checkpoint(eager=True)
+    # no checkpoint: every pass below is a short projection/aggregate of the input,
+    # and scoring is one projection with literal coefficients (no model lineage)
+    base = _prepare(df, features, target, fold_col, train_col, id_col, None)
     tr = base.where(F.col("__train"))
     stats = tr.agg(*[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in features],
                    *[F.avg(c).alias(f"a_{c}") for c in features]).first()
@@ -410,5 +412,5 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     preds = base.select(F.lit(experiment).alias("experiment"), "id",
                         F.when(F.col("__train"), F.col("__fold")).alias("fold"),
                         F.when(F.col("__train"), F.lit("oof")).otherwise(F.lit("test")).alias("split"),
-                        pred.cast("double").alias("pred")).checkpoint(eager=True)
+                        pred.cast("double").alias("pred"))
     return CVResult(experiment, preds, [], {})
