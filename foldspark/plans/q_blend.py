@@ -132,25 +132,106 @@ def q_blend_optimal_2(spark, sf):
     return round_doubles(out.select("w_a", (1 - F.col("w_a")).alias("w_b"), "rmse"), 6)
 
 
-@query("blend_optimal_n", None, "B2")
+def _det3(m):
+    """SQL text of a 3x3 determinant; m[i][j] are SQL expressions."""
+    return (f"(({m[0][0]})*(({m[1][1]})*({m[2][2]})-({m[1][2]})*({m[2][1]}))"
+            f"-({m[0][1]})*(({m[1][0]})*({m[2][2]})-({m[1][2]})*({m[2][0]}))"
+            f"+({m[0][2]})*(({m[1][0]})*({m[2][1]})-({m[1][1]})*({m[2][0]})))")
+
+
+def _simplex_oracle() -> str:
+    """Best convex weights of three models by enumerating the candidate optima:
+    vertices, edges (closed form), interior (C^-1 1 normalised, by Cramer's rule)."""
+    c = [[f"c{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    mom = ", ".join(f"avg((target - p_{'abc'[i]}) * (target - p_{'abc'[j]})) as c{i}{j}"
+                    for i in range(3) for j in range(i, 3))
+    cands = []
+    for i in range(3):
+        w = ["1e0" if t == i else "0e0" for t in range(3)]
+        cands.append(f"select {w[0]} as w0, {w[1]} as w1, {w[2]} as w2 from cm")
+    for i, j in [(0, 1), (0, 2), (1, 2)]:
+        t = f"(({c[j][j]}) - ({c[i][j]})) / (({c[i][i]}) + ({c[j][j]}) - 2 * ({c[i][j]}))"
+        w = ["0e0"] * 3
+        w[i], w[j] = f"({t})", f"(1 - ({t}))"
+        cands.append(f"select {w[0]} as w0, {w[1]} as w1, {w[2]} as w2 from cm "
+                     f"where ({c[i][i]}) + ({c[j][j]}) - 2 * ({c[i][j]}) > 0 and {t} between 0 and 1")
+    # interior: solve C v = 1 (Cramer), w = v / sum(v)
+    v = []
+    for col in range(3):
+        m = [[("1e0" if jj == col else c[ii][jj]) for jj in range(3)] for ii in range(3)]
+        v.append(_det3(m))
+    tot = f"(({v[0]}) + ({v[1]}) + ({v[2]}))"
+    cands.append(f"select ({v[0]}) / {tot} as w0, ({v[1]}) / {tot} as w1, ({v[2]}) / {tot} as w2 from cm "
+                 f"where {tot} <> 0")
+    obj = " + ".join(f"w{i} * w{j} * {c[i][j]}" for i in range(3) for j in range(3))
+    return (PR_CTE + f", cm as (select {mom} from preds where is_train)\n"
+            + ", cand as (" + " union all ".join(cands) + ")\n"
+            + f", sc as (select w0, w1, w2, {obj} as obj from cand, cm where w0 >= -1e-12 and w1 >= -1e-12 and w2 >= -1e-12)\n"
+            + ", best as (select arg_min(w0, obj) as w0, arg_min(w1, obj) as w1, arg_min(w2, obj) as w2 from sc)\n"
+            + "select id, is_train, round(w0 * p_a + w1 * p_b + w2 * p_c, 8) as blend, round(w0, 6) as w_p_a, "
+              "round(w1, 6) as w_p_b, round(w2, 6) as w_p_c from preds, best")
+
+
+def _nn_ridge_oracle(alpha: float = 1.0) -> str:
+    """Non-negative ridge (intercept, 3 inputs) by enumerating supports: each
+    support's unconstrained solution, keep the non-negative ones, take the lowest
+    objective w'Qw - 2b'w."""
+    names = ["p_a", "p_b", "p_c"]
+    mom = ", ".join([f"count(*) * covar_pop({names[i]}, {names[j]}) + {alpha if i == j else 0} as q{i}{j}"
+                     for i in range(3) for j in range(i, 3)]
+                    + [f"count(*) * covar_pop({names[i]}, target) as b{i}" for i in range(3)]
+                    + [f"avg({n}) as m{i}" for i, n in enumerate(names)] + ["avg(target) as my"])
+    q = [[f"q{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    cands = ["select 0e0 as w0, 0e0 as w1, 0e0 as w2 from st"]
+    for i in range(3):
+        w = ["0e0"] * 3
+        w[i] = f"(b{i} / {q[i][i]})"
+        cands.append(f"select {w[0]} as w0, {w[1]} as w1, {w[2]} as w2 from st")
+    for i, j in [(0, 1), (0, 2), (1, 2)]:
+        det = f"({q[i][i]} * {q[j][j]} - {q[i][j]} * {q[i][j]})"
+        w = ["0e0"] * 3
+        w[i] = f"(({q[j][j]} * b{i} - {q[i][j]} * b{j}) / {det})"
+        w[j] = f"(({q[i][i]} * b{j} - {q[i][j]} * b{i}) / {det})"
+        cands.append(f"select {w[0]} as w0, {w[1]} as w1, {w[2]} as w2 from st")
+    det = _det3(q)
+    full = []
+    for col in range(3):
+        m = [[(f"b{ii}" if jj == col else q[ii][jj]) for jj in range(3)] for ii in range(3)]
+        full.append(f"({_det3(m)}) / {det}")
+    cands.append(f"select {full[0]} as w0, {full[1]} as w1, {full[2]} as w2 from st")
+    obj = (" + ".join(f"w{i} * w{j} * {q[i][j]}" for i in range(3) for j in range(3))
+           + " - 2 * (" + " + ".join(f"b{i} * w{i}" for i in range(3)) + ")")
+    return (PR_CTE + f", st as (select {mom} from preds where is_train)\n"
+            + ", cand as (" + " union all ".join(cands) + ")\n"
+            + f", sc as (select w0, w1, w2, {obj} as obj, my - (w0 * m0 + w1 * m1 + w2 * m2) as icpt from cand, st "
+              "where w0 >= 0 and w1 >= 0 and w2 >= 0)\n"
+            + ", best as (select arg_min(w0, obj) as w0, arg_min(w1, obj) as w1, arg_min(w2, obj) as w2, "
+              "arg_min(icpt, obj) as icpt from sc)\n"
+            + "select id, is_train, round(icpt + w0 * p_a + w1 * p_b + w2 * p_c, 8) as stacked, round(icpt, 6) as intercept, "
+              "round(w0, 6) as coef_p_a, round(w1, 6) as coef_p_b, round(w2, 6) as coef_p_c from preds, best")
+
+
+@query("blend_optimal_n", _simplex_oracle(), "B2")
 def q_blend_optimal_n(spark, sf):
     """B2 for n models: non-negative weights summing to one (moment matrix + driver QP),
     applied to every row."""
     df = wide_preds(spark, sf)
     w = B.optimal_weights(df.where("is_train"), MODELS)
-    return round_doubles(df.select("id", "is_train", B.weighted_sum(MODELS, w).alias("blend"),
-                                   *[F.lit(float(v)).alias(f"w_{m}") for m, v in zip(MODELS, w)]))
+    out = df.select("id", "is_train", B.weighted_sum(MODELS, w).alias("blend"),
+                    *[F.round(F.lit(float(v)), 6).alias(f"w_{m}") for m, v in zip(MODELS, w)])
+    return round_doubles(out)
 
 
-@query("stack_ridge", None, "B3")
+@query("stack_ridge", _nn_ridge_oracle(1.0), "B3")
 def q_stack_ridge(spark, sf):
     """Ridge stack (alpha 1, intercept, non-negative coefficients) fitted on OOF rows,
     scored on all rows (in-sample on labelled rows, as the source)."""
     df = wide_preds(spark, sf)
     coef, icpt = B.ridge_stack(df.where("is_train"), MODELS, alpha=1.0)
-    return round_doubles(df.select("id", "is_train", B.linear_score(MODELS, coef, icpt).alias("stacked"),
-                                   F.lit(icpt).alias("intercept"),
-                                   *[F.lit(float(v)).alias(f"coef_{m}") for m, v in zip(MODELS, coef)]))
+    out = df.select("id", "is_train", B.linear_score(MODELS, coef, icpt).alias("stacked"),
+                    F.round(F.lit(icpt), 6).alias("intercept"),
+                    *[F.round(F.lit(float(v)), 6).alias(f"coef_{m}") for m, v in zip(MODELS, coef)])
+    return round_doubles(out)
 
 
 @query("blend_compare", None, "B4")
