@@ -134,14 +134,13 @@ def compare_blends(df: DataFrame, cols: Sequence[str], y: str = "target", alpha:
     preds = {"equal": weighted_sum(cols), "optimized": weighted_sum(cols, w_opt),
              "stacked": linear_score(cols, coef, icpt)}
     row = df.agg(*[F.sqrt(F.avg((F.col(y) - e) * (F.col(y) - e))).alias(k) for k, e in preds.items()])
-    spark = df.sparkSession
     weights = {"equal": [1.0 / len(cols)] * len(cols), "optimized": [float(v) for v in w_opt],
                "stacked": [float(v) for v in coef]}
-    meta = spark.createDataFrame([(k, weights[k], icpt if k == "stacked" else 0.0) for k in preds],
-                                 "method string, weights array<double>, intercept double")
-    scores = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("method"), F.col(k).alias("rmse"))
-                                            for k in preds])).alias("s")).select("s.*")
-    return scores.join(meta, "method")
+    icpts = {"equal": 0.0, "optimized": 0.0, "stacked": float(icpt)}
+    items = [F.struct(F.lit(k).alias("method"), F.col(k).alias("rmse"),
+                      *[F.lit(weights[k][i]).alias(f"w_{c}") for i, c in enumerate(cols)],
+                      F.lit(icpts[k]).alias("intercept")) for k in preds]
+    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
 
 
 def best_by_score(scores: DataFrame, name: str = "model", score: str = "rmse") -> DataFrame:

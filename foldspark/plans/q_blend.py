@@ -234,8 +234,28 @@ def q_stack_ridge(spark, sf):
     return round_doubles(out)
 
 
-@query("blend_compare", None, "B4")
+def _compare_oracle() -> str:
+    opt = _simplex_oracle().rsplit("\nselect id, is_train", 1)[0]
+    stk = _nn_ridge_oracle(1.0).rsplit("\nselect id, is_train", 1)[0]
+    # rename the stack's CTEs so both candidate sets live in one query
+    stk_body = stk[len(PR_CTE):]
+    for a, b in [("st as", "st2 as"), ("from st", "from st2"), (", st\n", ", st2\n"), ("cand", "cand2"),
+                 ("sc as", "sc2 as"), ("from sc", "from sc2"), ("best as", "best2 as")]:
+        stk_body = stk_body.replace(a, b)
+    stk_body = stk_body.replace("from cand2, st ", "from cand2, st2 ")
+    return (opt + stk_body + "\n"
+            "select 'equal' as method, round(sqrt(avg((target - (p_a + p_b + p_c) / 3) * (target - (p_a + p_b + p_c) / 3))), 6) as rmse, "
+            "round(1e0 / 3, 6) as w_p_a, round(1e0 / 3, 6) as w_p_b, round(1e0 / 3, 6) as w_p_c, 0e0 as intercept "
+            "from preds where is_train\nunion all\n"
+            "select 'optimized', round(sqrt(avg((target - (w0 * p_a + w1 * p_b + w2 * p_c)) * (target - (w0 * p_a + w1 * p_b + w2 * p_c)))), 6), "
+            "round(w0, 6), round(w1, 6), round(w2, 6), 0e0 from preds, best where is_train group by w0, w1, w2\nunion all\n"
+            "select 'stacked', round(sqrt(avg((target - (icpt + w0 * p_a + w1 * p_b + w2 * p_c)) * (target - (icpt + w0 * p_a + w1 * p_b + w2 * p_c)))), 6), "
+            "round(w0, 6), round(w1, 6), round(w2, 6), round(icpt, 6) from preds, best2 where is_train group by w0, w1, w2, icpt")
+
+
+@query("blend_compare", _compare_oracle(), "B4")
 def q_blend_compare(spark, sf):
-    """RMSE of equal, optimised and stacked blends with their weights."""
+    """RMSE of equal, optimised (convex) and stacked (non-negative ridge) blends,
+    with their weights and intercept."""
     df = wide_preds(spark, sf).where("is_train")
-    return B.compare_blends(df, MODELS)
+    return round_doubles(B.compare_blends(df, MODELS), 6)
