@@ -1,10 +1,12 @@
 """Fold-train statistics applied per model fold.
 
 For model fold ``f`` the statistics come from labelled rows with ``fold != f``.
-All ``k`` statistics are filtered aggregates of one scan (``median(when(fold != f, x))``
-ignores the other rows, like ``FILTER (WHERE fold <> f)``), so the data is read
-once per statistic family, never ``k`` times. The result is a one-row table,
-attached by a broadcast equi-join on a constant key.
+Medians: all ``k`` are filtered aggregates of one scan (``median(when(fold != f, x))``
+ignores the other rows, like ``FILTER (WHERE fold <> f)``), computed only for
+columns that contain nulls. Means and standard deviations: one ``groupBy(fold)``
+of per-fold moments, merged on the driver (Chan's pairwise formula) for each
+fold-train set. The data is read once per statistic family, never ``k`` times;
+the ``k x columns`` parameters are applied as literals (or a one-row join).
 
 ``design_by_fold`` emits the per-model-fold view a fold model consumes: every row
 once per model fold with role ``train`` / ``valid`` / ``test`` (k rows per input

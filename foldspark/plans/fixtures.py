@@ -5,6 +5,8 @@
 per panel row. The SQL text is shared by Spark and the DuckDB oracle, so both
 engines see identical inputs. These builders only shape rows into the schema
 the operators expect; all operator work happens in ``foldspark.operators``.
+``panel`` is written once per application as parquet under the session's
+checkpoint directory and read back (``materialize=False`` returns the plain plan).
 """
 from __future__ import annotations
 

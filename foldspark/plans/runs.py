@@ -4,12 +4,17 @@
 fold) is persisted once; each fold's fit is a distributed job over the rows
 outside the fold, and folds run concurrently from a small thread pool (Spark
 schedules the jobs side by side). Nulls are filled with fold-train medians
-(all ``k x features`` medians come from one filtered aggregate). The output is a
+(only columns that contain nulls; all their ``k`` medians come from one filtered
+aggregate). The output is a
 keyed prediction table ``(experiment, id, fold, split, pred)``: ``split='oof'``
 for each labelled row (scored by the model that did not see it) and
 ``split='test'`` for each unlabelled row once per fold model. The table is
 checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) so the lineage of
 k fits is cut before later stages use it.
+
+``ridge_cv`` computes the k-fold ridge (M6) from per-fold sufficient statistics
+instead of k MLlib fits; the MLlib learner ``ridge`` gives the same model up to
+solver tolerance.
 """
 from __future__ import annotations
 
@@ -20,7 +25,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame

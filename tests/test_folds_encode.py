@@ -1,6 +1,5 @@
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from foldspark.operators import encode, folds, groups
 
@@ -17,7 +16,6 @@ def test_balanced_folds_sizes_and_rank(spark):
     sizes = out.fold.value_counts()
     assert sizes.max() - sizes.min() <= 1 and out.id.is_unique
     # equals the global rank of (hash, id)
-    h = folds.hash_folds(df, 1, 42)  # noqa: F841 (hash function consistency is via seeded_key)
     from foldspark.functions.exprs import seeded_key
     hp = df.select("id", seeded_key("id", 42).alias("h")).toPandas().sort_values(["h", "id"])
     hp["expect"] = np.arange(len(hp)) % 5
