@@ -39,12 +39,15 @@ def attach_bounded(df: DataFrame, stats: DataFrame, on, how: str = "left") -> Da
 
 
 def attach_scalar_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row (equi-join on a
-    constant key against a broadcast one-row table; no cartesian product)."""
-    k = "__one"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), on=k, how="left")
-              .drop(k))
+    """Attach the columns of a one-row aggregate to every row as typed literals.
+
+    The aggregate is computed (one small job, its result is one row) and its
+    values are inlined into the projection: no join is planned at all (a join on
+    a constant key would be planned as a nested-loop / cross join)."""
+    row = one_row.first()
+    fields = one_row.schema.fields
+    vals = row.asDict() if row is not None else {f.name: None for f in fields}
+    return df.select("*", *[F.lit(vals[f.name]).cast(f.dataType).alias(f.name) for f in fields])
 
 
 def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:

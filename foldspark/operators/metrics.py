@@ -116,7 +116,8 @@ def error_by_category(df: DataFrame, cat_cols: Sequence[str], y: str = "target",
     spread = per.groupBy("col").agg((F.max("mean_abs") - F.min("mean_abs")).alias("spread"),
                                     F.count(F.lit(1)).alias("n_levels"))
     keep = spread.where((F.col("n_levels") > 1) & (F.col("spread") > min_spread))
-    return (per.join(keep, "col").orderBy("col", F.desc("mean_abs")))
+    # one row per analysed column: bounded by len(cat_cols)
+    return (per.join(F.broadcast(keep), "col").orderBy("col", F.desc("mean_abs")))
 
 
 def error_by_missing(df: DataFrame, cols: Sequence[str], y: str = "target", p: str = "pred") -> DataFrame:
@@ -179,10 +180,11 @@ def box_stats(df: DataFrame, group: Column, value: Column, exact: bool = True) -
                              _q(F.col("v"), 0.75, exact).alias("q3"), F.count(F.lit(1)).alias("n"))
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
-    j = attach(x, q.select("grp", "lo_fence", "hi_fence"), on="grp")   # one row per group, size-checked
-    w = j.groupBy("grp").agg(F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("lo_in"),
-                             F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("hi_in"))
-    out = q.join(w, "grp")
+    j = attach(x, q, on="grp")                      # one row per group, size-checked
+    out = j.groupBy("grp").agg(
+        F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("lo_in"),
+        F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("hi_in"),
+        *[F.first(c).alias(c) for c in ("n", "q1", "med", "q3")])
     return out.select("grp", "n", "q1", "med", "q3",
                       F.when(F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1")), F.col("q1"))
                        .otherwise(F.col("lo_in")).alias("whislo"),
