@@ -35,6 +35,21 @@ def fold_medians(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fo
                     for c in cols for f in range(k)])
 
 
+EXACT_QUANTILE_MAX_ROWS = 10_000_000
+
+
+def null_columns_and_rows(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], int]:
+    """Columns holding at least one null, and the row count (one aggregate)."""
+    row = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    return [c for c in cols if row[c] > 0], int(row["__n"])
+
+
+def resolve_exact(exact: bool | None, n_rows: int) -> bool:
+    """``exact=None``: exact quantiles up to ``EXACT_QUANTILE_MAX_ROWS`` rows, else
+    ``percentile_approx`` (bounded memory per group instead of a value->count map)."""
+    return n_rows <= EXACT_QUANTILE_MAX_ROWS if exact is None else exact
+
+
 def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns that hold at least one null (one aggregate of ``len(cols)`` counts).
     The source fills only such columns; medians of the others are never used."""

@@ -158,7 +158,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
            seed: int = 42, experiment: str | None = None, extra_train: DataFrame | None = None,
            label_fn: Callable[[Column], Column] | None = None,
            inverse_fn: Callable[[Column], Column] | None = None,
-           parallel: int | None = None, exact_medians: bool = True) -> CVResult:
+           parallel: int | None = None, exact_medians: bool | None = None) -> CVResult:
     """M11 (+ M12 with ``extra_train`` rows ``(id, label, model_fold, features...)``,
     M13 with ``label_fn`` / ``inverse_fn``)."""
     spark = df.sparkSession
@@ -168,8 +168,9 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
     # reliable checkpoint: the fold jobs then plan against a plain scan of the
     # prepared table instead of re-optimising the whole upstream plan k times
     base = _prepare(df, features, target, fold_col, train_col, id_col, label_fn).checkpoint(eager=True)
-    need = foldstats.columns_with_nulls(base, features)
-    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact_medians).first() if need else {}
+    need, n_rows = foldstats.null_columns_and_rows(base.where(F.col("__train")), features)
+    exact = foldstats.resolve_exact(exact_medians, n_rows)
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first() if need else {}
     extra = None
     if extra_train is not None:
         extra = extra_train.select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"),
@@ -335,7 +336,7 @@ def _moment_sums(pdf_iter, features: list, q_idx: list, shift: np.ndarray):
 
 def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, target: str = "target",
              k: int = 5, fold_col: str = "fold", train_col: str = "is_train", id_col: str = "id",
-             experiment: str = "ridge", exact_medians: bool = True) -> CVResult:
+             experiment: str = "ridge", exact_medians: bool | None = None) -> CVResult:
     """M6 + M11 by sufficient statistics: ridge (with intercept) on columns filled with
     fold-train medians and standardised with fold-train mean / population std,
     one model per fold, exactly as a per-fold fit would compute it.
@@ -353,12 +354,13 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     # and scoring is one projection with literal coefficients (no model lineage)
     base = _prepare(df, features, target, fold_col, train_col, id_col, None)
     tr = base.where(F.col("__train"))
-    stats = tr.agg(*[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in features],
+    stats = tr.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in features],
                    *[F.avg(c).alias(f"a_{c}") for c in features]).first()
     need = [c for c in features if stats[f"z_{c}"] > 0]
     q_idx = [features.index(c) for c in need]
     shift = np.array([stats[f"a_{c}"] or 0.0 for c in features])
-    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact_medians).first().asDict() \
+    exact = foldstats.resolve_exact(exact_medians, int(stats["__n"]))
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first().asDict() \
         if need else {}
     width = 1 + (p + len(need)) + 2 + (p + len(need)) ** 2 + (p + len(need))
     parts = tr.select("__fold", *features, "label").mapInPandas(

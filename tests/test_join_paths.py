@@ -45,3 +45,26 @@ def test_distributed_rank_equals_sorted_rank(spark):
         exp = {lv: i for i, lv in enumerate(sorted(set(pdf[c])))}
         g = got[got.col == c]
         assert len(g) == len(exp) and all(exp[lv] == code for lv, code in zip(g.level, g.code))
+
+
+def test_hot_level_shuffle_path(spark, monkeypatch):
+    """One level holds a third of the rows; forced shuffle-join path still equals the k-pass loop."""
+    rng = np.random.default_rng(11)
+    n = 900
+    c = np.where(np.arange(n) % 3 == 0, "hot", rng.choice(["a", "b", "c", "d"], n))
+    pdf = pd.DataFrame({"id": np.arange(n), "c": c, "target": rng.normal(5, 2, n), "is_train": True})
+    df = folds.hash_folds(spark.createDataFrame(pdf), 5, 42)
+    monkeypatch.setattr(joins, "LITERAL_MAX_ROWS", 0)
+    monkeypatch.setattr(joins, "DEFAULT_MAX_BROADCAST_ROWS", 0)
+    out = encode.target_encode(df, ["c"]).toPandas().sort_values("id").reset_index(drop=True)
+    gm = out.target.mean()
+    for f in range(5):
+        fit = out[out.fold != f]
+        st = fit.groupby("c").target.agg(["sum", "count"])
+        va = out[out.fold == f]
+        exp = va.c.map((st["sum"] + 10 * gm) / (st["count"] + 10)).fillna(gm)
+        assert np.allclose(va.fe_te_c.values, exp.values)
+    sf = folds.stratified_folds(df.withColumn("cls", (df.c == "hot").cast("int")), "cls", 5, 1).toPandas()
+    for _, g in sf.groupby("cls"):
+        s = g.fold.value_counts()
+        assert s.max() - s.min() <= 1
