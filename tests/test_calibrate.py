@@ -95,3 +95,34 @@ def test_pseudo_union_never_validates_pseudo(spark):
     assert (tr.model_fold.values != own.loc[tr.id].values).all()
     ps = u[u.source == "pseudo"]
     assert ps.label.between(4, 7).all() and (ps.groupby("id").size() == 5).all()
+
+
+def _pav(x, y):
+    """Weighted PAV on unique sorted x (ties pooled), then linear interpolation."""
+    order = np.argsort(x, kind="mergesort")
+    xs, ys = x[order], y[order]
+    ux, inv = np.unique(xs, return_inverse=True)
+    wy = np.bincount(inv, weights=ys)
+    w = np.bincount(inv).astype(float)
+    vals, wts, cnt = [], [], []
+    for v, ww in zip(wy / w, w):
+        vals.append(v)
+        wts.append(ww)
+        cnt.append(1)
+        while len(vals) > 1 and vals[-2] > vals[-1]:
+            v2, w2, c2 = vals.pop(), wts.pop(), cnt.pop()
+            vals[-1] = (vals[-1] * wts[-1] + v2 * w2) / (wts[-1] + w2)
+            wts[-1] += w2
+            cnt[-1] += c2
+    fitted = np.repeat(vals, cnt)
+    return lambda q: np.interp(q, ux, fitted)
+
+
+def test_isotonic_matches_pav(spark):
+    df, pdf = _data(spark, seed=5)
+    pdf = pdf.assign(pred=np.round(pdf.pred, 2))                  # create ties
+    df2 = spark.createDataFrame(pdf[["id", "target", "pred", "is_train", "fold"]])
+    out = C.calibrate_isotonic(df2, fold_safe=False).toPandas().sort_values("id")
+    tr = pdf[pdf.is_train]
+    f = _pav(tr.pred.values, tr.target.values)
+    assert np.allclose(out.calibrated.values, np.clip(f(pdf.sort_values("id").pred.values), 0, 10), atol=1e-9)
