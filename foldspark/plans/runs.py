@@ -116,19 +116,30 @@ def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, exp
         over["validationIndicatorCol"] = "__val"
     est = lrn.estimator(seed, **over)
     model = est.fit(assembler.transform(fit))
+    truncated = None
     if lrn.early_stop:
-        # Loss after each iteration on the valid fold, refit at the best count
+        # Loss after each boosting round on the valid fold; the model is cut at
+        # the best round: prediction = sum of the first `best` weighted trees (the
+        # same trees a refit with that round count would grow)
         valid = assembler.transform(score.where(F.col("__train")))
         losses = model.evaluateEachIteration(valid, "squared")
         best = int(np.argmin(losses)) + 1
         best_iters[f] = best
-        if best < est.getMaxIter():
-            model = lrn.estimator(seed, **{**over, "maxIter": best}).fit(assembler.transform(fit))
-    if hasattr(model, "featureImportances"):
+        if best < len(model.trees):
+            truncated = (model.trees[:best], model.treeWeights[:best])
+    if hasattr(model, "featureImportances") and truncated is None:
         imp = model.featureImportances.toArray()
         importances.extend((f, c, float(v)) for c, v in zip(features, imp))
-    out = model.transform(assembler.transform(score))
-    pred = _ev(F.col("probability")) if lrn.kind == "classifier_ev" else F.col("prediction")
+    if truncated is None:
+        out = model.transform(assembler.transform(score))
+        pred = _ev(F.col("probability")) if lrn.kind == "classifier_ev" else F.col("prediction")
+    else:
+        out = assembler.transform(score)
+        terms = []
+        for i, (tree, w) in enumerate(zip(*truncated)):
+            out = tree.copy().setPredictionCol(f"__t{i}").transform(out)
+            terms.append(F.lit(float(w)) * F.col(f"__t{i}"))
+        pred = sum(terms[1:], terms[0])
     if inverse_fn is not None:
         pred = inverse_fn(pred)
     return out.select(F.lit(experiment).alias("experiment"), "id", F.lit(f).alias("fold"),

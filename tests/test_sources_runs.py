@@ -131,3 +131,26 @@ def test_impute_chained_fills_only_missing(spark):
     assert out.b.notna().all()
     assert np.allclose(out.b.values[~miss], pdf.b.values[~miss])
     assert np.abs(out.b.values[miss] - 2 * x[miss]).max() < 0.5
+
+
+def test_early_stop_truncation_equals_refit(spark, sf):
+    """The model cut at the best round predicts exactly like a refit with that many rounds."""
+    from pyspark.ml.feature import VectorAssembler
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    feats = ["age", "steps", "work_hours", "screen_min", "nap_min", "resting_bpm"]   # no nulls
+    mf = Q.model_frame(spark, sf)
+    lrn = learner("gbt_leafwise", maxIter=10, subsamplingRate=1.0, featureSubsetStrategy="all")
+    lrn.early_stop = True
+    res = runs.run_cv(mf, feats, lrn)
+    oof = res.oof().toPandas().set_index("id").sort_index()
+    f = next((k for k, b in res.best_iters.items() if b < 10), None)
+    if f is None:
+        pytest.skip("no fold stopped early on this data")
+    asm = VectorAssembler(inputCols=feats, outputCol="features")
+    x = mf.select("id", "is_train", "fold", F.col("target").alias("label"), *[F.col(c).cast("double") for c in feats])
+    m = learner("gbt_leafwise", maxIter=res.best_iters[f], subsamplingRate=1.0,
+                featureSubsetStrategy="all").estimator(42).fit(asm.transform(x.where(f"is_train and fold != {f}")))
+    pr = m.transform(asm.transform(x.where(f"is_train and fold = {f}"))).select("id", "prediction").toPandas()
+    pr = pr.set_index("id").sort_index()
+    assert np.allclose(pr.prediction.values, oof.loc[pr.index, "pred"].values, atol=1e-12)
