@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
+from foldspark.functions import quantiles as Q
 from foldspark.operators.joins import lookup
 
 # Default binding of roles to the panel's columns.
@@ -153,7 +154,7 @@ def composite_category(cols: Sequence[str], missing: str = "MISSING", sep: str =
 
 
 def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
-                   split_col: str = "is_train", exact: bool = True) -> DataFrame:
+                   split_col: str = "is_train", exact: bool | None = None) -> DataFrame:
     """Add ``__median_<c>`` columns.
 
     scope="split": median of the row's own split (the source computes train
@@ -165,10 +166,10 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
     cols = list(dict.fromkeys(cols))
     if not cols:
         return df
+    exact = Q.decide(df, exact)
 
     def agg(c):
-        v = F.col(c).cast("double")
-        return (F.median(v) if exact else F.percentile_approx(v, 0.5, 10000)).alias(median_col(c))
+        return Q.median(F.col(c).cast("double"), exact).alias(median_col(c))
 
     if scope == "split":
         rows = df.groupBy(split_col).agg(*[agg(c) for c in cols]).collect()
@@ -185,7 +186,7 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
 
 def apply(df: DataFrame, features: Sequence[Feature], roles: dict | None = None,
           median_scope: str = "split", split_col: str = "is_train",
-          exact: bool = True, keep: bool = True) -> DataFrame:
+          exact: bool | None = None, keep: bool = True) -> DataFrame:
     """Evaluate features in one projection (``keep``: also keep input columns)."""
     ctx = Ctx({**DEFAULT_ROLES, **(roles or {})})
     need = [ctx.name(r) for f in features for r in f.medians]

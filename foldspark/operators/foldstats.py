@@ -20,22 +20,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.functions import quantiles as Q
 from foldspark.operators.joins import attach_scalar_row
 
 
 def _med(c: Column, exact: bool) -> Column:
-    return F.median(c) if exact else F.percentile_approx(c, 0.5, 10000)
+    return Q.median(c, exact)
 
 
 def fold_medians(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fold",
-                 train_col: str = "is_train", exact: bool = True) -> DataFrame:
+                 train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
     """One row: ``med_<c>_<f>`` = median of ``c`` over labelled rows outside fold f."""
     tr = df.where(F.col(train_col))
+    exact = Q.decide(tr, exact)
     return tr.agg(*[_med(F.when(F.col(fold_col) != f, F.col(c).cast("double")), exact).alias(f"med_{c}_{f}")
                     for c in cols for f in range(k)])
 
 
-EXACT_QUANTILE_MAX_ROWS = 10_000_000
+EXACT_QUANTILE_MAX_ROWS = Q.EXACT_MAX_ROWS
 
 
 def null_columns_and_rows(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], int]:
@@ -44,10 +46,17 @@ def null_columns_and_rows(df: DataFrame, cols: Sequence[str]) -> tuple[list[str]
     return [c for c in cols if row[c] > 0], int(row["__n"])
 
 
-def resolve_exact(exact: bool | None, n_rows: int) -> bool:
+def resolve_exact(exact: bool | None, n_rows: int, df: DataFrame | None = None) -> bool:
     """``exact=None``: exact quantiles up to ``EXACT_QUANTILE_MAX_ROWS`` rows, else
-    ``percentile_approx`` (bounded memory per group instead of a value->count map)."""
-    return n_rows <= EXACT_QUANTILE_MAX_ROWS if exact is None else exact
+    ``percentile_approx`` (bounded memory per group instead of a value->count map);
+    the session setting ``foldspark.exactQuantiles`` overrides."""
+    if exact is not None:
+        return exact
+    if df is not None:
+        mode = df.sparkSession.conf.get("foldspark.exactQuantiles", "auto").lower()
+        if mode in ("true", "false"):
+            return mode == "true"
+    return n_rows <= EXACT_QUANTILE_MAX_ROWS
 
 
 def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -73,7 +82,7 @@ def design_by_fold(df: DataFrame, k: int, fold_col: str = "fold", train_col: str
 
 
 def fold_median_fill(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
-                     train_col: str = "is_train", exact: bool = True) -> DataFrame:
+                     train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
     """P10: per model fold, nulls filled with the fold-train median (only columns
     that contain nulls need medians)."""
     need = columns_with_nulls(df, cols)
@@ -137,7 +146,7 @@ def fold_train_moments(df: DataFrame, cols: Sequence[str], k: int, meds: dict, f
 
 
 def fold_standardize(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
-                     train_col: str = "is_train", exact: bool = True) -> DataFrame:
+                     train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
     """P10 then P11: fill with fold-train medians, then scale with the fold-train
     mean and population std of the filled values (std 0 -> scale 1). Statistics:
     one filtered-median aggregate (columns with nulls only) and one ``groupBy(fold)``;

@@ -4,7 +4,7 @@ Every report is one or two aggregates. Repeated per-column reports stack the
 columns into long form once and run a single ``groupBy`` (one scan instead of
 one per column). Exact quantiles (``percentile``) match numpy's linear rule;
 pass ``exact=False`` for ``percentile_approx`` (bounded memory per group) on
-large data.
+large data. ``exact=None`` (default) decides by input size (``functions.quantiles``).
 """
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
+from foldspark.functions import quantiles as Q
 from foldspark.operators.joins import attach, attach_scalar_row
 
 # Fixed values of the source's error analysis.
@@ -23,7 +24,7 @@ BIG_ERROR = 2.0
 
 
 def _q(c: Column, q, exact: bool) -> Column:
-    return F.percentile(c, q) if exact else F.percentile_approx(c, q, 10000)
+    return Q.percentile(c, q, exact)
 
 
 def err(y: str = "target", p: str = "pred") -> Column:
@@ -62,8 +63,9 @@ def r2(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = ()
 
 
 def error_summary(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = (),
-                  exact: bool = True) -> DataFrame:
+                  exact: bool | None = None) -> DataFrame:
     """G6 + P15: RMSE, MAE, median/max |e|, population std of e, bias, big-error count/share."""
+    exact = Q.decide(df, exact)
     e = err(y, p)
     a = F.abs(e)
     return df.groupBy(*by).agg(
@@ -74,8 +76,9 @@ def error_summary(df: DataFrame, y: str = "target", p: str = "pred", by: Sequenc
 
 
 def error_quantiles(df: DataFrame, y: str = "target", p: str = "pred", qs=ABS_ERROR_QUANTILES,
-                    by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+                    by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
     """Quantiles of |e|, one column per quantile."""
+    exact = Q.decide(df, exact)
     a = F.abs(err(y, p))
     return df.groupBy(*by).agg(*[_q(a, q, exact).alias(f"q{int(round(q * 100))}") for q in qs])
 
@@ -86,8 +89,9 @@ def target_bin(y: str = "target", edges=TARGET_BIN_EDGES) -> Column:
 
 
 def error_by_target_bin(df: DataFrame, y: str = "target", p: str = "pred", edges=TARGET_BIN_EDGES,
-                        by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+                        by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
     """|e| mean/median/count and e mean/median per target bin (empty bins absent)."""
+    exact = Q.decide(df, exact)
     e = err(y, p)
     x = df.select(*by, target_bin(y, edges).alias("bin"), e.alias("e"))
     lo = F.element_at(F.array(*[F.lit(float(v)) for v in edges[:-1]]), F.col("bin") + 1)
@@ -172,8 +176,9 @@ def histogram(df: DataFrame, value: Column, bins: int = 80) -> DataFrame:
                      (F.col("vmin") + (F.col("vmax") - F.col("vmin")) * (F.col("bin") + 1) / bins).alias("hi")))
 
 
-def box_stats(df: DataFrame, group: Column, value: Column, exact: bool = True) -> DataFrame:
+def box_stats(df: DataFrame, group: Column, value: Column, exact: bool | None = None) -> DataFrame:
     """Quartiles and whiskers (extreme values within 1.5 IQR; fall back to the quartile)."""
+    exact = Q.decide(df, exact)
     x = df.select(group.alias("grp"), value.cast("double").alias("v")).where(
         F.col("grp").isNotNull() & F.col("v").isNotNull())
     q = x.groupBy("grp").agg(_q(F.col("v"), 0.25, exact).alias("q1"), _q(F.col("v"), 0.5, exact).alias("med"),

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
+from foldspark.functions import quantiles as Q
 from foldspark.operators import foldstats, metrics as M
 from foldspark.plans.models import Learner
 from foldspark.session import ensure_checkpoint_dir
@@ -180,7 +181,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
     # prepared table instead of re-optimising the whole upstream plan k times
     base = _prepare(df, features, target, fold_col, train_col, id_col, label_fn).checkpoint(eager=True)
     need, n_rows = foldstats.null_columns_and_rows(base.where(F.col("__train")), features)
-    exact = foldstats.resolve_exact(exact_medians, n_rows)
+    exact = foldstats.resolve_exact(exact_medians, n_rows, base)
     meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first() if need else {}
     extra = None
     if extra_train is not None:
@@ -229,7 +230,8 @@ def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], l
                                   smoothing)
         x = _prepare(xf, features, target, fold_col, train_col, id_col, None)
         fit_rows = x.where(F.col("__train") & (F.col("__fold") != f))
-        meds = fit_rows.agg(*[F.median(c).alias(c) for c in features]).first()
+        exact = Q.decide(fit_rows, None)
+        meds = fit_rows.agg(*[Q.median(F.col(c), exact).alias(c) for c in features]).first()
         x = x.select("id", "__train", "__fold", "label",
                      *[F.coalesce(F.col(c), _lit(meds[c])).alias(c) for c in features])
         return _fit_fold(f, x, features, lrn, seed, experiment, None, None, importances, best_iters)
@@ -370,7 +372,7 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     need = [c for c in features if stats[f"z_{c}"] > 0]
     q_idx = [features.index(c) for c in need]
     shift = np.array([stats[f"a_{c}"] or 0.0 for c in features])
-    exact = foldstats.resolve_exact(exact_medians, int(stats["__n"]))
+    exact = foldstats.resolve_exact(exact_medians, int(stats["__n"]), base)
     meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first().asDict() \
         if need else {}
     width = 1 + (p + len(need)) + 2 + (p + len(need)) ** 2 + (p + len(need))

@@ -128,3 +128,18 @@ def test_weighted_mean_long_and_fallback(spark):
     assert np.isclose(out.blend, 10.0) and out.blend_clipped == 1
     cov = B.coverage_check(long.select("id"), spark.createDataFrame([(1,), (3,)], "id long")).first()
     assert (cov.only_left, cov.only_right) == (1, 1)
+
+
+def test_approximate_quantile_path(spark):
+    """With foldspark.exactQuantiles=false the operators use percentile_approx (bounded sketch)."""
+    pdf, df = _errs(spark, 2000, 9)
+    exact = M.error_quantiles(df).first()
+    spark.conf.set("foldspark.exactQuantiles", "false")
+    try:
+        approx = M.error_quantiles(df).first()
+        plan = M.error_quantiles(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("foldspark.exactQuantiles")
+    assert "percentile_approx" in plan or "approx_percentile" in plan
+    for c in ("q50", "q75", "q90"):
+        assert abs(approx[c] - exact[c]) < 0.05
