@@ -131,3 +131,13 @@ def test_feature_and_numeric_columns(spark):
     assert "id" not in feats and "target" not in feats and feats[0] == "is_train"
     nums = clean.numeric_columns(df, exclude=["id"], skip_tinyint=True)
     assert "flag" not in nums and "age" in nums and "gender" not in nums
+
+
+def test_alias_dictionary_as_table_and_lookup(spark):
+    from foldspark.operators import encode
+    aliases = spark.createDataFrame([("Spain", "ES"), ("Sweden", "SE")], "a string, b string")
+    got = {r.id: r.country for r in clean.normalize_aliases(_toy(spark), "country", aliases).collect()}
+    assert got == {1: "ES", 2: "SE", 3: "Mars", 4: "ES", 5: None}
+    mapping = spark.createDataFrame([("M", 1.5), ("F", 2.5)], "k string, v double")
+    out = {r.id: r.g for r in encode.dictionary_lookup(_toy(spark), "gender", mapping, F.lit(-1.0), "g").collect()}
+    assert out == {1: 1.5, 2: 2.5, 3: -1.0, 4: 1.5, 5: 2.5}
