@@ -10,6 +10,7 @@ its cost is reported as ``fixture_sec``. Prints one JSON line.
 """
 from __future__ import annotations
 
+import gc
 import json
 import os
 import sys
@@ -63,6 +64,9 @@ def main() -> None:
     fixture_sec = round(time.perf_counter() - t0, 3)
     times = {}
     for n in names:
+        # queries are independent: drop tables persisted by the previous one
+        spark.catalog.clearCache()
+        gc.collect()
         t0 = time.perf_counter()
         reg[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
