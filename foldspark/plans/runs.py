@@ -324,29 +324,6 @@ def random_search(df: DataFrame, features: Sequence[str], base: Learner, space:
 
 # ---- M6 by sufficient statistics -------------------------------------------------------
 
-def _moment_sums(pdf_iter, features: list, q_idx: list, shift: np.ndarray):
-    """Per partition and fold: n, sum u, sum y, sum y^2, U'U, U'y with u = [x - shift (nulls 0), null flags]."""
-    import pandas as pd
-    q = len(q_idx)
-    for pdf in pdf_iter:
-        if pdf.empty:
-            continue
-        X = pdf[features].to_numpy(dtype=float)          # Arrow turns nulls into NaN
-        y = pdf["label"].to_numpy(dtype=float)
-        M = np.isnan(X[:, q_idx]).astype(float) if q else np.zeros((len(X), 0))
-        X0 = np.where(np.isnan(X), 0.0, X - shift)
-        U = np.hstack([X0, M])
-        out_f, out_v = [], []
-        for f in np.unique(pdf["__fold"].to_numpy()):
-            sel = pdf["__fold"].to_numpy() == f
-            Uf, yf = U[sel], y[sel]
-            v = np.concatenate([[sel.sum()], Uf.sum(0), [yf.sum(), (yf * yf).sum()],
-                                (Uf.T @ Uf).ravel(), Uf.T @ yf])
-            out_f.append(int(f))
-            out_v.append(v.tolist())
-        yield pd.DataFrame({"fold": out_f, "v": out_v})
-
-
 def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, target: str = "target",
              k: int = 5, fold_col: str = "fold", train_col: str = "is_train", id_col: str = "id",
              experiment: str = "ridge", exact_medians: bool | None = None) -> CVResult:
@@ -376,8 +353,31 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first().asDict() \
         if need else {}
     width = 1 + (p + len(need)) + 2 + (p + len(need)) ** 2 + (p + len(need))
-    parts = tr.select("__fold", *features, "label").mapInPandas(
-        lambda it: _moment_sums(it, features, q_idx, shift), "fold int, v array<double>")
+    def moment_sums(pdf_iter):
+        """Per partition and fold: n, sum u, sum y, sum y^2, U'U, U'y with
+        u = [x - shift (nulls as 0), null flags]. Defined here so it is shipped
+        by value (numpy / pandas only), not imported on the executors."""
+        import numpy as _np
+        import pandas as _pd
+        for pdf in pdf_iter:
+            if pdf.empty:
+                continue
+            X = pdf[features].to_numpy(dtype=float)          # Arrow turns nulls into NaN
+            y = pdf["label"].to_numpy(dtype=float)
+            M = _np.isnan(X[:, q_idx]).astype(float) if q_idx else _np.zeros((len(X), 0))
+            U = _np.hstack([_np.where(_np.isnan(X), 0.0, X - shift), M])
+            folds_ = pdf["__fold"].to_numpy()
+            out_f, out_v = [], []
+            for f in _np.unique(folds_):
+                sel = folds_ == f
+                Uf, yf = U[sel], y[sel]
+                v = _np.concatenate([[sel.sum()], Uf.sum(0), [yf.sum(), (yf * yf).sum()],
+                                     (Uf.T @ Uf).ravel(), Uf.T @ yf])
+                out_f.append(int(f))
+                out_v.append(v.tolist())
+            yield _pd.DataFrame({"fold": out_f, "v": out_v})
+
+    parts = tr.select("__fold", *features, "label").mapInPandas(moment_sums, "fold int, v array<double>")
     sums = (parts.select("fold", F.posexplode("v").alias("i", "x")).groupBy("fold", "i").agg(F.sum("x").alias("x"))
                  .collect())
     per = {}
