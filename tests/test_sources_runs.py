@@ -154,3 +154,18 @@ def test_early_stop_truncation_equals_refit(spark, sf):
     pr = m.transform(asm.transform(x.where(f"is_train and fold = {f}"))).select("id", "prediction").toPandas()
     pr = pr.set_index("id").sort_index()
     assert np.allclose(pr.prediction.values, oof.loc[pr.index, "pred"].values, atol=1e-12)
+
+
+def test_load_and_clean_train_test(spark, tmp_path):
+    tr = tmp_path / "train.csv"
+    te = tmp_path / "test.csv"
+    tr.write_text("id,country,x,target\n1,Spain,1.5,3.0\n2,NA,nan,4.0\n")
+    te.write_text("id,country,x\n3,Sweden,2.0\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("country", T.StringType()),
+                           T.StructField("x", T.DoubleType()), T.StructField("target", T.DoubleType())])
+    from foldspark.operators.clean import COUNTRY_ALIASES
+    df = CSV.load_and_clean(spark, str(tr), str(te), schema, "target", "country", COUNTRY_ALIASES)
+    rows = {r.id: r for r in df.collect()}
+    assert rows[1].country == "Ispanya" and rows[1].is_train and rows[1].target == 3.0
+    assert rows[2].country is None and rows[2].x is None
+    assert rows[3].country == "Isvec" and not rows[3].is_train and rows[3].target is None
