@@ -21,7 +21,7 @@ class Learner:
     params: dict = field(default_factory=dict)
     scale: bool = False                  # P11 standardisation before fitting
     ridge_alpha: float | None = None     # M6: regParam derived from the fold data
-    early_stop: bool = False             # M10: best iteration on the valid fold, then refit
+    early_stop: bool = False             # M10: cut the booster at its best round on the valid fold
     kind: str = "regressor"              # or "classifier_ev" (M7)
 
     def estimator(self, seed: int, **over):

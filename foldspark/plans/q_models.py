@@ -51,7 +51,7 @@ def q_cv_ridge(spark, sf):
 
 @query("cv_gbt", None, "M1, M10, M11")
 def q_cv_gbt(spark, sf):
-    """M1 + M10: boosted trees with the best iteration chosen on the valid fold, then refit."""
+    """M1 + M10: boosted trees cut at the round with the lowest loss on the valid fold."""
     lrn = learner("gbt_leafwise")
     lrn.early_stop = True
     return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, lrn, experiment="gbt_leafwise"))
