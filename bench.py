@@ -64,9 +64,12 @@ def main() -> None:
     fixture_sec = round(time.perf_counter() - t0, 3)
     times = {}
     for n in names:
-        # queries are independent: drop tables persisted by the previous one
+        # queries are independent: drop tables persisted by the previous one and let
+        # the context cleaner release its shuffle files and broadcasts (it acts on
+        # JVM garbage collection of unreferenced plans)
         spark.catalog.clearCache()
         gc.collect()
+        spark.sparkContext._jvm.java.lang.System.gc()
         t0 = time.perf_counter()
         reg[n].build(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)

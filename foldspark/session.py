@@ -23,6 +23,9 @@ _LOCAL_DEFAULTS = {
     # wide feature projections generate very large methods; above 8000 bytes of
     # bytecode the JVM does not JIT-compile them, so let such stages fall back
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # many small MLlib jobs leave shuffle files and broadcasts behind; the context
+    # cleaner frees them after a JVM GC, which by default is forced only every 30 min
+    "spark.cleaner.periodicGC.interval": "2min",
 }
 
 
