@@ -169,3 +169,21 @@ def test_load_and_clean_train_test(spark, tmp_path):
     assert rows[1].country == "Ispanya" and rows[1].is_train and rows[1].target == 3.0
     assert rows[2].country is None and rows[2].x is None
     assert rows[3].country == "Isvec" and not rows[3].is_train and rows[3].target is None
+
+
+def test_category_runner_is_leak_safe(spark, sf):
+    """M3: fold f's predictions do not move when the targets of fold f's rows change
+    (neither the fit nor the fold-internal encodings see them)."""
+    from foldspark.plans import fixtures as FX
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    mf = Q.model_frame(spark, sf)
+    lrn = learner("gbt_depthwise", maxIter=5)
+    num = ["age", "stress", "bmi", "steps"]
+    a = runs.run_cv_encoded(mf, num, FX.PANEL_CATEGORIES, lrn).oof().toPandas().set_index("id").sort_index()
+    shifted = mf.withColumn("target", F.when(F.col("is_train") & (F.col("fold") == 2), F.col("target") + 3.0)
+                            .otherwise(F.col("target")))
+    b = runs.run_cv_encoded(shifted, num, FX.PANEL_CATEGORIES, lrn).oof().toPandas().set_index("id").sort_index()
+    f2 = a.fold == 2
+    assert np.allclose(a.pred[f2].values, b.pred[f2].values, atol=1e-12)
+    assert not np.allclose(a.pred[~f2].values, b.pred[~f2].values)
