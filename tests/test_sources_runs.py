@@ -187,3 +187,18 @@ def test_category_runner_is_leak_safe(spark, sf):
     f2 = a.fold == 2
     assert np.allclose(a.pred[f2].values, b.pred[f2].values, atol=1e-12)
     assert not np.allclose(a.pred[~f2].values, b.pred[~f2].values)
+
+
+def test_kfold_runner_is_leak_safe(spark, sf):
+    """Fold f's out-of-fold predictions ignore fold f's targets."""
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    mf = Q.model_frame(spark, sf)
+    lrn = learner("forest", numTrees=5, maxDepth=4)
+    a = runs.run_cv(mf, Q.FEATURES, lrn).oof().toPandas().set_index("id").sort_index()
+    shifted = mf.withColumn("target", F.when(F.col("is_train") & (F.col("fold") == 1), F.col("target") * 0.5)
+                            .otherwise(F.col("target")))
+    b = runs.run_cv(shifted, Q.FEATURES, lrn).oof().toPandas().set_index("id").sort_index()
+    f1 = a.fold == 1
+    assert np.allclose(a.pred[f1].values, b.pred[f1].values, atol=1e-12)
+    assert not np.allclose(a.pred[~f1].values, b.pred[~f1].values)
