@@ -34,6 +34,8 @@ from foldspark.llm.common import stored
 SAMPLE_ROWS = 10_000
 #: Features kept for lexicons and classifier; lexicon voters.
 FEATURES, LEXICONS = 4000, 16
+#: A feature marks a class if its log odds ratio is so large and so many standard errors from 0.
+MIN_ODDS, MIN_Z = 2.5, 2.5
 STEMS = (4, 5)
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
@@ -83,7 +85,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def learn_features(rows: DataFrame, most: int = FEATURES) -> dict[str, float]:
-    """Features with the clearest preference for a class: feature -> log odds, at most ``most``."""
+    """Features that mark toxic rows: feature -> log odds ratio, the ``most`` clearest.
+
+    Common words that merely lean to a class are left out: in a long text their
+    small weights would add up.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by = {0: Counter(), 1: Counter()}
@@ -100,8 +106,8 @@ def learn_features(rows: DataFrame, most: int = FEATURES) -> dict[str, float]:
         F.sum("clean").alias("c0"), F.sum("toxic").alias("c1")).where("c0 + c1 >= 5")
     odds = F.log((F.col("c1") + 0.5) / (n1 - F.col("c1") + 0.5)) - F.log((F.col("c0") + 0.5) / (n0 - F.col("c0") + 0.5))
     spread = F.sqrt(1 / (F.col("c1") + 0.5) + 1 / (F.col("c0") + 0.5))
-    top = df.select("feature", odds.alias("odds"), (odds / spread).alias("z")).orderBy(
-        F.abs("z").desc(), "feature").limit(most).collect()
+    top = df.select("feature", odds.alias("odds"), (odds / spread).alias("z")).where(
+        (F.col("odds") >= MIN_ODDS) & (F.col("z") >= MIN_Z)).orderBy(F.col("z").desc(), "feature").limit(most).collect()
     return {r.feature: r.odds for r in top}
 
 
@@ -109,7 +115,7 @@ class Voters:
     """Lexicon and pattern voters. Each fires or abstains; a text's votes are a bit mask."""
 
     def __init__(self, odds: dict[str, float], lexicons: int = LEXICONS) -> None:
-        marked = sorted(f for f, o in odds.items() if o > 2.0)
+        marked = sorted(odds)
         self.bit = {f: zlib.crc32(f.encode()) % lexicons for f in marked}
         self.size = lexicons + len(PATTERNS)
         self.first = lexicons
