@@ -7,9 +7,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foldspark.llm import mixing, ppm_langid, token_count, toxicity, url_filter, warc
+from foldspark.llm import (decontaminate, itq_dedup, jaccard_join, mixing, ppm_langid, span_dedup, token_count,
+                           toxicity, url_filter, warc)
 from foldspark.llm.common import shared_path
 from foldspark.sources.tables import table
 
@@ -98,6 +98,24 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.page_edges(pages), url_filter.rules_frame(spark))
 
 
+@register()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register()
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that loses repeated sentences, with its new text and the documents that keep them."""
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+
+
+@register()
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under Jaccard similarity 0.8 of word shingles."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @register()
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under piece_bpe_32k.model."""
@@ -147,3 +165,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return ppm_langid.identify(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -81,7 +81,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     picked = known.withColumn("rate", rate).where(
         F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(
-        F.broadcast(picked), "doc_id").select("text", "toxic", (1 / F.col("rate")).alias("weight"))
+        F.broadcast(picked), "doc_id").select("text", "toxic", F.try_divide(F.lit(1.0), "rate").alias("weight"))
 
 
 def learn_features(rows: DataFrame, most: int = FEATURES) -> dict[str, float]:
