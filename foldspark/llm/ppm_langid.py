@@ -152,23 +152,28 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER)
     return Trees(langs, counts, order)
 
 
-def predict(docs: DataFrame, trees: Trees) -> DataFrame:
+def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` for each row of ``docs`` (``doc_id, text``).
 
     ``score`` is the winner's posterior probability under equal priors, from the exact
     code lengths; equal code lengths go to the first language by name. Null text and
     text without any letter: ``und`` with score 0, as is every text when no language was learned.
     Rows stay as they come, repeated and null doc_ids too; other columns
-    are not read. One narrow pass; the trees are broadcast, bounded by the training sample.
+    are not read, unless ``keep`` names columns that take the place of doc_id and held_out.
+    One narrow pass; the trees are broadcast, bounded by the training sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trees.__dict__)
+    head = ["doc_id", "held_out"] if keep is None else [f"c{i}" for i in range(len(keep))]
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
+                       F.col("text").cast("string")) if keep is None else docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Trees.__new__(Trees)
         t.__dict__.update(shared.value)
         for b in batches:
             pred, score, rate = [], [], []
-            for text in b.column(2).to_pylist():
+            for text in b.column(len(head)).to_pylist():
                 if not t.langs or text is None or not any(map(str.isalpha, text)):
                     pred.append(UNKNOWN)
                     score.append(0.0)
@@ -181,12 +186,13 @@ def predict(docs: DataFrame, trees: Trees) -> DataFrame:
                 score.append(float(1.0 / np.exp2(np.maximum(bits[best] - bits, -1000.0)).sum()))
                 rate.append(float(bits[best] / len(raw)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(rate, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+                [*b.columns[:len(head)], pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(rate, pa.float64())], names=[*head, "lang_pred", "score", "bits_per_byte"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, bits_per_byte double")
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in head)
+                          + ", lang_pred string, score double, bits_per_byte double")
+    return out if keep is None else out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})
 
 
 def identify(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> DataFrame:
