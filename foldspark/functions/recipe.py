@@ -154,7 +154,7 @@ def composite_category(cols: Sequence[str], missing: str = "MISSING", sep: str =
 
 
 def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
-                   split_col: str = "is_train", exact: bool | None = None) -> DataFrame:
+                   split_col: str = "is_train") -> DataFrame:
     """Add ``__median_<c>`` columns.
 
     scope="split": median of the row's own split (the source computes train
@@ -166,31 +166,24 @@ def attach_medians(df: DataFrame, cols: Iterable[str], scope: str = "split",
     cols = list(dict.fromkeys(cols))
     if not cols:
         return df
-    exact = Q.decide(df, exact)
-
-    def agg(c):
-        return Q.median(F.col(c).cast("double"), exact).alias(median_col(c))
-
+    src = df.where(F.col(split_col)) if scope == "train" else df
+    keys = [split_col] if scope == "split" else []
+    rows = Q.column_quantiles(src, {c: F.col(c) for c in cols}, keys).collect()
     if scope == "split":
-        rows = df.groupBy(split_col).agg(*[agg(c) for c in cols]).collect()
-        key = F.col(split_col)
-        out = []
-        for c in cols:
-            pairs = [(r[split_col], r[median_col(c)]) for r in rows if r[split_col] is not None]
-            out.append(lookup(pairs, key, "double").alias(median_col(c)))
+        out = [lookup([(r[split_col], r["q0"]) for r in rows if r["col"] == c and r[split_col] is not None],
+                      F.col(split_col), "double").alias(median_col(c)) for c in cols]
         return df.select("*", *out)
-    src = df.where(F.col(split_col)) if scope == "train" else df
-    row = src.agg(*[agg(c) for c in cols]).first()
-    return df.select("*", *[F.lit(row[median_col(c)]).cast("double").alias(median_col(c)) for c in cols])
+    got = {r["col"]: r["q0"] for r in rows}
+    return df.select("*", *[F.lit(got.get(c)).cast("double").alias(median_col(c)) for c in cols])
 
 
 def apply(df: DataFrame, features: Sequence[Feature], roles: dict | None = None,
           median_scope: str = "split", split_col: str = "is_train",
-          exact: bool | None = None, keep: bool = True) -> DataFrame:
+          keep: bool = True) -> DataFrame:
     """Evaluate features in one projection (``keep``: also keep input columns)."""
     ctx = Ctx({**DEFAULT_ROLES, **(roles or {})})
     need = [ctx.name(r) for f in features for r in f.medians]
-    base = attach_medians(df, need, median_scope, split_col, exact)
+    base = attach_medians(df, need, median_scope, split_col)
     out = [F.col(c) for c in df.columns] if keep else []
     out += [f.build(ctx).alias(f.name) for f in features]
     return base.select(*out)

@@ -1,9 +1,8 @@
 """Fold-train statistics applied per model fold.
 
 For model fold ``f`` the statistics come from labelled rows with ``fold != f``.
-Medians: all ``k`` are filtered aggregates of one scan (``median(when(fold != f, x))``
-ignores the other rows, like ``FILTER (WHERE fold <> f)``), computed only for
-columns that contain nulls. Means and standard deviations: one ``groupBy(fold)``
+Medians: exact distributed order statistics, all ``k`` folds and all columns in one
+pass (``functions.quantiles``), computed only for columns that contain nulls. Means and standard deviations: one ``groupBy(fold)``
 of per-fold moments, merged on the driver (Chan's pairwise formula) for each
 fold-train set. The data is read once per statistic family, never ``k`` times;
 the ``k x columns`` parameters are applied as literals (or a one-row join).
@@ -24,20 +23,17 @@ from foldspark.functions import quantiles as Q
 from foldspark.operators.joins import attach_scalar_row
 
 
-def _med(c: Column, exact: bool) -> Column:
-    return Q.median(c, exact)
-
-
 def fold_medians(df: DataFrame, cols: Sequence[str], k: int, fold_col: str = "fold",
-                 train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
-    """One row: ``med_<c>_<f>`` = median of ``c`` over labelled rows outside fold f."""
-    tr = df.where(F.col(train_col))
-    exact = Q.decide(tr, exact)
-    return tr.agg(*[_med(F.when(F.col(fold_col) != f, F.col(c).cast("double")), exact).alias(f"med_{c}_{f}")
-                    for c in cols for f in range(k)])
-
+                 train_col: str = "is_train") -> DataFrame:
+    """One row: ``med_<c>_<f>`` = median of ``c`` over labelled rows outside fold f.
 
-EXACT_QUANTILE_MAX_ROWS = Q.EXACT_MAX_ROWS
+    One pass carries k counts per value ("all folds but f"); see ``functions.quantiles``."""
+    t = Q.column_quantiles(df.where(F.col(train_col)), {c: F.col(c) for c in cols},
+                           weights=[(F.col(fold_col) != f).cast("int") for f in range(k)])
+    got = {(r["col"], r["variant"]): r["q0"] for r in t.collect()}      # columns x k rows
+    names = [(c, f) for c in cols for f in range(k)]
+    return df.sparkSession.createDataFrame([tuple(got.get(n) for n in names)],
+                                           ", ".join(f"`med_{c}_{f}` double" for c, f in names))
 
 
 def null_columns_and_rows(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], int]:
@@ -46,19 +42,6 @@ def null_columns_and_rows(df: DataFrame, cols: Sequence[str]) -> tuple[list[str]
     return [c for c in cols if row[c] > 0], int(row["__n"])
 
 
-def resolve_exact(exact: bool | None, n_rows: int, df: DataFrame | None = None) -> bool:
-    """``exact=None``: exact quantiles up to ``EXACT_QUANTILE_MAX_ROWS`` rows, else
-    ``percentile_approx`` (bounded memory per group instead of a value->count map);
-    the session setting ``foldspark.exactQuantiles`` overrides."""
-    if exact is not None:
-        return exact
-    if df is not None:
-        mode = df.sparkSession.conf.get("foldspark.exactQuantiles", "auto").lower()
-        if mode in ("true", "false"):
-            return mode == "true"
-    return n_rows <= EXACT_QUANTILE_MAX_ROWS
-
-
 def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns that hold at least one null (one aggregate of ``len(cols)`` counts).
     The source fills only such columns; medians of the others are never used."""
@@ -82,11 +65,11 @@ def design_by_fold(df: DataFrame, k: int, fold_col: str = "fold", train_col: str
 
 
 def fold_median_fill(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
-                     train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
+                     train_col: str = "is_train") -> DataFrame:
     """P10: per model fold, nulls filled with the fold-train median (only columns
     that contain nulls need medians)."""
     need = columns_with_nulls(df, cols)
-    x = design_by_fold(attach_scalar_row(df, fold_medians(df, need, k, fold_col, train_col, exact))
+    x = design_by_fold(attach_scalar_row(df, fold_medians(df, need, k, fold_col, train_col))
                        if need else df, k, fold_col, train_col)
     mf = F.col("model_fold")
     x = x.select(*[F.coalesce(F.col(c).cast("double"), _pick("med", c, k, mf)).alias(c) if c in need
@@ -146,13 +129,13 @@ def fold_train_moments(df: DataFrame, cols: Sequence[str], k: int, meds: dict, f
 
 
 def fold_standardize(df: DataFrame, cols: Sequence[str], k: int = 5, fold_col: str = "fold",
-                     train_col: str = "is_train", exact: bool | None = None) -> DataFrame:
+                     train_col: str = "is_train") -> DataFrame:
     """P10 then P11: fill with fold-train medians, then scale with the fold-train
     mean and population std of the filled values (std 0 -> scale 1). Statistics:
     one filtered-median aggregate (columns with nulls only) and one ``groupBy(fold)``;
     the per-fold parameters (k x columns numbers) are applied as literals."""
     need = columns_with_nulls(df, cols)
-    meds = fold_medians(df, need, k, fold_col, train_col, exact).first().asDict() if need else {}
+    meds = fold_medians(df, need, k, fold_col, train_col).first().asDict() if need else {}
     mom = fold_train_moments(df, cols, k, meds, fold_col, train_col)
     x = design_by_fold(df, k, fold_col, train_col)
     mf = F.col("model_fold")

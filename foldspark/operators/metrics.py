@@ -2,9 +2,8 @@
 
 Every report is one or two aggregates. Repeated per-column reports stack the
 columns into long form once and run a single ``groupBy`` (one scan instead of
-one per column). Exact quantiles (``percentile``) match numpy's linear rule;
-pass ``exact=False`` for ``percentile_approx`` (bounded memory per group) on
-large data. ``exact=None`` (default) decides by input size (``functions.quantiles``).
+one per column). Quantiles follow numpy's linear rule and are exact at every size
+(``functions.quantiles``: distributed order statistics, no value map in one task).
 """
 from __future__ import annotations
 
@@ -23,10 +22,6 @@ ABS_ERROR_QUANTILES = [0.5, 0.75, 0.9, 0.95, 0.99]
 BIG_ERROR = 2.0
 
 
-def _q(c: Column, q, exact: bool) -> Column:
-    return Q.percentile(c, q, exact)
-
-
 def err(y: str = "target", p: str = "pred") -> Column:
     return F.col(y).cast("double") - F.col(p).cast("double")
 
@@ -62,25 +57,24 @@ def r2(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = ()
         (F.lit(1.0) - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop(F.col(y)))).alias("r2"))
 
 
-def error_summary(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = (),
-                  exact: bool | None = None) -> DataFrame:
+def error_summary(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """G6 + P15: RMSE, MAE, median/max |e|, population std of e, bias, big-error count/share."""
-    exact = Q.decide(df, exact)
     e = err(y, p)
     a = F.abs(e)
-    return df.groupBy(*by).agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(a).alias("mae"), _q(a, 0.5, exact).alias("median_abs"),
+    return Q.with_quantiles(df, by, [
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(a).alias("mae"),
         F.max(a).alias("max_abs"), F.stddev_pop(e).alias("std_err"), F.avg(e).alias("bias"),
         F.count_if(a > BIG_ERROR).alias("n_big"), F.avg((a > BIG_ERROR).cast("double")).alias("share_big"),
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")], {"median_abs": (a, 0.5)})
 
 
 def error_quantiles(df: DataFrame, y: str = "target", p: str = "pred", qs=ABS_ERROR_QUANTILES,
-                    by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
+                    by: Sequence[str] = ()) -> DataFrame:
     """Quantiles of |e|, one column per quantile."""
-    exact = Q.decide(df, exact)
     a = F.abs(err(y, p))
-    return df.groupBy(*by).agg(*[_q(a, q, exact).alias(f"q{int(round(q * 100))}") for q in qs])
+    x = df.select(*by, a.alias("__a"))
+    t = Q.quantiles(x, list(by), "__a", qs)
+    return t.select(*by, *[F.col(f"q{i}").alias(f"q{int(round(q * 100))}") for i, q in enumerate(qs)])
 
 
 def target_bin(y: str = "target", edges=TARGET_BIN_EDGES) -> Column:
@@ -89,17 +83,15 @@ def target_bin(y: str = "target", edges=TARGET_BIN_EDGES) -> Column:
 
 
 def error_by_target_bin(df: DataFrame, y: str = "target", p: str = "pred", edges=TARGET_BIN_EDGES,
-                        by: Sequence[str] = (), exact: bool | None = None) -> DataFrame:
+                        by: Sequence[str] = ()) -> DataFrame:
     """|e| mean/median/count and e mean/median per target bin (empty bins absent)."""
-    exact = Q.decide(df, exact)
     e = err(y, p)
     x = df.select(*by, target_bin(y, edges).alias("bin"), e.alias("e"))
     lo = F.element_at(F.array(*[F.lit(float(v)) for v in edges[:-1]]), F.col("bin") + 1)
     hi = F.element_at(F.array(*[F.lit(float(v)) for v in edges[1:]]), F.col("bin") + 1)
-    return (x.where(F.col("bin").isNotNull()).groupBy(*by, "bin")
-             .agg(F.avg(F.abs("e")).alias("mae"), _q(F.abs("e"), 0.5, exact).alias("median_abs"),
-                  F.count(F.lit(1)).alias("n"), F.avg("e").alias("bias"), _q(F.col("e"), 0.5, exact).alias("median_err"))
-             .withColumn("lo", lo).withColumn("hi", hi))
+    return Q.with_quantiles(x.where(F.col("bin").isNotNull()), [*by, "bin"], [
+        F.avg(F.abs("e")).alias("mae"), F.count(F.lit(1)).alias("n"), F.avg("e").alias("bias")],
+        {"median_abs": (F.abs("e"), 0.5), "median_err": (F.col("e"), 0.5)}).withColumn("lo", lo).withColumn("hi", hi)
 
 
 def _stack(df: DataFrame, cols: Sequence[str], keep: Sequence[str], as_string: bool = True) -> DataFrame:
@@ -176,20 +168,18 @@ def histogram(df: DataFrame, value: Column, bins: int = 80) -> DataFrame:
                      (F.col("vmin") + (F.col("vmax") - F.col("vmin")) * (F.col("bin") + 1) / bins).alias("hi")))
 
 
-def box_stats(df: DataFrame, group: Column, value: Column, exact: bool | None = None) -> DataFrame:
+def box_stats(df: DataFrame, group: Column, value: Column) -> DataFrame:
     """Quartiles and whiskers (extreme values within 1.5 IQR; fall back to the quartile)."""
-    exact = Q.decide(df, exact)
     x = df.select(group.alias("grp"), value.cast("double").alias("v")).where(
         F.col("grp").isNotNull() & F.col("v").isNotNull())
-    q = x.groupBy("grp").agg(_q(F.col("v"), 0.25, exact).alias("q1"), _q(F.col("v"), 0.5, exact).alias("med"),
-                             _q(F.col("v"), 0.75, exact).alias("q3"), F.count(F.lit(1)).alias("n"))
+    q = Q.quantiles(x, ["grp"], "v", [0.25, 0.5, 0.75]).toDF("grp", "variant", "q1", "med", "q3").drop("variant")
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = attach(x, q, on="grp")                      # one row per group, size-checked
     out = j.groupBy("grp").agg(
         F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("lo_in"),
         F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("hi_in"),
-        *[F.first(c).alias(c) for c in ("n", "q1", "med", "q3")])
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("q1", "med", "q3")])
     return out.select("grp", "n", "q1", "med", "q3",
                       F.when(F.col("lo_in").isNull() | (F.col("lo_in") > F.col("q1")), F.col("q1"))
                        .otherwise(F.col("lo_in")).alias("whislo"),

@@ -170,7 +170,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
            seed: int = 42, experiment: str | None = None, extra_train: DataFrame | None = None,
            label_fn: Callable[[Column], Column] | None = None,
            inverse_fn: Callable[[Column], Column] | None = None,
-           parallel: int | None = None, exact_medians: bool | None = None) -> CVResult:
+           parallel: int | None = None) -> CVResult:
     """M11 (+ M12 with ``extra_train`` rows ``(id, label, model_fold, features...)``,
     M13 with ``label_fn`` / ``inverse_fn``)."""
     spark = df.sparkSession
@@ -181,8 +181,7 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
     # prepared table instead of re-optimising the whole upstream plan k times
     base = _prepare(df, features, target, fold_col, train_col, id_col, label_fn).checkpoint(eager=True)
     need, n_rows = foldstats.null_columns_and_rows(base.where(F.col("__train")), features)
-    exact = foldstats.resolve_exact(exact_medians, n_rows, base)
-    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first() if need else {}
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train").first() if need else {}
     extra = None
     if extra_train is not None:
         extra = extra_train.select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"),
@@ -230,10 +229,9 @@ def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], l
                                   smoothing)
         x = _prepare(xf, features, target, fold_col, train_col, id_col, None)
         fit_rows = x.where(F.col("__train") & (F.col("__fold") != f))
-        exact = Q.decide(fit_rows, None)
-        meds = fit_rows.agg(*[Q.median(F.col(c), exact).alias(c) for c in features]).first()
+        meds = {r["col"]: r["q0"] for r in Q.column_quantiles(fit_rows, {c: F.col(c) for c in features}).collect()}
         x = x.select("id", "__train", "__fold", "label",
-                     *[F.coalesce(F.col(c), _lit(meds[c])).alias(c) for c in features])
+                     *[F.coalesce(F.col(c), _lit(meds.get(c))).alias(c) for c in features])
         return _fit_fold(f, x, features, lrn, seed, experiment, None, None, importances, best_iters)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
@@ -326,7 +324,7 @@ def random_search(df: DataFrame, features: Sequence[str], base: Learner, space:
 
 def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, target: str = "target",
              k: int = 5, fold_col: str = "fold", train_col: str = "is_train", id_col: str = "id",
-             experiment: str = "ridge", exact_medians: bool | None = None) -> CVResult:
+             experiment: str = "ridge") -> CVResult:
     """M6 + M11 by sufficient statistics: ridge (with intercept) on columns filled with
     fold-train medians and standardised with fold-train mean / population std,
     one model per fold, exactly as a per-fold fit would compute it.
@@ -349,8 +347,7 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     need = [c for c in features if stats[f"z_{c}"] > 0]
     q_idx = [features.index(c) for c in need]
     shift = np.array([stats[f"a_{c}"] or 0.0 for c in features])
-    exact = foldstats.resolve_exact(exact_medians, int(stats["__n"]), base)
-    meds = foldstats.fold_medians(base, need, k, "__fold", "__train", exact).first().asDict() \
+    meds = foldstats.fold_medians(base, need, k, "__fold", "__train").first().asDict() \
         if need else {}
     width = 1 + (p + len(need)) + 2 + (p + len(need)) ** 2 + (p + len(need))
     def moment_sums(pdf_iter):

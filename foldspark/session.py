@@ -2,8 +2,8 @@
 
 The library never creates machine-local scratch space on a cluster: lineage is
 cut with ``checkpoint()`` into the directory named by ``spark.checkpoint.dir``.
-Only when that setting is absent (local runs, tests) a directory under the
-system temp folder is chosen.
+Only when that setting is absent and the master is local (tests) a directory under the
+system temp folder is chosen; on a cluster a missing setting is an error.
 """
 from __future__ import annotations
 
@@ -58,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         # unset: local run or test session
         conf_dir = tempfile.mkdtemp(prefix="foldspark-ckpt-")
     sc.setCheckpointDir(conf_dir)

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from foldspark.functions import quantiles as Q
 from foldspark.operators import blend as B
 from foldspark.operators import metrics as M
 from foldspark.operators import solve
@@ -130,16 +131,26 @@ def test_weighted_mean_long_and_fallback(spark):
     assert (cov.only_left, cov.only_right) == (1, 1)
 
 
-def test_approximate_quantile_path(spark):
-    """With foldspark.exactQuantiles=false the operators use percentile_approx (bounded sketch)."""
-    pdf, df = _errs(spark, 2000, 9)
-    exact = M.error_quantiles(df).first()
-    spark.conf.set("foldspark.exactQuantiles", "false")
-    try:
-        approx = M.error_quantiles(df).first()
-        plan = M.error_quantiles(df)._jdf.queryExecution().optimizedPlan().toString()
-    finally:
-        spark.conf.unset("foldspark.exactQuantiles")
-    assert "percentile_approx" in plan or "approx_percentile" in plan
-    for c in ("q50", "q75", "q90"):
-        assert abs(approx[c] - exact[c]) < 0.05
+def test_quantiles_equal_numpy(spark):
+    """A hot value, ties, nulls, NaN, several keys and partitions, and per-fold variants."""
+    r = np.random.default_rng(5)
+    v = np.where(r.random(4000) < 0.4, 1.5, np.round(r.normal(0, 3, 4000), 2))
+    key = np.where(r.random(4000) < 0.9, "a", "b")
+    fold = r.integers(0, 3, 4000)
+    rows = [(k, float(x), int(f)) for k, x, f in zip(key, v, fold)]
+    rows += [("a", None, 0), ("b", float("nan"), 1), (None, 2.0, 0), (None, 4.0, 1), ("empty", None, 2), ("a", -0.0, 1)]
+    df = spark.createDataFrame(rows, "key string, v double, fold int").repartition(7)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.99, 1.0]
+    t = Q.quantiles(df, ["key"], "v", qs, [F.lit(1)] + [(F.col("fold") != f).cast("int") for f in range(3)])
+    got = {(x["key"], x["variant"]): [x[f"q{i}"] for i in range(len(qs))] for x in t.collect()}
+    data = [x for x in rows if x[1] is not None and not np.isnan(x[1])]
+    want = {(k, j): np.percentile([x for kk, x, f in data if kk == k and f != j - 1], [100 * q for q in qs])
+            for k in ("a", "b", None) for j in range(4) if any(kk == k and f != j - 1 for kk, _, f in data)}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want)
+    assert Q.quantiles(df.limit(0), ["key"], "v", qs).count() == 0
+
+
+def test_no_plan_has_a_percentile_function(spark):
+    _, df = _errs(spark, 200, 9)
+    for out in (M.error_quantiles(df), M.error_summary(df), M.box_stats(df, F.floor("target"), F.col("pred"))):
+        assert "percentile" not in out._jdf.queryExecution().optimizedPlan().toString()
