@@ -1,7 +1,7 @@
 """Benchmark decontamination with a BM25 index and block-max WAND.
 
 The test items form an inverted index: of every term the items that hold it, in
-order, with their BM25 impact, and the largest impact of each block of postings. Impacts
+order, with their BM25 impact, and the largest impact in each block of items. Impacts
 are divided by the item's score for itself, so a score is the share of the item that a
 passage explains. Every training text is cut into overlapping passages, long
 enough that any item fits whole into one. Each passage queries the index; block-max
@@ -14,10 +14,12 @@ all documents are scanned once a shard.
 """
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +30,8 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its word runs that must occur.
 MIN_SCORE, MIN_OVERLAP = 0.7, 0.8
 RUN = 5
-#: Items in one shard of the index, and postings in one block.
-SHARD_ITEMS, BLOCK = 2000, 32
+#: Items in one shard of the index, and in one block.
+SHARD_ITEMS, BLOCK = 2000, 4
 WORD = re.compile(r"\w+")
 
 
@@ -86,111 +88,122 @@ def item_statistics(items: DataFrame) -> DataFrame:
 
 
 class Index:
-    """One shard: postings with normalised impacts and block maxima, and the items' word runs."""
+    """One shard: block maxima of every term, postings by block, and the items' word runs.
+
+    Items are numbered so that those with the same frequent terms are neighbours; a block
+    is ``BLOCK`` consecutive items, the same for all terms.
+    """
 
     def __init__(self, rows: list, n: int, avgdl: float) -> None:
-        import math
-        rows = sorted(rows, key=lambda r: r.item_id)
+        rows = sorted(rows, key=lambda r: (sorted(((-t.df, t.term) for t in r.terms))[:3], r.item_id))
         self.ids = [r.item_id for r in rows]
-        lists: dict[str, list[tuple[int, float]]] = {}
+        blocks = -(-len(rows) // BLOCK)
+        self.term: dict[str, int] = {}
+        #: block -> term -> (items in order, impacts)
+        self.postings: list[dict[int, tuple[list[int], list[float]]]] = [{} for _ in range(blocks)]
         for k, r in enumerate(rows):
             norm = K1 * (1 - B + B * r.dl / avgdl)
             impact = {t.term: math.log(1 + (n - t.df + 0.5) / (t.df + 0.5)) * t.tf * (K1 + 1) / (t.tf + norm)
                       for t in r.terms}
             own = sum(impact.values())
             for t, x in impact.items():
-                lists.setdefault(t, []).append((k, x / own))
-        #: term -> items, impacts, block maxima, largest impact
-        self.lists = {t: ([k for k, _ in p], [x for _, x in p],
-                          [max(x for _, x in p[i:i + BLOCK]) for i in range(0, len(p), BLOCK)],
-                          max(x for _, x in p)) for t, p in lists.items()}
+                items, impacts = self.postings[k // BLOCK].setdefault(
+                    self.term.setdefault(t, len(self.term)), ([], []))
+                items.append(k)
+                impacts.append(x / own)
+        #: largest impact of every term in every block
+        self.maxima = np.zeros((len(self.term), blocks))
+        for b, lists in enumerate(self.postings):
+            for t, (_, impacts) in lists.items():
+                self.maxima[t, b] = max(impacts)
         self.parts = [tuple(runs(w) for w in question_and_answer(r.text)) for r in rows]
         self.longest = max((r.dl for r in rows), default=1)
 
 
-def retrieve(lists: dict, terms: set[str], least: float) -> list[tuple[int, float]]:
-    """Block-max WAND: all items whose score for the distinct ``terms`` is at least ``least``."""
-    slack = least - 1e-9
-    cur = [[p[0][0], 0, p] for t in terms if (p := lists.get(t)) is not None]
+def search_block(lists: dict[int, tuple[list[int], list[float]]], terms: list[int], least: float) -> list[tuple[int, float]]:
+    """WAND inside one block: all its items whose score for the distinct ``terms`` reaches ``least``.
+
+    The bound of a list is its largest impact in the block.
+    """
+    cur = [[p[0][0], 0, p, max(p[1])] for t in terms if (p := lists.get(t)) is not None]
     out = []
     while cur:
         cur.sort(key=lambda c: c[0])
-        # pivot: the first list with which the term bounds reach the threshold
-        bound, pivot = 0.0, -1
-        for i, c in enumerate(cur):
-            bound += c[2][3]
-            if bound >= slack:
-                pivot = i
+        bound, pivot = 0.0, None
+        for c in cur:
+            bound += c[3]
+            if bound >= least:
+                pivot = c[0]
                 break
-        if pivot < 0:
+        if pivot is None:
             break
-        item = cur[pivot][0]
-        while pivot + 1 < len(cur) and cur[pivot + 1][0] == item:
-            pivot += 1
-        # block bounds of the lists up to the pivot, and how far they hold
-        block, holds = 0.0, 1 << 60
-        for c in cur[:pivot + 1]:
-            at = bisect_left(c[2][0], item, c[1])
-            if at >= len(c[2][0]):
-                continue
-            k = at // BLOCK
-            block += c[2][2][k]
-            holds = min(holds, c[2][0][min(len(c[2][0]), (k + 1) * BLOCK) - 1])
-        if block >= slack:
-            if cur[0][0] == item:
-                score = sum(c[2][1][c[1]] for c in cur[:pivot + 1])
-                if score >= slack:
-                    out.append((item, score))
-            target = item + (cur[0][0] == item)
+        if cur[0][0] == pivot:
+            score = sum(c[2][1][c[1]] for c in cur if c[0] == pivot)
+            if score >= least:
+                out.append((pivot, score))
+            target = pivot + 1
         else:
-            # no item before the ends of these blocks, or the next list's item, can reach it
-            target = min(holds + 1, cur[pivot + 1][0] if pivot + 1 < len(cur) else 1 << 60)
-            target = max(target, item + 1)
+            target = pivot
         alive = []
-        for i, c in enumerate(cur):
-            if i <= pivot and c[0] < target:
-                at = bisect_left(c[2][0], target, c[1])
-                if at >= len(c[2][0]):
+        for c in cur:
+            if c[0] < target:
+                c[1] = bisect_left(c[2][0], target, c[1])
+                if c[1] == len(c[2][0]):
                     continue
-                c[0], c[1] = c[2][0][at], at
+                c[0] = c[2][0][c[1]]
             alive.append(c)
         cur = alive
     return out
 
 
+def retrieve(index: Index, passages: list[np.ndarray], least: float) -> list[tuple[int, int, float]]:
+    """``(passage, item, score)`` for all items that reach ``least``. A passage is its distinct terms.
+
+    The block maxima of a passage's terms bound every item of a block; only blocks
+    whose bound reaches the threshold are searched.
+    """
+    out = []
+    slack = least - 1e-9
+    for s in range(0, len(passages), 64):
+        part = [(s + k, p) for k, p in enumerate(passages[s:s + 64]) if len(p)]
+        if not part:
+            continue
+        starts = np.cumsum([0, *[len(p) for _, p in part[:-1]]])
+        bounds = np.add.reduceat(index.maxima[np.concatenate([p for _, p in part])], starts, axis=0)
+        for k, block in zip(*np.nonzero(bounds >= slack)):
+            number, terms = part[k]
+            out += [(number, item, score) for item, score in
+                    search_block(index.postings[block], terms.tolist(), slack)]
+    return out
+
+
 def scan(index: Index, text: str, least: float, overlap: float) -> dict[int, tuple[float, float, float]]:
-    """Verified items of one text: item number -> (score, question overlap, answer overlap)."""
+    """Verified items of one text: item number -> (score, question overlap, answer overlap).
+
+    Passages are twice the longest item and start every longest item, so every
+    item that a text holds lies whole in a passage; a short text is one passage.
+    """
     tokens = words(text)
     step = index.longest
-    lists = index.lists
-    # words outside the index weigh nothing; short texts are one passage
-    known = [(i, w) for i, w in enumerate(tokens) if w in lists]
-    if not known:
-        return {}
+    get = index.term.get
+    ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+    starts = range(0, max(1, len(tokens) - step), step)
+    passages = []
+    for start in starts:
+        t = np.unique(ids[start:start + 2 * step])
+        passages.append(t[1:] if len(t) and t[0] < 0 else t)
     best: dict[int, tuple[float, float, float]] = {}
-    at = [i for i, _ in known]
-    for start in range(0, max(1, len(tokens) - step), step):
-        stop = start + 2 * step
-        terms = {w for _, w in known[bisect_left(at, start):bisect_left(at, stop)]}
-        if sum(lists[t][3] for t in terms) < least - 1e-9:
-            continue
-        hits = retrieve(lists, terms, least)
-        if not hits:
-            continue
-        passage = runs(tokens[start:stop])
-        shorter: dict[int, set] = {}
-        for item, score in hits:
-            shares = []
-            for part in index.parts[item]:
-                n = len(next(iter(part))) if part else RUN
-                have = passage
-                if n != RUN:
-                    if n not in shorter:
-                        shorter[n] = runs(tokens[start:stop], n)
-                    have = shorter[n]
-                shares.append(len(part & have) / len(part) if part else 1.0)
-            if min(shares) >= overlap and (item not in best or best[item][0] < score):
-                best[item] = (score, *shares)
+    seen: dict[tuple[int, int], set] = {}
+    for number, item, score in retrieve(index, passages, least):
+        start = starts[number]
+        shares = []
+        for part in index.parts[item]:
+            n = len(next(iter(part))) if part else RUN
+            if (start, n) not in seen:
+                seen[start, n] = runs(tokens[start:start + 2 * step], n)
+            shares.append(len(part & seen[start, n]) / len(part) if part else 1.0)
+        if min(shares) >= overlap and (item not in best or best[item][0] < score):
+            best[item] = (score, *shares)
     return best
 
 

@@ -1,6 +1,8 @@
 """Text operators against brute force: span dedup, Jaccard join, decontamination."""
 import random
+from collections import Counter, namedtuple
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,20 +163,27 @@ def test_span_dedup_empty(spark):
 
 def test_wand_returns_all_above_threshold():
     r = random.Random(1)
-    for _ in range(200):
-        n = r.randint(1, 120)
-        lists = {}
-        for t in range(r.randint(1, 12)):
-            items = sorted(r.sample(range(n), r.randint(1, n)))
-            imp = [r.random() * r.choice([0.05, 0.4]) for _ in items]
-            lists[f"t{t}"] = (items, imp, [max(imp[i:i + dc.BLOCK]) for i in range(0, len(imp), dc.BLOCK)], max(imp))
-        least = r.choice([0.1, 0.3, 0.6])
-        terms = {f"t{t}" for t in range(14) if r.random() < 0.8}
-        want = {}
-        for t in terms:
-            for i, x in zip(*lists.get(t, ([], []))[:2]):
-                want[i] = want.get(i, 0) + x
-        assert sorted(i for i, _ in dc.retrieve(lists, terms, least)) == sorted(i for i, x in want.items() if x >= least - 1e-9)
+    Term, Row = namedtuple("Term", "term tf df"), namedtuple("Row", "item_id text terms dl")
+    for _ in range(60):
+        texts = [prose(r.randint(3, 30), r, 40) for _ in range(r.randint(1, 40))]
+        found = [dc.words(t) for t in texts]
+        df = Counter(w for x in found for w in set(x))
+        mean = sum(map(len, found)) / len(found)
+        index = dc.Index([Row(i, t, [Term(w, x.count(w), df[w]) for w in set(x)], len(x))
+                          for i, (t, x) in enumerate(zip(texts, found))], len(texts), mean)
+        passages = [sorted({index.term[w] for w in dc.words(prose(r.randint(1, 60), r, 40)) if w in index.term})
+                    for _ in range(20)]
+        least = r.choice([0.2, 0.5, 0.8])
+        want = []
+        for k, p in enumerate(passages):
+            score = Counter()
+            for lists in index.postings:
+                for t in p:
+                    for item, x in zip(*lists.get(t, ((), ()))):
+                        score[item] += x
+            want += [(k, item) for item, x in score.items() if x >= least - 1e-9]
+        got = dc.retrieve(index, [np.array(p, dtype=int) for p in passages], least)
+        assert sorted((k, i) for k, i, _ in got) == sorted(want)
 
 
 def test_decontamination_finds_planted_items(spark):
