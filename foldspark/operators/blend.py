@@ -29,13 +29,19 @@ def weighted_mean_long(long: DataFrame, weights: Mapping[str, float] | None = No
                        id_cols: Sequence[str] = ("id",), model_col: str = "model",
                        pred_col: str = "pred", out: str = "blend") -> DataFrame:
     """B1 on the long table: ``sum(w*p) / sum(w)`` per id; equal weights by default.
-    Weights are a literal map (no join)."""
+    Weights are a literal map (no join). A null prediction, or a weighted model that an
+    id lacks, gives null, as does a weight sum of 0; nothing is silently re-weighted."""
     if weights:
         wm = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
         w = F.coalesce(wm[F.col(model_col)], F.lit(0.0))
+        models = sum(1 for v in weights.values() if v)
     else:
         w = F.lit(1.0)
-    return long.groupBy(*id_cols).agg((F.sum(w * F.col(pred_col)) / F.sum(w)).alias(out))
+        models = long.select(model_col).distinct().count()      # one row per model
+    used = F.when(w != 0, F.struct(model_col))
+    whole = (F.count_if((w != 0) & F.col(pred_col).isNull()) == 0) & (F.count_distinct(used) == models)
+    mean = F.try_divide(F.sum(w * F.coalesce(F.col(pred_col), F.lit(0.0))), F.sum(w))
+    return long.groupBy(*id_cols).agg(F.when(whole, mean).alias(out))
 
 
 def weighted_sum(cols: Sequence[str], weights: Sequence[float] | None = None) -> Column:
@@ -87,7 +93,8 @@ def optimal_weights(df: DataFrame, cols: Sequence[str], y: str = "target") -> np
 def optimal_weight_2(a: str, b: str, y: str = "target") -> Column:
     """B2 closed form for two models (aggregate expression): weight on ``a``."""
     d = F.col(a) - F.col(b)
-    w = F.sum((F.col(y) - F.col(b)) * d) / F.sum(d * d)
+    # equal models: any weight gives the same blend
+    w = F.coalesce(F.try_divide(F.sum((F.col(y) - F.col(b)) * d), F.sum(d * d)), F.lit(0.5))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), w))
 
 

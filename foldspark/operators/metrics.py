@@ -51,10 +51,10 @@ def fold_scores(df: DataFrame, y: str = "target", p: str = "pred", fold: str = "
 
 
 def r2(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = ()) -> DataFrame:
-    """1 - SSE / (n * var_pop(y))."""
+    """1 - SSE / (n * var_pop(y)); null for a constant target."""
     e = err(y, p)
     return df.groupBy(*by).agg(
-        (F.lit(1.0) - F.sum(e * e) / (F.count(F.lit(1)) * F.var_pop(F.col(y)))).alias("r2"))
+        (F.lit(1.0) - F.try_divide(F.sum(e * e), F.count(F.lit(1)) * F.var_pop(F.col(y)))).alias("r2"))
 
 
 def error_summary(df: DataFrame, y: str = "target", p: str = "pred", by: Sequence[str] = ()) -> DataFrame:
@@ -210,7 +210,7 @@ def target_moments(df: DataFrame, y: str = "target", by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(
         n.alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("std_pop"),
         F.min(v).alias("min"), F.max(v).alias("max"),
-        (g1 * F.sqrt(n * (n - 1)) / (n - 2)).alias("skew"))
+        F.try_divide(g1 * F.sqrt(n * (n - 1)), n - 2).alias("skew"))
 
 
 def rounding_noise(df: DataFrame, y: str = "target", by: Sequence[str] = ()) -> DataFrame:

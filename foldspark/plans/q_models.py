@@ -12,7 +12,7 @@ from foldspark.operators import clean, folds
 from foldspark.plans import fixtures as FX
 from foldspark.plans import runs
 from foldspark.plans.catalog import query
-from foldspark.plans.models import learner
+from foldspark.plans.models import learner, quick
 from foldspark.plans.q_prep import cleaned_panel, round_doubles
 
 CODE_COLS = [f"{c}_code" for c in FX.PANEL_CATEGORIES]
@@ -51,49 +51,48 @@ def q_cv_ridge(spark, sf):
 
 @query("cv_gbt", None, "M1, M10, M11")
 def q_cv_gbt(spark, sf):
-    """M1 + M10: boosted trees cut at the round with the lowest loss on the valid fold."""
-    lrn = learner("gbt_leafwise")
-    lrn.early_stop = True
-    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, lrn, experiment="gbt_leafwise"))
+    """M1 + M10: boosted trees, grown until the loss on the valid fold has not improved for
+    3 rounds (models.QUICK) and cut at its lowest."""
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, quick("gbt_leafwise")))
 
 
 @query("cv_gbt_depthwise", None, "M2, M11")
 def q_cv_gbt_depthwise(spark, sf):
     """M2: second boosted-tree configuration (deeper trees, small leaves)."""
-    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_depthwise")))
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, quick("gbt_depthwise")))
 
 
 @query("cv_gbt_hist", None, "M4, M11")
 def q_cv_gbt_hist(spark, sf):
     """M4: 255-bin boosted trees with a hash-chosen 10 % internal validation split."""
-    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_hist")))
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, quick("gbt_hist")))
 
 
 @query("cv_forest", None, "M5, M11, P10")
 def q_cv_forest(spark, sf):
     """M5: random forest without bootstrap on fold-median-filled features."""
-    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, learner("forest")))
+    return cv_output(runs.run_cv(model_frame(spark, sf), FEATURES, quick("forest")))
 
 
 @query("cv_gbt_category", None, "M3, P5, E1")
 def q_cv_gbt_category(spark, sf):
     """M3: boosted trees with fold-internal target statistics of the categories (missing as a level)."""
     res = runs.run_cv_encoded(model_frame(spark, sf), FX.PANEL_NUMERIC + V1_NAMES, FX.PANEL_CATEGORIES,
-                              learner("gbt_depthwise"))
+                              quick("gbt_depthwise"))
     return cv_output(res)
 
 
 @query("importance_by_fold", None, "G22")
 def q_importance_by_fold(spark, sf):
     """Feature importances of the five fold models of M2, averaged per feature."""
-    res = runs.run_cv(model_frame(spark, sf), FEATURES, learner("gbt_depthwise"))
+    res = runs.run_cv(model_frame(spark, sf), FEATURES, quick("gbt_depthwise"))
     return round_doubles(runs.importance_table(spark, res), 6)
 
 
 @query("cv_log_target", None, "M13")
 def q_cv_log_target(spark, sf):
     """Fit on log1p(target), predict expm1 (scored on the original scale)."""
-    res = runs.run_cv(model_frame(spark, sf), FEATURES, learner("forest"), experiment="forest_logy",
+    res = runs.run_cv(model_frame(spark, sf), FEATURES, quick("forest"), experiment="forest_logy",
                       label_fn=F.log1p, inverse_fn=F.expm1)
     return cv_output(res)
 
@@ -108,7 +107,7 @@ def q_cv_pseudo(spark, sf):
     pseudo = C.pseudo_labels(te, "earlier")
     extra = pseudo.select("*", F.col("earlier").alias("label"),
                           F.explode(F.sequence(F.lit(0), F.lit(4))).alias("model_fold"))
-    res = runs.run_cv(mf, FEATURES, learner("forest"), experiment="forest_pseudo", extra_train=extra)
+    res = runs.run_cv(mf, FEATURES, quick("forest"), experiment="forest_pseudo", extra_train=extra)
     return cv_output(res)
 
 
@@ -122,7 +121,7 @@ def q_cv_multi_seed(spark, sf):
     for s in (42, 123):
         x = folds.hash_folds(p, 5, s)
         x = x.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
-        res = runs.run_cv(x, FEATURES, learner("forest"), seed=s, experiment=f"forest_seed{s}")
+        res = runs.run_cv(x, FEATURES, quick("forest"), seed=s, experiment=f"forest_seed{s}")
         parts.append(cv_output(res).withColumn("seed", F.lit(s)))
     allp = parts[0].unionByName(parts[1])
     return round_doubles(allp.groupBy("id", "split").agg(F.avg("pred").alias("pred"),
@@ -135,11 +134,11 @@ def q_cv_hybrid(spark, sf):
     expected value as a feature (same stratified folds); sum, clipped."""
     mf = model_frame(spark, sf, stratified=True)
     mf = mf.withColumn("cls_label", F.when(F.col("is_train"), X.int_class("target")))
-    stage1 = runs.run_cv(mf, FEATURES, learner("class_ev"), target="cls_label", experiment="class_ev")
+    stage1 = runs.run_cv(mf, FEATURES, quick("class_ev"), target="cls_label", experiment="class_ev")
     ev = stage1.oof().select("id", F.col("pred").alias("ev")).unionByName(
         stage1.test_mean().select("id", F.col("pred").alias("ev")))
     x = mf.join(ev, "id").withColumn("residual", F.col("target") - F.col("ev"))
-    stage2 = runs.run_cv(x, FEATURES + ["ev"], learner("gbt_leafwise"), target="residual", experiment="residual")
+    stage2 = runs.run_cv(x, FEATURES + ["ev"], quick("gbt_leafwise"), target="residual", experiment="residual")
     res2 = stage2.oof().unionByName(stage2.test_mean().withColumn("fold", F.lit(None).cast("int")).select("id", "fold", "pred"))
     out = res2.join(ev, "id").select("id", "fold", X.clip(F.col("ev") + F.col("pred")).alias("pred"),
                                      F.col("ev"))
@@ -151,7 +150,7 @@ def q_cv_meta(spark, sf):
     """M9: shallow boosted meta-learner on three OOF prediction columns, own folds."""
     p = folds.hash_folds(FX.preds(spark, sf), 5, 7)
     p = p.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
-    return cv_output(runs.run_cv(p, ["p_a", "p_b", "p_c"], learner("meta_gbt"), seed=7))
+    return cv_output(runs.run_cv(p, ["p_a", "p_b", "p_c"], quick("meta_gbt"), seed=7))
 
 
 @query("impute_chained", None, "M14, U2")
@@ -169,7 +168,7 @@ def q_random_search(spark, sf):
     leaf size; objective = OOF RMSE; trial table with the best flagged."""
     space = runs.Space({"stepSize": ("logfloat", 0.05, 0.3), "maxDepth": ("int", 3, 6),
                         "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 5, 100)})
-    trials, best = runs.random_search(model_frame(spark, sf), FEATURES, learner("gbt_leafwise", maxIter=10),
+    trials, _, _ = runs.random_search(model_frame(spark, sf), FEATURES, learner("gbt_leafwise", patience=3),
                                       space, 3, seed=42)
     best_rmse = trials.agg(F.min("cv_rmse").alias("b"))
     from foldspark.operators.joins import attach_scalar_row

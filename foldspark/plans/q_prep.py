@@ -231,12 +231,14 @@ def q_kfold_multi_seed(spark, sf):
     return folds.multi_seed_folds(tr, _SEEDS, 5).select("id", "seed", "fold")
 
 
-@query("seeded_sample", P_CTE + f"select id, round(stress, 8) as stress from p where stress is not null "
-       f"order by {hash_sql(7)}, id limit 5000", "P12, P13")
+@query("seeded_sample", P_CTE + ", smp as (select * from p where is_train order by "
+       f"{hash_sql(7)}, id limit 5000) select id, round(stress, 8) as stress from smp where "
+       + " and ".join(f"{c} is not null" for c in FX.PANEL_NUMERIC), "P12, P13")
 def q_seeded_sample(spark, sf):
-    """P12 + P13: drop rows with null stress, then a repeatable 5,000-row sample."""
-    p = clean.drop_null_rows(cleaned_panel(spark, sf), ["stress"])
-    return round_doubles(clean.seeded_sample(p, 5000, 7).select("id", "stress"))
+    """P13 + P12: a repeatable sample of 5,000 train rows, then rows with a null in any
+    numeric column dropped."""
+    p = clean.seeded_sample(cleaned_panel(spark, sf).where("is_train"), 5000, 7)
+    return round_doubles(clean.drop_null_rows(p, FX.PANEL_NUMERIC).select("id", "stress"))
 
 
 # ---- step 2: target encoding -------------------------------------------------------

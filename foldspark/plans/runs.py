@@ -6,7 +6,7 @@ outside the fold, and folds run concurrently from a small thread pool (Spark
 schedules the jobs side by side). Nulls are filled with fold-train medians
 (only columns that contain nulls; all their ``k`` medians come from one filtered
 aggregate). The output is a
-keyed prediction table ``(experiment, id, fold, split, pred)``: ``split='oof'``
+keyed prediction table ``(experiment, id, fold, split, pred)`` on the model's scale: ``split='oof'``
 for each labelled row (scored by the model that did not see it) and
 ``split='test'`` for each unlabelled row once per fold model. The table is
 checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) so the lineage of
@@ -22,11 +22,13 @@ import math
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,14 +45,16 @@ class CVResult:
     preds: DataFrame                      # experiment, id, fold, split, pred
     importances: list = field(default_factory=list)   # (fold, feature, importance)
     best_iters: dict = field(default_factory=dict)
+    inverse: Callable[[Column], Column] = lambda c: c   # model scale -> target scale (M13)
 
     def oof(self) -> DataFrame:
-        return self.preds.where(F.col("split") == "oof").select("id", "fold", "pred")
+        return self.preds.where(F.col("split") == "oof").select("id", "fold", self.inverse(F.col("pred")).alias("pred"))
 
     def test_mean(self) -> DataFrame:
-        """Mean test prediction over the fold models."""
+        """Mean test prediction over the fold models, averaged on the model's
+        scale and then brought back to the target's (M13)."""
         return (self.preds.where(F.col("split") == "test").groupBy("id")
-                    .agg(F.avg("pred").alias("pred")))
+                    .agg(self.inverse(F.avg("pred")).alias("pred")))
 
     def scored(self, df: DataFrame, target: str = "target", id_col: str = "id") -> DataFrame:
         return self.oof().join(df.select(F.col(id_col).alias("id"), F.col(target).alias("target")), "id")
@@ -85,7 +89,7 @@ def fold_moments(base: DataFrame, features: Sequence[str], meds, k: int) -> dict
 
 
 def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, experiment: str,
-              extra: DataFrame | None, inverse_fn, importances: list, best_iters: dict,
+              extra: DataFrame | None, importances: list, best_iters: dict,
               moments: dict | None = None) -> DataFrame:
     """Fit on rows outside fold ``f`` (plus ``extra`` rows), score fold ``f`` and unlabelled rows."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
@@ -111,43 +115,61 @@ def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, exp
         score = score.select("id", "__train", "__fold", "label", *[scaled(c) for c in features])
         if lrn.ridge_alpha is not None:
             over["regParam"] = lrn.ridge_alpha / mom["n"] * (mom["sdy"] or 1.0)
-    if lrn.name == "gbt_hist":
-        # hash-chosen 10 % of the fit rows as internal validation (M4)
-        fit = fit.withColumn("__val", (X.seeded_key("id", seed + 1) % 10) == 0)
-        over["validationIndicatorCol"] = "__val"
-    est = lrn.estimator(seed, **over)
-    model = est.fit(assembler.transform(fit))
-    truncated = None
-    if lrn.early_stop:
-        # Loss after each boosting round on the valid fold; the model is cut at
-        # the best round: prediction = sum of the first `best` weighted trees (the
-        # same trees a refit with that round count would grow)
-        valid = assembler.transform(score.where(F.col("__train")))
-        losses = model.evaluateEachIteration(valid, "squared")
-        best = int(np.argmin(losses)) + 1
-        best_iters[f] = best
-        if best < len(model.trees):
-            truncated = (model.trees[:best], model.treeWeights[:best])
-    if hasattr(model, "featureImportances") and truncated is None:
-        imp = model.featureImportances.toArray()
-        importances.extend((f, c, float(v)) for c, v in zip(features, imp))
-    if truncated is None:
-        out = model.transform(assembler.transform(score))
-        pred = _ev(F.col("probability")) if lrn.kind == "classifier_ev" else F.col("prediction")
+    if lrn.patience is not None and lrn.validation == "inner":
+        # hash-chosen 10 % of the fit rows decide when to stop (M4)
+        inner = (X.seeded_key("id", seed + 1) % 10) == 0
+        valid, fit = fit.where(inner), fit.where(~inner)
     else:
-        out = assembler.transform(score)
-        terms = []
-        for i, (tree, w) in enumerate(zip(*truncated)):
-            out = tree.copy().setPredictionCol(f"__t{i}").transform(out)
-            terms.append(F.lit(float(w)) * F.col(f"__t{i}"))
-        pred = sum(terms[1:], terms[0])
-    if inverse_fn is not None:
-        pred = inverse_fn(pred)
+        valid = score.where(F.col("__train"))
+    if lrn.patience is None:
+        model = lrn.estimator(seed, **over).fit(assembler.transform(fit))
+    else:
+        model, best_iters[f] = boost(lrn, seed, assembler.transform(fit), assembler.transform(valid), over)
+    if hasattr(model, "featureImportances"):
+        imp = model.featureImportances.toArray()
+        importances.extend((f, c, float(imp[i]) if i < len(imp) else 0.0) for i, c in enumerate(features))
+    out = model.transform(assembler.transform(score))
+    pred = _ev(F.col("probability")) if lrn.kind == "classifier_ev" else F.col("prediction")
     return out.select(F.lit(experiment).alias("experiment"), "id", F.lit(f).alias("fold"),
                       F.when(F.col("__train"), F.lit("oof")).otherwise(F.lit("test")).alias("split"),
                       pred.cast("double").alias("pred"))
 
 
+def boost(lrn: Learner, seed: int, fit: DataFrame, valid: DataFrame, over: dict):
+    """Boost until the validation loss has not improved for ``patience`` rounds, and cut.
+
+    MLlib cannot continue a fit, so the number of rounds doubles until the best round
+    lies ``patience`` rounds or more before the last (or ``max_rounds`` is reached). The result
+    is one ensemble of the first ``best`` trees, the model a fit of that length gives.
+    """
+    fit, valid = fit.persist(), valid.persist()
+    rounds = min(lrn.max_rounds, max(8, 2 * lrn.patience))
+    while True:
+        model = lrn.estimator(seed, maxIter=rounds, **over).fit(fit)
+        losses = model.evaluateEachIteration(valid, "squared")
+        best = int(np.argmin(losses)) + 1
+        if best + lrn.patience <= len(losses) or rounds >= lrn.max_rounds:
+            break
+        rounds = min(lrn.max_rounds, 2 * rounds)
+    fit.unpersist()
+    valid.unpersist()
+    return truncated(model, best), best
+
+
+def truncated(model, n: int):
+    """The boosted ensemble of the model's first ``n`` trees."""
+    sc = SparkContext._active_spark_context
+    java, gateway = model._java_obj, sc._gateway
+    trees = gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (t, w) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
+        trees[i], weights[i] = t, float(w)
+    short = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights)
+    short.setFeaturesCol(java.getFeaturesCol())
+    short.setPredictionCol(java.getPredictionCol())
+    return GBTRegressionModel(short)
+
+
 def _collect(parts: list) -> DataFrame:
     preds = parts[0]
     for p in parts[1:]:
@@ -196,13 +218,12 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
         if extra is not None:
             ex = extra.where(F.col("model_fold") == f).select(
                 "id", "label", *[_fill_expr(c, meds, f) for c in features])
-        return _fit_fold(f, x, features, lrn, seed, experiment, ex, inverse_fn, importances, best_iters,
-                         moments)
+        return _fit_fold(f, x, features, lrn, seed, experiment, ex, importances, best_iters, moments)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
         parts = list(ex_.map(one_fold, range(k)))
     preds = _collect(parts)
-    return CVResult(experiment, preds, importances, best_iters)
+    return CVResult(experiment, preds, importances, best_iters, inverse_fn or (lambda c: c))
 
 
 def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], lrn: Learner, *,
@@ -232,7 +253,7 @@ def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], l
         meds = {r["col"]: r["q0"] for r in Q.column_quantiles(fit_rows, {c: F.col(c) for c in features}).collect()}
         x = x.select("id", "__train", "__fold", "label",
                      *[F.coalesce(F.col(c), _lit(meds.get(c))).alias(c) for c in features])
-        return _fit_fold(f, x, features, lrn, seed, experiment, None, None, importances, best_iters)
+        return _fit_fold(f, x, features, lrn, seed, experiment, None, importances, best_iters)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
         parts = list(ex_.map(one_fold, range(k)))
@@ -300,24 +321,29 @@ class Space:
         return out
 
 
-def random_search(df: DataFrame, features: Sequence[str], base: Learner, space: Space, n_trials: int,
-                  seed: int = 42, **cv_kw):
+def random_search(df: DataFrame, features: Sequence[str], base: Learner, space: Space, n_trials: int = 40,
+                  seed: int = 42, refit: Learner | None = None, **cv_kw):
     """Seeded random trials, each scored by the k-fold runner (objective = OOF RMSE).
-    Returns ``(trials DataFrame, best params)``; the trial table stores params as a map."""
-    from foldspark.plans.models import Learner as L
+
+    Returns ``(trials DataFrame, best params, refit result or None)``; the trial table stores
+    params as a map. ``refit``: a learner with a longer budget, run once with the best parameters.
+    """
     rng = random.Random(seed)
     rows = []
     for t in range(n_trials):
         params = space.sample(rng)
-        lrn = L(base.name, base.make, {**base.params, **params}, base.scale, base.ridge_alpha,
-                base.early_stop, base.kind)
+        lrn = replace(base, params={**base.params, **params})
         res = run_cv(df, features, lrn, experiment=f"{base.name}_trial{t}", seed=seed, **cv_kw)
         s = res.scores(df).first()
-        rows.append((t, {k: float(v) for k, v in params.items()}, float(s["cv_rmse"]), float(s["cv_std"] or 0.0)))
+        rows.append((t, {k: float(v) for k, v in params.items()}, float(s["cv_rmse"]), float(s["cv_std"] or 0.0), params))
     spark = df.sparkSession
-    trials = spark.createDataFrame(rows, "trial int, params map<string,double>, cv_rmse double, cv_std double")
-    best = min(rows, key=lambda r: r[2])
-    return trials, best[1]
+    trials = spark.createDataFrame([r[:4] for r in rows], "trial int, params map<string,double>, cv_rmse double, cv_std double")
+    best = min(rows, key=lambda r: r[2])[4]
+    final = None
+    if refit is not None:
+        final = run_cv(df, features, replace(refit, params={**refit.params, **best}),
+                       experiment=f"{base.name}_tuned", seed=seed, **cv_kw)
+    return trials, best, final
 
 
 # ---- M6 by sufficient statistics -------------------------------------------------------

@@ -17,16 +17,29 @@ MISSING_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True,
-             tokens=MISSING_TOKENS) -> DataFrame:
-    """Typed CSV scan; missing tokens -> null; NaN never survives in doubles."""
+             tokens=MISSING_TOKENS, malformed: str = "fail") -> DataFrame:
+    """Typed CSV scan; missing tokens -> null; NaN never survives in doubles.
+
+    Tokens must match exactly (`` NA `` is text, as in pandas). Integers may be written
+    as doubles (``34.0``, as pandas does in columns with gaps) if they are integral. Any
+    other text in a typed column fails the read, or becomes null with ``malformed="null"``.
+    """
     raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema.fields])
     raw = spark.read.schema(raw_schema).option("header", header).csv(path)
     tok = F.array(*[F.lit(t) for t in tokens])
     cols = []
     for f in schema.fields:
-        c = F.trim(F.col(f.name))
-        s = F.when(c.isNull() | F.array_contains(tok, c), F.lit(None)).otherwise(F.col(f.name))
-        v = s.try_cast(f.dataType)
+        text = F.when(F.col(f.name).isNull() | F.array_contains(tok, F.col(f.name)), F.lit(None)).otherwise(F.col(f.name))
+        if isinstance(f.dataType, T.StringType):
+            cols.append(text.alias(f.name))
+            continue
+        v = text.try_cast(f.dataType)
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            d = text.try_cast("double")
+            v = F.coalesce(v, F.when((d == F.floor(d)) & (F.abs(d) < 2.0 ** 53), d).try_cast(f.dataType))
+        if malformed == "fail":
+            v = F.when(text.isNotNull() & v.isNull(), F.raise_error(
+                F.concat(F.lit(f"column {f.name}: cannot read "), text)).cast(f.dataType)).otherwise(v)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             v = F.nanvl(v, F.lit(None).cast(f.dataType))
         cols.append(v.alias(f.name))
