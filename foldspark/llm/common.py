@@ -1,49 +1,10 @@
 """Helpers that several operators share: the shared folder, tables that cut lineage, components."""
 from __future__ import annotations
 
-import uuid
-
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that persist)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from foldspark.session import ensure_checkpoint_dir
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/foldspark-llm/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: later steps read files that survive a lost executor.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files behind a table that ``stored`` made and that nothing reads any more."""
-    path = getattr(df, "_stored_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def columns_of(df: DataFrame, **want: str) -> DataFrame:
-    """Select the named columns (new name = old name), so extra columns cannot clash.
-
-    A missing column becomes a null column of type string.
-    """
-    return df.select([(F.col(f"`{old}`") if old in df.columns else F.lit(None).cast("string")).alias(new)
-                      for new, old in want.items()])
+from foldspark.sources.scratch import discard, shared_path, stored  # noqa: F401  (used by the operators)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -76,14 +37,18 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         # small star: u and its smaller neighbours point at the smallest of them
         low = mid.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = mid.withColumnRenamed("a", "u").join(low, "u")
-        new = stored(tidy(small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                          .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))), name)
-        sign = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        new = tidy(small.select(F.col("b").alias("a"), F.col("m").alias("b"))
+                   .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))))
+        # the table's count and checksum come out of the job that writes it
+        seen = Observation()
+        new = stored(new.observe(seen, F.count("*").alias("n"),
+                                 F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+        sign = (seen.get["n"], seen.get["h"])
         discard(cur)
         discard(mid)
         cur = new
-        if tuple(sign) == last:
+        if sign == last:
             break
-        last = tuple(sign)
+        last = sign
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

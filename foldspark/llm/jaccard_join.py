@@ -38,9 +38,10 @@ TAU = 1 - NUM / DEN
 #: how many are remembered. They set only the order of shingles, so no result depends on them.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Largest region, in points and characters of text, that one task joins.
-REGION_POINTS, REGION_CHARS = 400, 8_000_000
-#: Pivots in the first round of a larger region; each further round takes four times as many.
-FIRST_PIVOTS, PIVOT_BLOCK = 8, 16
+REGION_POINTS, REGION_CHARS = 2000, 16_000_000
+#: Pivots in the first round of a larger region; each further round takes eight times as many;
+#: points in one block.
+FIRST_PIVOTS, PIVOT_BLOCK = 32, 128
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -70,17 +71,26 @@ def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 class Points:
-    """Shingle sets laid end to end, for the distances of one set to all."""
+    """An inverted index of shingle sets, for the intersections of one set with all of them."""
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.key, self.start = np.unique(flat[order], return_index=True)
+        self.stop = np.append(self.start[1:], len(flat))
 
     def common(self, s: np.ndarray) -> np.ndarray:
-        """Size of the intersection of ``s`` with every set (all are non-empty)."""
-        at = np.minimum(np.searchsorted(s, self.flat), len(s) - 1)
-        return np.add.reduceat((s[at] == self.flat).astype(np.int64), self.starts)
+        """Size of the intersection of ``s`` with every set."""
+        out = np.zeros(len(self.sizes), np.int64)
+        if len(self.key):
+            at = np.minimum(np.searchsorted(self.key, s), len(self.key) - 1)
+            at = at[self.key[at] == s]
+            lo, n = self.start[at], self.stop[at] - self.start[at]
+            where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(at) else at
+            out += np.bincount(self.owner[where], minlength=len(out))
+        return out
 
 
 def distance(common: np.ndarray, n, m) -> np.ndarray:
@@ -89,26 +99,41 @@ def distance(common: np.ndarray, n, m) -> np.ndarray:
 
 def join_region(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that connect exactly the linked sets of one region."""
-    edges, left = [], list(range(len(sets)))
     eps = 1e-9
-    while len(left) > 1:
-        pts = Points([sets[i] for i in left])
-        pivot = sets[left[0]]
-        common = pts.common(pivot)
-        near = linked(common, pts.sizes, len(pivot))
-        d = distance(common, pts.sizes, len(pivot))
-        cell = np.flatnonzero(near)
-        shell = np.flatnonzero(~near & (d <= 2 * TAU + eps))
-        edges += [(left[0], left[i]) for i in cell[1:]]
-        for y in shell:
+    edges, root = [], list(range(len(sets)))
+    pts = Points(sets)
+    left = np.ones(len(sets), bool)
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    def join(u: int, v: int) -> None:
+        edges.append((u, v))
+        root[find(v)] = find(u)
+
+    for p in range(len(sets)):
+        if not left[p]:
+            continue
+        common = pts.common(sets[p])
+        near = linked(common, pts.sizes, len(sets[p]))
+        d = distance(common, pts.sizes, len(sets[p]))
+        cell = np.flatnonzero(near & left)
+        shell = np.flatnonzero(left & ~near & (d <= 2 * TAU + eps))
+        for i in cell:
+            if i != p:
+                join(p, int(i))
+        inside = near & left
+        for y in shell.tolist():
+            if find(y) == find(p):
+                continue
             # the window: only points of the cell whose pivot distance is close enough
-            window = [i for i in cell if d[i] >= d[y] - TAU - eps]
-            if window:
-                some = Points([sets[left[i]] for i in window])
-                hit = np.flatnonzero(linked(some.common(sets[left[y]]), some.sizes, len(sets[left[y]])))
-                if len(hit):
-                    edges.append((left[0], left[y]))
-        left = [left[i] for i in np.flatnonzero(~near)]
+            window = inside & (d >= d[y] - TAU - eps)
+            if window.any() and (window & linked(pts.common(sets[y]), pts.sizes, len(sets[y]))).any():
+                join(p, y)
+        left &= ~near
     return edges
 
 
@@ -211,89 +236,87 @@ def meet(points: DataFrame, blocks: DataFrame, key: str, once: bool = False) ->
     each of the others in a batch is enough.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict = {}
+        indexes: dict = {}
         for b in batches:
             out, done = [], set()
-            for s1, text, d, comp, key_, others in zip(*[b.column(i).to_pylist() for i in range(6)]):
+            for s1, text, d, comp, block, others in zip(*[b.column(i).to_pylist() for i in range(6)]):
+                if block not in indexes:
+                    indexes.clear()
+                    indexes[block] = (Points([shingles(o["text"]) for o in others]), [o["s1"] for o in others], np.array(
+                        [np.nan if o["d"] is None else o["d"] for o in others]), [o["known"] for o in others])
+                pts, ids, ds, comps = indexes[block]
                 s = shingles(text)
-                for o in others:
-                    if o["s1"] == s1 or (comp is not None and comp == o["known"]) or (key_, o["s1"]) in done:
+                common = pts.common(s)
+                if once:
+                    hit = linked(common, pts.sizes, len(s))
+                else:
+                    hit = distance(common, pts.sizes, len(s)) <= 2 * TAU + 1e-9
+                if d is not None:
+                    hit &= ~(np.abs(ds - d) > TAU + 1e-9)
+                for i in np.flatnonzero(hit).tolist():
+                    if ids[i] == s1 or (comp is not None and comp == comps[i]) or (once and (block, i) in done):
                         continue
-                    if d is not None and o["d"] is not None and abs(d - o["d"]) > TAU + 1e-9:
-                        continue
-                    t = known.get(o["s1"])
-                    if t is None:
-                        if len(known) > 256:
-                            known.clear()
-                        t = known[o["s1"]] = shingles(o["text"])
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    if once:
-                        if DEN * common >= NUM * (len(s) + len(t) - common):
-                            out.append((s1, o["s1"], common, len(s), len(t)))
-                            done.add((key_, o["s1"]))
-                    elif distance(common, len(s), len(t)) <= 2 * TAU + 1e-9:
-                        out.append((s1, o["s1"], common, len(s), len(t)))
+                    done.add((block, i))
+                    out.append((s1, ids[i], int(common[i]), len(s), int(pts.sizes[i])))
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                              names=["s1", "other", "common", "n", "m"])
 
-    joined = points.join(blocks, key).select("s1", "text", "d", "known", F.col(key).cast("string"), "others")
-    return joined.mapInArrow(run, "s1 long, other long, common long, n long, m long")
+    # points spread over all tasks; a task builds the index of a block once, as its rows come together
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = points.repartition(parts, "s1").join(blocks, key).select("s1", "text", "d", "known", "block", "others")
+    return joined.sortWithinPartitions("block").mapInArrow(run, "s1 long, other long, common long, n long, m long")
 
 
 def in_blocks(rows: DataFrame, key: str, size: int = PIVOT_BLOCK) -> DataFrame:
-    """``key, others`` with at most about ``size`` rows an array (rows are dealt by hash)."""
+    """``key, block, others`` with at most about ``size`` rows an array (rows are dealt by hash)."""
     count = rows.groupBy(key).agg(F.count("*").alias("c"))
-    dealt = rows.join(count, key).withColumn(
-        "block", F.pmod(F.xxhash64("s1"), F.ceil(F.col("c") / size)))
-    return dealt.groupBy(key, "block").agg(F.collect_list(F.struct("s1", "text", "d", "known")).alias("others")).drop(
-        "block")
+    dealt = rows.join(count, key).withColumn("part", F.pmod(F.xxhash64("s1"), F.ceil(F.col("c") / size)))
+    return dealt.groupBy(key, "part").agg(F.collect_list(F.struct("s1", "text", "d", "known")).alias("others")).select(
+        key, F.xxhash64(key, "part").alias("block"), "others")
 
 
 def join_large(points: DataFrame) -> DataFrame | None:
     """``a, b`` edges of regions too large for one task. ``points``: ``region, s1, text``, stored."""
     link = f"{DEN} * common >= {NUM} * (n + m - common)"
+    far = 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))
     void = {"d": F.lit(None).cast("double"), "known": F.lit(None).cast("long")}
     left, pivots, edges = points, FIRST_PIVOTS, None
-    while True:
-        if not left.limit(1).count():
-            return edges
-        # pivots: the first points of the region in the order of a hash, a bounded number
-        # (with map-side limits: each task offers its own first ones)
+    while left.limit(1).count():
+        # pivots: a bounded number of each region's points, the first in the order of a hash
         first = left.select("region", "s1", "text").withColumn("o", F.xxhash64(F.lit(pivots), "s1"))
-        cut = first.groupBy("region").agg(F.count("*").alias("c"))
-        few = first.join(cut, "region").where(
-            (F.col("c") <= 2 * pivots) | (F.pmod("o", F.col("c")) < 2 * pivots))
+        count = first.groupBy("region").agg(F.count("*").alias("c"))
+        few = first.join(count, "region").where((F.col("c") <= 2 * pivots) | (F.pmod("o", F.col("c")) < 2 * pivots))
         chosen = stored(few.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("o", "s1"))).where(
             F.col("r") <= pivots).select("region", "s1", "text", "r"), "pivots")
         near = stored(meet(left.withColumns(void), in_blocks(chosen.withColumns(void), "region"), "region"), "near")
-        linked_ = near.where(link).select(F.col("s1").alias("a"), F.col("other").alias("b"))
-        edges = linked_ if edges is None else stored(edges.unionByName(linked_), "edges")
-        known = stored(connected_components(edges), "known")
-        # cells and shells
+        linked_ = near.where(link)
+        found = linked_.select(F.col("s1").alias("a"), F.col("other").alias("b"))
+        # cells: a point belongs to its first pivot. Labels: points with one label are connected for certain
         rank = chosen.select(F.col("s1").alias("other"), "r")
-        home = near.where(link).join(rank, "other").groupBy("s1").agg(
-            F.min(F.struct("r", F.col("other").alias("pivot"), (
-                1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))).alias("h")).select(
-            "s1", "h.pivot", "h.d")
-        shell = near.where(f"not ({link})").select("s1", F.col("other").alias("pivot"), (
-            1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("d"))
-        comp = known.select(F.col("node").alias("s1"), F.col("component").alias("known"))
-        pivot_comp = known.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_known"))
-        shell = shell.join(comp, "s1", "left").join(pivot_comp, "pivot", "left").where(
-            "known is null or pivot_known is null or known <> pivot_known").drop("pivot_known")
-        shell = stored(shell, "shell")
-        if shell.limit(1).count():
-            reach = shell.groupBy("pivot").agg(F.min("d").alias("closest"))
-            inner = home.join(reach, "pivot").where(F.col("d") >= F.col("closest") - TAU - 1e-9).drop("closest")
-            inner = inner.join(comp, "s1", "left").join(points.select("s1", "text"), "s1")
-            outer = shell.join(points.select("s1", "text"), "s1")
-            found = meet(inner.select("pivot", "s1", "text", "d", "known"), in_blocks(outer, "pivot"), "pivot", once=True)
-            more = found.where(link).select(F.col("s1").alias("a"), F.col("other").alias("b")).distinct()
-            edges = stored(edges.unionByName(more), "edges")
+        home = stored(linked_.join(rank, "other").groupBy("s1").agg(
+            F.min(F.struct("r", F.col("other").alias("pivot"), far.alias("d"))).alias("h")).select(
+            "s1", "h.pivot", "h.d"), "cells")
+        own = chosen.join(home.select("s1", F.col("pivot").alias("first")), "s1", "left").select(
+            "s1", F.least("s1", F.coalesce("first", "s1")).alias("label"))
+        label = stored(linked_.join(own.select(F.col("s1").alias("other"), "label"), "other").select("s1", "label").unionByName(
+            own).groupBy("s1").agg(F.min("label").alias("known")), "labels")
+        shell = near.where(f"not ({link})").select("s1", F.col("other").alias("pivot"), far.alias("d"))
+        shell = shell.join(label, "s1", "left").join(label.select(
+            F.col("s1").alias("pivot"), F.col("known").alias("pivot_known")), "pivot", "left").where(
+            "known is null or known <> pivot_known").drop("pivot_known")
+        reach = shell.groupBy("pivot").agg(F.min("d").alias("closest"))
+        inner = home.unionByName(chosen.select("s1", F.col("s1").alias("pivot"), F.lit(0.0).alias("d"))).join(
+            reach, "pivot").where(F.col("d") >= F.col("closest") - TAU - 1e-9).drop("closest")
+        inner = inner.join(label, "s1", "left").join(points.select("s1", "text"), "s1")
+        outer = shell.join(points.select("s1", "text"), "s1")
+        across = meet(inner.select("pivot", "s1", "text", "d", "known"), in_blocks(outer, "pivot"), "pivot", once=True)
+        found = found.unionByName(across.select(F.col("s1").alias("a"), F.col("other").alias("b")))
+        edges = stored(found.distinct() if edges is None else edges.unionByName(found).distinct(), "edges")
         covered = home.select("s1").unionByName(chosen.select("s1")).distinct()
         left = stored(left.join(covered, "s1", "left_anti").select("region", "s1", "text"), "left")
-        pivots *= 4
+        pivots *= 8
+    return edges
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
