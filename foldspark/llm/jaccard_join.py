@@ -14,8 +14,8 @@ Jaccard distance is a metric, and documents link at distance ``TAU`` (0.2) or le
   replicated to the cell, and there only pairs whose pivot distances differ by at
   most ``TAU`` are compared. Points in no cell form the next region, with new pivots, until none is left.
 
-Small regions are joined in one task by the same steps. Larger ones run them as Spark jobs: pivots in
-bounded blocks meet the region's points in a join that adaptive execution splits.
+Small regions are joined in one task by the same steps. Larger ones run them as Spark jobs: pivots and
+points meet in tasks of bounded size, however large the region is.
 Pairs are never enumerated within a cell: its points are connected through the pivot.
 """
 from __future__ import annotations
@@ -39,9 +39,9 @@ TAU = 1 - NUM / DEN
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Largest region, in points and characters of text, that one task joins.
 REGION_POINTS, REGION_CHARS = 2000, 16_000_000
-#: Pivots in the first round of a larger region; each further round takes eight times as many;
-#: points in one block.
-FIRST_PIVOTS, PIVOT_BLOCK = 32, 128
+#: Pivots in the first round of a larger region; each further round takes eight times as many.
+#: Points of either side, about, that one task compares.
+FIRST_PIVOTS, TASK_POINTS = 32, 128
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -226,54 +226,49 @@ def join_small(points: DataFrame) -> DataFrame:
     return points.select("region", "s1", "text").groupBy("region").applyInArrow(run, "a long, b long")
 
 
-def meet(points: DataFrame, blocks: DataFrame, key: str, once: bool = False) -> DataFrame:
-    """Every point against the bounded blocks of its ``key``.
+def meet(points: DataFrame, others: DataFrame, key: str, once: bool = False) -> DataFrame:
+    """Every point against the others of its ``key``, in tasks of bounded size.
 
-    ``points``: ``key, s1, text, d, known``; ``blocks``: ``key, others`` (an array of ``s1, text, d, known``).
-    Gives ``s1, other, common, n, m`` for pairs at distance ``2 * TAU`` or less whose pivot distances ``d``
-    (null: not known) differ by at most ``TAU`` and that aren't connected yet (``known`` differs or is null).
-    With ``once``, all points of a key are connected already: only links count, and one for
-    each of the others in a batch is enough.
+    Both tables: ``key, s1, text, d, known``. Gives ``s1, other, common, n, m`` for pairs at distance
+    ``2 * TAU`` or less whose pivot distances ``d`` (null: not known) differ by at most ``TAU`` and that
+    aren't connected yet (``known`` differs or is null). With ``once``, all points of a key are connected
+    already: only links count, and one for each of the others in a task is enough.
+
+    The points of a key are dealt to salts and its others to blocks, by hash; a task has one salt and
+    one block, so a hot key is spread over many.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes: dict = {}
-        for b in batches:
-            out, done = [], set()
-            for s1, text, d, comp, block, others in zip(*[b.column(i).to_pylist() for i in range(6)]):
-                if block not in indexes:
-                    indexes.clear()
-                    indexes[block] = (Points([shingles(o["text"]) for o in others]), [o["s1"] for o in others], np.array(
-                        [np.nan if o["d"] is None else o["d"] for o in others]), [o["known"] for o in others])
-                pts, ids, ds, comps = indexes[block]
-                s = shingles(text)
-                common = pts.common(s)
-                if once:
-                    hit = linked(common, pts.sizes, len(s))
-                else:
-                    hit = distance(common, pts.sizes, len(s)) <= 2 * TAU + 1e-9
-                if d is not None:
-                    hit &= ~(np.abs(ds - d) > TAU + 1e-9)
-                for i in np.flatnonzero(hit).tolist():
-                    if ids[i] == s1 or (comp is not None and comp == comps[i]) or (once and (block, i) in done):
-                        continue
-                    done.add((block, i))
-                    out.append((s1, ids[i], int(common[i]), len(s), int(pts.sizes[i])))
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["s1", "other", "common", "n", "m"])
-
-    # points spread over all tasks; a task builds the index of a block once, as its rows come together
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = points.repartition(parts, "s1").join(blocks, key).select("s1", "text", "d", "known", "block", "others")
-    return joined.sortWithinPartitions("block").mapInArrow(run, "s1 long, other long, common long, n long, m long")
-
-
-def in_blocks(rows: DataFrame, key: str, size: int = PIVOT_BLOCK) -> DataFrame:
-    """``key, block, others`` with at most about ``size`` rows an array (rows are dealt by hash)."""
-    count = rows.groupBy(key).agg(F.count("*").alias("c"))
-    dealt = rows.join(count, key).withColumn("part", F.pmod(F.xxhash64("s1"), F.ceil(F.col("c") / size)))
-    return dealt.groupBy(key, "part").agg(F.collect_list(F.struct("s1", "text", "d", "known")).alias("others")).select(
-        key, F.xxhash64(key, "part").alias("block"), "others")
+    deal = points.groupBy(key).agg(F.ceil(F.count("*") / TASK_POINTS).alias("salts")).join(
+        others.groupBy(key).agg(F.ceil(F.count("*") / TASK_POINTS).alias("blocks")), key)
+    names = ["s1", "text", "d", "known"]
+    left = points.select(key, *names).join(deal, key).select(
+        key, *names, F.pmod(F.xxhash64(F.lit("salt"), "s1"), F.col("salts")).alias("salt"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = others.select(key, *names).join(deal, key).select(
+        key, *names, F.pmod(F.xxhash64(F.lit("block"), "s1"), F.col("blocks")).alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+
+    def run(left, right):
+        pts = Points([shingles(t) for t in right.column("text").to_pylist()])
+        ids, comps = right.column("s1").to_pylist(), right.column("known").to_pylist()
+        ds = np.array([np.nan if d is None else d for d in right.column("d").to_pylist()], float)
+        out, done = [], set()
+        for s1, text, d, comp in zip(*[left.column(c).to_pylist() for c in names]):
+            s = shingles(text)
+            common = pts.common(s)
+            hit = linked(common, pts.sizes, len(s)) if once else distance(common, pts.sizes, len(s)) <= 2 * TAU + 1e-9
+            if d is not None:
+                hit &= ~(np.abs(ds - d) > TAU + 1e-9)
+            for i in np.flatnonzero(hit).tolist():
+                if ids[i] == s1 or (comp is not None and comp == comps[i]) or (once and i in done):
+                    continue
+                done.add(i)
+                out.append((s1, ids[i], int(common[i]), len(s), int(pts.sizes[i])))
+        cols = list(zip(*out)) or [()] * 5
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["s1", "other", "common", "n", "m"])
+
+    by = [key, "block", "salt"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(
+        run, "s1 long, other long, common long, n long, m long")
 
 
 def join_large(points: DataFrame) -> DataFrame | None:
@@ -289,7 +284,7 @@ def join_large(points: DataFrame) -> DataFrame | None:
         few = first.join(count, "region").where((F.col("c") <= 2 * pivots) | (F.pmod("o", F.col("c")) < 2 * pivots))
         chosen = stored(few.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("o", "s1"))).where(
             F.col("r") <= pivots).select("region", "s1", "text", "r"), "pivots")
-        near = stored(meet(left.withColumns(void), in_blocks(chosen.withColumns(void), "region"), "region"), "near")
+        near = stored(meet(left.withColumns(void), chosen.withColumns(void), "region"), "near")
         linked_ = near.where(link)
         found = linked_.select(F.col("s1").alias("a"), F.col("other").alias("b"))
         # cells: a point belongs to its first pivot. Labels: points with one label are connected for certain
@@ -310,7 +305,8 @@ def join_large(points: DataFrame) -> DataFrame | None:
             reach, "pivot").where(F.col("d") >= F.col("closest") - TAU - 1e-9).drop("closest")
         inner = inner.join(label, "s1", "left").join(points.select("s1", "text"), "s1")
         outer = shell.join(points.select("s1", "text"), "s1")
-        across = meet(inner.select("pivot", "s1", "text", "d", "known"), in_blocks(outer, "pivot"), "pivot", once=True)
+        inner, outer = stored(inner, "cell-points"), stored(outer, "shell-points")
+        across = meet(inner, outer, "pivot", once=True)
         found = found.unionByName(across.select(F.col("s1").alias("a"), F.col("other").alias("b")))
         edges = stored(found.distinct() if edges is None else edges.unionByName(found).distinct(), "edges")
         covered = home.select("s1").unionByName(chosen.select("s1")).distinct()
