@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldspark.functions import exprs as X
-from foldspark.operators.joins import checked_small, collect_if_small, lookup
+from foldspark.operators.joins import checked_small, left_lookup
+from foldspark.sources.scratch import stored
 
 # The alias dictionaries of the source workload (country spellings).
 COUNTRY_ALIASES = {"Spain": "Ispanya", "South Korea": "Guney Kore", "Sweden": "Isvec"}
@@ -56,8 +57,9 @@ def ranked_levels(levels: DataFrame, n_parts: int | None = None) -> DataFrame:
     earlier partitions (a prefix sum over one row per partition) minus the
     column's first rank."""
     n_parts = n_parts or int(levels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = (levels.repartitionByRange(n_parts, "col", "level")
-                  .withColumn("__pid", F.spark_partition_id()))
+    # stored: the offsets and the rows must come from one evaluation of the ranges
+    part = stored(levels.repartitionByRange(n_parts, "col", "level")
+                        .withColumn("__pid", F.spark_partition_id()), "levels")
     w_in = Window.partitionBy("__pid").orderBy("col", "level")
     part = part.withColumn("__rn", F.row_number().over(w_in))
     counts = part.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
@@ -75,67 +77,34 @@ def category_levels(df: DataFrame, cols: Sequence[str], where=None) -> DataFrame
     return ranked_levels(distinct_levels(df, cols, where))
 
 
-def _dictionary(df: DataFrame, cols: Sequence[str], train_col: str):
-    """Train-level dictionary: literal rows (codes ranked on the driver, at most
-    ``joins.LITERAL_MAX_ROWS`` of them) when small, else a distributed-rank table
-    with a size check for broadcasting."""
-    lv = distinct_levels(df, cols, F.col(train_col))
-    rows = collect_if_small(lv)
-    if rows is not None:
-        out = []
-        for c in cols:
-            # Spark orders strings by UTF-8 bytes, i.e. by code point, like Python
-            for code, r in enumerate(sorted((r for r in rows if r["col"] == c), key=lambda r: r["level"])):
-                out.append({"col": c, "level": r["level"], "code": code})
-        return out, None, False
-    table, small = checked_small(ranked_levels(lv))
-    return None, table, small
+def _dictionary(df: DataFrame, cols: Sequence[str], train_col: str) -> tuple[DataFrame, bool]:
+    """Train-level dictionary ``(col, level, code, n)``, stored, and whether it may be broadcast."""
+    return checked_small(ranked_levels(distinct_levels(df, cols, F.col(train_col))))
 
 
 def align_categories(df: DataFrame, cols: Sequence[str], train_col: str = "is_train") -> DataFrame:
     """Keep only levels seen in train rows; other levels (test-only) -> null."""
-    rows, table, small = _dictionary(df, cols, train_col)
-    if rows is not None:
-        sel = []
-        for c in df.columns:
-            if c in cols:
-                pairs = [(r["level"], r["code"]) for r in rows if r["col"] == c]
-                seen = lookup(pairs, F.col(c).cast("string"), "int").isNotNull()
-                sel.append(F.when(seen, F.col(c)).alias(c))
-            else:
-                sel.append(F.col(c))
-        return df.select(*sel)
+    table, small = _dictionary(df, cols, train_col)
     out = df
     for c in cols:
-        d = table.where(F.col("col") == c).select(F.col("level").alias(f"__lv_{c}"))
-        d = F.broadcast(d) if small else d
-        out = (out.join(d, F.col(c).cast("string") == F.col(f"__lv_{c}"), "left")
-                  .withColumn(c, F.when(F.col(f"__lv_{c}").isNotNull(), F.col(c)))
-                  .drop(f"__lv_{c}"))
+        d = table.where(F.col("col") == c).select("level", F.col("level").alias("__seen"))
+        out = left_lookup(out, [F.col(c).cast("string")], d, ["level"], small).withColumn(
+            c, F.when(F.col("__seen").isNotNull(), F.col(c))).drop("__seen")
     return out
 
 
 def category_codes(df: DataFrame, cols: Sequence[str], train_col: str = "is_train",
                    suffix: str = "") -> DataFrame:
-    """Level -> integer code from the train dictionary; missing/unseen -> null.
-
-    A dictionary of at most ``joins.LITERAL_MAX_ROWS`` levels becomes a literal
-    map lookup (no join); a larger one is joined after a size check
-    (``joins.checked_small``: broadcast when small, else shuffle join)."""
-    rows, table, small = _dictionary(df, cols, train_col)
-    if rows is not None:
-        codes = {c: lookup([(r["level"], r["code"]) for r in rows if r["col"] == c],
-                           F.col(c).cast("string"), "int") for c in cols}
-        if suffix:
-            return df.select("*", *[codes[c].alias(c + suffix) for c in cols])
-        return df.select(*[codes[c].alias(c) if c in cols else F.col(c) for c in df.columns])
+    """Level -> integer code from the train dictionary; missing/unseen -> null."""
+    table, small = _dictionary(df, cols, train_col)
     out = df
-    for c in cols:
-        d = table.where(F.col("col") == c).select(F.col("level").alias("__lv"), F.col("code").alias("__code"))
-        d = F.broadcast(d) if small else d
-        out = (out.join(d, F.col(c).cast("string") == F.col("__lv"), "left")
-                  .withColumn(c + suffix, F.col("__code")).drop("__lv", "__code"))
-    return out
+    for i, c in enumerate(cols):
+        d = table.where(F.col("col") == c).select("level", F.col("code").alias(f"__code{i}"))
+        out = left_lookup(out, [F.col(c).cast("string")], d, ["level"], small)
+    codes = {c: F.col(f"__code{i}").alias(c + suffix) for i, c in enumerate(cols)}
+    if suffix:
+        return out.select(*[F.col(c) for c in df.columns], *codes.values())
+    return out.select(*[codes.get(c, F.col(c)) for c in df.columns])
 
 
 def unseen_levels(df: DataFrame, cols: Sequence[str], train_col: str = "is_train") -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.operators.joins import checked_small, collect_if_small, literal_map, sql_struct
+from foldspark.operators.joins import checked_small, left_lookup
 
 DEFAULT_GROUP_COLS = ["country", "occupation", "chronotype"]
 DEFAULT_AGG_COLS = ["age", "stress", "work_hours", "rem_pct", "bmi"]
@@ -41,44 +41,15 @@ def group_stats(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
                 .agg(*aggs))
 
 
-def apply_group_statistics(df: DataFrame, stats, small: bool,
+def apply_group_statistics(df: DataFrame, stats: DataFrame, small: bool,
                            group_cols: Sequence[str], agg_cols: Sequence[str]) -> DataFrame:
-    """Attach the fitted statistics per group column and add the deviations.
-    ``stats`` is a list of rows (literal map lookups, no join) or a DataFrame
-    (joined; broadcast when ``small``)."""
-    if isinstance(stats, list):
-        # one lookup per group column returning a struct of all its statistics,
-        # evaluated once per row in its own projection
-        structs = []
-        for i, g in enumerate(group_cols):
-            rows = [r for r in stats if r["group_col"] == g]
-            pairs = [(r["level"], sql_struct({f"{a}_{st}": r[f"{a}_{st}"] for a in agg_cols
-                                              for st in ("mean", "std")})) for r in rows]
-            if pairs:
-                val = literal_map(pairs)[F.col(g).cast("string")]
-            else:
-                val = F.lit(None).cast(", ".join(f"{a}_{st}: double" for a in agg_cols for st in ("mean", "std"))
-                                       .join(["struct<", ">"]))
-            structs.append(val.alias(f"__gs{i}"))
-        x = df.select("*", *structs)
-        added = []
-        for i, g in enumerate(group_cols):
-            for a in agg_cols:
-                mean = F.col(f"__gs{i}").getField(f"{a}_mean")
-                added += [mean.alias(stats_name(g, a, "mean")),
-                          F.col(f"__gs{i}").getField(f"{a}_std").alias(stats_name(g, a, "std")),
-                          (F.col(a) - mean).alias(stats_name(g, a, "dev"))]
-        return x.select(*[F.col(c) for c in df.columns], *added)
-    out = df
-    added = []
-    for i, g in enumerate(group_cols):
-        cols = [F.col("level").alias(f"__lv{i}")]
-        for a in agg_cols:
-            cols += [F.col(f"{a}_mean").alias(stats_name(g, a, "mean")),
-                     F.col(f"{a}_std").alias(stats_name(g, a, "std"))]
-        t = stats.where(F.col("group_col") == g).select(*cols)
-        t = F.broadcast(t) if small else t
-        out = out.join(t, F.col(g).cast("string") == F.col(f"__lv{i}"), "left")
+    """Join the fitted statistics per group column and add the deviations
+    (broadcast when ``small``)."""
+    out, added = df, []
+    for g in group_cols:
+        t = stats.where(F.col("group_col") == g).select("level", *[
+            F.col(f"{a}_{st}").alias(stats_name(g, a, st)) for a in agg_cols for st in ("mean", "std")])
+        out = left_lookup(out, [F.col(g).cast("string")], t, ["level"], small)
         for a in agg_cols:
             added += [F.col(stats_name(g, a, "mean")), F.col(stats_name(g, a, "std")),
                       (F.col(a) - F.col(stats_name(g, a, "mean"))).alias(stats_name(g, a, "dev"))]
@@ -87,13 +58,8 @@ def apply_group_statistics(df: DataFrame, stats, small: bool,
 
 def fit_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,
                          agg_cols: Sequence[str] = DEFAULT_AGG_COLS, train_col: str | None = "is_train"):
-    """Fitted statistics: ``(rows, True)`` when small enough for literal lookups,
-    else ``(persisted table, passed broadcast size check)``."""
-    st = group_stats(df, group_cols, agg_cols, train_col)
-    rows = collect_if_small(st)
-    if rows is not None:
-        return rows, True
-    return checked_small(st)
+    """Fitted statistics: ``(stored table, passed broadcast size check)``."""
+    return checked_small(group_stats(df, group_cols, agg_cols, train_col))
 
 
 def add_group_statistics(df: DataFrame, group_cols: Sequence[str] = DEFAULT_GROUP_COLS,

@@ -1,9 +1,9 @@
-"""Joins of a small statistics table back onto a wide row table.
+"""Joins of a statistics table back onto a wide row table.
 
-``attach`` broadcasts the statistics side only after checking its size: the
-table is persisted (it is an aggregate result, so it is computed once), counted,
-and broadcast when it has at most ``max_rows`` rows. Beyond that the join is a
-normal shuffle join that AQE may still re-plan (and split skewed partitions of).
+One path for every size: an equi-join. The statistics table is stored once and measured;
+it is broadcast when its rows take at most ``BROADCAST_BYTES`` in memory, else the join
+shuffles, and adaptive execution may split skewed partitions. Rows without a key match
+nothing; in the shuffled form they are spread over all tasks instead of meeting in one.
 Tables whose size is bounded by construction (one row per split, per fold or per
 bin) use ``attach_bounded`` and skip the check.
 """
@@ -11,25 +11,59 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def checked_small(stats: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Persist ``stats`` and report whether it is small enough to broadcast."""
-    max_rows = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
-    stats = stats.persist(StorageLevel.MEMORY_AND_DISK)
-    n = stats.limit(max_rows + 1).count()
-    return stats, n <= max_rows
-
-
-def attach(df: DataFrame, stats: DataFrame, on, how: str = "left",
-           max_rows: int | None = None) -> DataFrame:
-    stats, small = checked_small(stats, max_rows)
+from pyspark.sql import types as T
+
+from foldspark.sources.scratch import stored
+
+#: Most bytes of a broadcast statistics table, as rows in memory.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row in memory, about: 24 bytes and 8 a column, and the bytes of its texts."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields
+            if isinstance(f.dataType, T.StringType)]
+    return sum(text, F.lit(24 + 8 * len(df.columns)))
+
+
+def checked_small(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Store ``stats`` (an aggregate is then computed once) and say whether it may be broadcast."""
+    table = stored(stats, "statistics")
+    size = table.agg(F.sum(row_bytes(table).cast("long")).alias("n")).first()["n"] or 0
+    return table, size <= BROADCAST_BYTES
+
+
+def left_lookup(df: DataFrame, keys: Sequence[Column], table: DataFrame, table_keys: Sequence[str],
+                small: bool) -> DataFrame:
+    """Left join of ``table`` (unique ``table_keys``, never null) on key expressions of ``df``.
+
+    The columns of ``table`` other than its keys are added."""
+    names = [f"__t{i}" for i in range(len(table_keys))]
+    t = table.withColumnsRenamed(dict(zip(table_keys, names)))
+    cond = F.lit(True)
+    if small:
+        for k, n in zip(keys, names):
+            cond = cond & (k == F.col(n))
+        return df.join(F.broadcast(t), cond, "left").drop(*names)
+    own = [f"__k{i}" for i in range(len(keys))]
+    x = df.withColumns({o: k for o, k in zip(own, keys)})
+    # a null key may land anywhere: the salt is null unless a key is
+    lost = reduce(lambda a, b: a | b, [F.col(o).isNull() for o in own])
+    x = x.withColumn("__salt", F.when(lost, (F.rand(7) * 65536).cast("int")).otherwise(F.lit(-1)))
+    t = t.withColumn("__tsalt", F.lit(-1))
+    for o, n in zip(own, names):
+        kind = dict(t.dtypes)[n]
+        x = x.withColumn(o, F.coalesce(F.col(o).cast(kind), F.lit("0").cast(kind)))
+        cond = cond & (F.col(o) == F.col(n))
+    return x.join(t, cond & (F.col("__salt") == F.col("__tsalt")), "left").drop(*own, *names, "__salt", "__tsalt")
+
+
+def attach(df: DataFrame, stats: DataFrame, on, how: str = "left") -> DataFrame:
+    stats, small = checked_small(stats)
     return df.join(F.broadcast(stats) if small else stats, on=on, how=how)
 
 
@@ -59,21 +93,7 @@ def coverage(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("id",)) -> DataF
     return attach_scalar_row(only_a, only_b)
 
 
-# ---- literal lookups for small statistics tables -------------------------------------
-
-LITERAL_MAX_ROWS = 5_000
-
-
-def collect_if_small(stats: DataFrame, max_rows: int | None = None):
-    """Rows of ``stats`` when it has at most ``max_rows`` rows, else ``None``.
-
-    A statistics table this small is turned into a literal map lookup (see
-    ``literal_map``): no join, no broadcast exchange, evaluated inside the
-    generated code of the projection. Larger tables take the join path."""
-    max_rows = LITERAL_MAX_ROWS if max_rows is None else max_rows
-    rows = stats.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
+# ---- literal lookups: a handful of entries (splits, given mappings) ------------------
 
 def sql_value(v) -> str:
     """SQL text of a Python scalar, exact for doubles (shortest round-trip repr)."""
@@ -98,25 +118,11 @@ def sql_double(v) -> str:
     return "cast(NULL as double)" if v is None else f"cast({sql_value(float(v))} as double)"
 
 
-def sql_struct(fields: dict) -> str:
-    """``named_struct`` of double fields."""
-    return "named_struct(" + ", ".join(f"'{k}', {sql_double(v)}" for k, v in fields.items()) + ")"
-
-
 def sql_map(pairs) -> str:
     """``map(k1, v1, ...)`` from (Python key, SQL value text) pairs."""
     return "map(" + ", ".join(f"{sql_value(k)}, {v}" for k, v in pairs) + ")"
 
 
-def literal_map(pairs, value_type: str = "double") -> Column:
-    """Literal map column from (Python key, SQL value text) pairs, built as one
-    SQL expression (one call, however many entries)."""
-    pairs = list(pairs)
-    if not pairs:
-        return F.expr(f"cast(map() as map<string,{value_type}>)")
-    return F.expr(sql_map(pairs))
-
-
 def lookup(pairs, key: Column, value_type: str) -> Column:
     """Value of ``key`` in a literal map of Python (key, value) scalars (null when absent)."""
     pairs = list(pairs)

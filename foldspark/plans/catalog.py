@@ -1,6 +1,6 @@
 """Query catalogue: name -> (Spark builder, DuckDB oracle SQL or None).
 
-Builders take ``(spark, sf_dir)`` and return a lazy DataFrame. Oracle text is an
+Builders take ``(spark, sf_dir)`` and return a DataFrame (statistics and fits run while it is built). Oracle text is an
 independent SQL formulation over the same driver tables (the fixture CTEs are
 shared text). Float outputs are rounded on both sides (8 digits for row values,
 6 for aggregates), since float sums depend on evaluation order.
@@ -35,7 +35,7 @@ def query(name: str, oracle: str | None = None, ids: str = ""):
 def load_all() -> dict[str, Query]:
     # import for registration side effects
     from foldspark.plans import (q_prep, q_metrics, q_blend, q_calibrate,  # noqa: F401
-                                 q_models)
+                                 q_models, q_checks)
     return REGISTRY
 
 

@@ -1,4 +1,4 @@
-"""The literal-lookup, broadcast and shuffle-join paths give the same results."""
+"""Broadcast and shuffled joins of a statistics table give the same results."""
 import numpy as np
 import pandas as pd
 import pytest
@@ -25,11 +25,9 @@ def _run(df):
     return out.toPandas().sort_values("id").reset_index(drop=True)
 
 
-@pytest.mark.parametrize("literal,broadcast", [(0, 2_000_000), (0, 0)])
-def test_paths_agree(frame, monkeypatch, literal, broadcast):
+def test_paths_agree(frame, monkeypatch):
     base = _run(frame)
-    monkeypatch.setattr(joins, "LITERAL_MAX_ROWS", literal)
-    monkeypatch.setattr(joins, "DEFAULT_MAX_BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     other = _run(frame)
     assert list(base.columns) == list(other.columns)
     pd.testing.assert_frame_equal(base, other, check_exact=False, rtol=1e-12)
@@ -54,8 +52,7 @@ def test_hot_level_shuffle_path(spark, monkeypatch):
     c = np.where(np.arange(n) % 3 == 0, "hot", rng.choice(["a", "b", "c", "d"], n))
     pdf = pd.DataFrame({"id": np.arange(n), "c": c, "target": rng.normal(5, 2, n), "is_train": True})
     df = folds.hash_folds(spark.createDataFrame(pdf), 5, 42)
-    monkeypatch.setattr(joins, "LITERAL_MAX_ROWS", 0)
-    monkeypatch.setattr(joins, "DEFAULT_MAX_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     out = encode.target_encode(df, ["c"]).toPandas().sort_values("id").reset_index(drop=True)
     gm = out.target.mean()
     for f in range(5):
