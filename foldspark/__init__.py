@@ -8,7 +8,6 @@ functions  column expressions: scalar helpers and the feature recipe
 operators  DataFrame -> DataFrame operators (cleaning, folds, encodings,
            group statistics, metrics, blends, calibrations)
 plans      end-to-end jobs: fixtures, MLlib k-fold runners, the query catalogue
-streaming  (empty) the source workload has no streaming part
 """
 
 __version__ = "0.1.0"

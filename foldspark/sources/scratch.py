@@ -1,6 +1,7 @@
 """Intermediate tables in the shared folder that ``spark.checkpoint.dir`` names."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,13 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    Its cleaner acts when the driver collects garbage, which a long job with little
+    work on the driver seldom does by itself.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
