@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from foldspark.sources.scratch import discard, shared_path, stored  # noqa: F401  (used by the operators)
+from foldspark.sources.scratch import discard, release, shared_path, stored  # noqa: F401  (used by the operators)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import connected_components, stored
+from foldspark.llm.common import connected_components, discard, release, stored
 
 WORDS = 5
 #: A link needs NUM * union <= DEN * intersection.
@@ -205,12 +205,16 @@ def regions(keys: DataFrame) -> DataFrame:
     """
     step = F.lit(DEN / NUM)
     shared = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
-    cand = keys.join(shared, "key").select("key", "s1", F.floor(F.log(F.col("n")) / F.log(step) + 1e-9).alias("band"))
-    cand = cand.select("key", "s1", F.explode(F.array("band", F.col("band") + 1)).alias("band")).distinct()
-    low = cand.groupBy("key", "band").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select(
+    cand = stored(keys.join(shared, "key").select("key", "s1", F.floor(
+        F.log(F.col("n")) / F.log(step) + 1e-9).cast("int").alias("band")), "shared-keys")
+    release(keys.sparkSession)
+    both = cand.select("key", "s1", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    low = both.groupBy("key", "band").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select(
         "key", "band", "lo")
-    edges = cand.join(low, ["key", "band"]).where("s1 <> lo").select(
-        F.col("s1").alias("a"), F.col("lo").alias("b")).distinct()
+    edges = stored(both.join(low, ["key", "band"]).where("s1 <> lo").select(
+        F.col("s1").alias("a"), F.col("lo").alias("b")).distinct(), "shared-edges")
+    discard(cand)
+    release(keys.sparkSession)
     return connected_components(edges, "regions")
 
 
@@ -310,6 +314,7 @@ def join_large(points: DataFrame) -> DataFrame | None:
         found = found.unionByName(across.select(F.col("s1").alias("a"), F.col("other").alias("b")))
         edges = stored(found.distinct() if edges is None else edges.unionByName(found).distinct(), "edges")
         covered = home.select("s1").unionByName(chosen.select("s1")).distinct()
+        release(points.sparkSession)
         left = stored(left.join(covered, "s1", "left_anti").select("region", "s1", "text"), "left")
         pivots *= 8
     return edges
@@ -324,16 +329,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(points_and_keys(docs, frequent_shingles(docs)), "shingle-keys")
-    every = rows.where("key is null").select("doc_id", "n", "s1", "s2")
+    every = stored(rows.where("key is null").select("doc_id", "n", "s1", "s2"), "points")
     classes = stored(every.where("s1 is not null").groupBy("s1").agg(
         F.min("doc_id").alias("doc_id"), F.min("s2").alias("lo"), F.max("s2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():
         raise ValueError("two different shingle sets share a 64-bit digest; change the seed of the digest")
     region = stored(regions(rows.where("key is not null").select("key", "s1", "n")), "region-of")
+    discard(rows)
     members = region.join(classes.select(F.col("s1").alias("node"), "doc_id"), "node").where(
         "doc_id is not null").select(F.col("node").alias("s1"), F.col("component").alias("region"), F.col("doc_id").alias("d"))
     texts = docs.join(members, F.col("doc_id") == F.col("d")).select("region", "s1", "text")
     texts = stored(texts, "region-texts")
+    release(docs.sparkSession)
     extent = texts.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"))
     big = stored(extent.where((F.col("points") > REGION_POINTS) | (F.col("chars") > REGION_CHARS)).select("region"), "big")
     edges = stored(join_small(texts.join(big, "region", "left_anti")), "small-edges")
