@@ -156,6 +156,7 @@ def q_calibration_choice(spark, sf):
         "isotonic": C.calibrate_isotonic(base),
         "quadratic": C.calibrate_quadratic(base),
         "bins": C.calibrate_bins(base),
+        "ridge": C.calibrate_ridge_residual(base.withColumn("stack", F.col("pred")), "stack", ["p_a", "p_b", "p_c"]),
     }
     long = None
     for name, df in methods.items():

@@ -142,9 +142,9 @@ _COMPOSITE = ["gender", "occupation", "country", "mental_state", "season", "day_
 def q_composite_category(spark, sf):
     """F44 composite key (null -> 'MISSING', joined by '_') and P5 missing-as-level."""
     p = cleaned_panel(spark, sf)
-    lv = clean.missing_as_level(p.select("id", *CATS), CATS)
-    return (p.select("id", R.composite_category(_COMPOSITE).alias("mega_cat"))
-             .join(lv.select("id", *[F.col(c).alias(f"{c}_lvl") for c in CATS]), "id"))
+    levels = [f"{c}_lvl" for c in CATS]
+    return clean.missing_as_level(p.select("id", R.composite_category(_COMPOSITE).alias("mega_cat"),
+                                           *[F.col(c).alias(n) for c, n in zip(CATS, levels)]), levels)
 
 
 # ---- step 1: row features ---------------------------------------------------------

@@ -382,6 +382,7 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
         by value (numpy / pandas only), not imported on the executors."""
         import numpy as _np
         import pandas as _pd
+        acc: dict = {}
         for pdf in pdf_iter:
             if pdf.empty:
                 continue
@@ -390,15 +391,14 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
             M = _np.isnan(X[:, q_idx]).astype(float) if q_idx else _np.zeros((len(X), 0))
             U = _np.hstack([_np.where(_np.isnan(X), 0.0, X - shift), M])
             folds_ = pdf["__fold"].to_numpy()
-            out_f, out_v = [], []
             for f in _np.unique(folds_):
                 sel = folds_ == f
                 Uf, yf = U[sel], y[sel]
                 v = _np.concatenate([[sel.sum()], Uf.sum(0), [yf.sum(), (yf * yf).sum()],
                                      (Uf.T @ Uf).ravel(), Uf.T @ yf])
-                out_f.append(int(f))
-                out_v.append(v.tolist())
-            yield _pd.DataFrame({"fold": out_f, "v": out_v})
+                acc[int(f)] = acc.get(int(f), 0.0) + v
+        if acc:
+            yield _pd.DataFrame({"fold": list(acc), "v": [v.tolist() for v in acc.values()]})
 
     parts = tr.select("__fold", *features, "label").mapInPandas(moment_sums, "fold int, v array<double>")
     sums = (parts.select("fold", F.posexplode("v").alias("i", "x")).groupBy("fold", "i").agg(F.sum("x").alias("x"))
