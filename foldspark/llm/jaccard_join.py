@@ -40,8 +40,9 @@ SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Largest region, in points and characters of text, that one task joins.
 REGION_POINTS, REGION_CHARS = 2000, 16_000_000
 #: Pivots in the first round of a larger region; each further round takes eight times as many.
-#: Points of either side, about, that one task compares.
-FIRST_PIVOTS, TASK_POINTS = 32, 128
+FIRST_PIVOTS = 64
+#: Points of either side, and characters of their texts, about, that one task compares.
+TASK_POINTS, TASK_CHARS = 2048, 8_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -241,8 +242,8 @@ def meet(points: DataFrame, others: DataFrame, key: str, once: bool = False) ->
     The points of a key are dealt to salts and its others to blocks, by hash; a task has one salt and
     one block, so a hot key is spread over many.
     """
-    deal = points.groupBy(key).agg(F.ceil(F.count("*") / TASK_POINTS).alias("salts")).join(
-        others.groupBy(key).agg(F.ceil(F.count("*") / TASK_POINTS).alias("blocks")), key)
+    share = F.ceil(F.greatest(F.count("*") / TASK_POINTS, F.sum(F.length("text")) / TASK_CHARS))
+    deal = points.groupBy(key).agg(share.alias("salts")).join(others.groupBy(key).agg(share.alias("blocks")), key)
     names = ["s1", "text", "d", "known"]
     left = points.select(key, *names).join(deal, key).select(
         key, *names, F.pmod(F.xxhash64(F.lit("salt"), "s1"), F.col("salts")).alias("salt"),
@@ -289,6 +290,7 @@ def join_large(points: DataFrame) -> DataFrame | None:
         chosen = stored(few.withColumn("r", F.row_number().over(Window.partitionBy("region").orderBy("o", "s1"))).where(
             F.col("r") <= pivots).select("region", "s1", "text", "r"), "pivots")
         near = stored(meet(left.withColumns(void), chosen.withColumns(void), "region"), "near")
+        release(points.sparkSession)
         linked_ = near.where(link)
         found = linked_.select(F.col("s1").alias("a"), F.col("other").alias("b"))
         # cells: a point belongs to its first pivot. Labels: points with one label are connected for certain
