@@ -314,10 +314,13 @@ def join_large(points: DataFrame) -> DataFrame | None:
         inner, outer = stored(inner, "cell-points"), stored(outer, "shell-points")
         across = meet(inner, outer, "pivot", once=True)
         found = found.unionByName(across.select(F.col("s1").alias("a"), F.col("other").alias("b")))
+        old = [t for t in (edges, left if left is not points else None) if t is not None]
         edges = stored(found.distinct() if edges is None else edges.unionByName(found).distinct(), "edges")
         covered = home.select("s1").unionByName(chosen.select("s1")).distinct()
-        release(points.sparkSession)
         left = stored(left.join(covered, "s1", "left_anti").select("region", "s1", "text"), "left")
+        for table in (*old, chosen, near, home, label, inner, outer):
+            discard(table)
+        release(points.sparkSession)
         pivots *= 8
     return edges
 
@@ -346,10 +349,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     extent = texts.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"))
     big = stored(extent.where((F.col("points") > REGION_POINTS) | (F.col("chars") > REGION_CHARS)).select("region"), "big")
     edges = stored(join_small(texts.join(big, "region", "left_anti")), "small-edges")
-    far = join_large(stored(texts.join(big, "region"), "big-texts"))
-    if far is not None:
-        edges = edges.unionByName(far)
-    found = stored(connected_components(edges, "links"), "classes-linked")
+    large = stored(texts.join(big, "region"), "big-texts")
+    discard(texts)
+    far = join_large(large)
+    found = stored(connected_components(edges if far is None else edges.unionByName(far), "links"), "classes-linked")
+    for table in (classes, region, big, large, edges, far):
+        discard(table)
+    release(docs.sparkSession)
     joined = every.where("s1 is not null").join(found, F.col("s1") == F.col("node"), "left").select(
         "doc_id", "n", F.coalesce("component", "s1").alias("root"))
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import stored
+from foldspark.llm.common import discard, release, stored
 
 MIN_SENTENCES, MIN_WORDS = 2, 20
 #: A sentence ends after its closing marks or line end; the white space behind belongs to it.
@@ -84,8 +84,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     moved = all_.where("not again").join(owners, ["h1", "h2"]).where("doc_id <> first").select(
         "doc_id", "at", "first")
     inside = all_.where("again").select("doc_id", "at", F.col("doc_id").alias("first"))
-    return moved.unionByName(inside).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set("at")).alias("cuts"), F.sort_array(F.collect_set("first")).alias("first_doc_ids"))
+    out = stored(moved.unionByName(inside).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set("at")).alias("cuts"), F.sort_array(F.collect_set("first")).alias("first_doc_ids")),
+        "span-cuts")
+    discard(all_)
+    release(docs.sparkSession)
+    return out
 
 
 def cut(text: str, cuts: list[int]) -> tuple[str, int, int, int]:
