@@ -5,9 +5,9 @@ Jaccard distance is a metric, and documents link at distance ``TAU`` (0.2) or le
 * Classes: documents with equal shingle sets are one point.
 * Regions: unrelated texts share nothing and lie at distance 1 from every pivot, so
   pivots alone cannot tell them apart. The first division is therefore by content: two linked sets
-  share one of the first ``floor(n / 5) + 1`` shingles of either, in any fixed order (here: frequent ones last),
-  and points that share such a shingle, directly or in a chain, form a region. No link
-  leaves its region.
+  share one of the first ``floor(n / 5) + 1`` shingles of either, in any fixed order (here: frequent ones last).
+  Points that share such a shingle at places and with sizes that allow a link, directly or
+  in a chain, form a region. No link leaves its region.
 * Inside a region pivots create Voronoi cells: a point within ``TAU`` of a pivot belongs to the
   first such pivot and is linked with it. By the triangle inequality whatever links with
   a point of the cell lies within ``2 * TAU`` of the pivot, so only the points of that shell are
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import connected_components, discard, release, stored
@@ -34,6 +34,8 @@ WORDS = 5
 #: A link needs NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 TAU = 1 - NUM / DEN
+#: Ratio of the size bands in which regions are made.
+BAND = 1.06
 #: Documents sampled to find frequent shingles, how many of them a frequent one is in at least, and
 #: how many are remembered. They set only the order of shingles, so no result depends on them.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
@@ -157,12 +159,13 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row a document (``key`` null: ``doc_id, n, s1, s2``) and one a prefix shingle (``key, s1, n``).
+    """One row a document (``key`` null: ``doc_id, n, s1, s2``) and one a prefix shingle (``key, s1, n``
+    and ``pos``, the number of the set's shingles before it).
 
     ``s1, s2`` are a 128-bit digest of the set; both are null for a document without words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["key", "s1", "s2", "n", "doc_id"]
+    names = ["key", "s1", "s2", "n", "doc_id", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -187,32 +190,45 @@ def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(rows, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(ids, pa.int64())], names=names)
+                 pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32())], names=names)
             if keys:
                 size = [len(k) for k, _, _ in keys]
                 key = np.concatenate([k for k, _, _ in keys])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(np.repeat([s for _, s, _ in keys], size)), pa.nulls(len(key), pa.int64()),
-                     pa.array(np.repeat([m for _, _, m in keys], size)), pa.nulls(len(key), pa.int64())], names=names)
+                     pa.array(np.repeat([m for _, _, m in keys], size)), pa.nulls(len(key), pa.int64()),
+                     pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in size]))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, s1 long, s2 long, n long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, s1 long, s2 long, n long, doc_id long, pos int")
 
 
 def regions(keys: DataFrame) -> DataFrame:
-    """``node, component``: classes that share prefix shingles, directly or in a chain.
+    """``node, component``: classes that share a prefix shingle and may link, directly or in a chain.
 
-    Sizes of linked sets differ by at most a quarter, so a shingle joins classes only
-    within a size band and its neighbour.
+    Let ``key`` be the first shingle that x and y share. The ``pos`` shingles of x before it are not in
+    y, so at most ``n - pos`` are common; a link needs 4/9 of both sizes together. So
+    y has at most ``(n - pos) * 9/4 - n`` shingles, besides 4/5 to 5/4 of x's. Each entry goes to the
+    cells (its size band, a band it may link with); a cell connects its classes if both of its bands
+    are there. At least one end of a link has ``pos <= n / 9``.
     """
-    step = F.lit(DEN / NUM)
-    shared = keys.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("key")
-    cand = stored(keys.join(shared, "key").select("key", "s1", F.floor(
-        F.log(F.col("n")) / F.log(step) + 1e-9).cast("int").alias("band")), "shared-keys")
+    def band(n) -> Column:
+        return F.floor(F.log(n) / F.log(F.lit(BAND)) + 1e-9).cast("int")
+
+    shared = keys.groupBy("key").agg(
+        F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max((F.col("pos") * (NUM + DEN) <= F.col("n") * (DEN - NUM)).cast(
+            "int")).alias("early")).where("lo < hi and early = 1").select("key")
+    least = F.ceil(F.col("n") * NUM / DEN)
+    most = F.least(F.floor(F.col("n") * DEN / NUM), F.floor((F.col("n") - F.col("pos")) * (NUM + DEN) / NUM) - F.col("n"))
+    cand = stored(keys.join(shared, "key").where(most >= least).select(
+        "key", "s1", band(F.col("n")).alias("own"), band(least).alias("from"), band(most).alias("to")), "shared-keys")
     release(keys.sparkSession)
-    both = cand.select("key", "s1", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    low = both.groupBy("key", "band").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select(
-        "key", "band", "lo")
-    edges = stored(both.join(low, ["key", "band"]).where("s1 <> lo").select(
+    cells = cand.select("key", "s1", "own", F.explode(F.sequence("from", "to")).alias("b")).select(
+        "key", "s1", F.least("own", "b").alias("b1"), F.greatest("own", "b").alias("b2"),
+        F.signum(F.col("own") - F.col("b")).cast("int").alias("side"))
+    low = cells.groupBy("key", "b1", "b2").agg(
+        F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("side").alias("first"), F.max("side").alias("last")).where(
+        "lo < hi and (b1 = b2 or first < last)").select("key", "b1", "b2", "lo")
+    edges = stored(cells.join(low, ["key", "b1", "b2"]).where("s1 <> lo").select(
         F.col("s1").alias("a"), F.col("lo").alias("b")).distinct(), "shared-edges")
     discard(cand)
     release(keys.sparkSession)
@@ -339,7 +355,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.min("s2").alias("lo"), F.max("s2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():
         raise ValueError("two different shingle sets share a 64-bit digest; change the seed of the digest")
-    region = stored(regions(rows.where("key is not null").select("key", "s1", "n")), "region-of")
+    region = stored(regions(rows.where("key is not null").select("key", "s1", "n", "pos")), "region-of")
     discard(rows)
     members = region.join(classes.select(F.col("s1").alias("node"), "doc_id"), "node").where(
         "doc_id is not null").select(F.col("node").alias("s1"), F.col("component").alias("region"), F.col("doc_id").alias("d"))
