@@ -44,7 +44,7 @@ REGION_POINTS, REGION_CHARS = 2000, 16_000_000
 #: Pivots in the first round of a larger region; each further round takes eight times as many.
 FIRST_PIVOTS = 64
 #: Points of either side, and characters of their texts, about, that one task compares.
-TASK_POINTS, TASK_CHARS = 2048, 8_000_000
+TASK_POINTS, TASK_CHARS = 2048, 16_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -247,13 +247,13 @@ def join_small(points: DataFrame) -> DataFrame:
     return points.select("region", "s1", "text").groupBy("region").applyInArrow(run, "a long, b long")
 
 
-def meet(points: DataFrame, others: DataFrame, key: str, once: bool = False) -> DataFrame:
+def meet(points: DataFrame, others: DataFrame, key: str, links_only: bool = False) -> DataFrame:
     """Every point against the others of its ``key``, in tasks of bounded size.
 
     Both tables: ``key, s1, text, d, known``. Gives ``s1, other, common, n, m`` for pairs at distance
     ``2 * TAU`` or less whose pivot distances ``d`` (null: not known) differ by at most ``TAU`` and that
-    aren't connected yet (``known`` differs or is null). With ``once``, all points of a key are connected
-    already: only links count, and one for each of the others in a task is enough.
+    aren't connected yet (``known`` differs or is null). With ``links_only``, only links count, and for each
+    point one to every group of others that is connected already.
 
     The points of a key are dealt to salts and its others to blocks, by hash; a task has one salt and
     one block, so a hot key is spread over many.
@@ -272,17 +272,18 @@ def meet(points: DataFrame, others: DataFrame, key: str, once: bool = False) ->
         pts = Points([shingles(t) for t in right.column("text").to_pylist()])
         ids, comps = right.column("s1").to_pylist(), right.column("known").to_pylist()
         ds = np.array([np.nan if d is None else d for d in right.column("d").to_pylist()], float)
-        out, done = [], set()
+        out = []
         for s1, text, d, comp in zip(*[left.column(c).to_pylist() for c in names]):
             s = shingles(text)
             common = pts.common(s)
-            hit = linked(common, pts.sizes, len(s)) if once else distance(common, pts.sizes, len(s)) <= 2 * TAU + 1e-9
+            hit = linked(common, pts.sizes, len(s)) if links_only else distance(common, pts.sizes, len(s)) <= 2 * TAU + 1e-9
             if d is not None:
                 hit &= ~(np.abs(ds - d) > TAU + 1e-9)
+            done = set()
             for i in np.flatnonzero(hit).tolist():
-                if ids[i] == s1 or (comp is not None and comp == comps[i]) or (once and i in done):
+                if ids[i] == s1 or (comp is not None and comp == comps[i]) or (links_only and comps[i] in done):
                     continue
-                done.add(i)
+                done.add(ids[i] if comps[i] is None else comps[i])
                 out.append((s1, ids[i], int(common[i]), len(s), int(pts.sizes[i])))
         cols = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["s1", "other", "common", "n", "m"])
@@ -319,22 +320,24 @@ def join_large(points: DataFrame) -> DataFrame | None:
         label = stored(linked_.join(own.select(F.col("s1").alias("other"), "label"), "other").select("s1", "label").unionByName(
             own).groupBy("s1").agg(F.min("label").alias("known")), "labels")
         shell = near.where(f"not ({link})").select("s1", F.col("other").alias("pivot"), far.alias("d"))
-        shell = shell.join(label, "s1", "left").join(label.select(
+        shell = stored(shell.join(label, "s1", "left").join(label.select(
             F.col("s1").alias("pivot"), F.col("known").alias("pivot_known")), "pivot", "left").where(
-            "known is null or known <> pivot_known").drop("pivot_known")
+            "known is null or known <> pivot_known").select("s1", "pivot", "d"), "shells")
+        # windows: of a cell, the points far enough from the pivot to reach its shell. Every point of a
+        # shell or window goes to its region's tasks once, however many cells it borders on
         reach = shell.groupBy("pivot").agg(F.min("d").alias("closest"))
-        inner = home.unionByName(chosen.select("s1", F.col("s1").alias("pivot"), F.lit(0.0).alias("d"))).join(
-            reach, "pivot").where(F.col("d") >= F.col("closest") - TAU - 1e-9).drop("closest")
-        inner = inner.join(label, "s1", "left").join(points.select("s1", "text"), "s1")
-        outer = shell.join(points.select("s1", "text"), "s1")
-        inner, outer = stored(inner, "cell-points"), stored(outer, "shell-points")
-        across = meet(inner, outer, "pivot", once=True)
+        window = home.unionByName(chosen.select("s1", F.col("s1").alias("pivot"), F.lit(0.0).alias("d"))).join(
+            reach, "pivot").where(F.col("d") >= F.col("closest") - TAU - 1e-9)
+        text = left.join(label, "s1", "left").withColumn("d", F.lit(None).cast("double"))
+        inner = stored(text.join(window.select("s1").distinct(), "s1", "left_semi"), "cell-points")
+        outer = stored(text.join(shell.select("s1").distinct(), "s1", "left_semi"), "shell-points")
+        across = meet(outer, inner, "region", links_only=True)
         found = found.unionByName(across.select(F.col("s1").alias("a"), F.col("other").alias("b")))
         old = [t for t in (edges, left if left is not points else None) if t is not None]
         edges = stored(found.distinct() if edges is None else edges.unionByName(found).distinct(), "edges")
         covered = home.select("s1").unionByName(chosen.select("s1")).distinct()
         left = stored(left.join(covered, "s1", "left_anti").select("region", "s1", "text"), "left")
-        for table in (*old, chosen, near, home, label, inner, outer):
+        for table in (*old, chosen, near, home, label, shell, inner, outer):
             discard(table)
         release(points.sparkSession)
         pivots *= 8
