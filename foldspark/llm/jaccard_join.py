@@ -40,11 +40,11 @@ BAND = 1.06
 #: how many are remembered. They set only the order of shingles, so no result depends on them.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 20_000, 3, 500_000
 #: Largest region, in points and characters of text, that one task joins.
-REGION_POINTS, REGION_CHARS = 2000, 24_000_000
+REGION_POINTS, REGION_CHARS = 2000, 16_000_000
 #: Pivots in the first round of a larger region; each further round takes eight times as many.
 FIRST_PIVOTS = 64
 #: Points of either side, and characters of their texts, about, that one task compares.
-TASK_POINTS, TASK_CHARS = 4096, 32_000_000
+TASK_POINTS, TASK_CHARS = 4096, 24_000_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
