@@ -149,6 +149,38 @@ def test_span_dedup_matches_definition(spark):
     assert {x.doc_id for x in changed} == {i for i, _, n in brute_spans(rows) if n}
 
 
+def test_span_dedup_single_sentences_and_runs(spark):
+    """One long sentence between changed ones, a passage that starts and ends inside sentences, text without marks."""
+    def plain(n):
+        return " ".join(f"v{r.randint(0, 10**6)}" for _ in range(n))
+
+    r = random.Random(9)
+    single, inside, bare = plain(22), plain(60), plain(300)
+    rows = [(1, f"{plain(12)}. {single}. {plain(9)}."), (2, f"{plain(7)}. {single.upper()}.  {plain(15)}."),
+            (3, f"{plain(10)} {inside} {plain(30)}. {plain(5)}."), (4, f"{plain(40)} {inside} {plain(8)}."),
+            (5, bare), (6, bare), (7, f"{plain(30)} {bare} {plain(30)}"), (8, f"{plain(20)} {plain(19)}."),
+            (9, "again " * 200), (10, f"{plain(6)} {inside[:200].upper()}")]
+    got = {x.doc_id: x for x in sd.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    for i in (1, 3, 5, 8):
+        assert got[i].text == text[i] and got[i].n_removed == 0
+    assert got[2].text == text[2].replace(single.upper() + ".  ", "") and got[2].words_removed == 22
+    assert got[6].text == "" and got[6].words_removed == 300
+    for i, passage in ((4, inside), (7, bare)):
+        kept, own = got[i].text.split(), [w for w in text[i].split() if w not in passage.split()]
+        assert [w for w in kept if w in own] == own and len(kept) - len(own) <= 2 * (sd.WINDOW - 1)
+        assert got[i].words_removed == len(text[i].split()) - len(kept) >= sd.GRAM and got[i].n_removed == 1
+    assert sd.GRAM <= len(got[9].text.split()) <= sd.GRAM + sd.WINDOW
+    seen = set()
+    n = sd.GRAM + sd.WINDOW - 1
+    for i, _ in rows:
+        w = got[i].text.lower().split()
+        runs = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)}
+        assert not runs & seen
+        o = text[i].lower().split()
+        seen |= {tuple(o[k:k + n]) for k in range(len(o) - n + 1)}
+
+
 def test_sentences_cover_the_text():
     for t in ["A b. C d!  E\nF? g", "", "\n\n", "no end", "a.b.c", "Hi... there\n\n.\nx"]:
         pieces = [m.group() for m in sd.SENTENCE.finditer(t)]
