@@ -106,8 +106,8 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that loses repeated sentences, with its new text and the documents that keep them."""
-    return span_dedup.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    """Every document with the text that it keeps, what it lost and the documents that have that first."""
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @register()

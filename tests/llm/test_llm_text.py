@@ -181,6 +181,13 @@ def test_span_dedup_single_sentences_and_runs(spark):
         seen |= {tuple(o[k:k + n]) for k in range(len(o) - n + 1)}
 
 
+def test_span_dedup_query_has_every_document(spark, sf):
+    from foldspark.llm.queries import QUERIES
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r.n_removed for r in QUERIES["op4_span_dedup"](spark, sf).collect()}
+    assert set(got) == {r.doc_id for r in docs.collect()} and 0 in got.values() and any(got.values())
+
+
 def test_sentences_cover_the_text():
     for t in ["A b. C d!  E\nF? g", "", "\n\n", "no end", "a.b.c", "Hi... there\n\n.\nx"]:
         pieces = [m.group() for m in sd.SENTENCE.finditer(t)]
