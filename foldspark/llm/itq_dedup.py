@@ -4,9 +4,10 @@ Vectors are centred and rotated so that the signs of the rotated values are bala
 codes with little quantisation error; the rotation is learned from a bounded sample.
 A code is cut into substrings, one hash table each. Vectors that share a bucket in any table are
 compared by exact cosine in double precision. Substring length follows the logarithm of the number
-of vectors, so buckets stay small, and the number of tables follows from the length and the
-probability that a bit differs at the threshold angle, so that recall at the threshold
-stays at ``RECALL``; further rotations are learned for further tables.
+of vectors, so buckets stay small. Centring widens the angles between vectors that have a direction in
+common, so the number of tables is measured: sampled vectors and partners at the threshold are
+coded, and rotations are added until ``RECALL`` of them meet. When that takes more than
+``MOST_TABLES``, substrings get shorter.
 
 Equal vectors are one point with a multiplicity. Large buckets are cut into blocks, and pairs
 of blocks are compared in tasks of bounded size; a pair counts in the first
@@ -32,6 +33,8 @@ SAMPLE_VALUES = 2_000_000
 ROUNDS = 40
 #: Wanted vectors a bucket, and most vectors of a bucket in one block.
 BUCKET, BLOCK = 32, 1000
+#: Sampled pairs of each kind that recall is measured with, and tables beyond which substrings get shorter.
+PAIRS, MOST_TABLES = 2000, 64
 
 
 def learn_rotation(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
@@ -77,15 +80,53 @@ def points_of(vectors: DataFrame) -> DataFrame:
                                            F.any_value("embedding").alias("embedding"))
 
 
-def _rotations(points: DataFrame, n: int, dim: int, tables: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Mean and rotations, each giving ``dim // bits`` tables, from a bounded sample."""
+def partners(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at cosine ``threshold``: rows of ``x`` turned to random directions, and turned towards
+    other rows, where the data vary most."""
+    rng = np.random.default_rng(7)
+    a = x[rng.integers(0, len(x), PAIRS)]
+    out = []
+    for to in (rng.standard_normal(a.shape), x[rng.integers(0, len(x), PAIRS)]):
+        to = to - (to * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(to, axis=1, keepdims=True)
+        ok = size[:, 0] > 1e-6
+        b = threshold * a[ok] + math.sqrt(1 - threshold ** 2) * to[ok] / size[ok]
+        out.append((a[ok], b / np.linalg.norm(b, axis=1, keepdims=True)))
+    return out
+
+
+def code_of(x: np.ndarray, rotation: np.ndarray, bits: int) -> np.ndarray:
+    """The substrings of centred rows ``x`` under one rotation."""
+    return ((x @ rotation) >= 0).reshape(len(x), -1, bits) @ (1 << np.arange(bits, dtype=np.int64))
+
+
+def _rotations(points: DataFrame, n: int, dim: int, threshold: float) -> tuple[np.ndarray, list[np.ndarray], int, int]:
+    """Mean, rotations of ``dim // bits`` tables each, bits and tables, from a bounded sample.
+
+    Tables are at least those of ``plan_tables``, and as many as the sampled pairs need to meet.
+    """
     rate = min(1.0, SAMPLE_VALUES / max(1, n * dim))
     rows = points.where(F.pmod(F.xxhash64(F.lit("itq"), "k1"), F.lit(1 << 20)) < int(rate * (1 << 20))).select(
         "embedding").toArrow().column(0).to_pylist()
     x = unit(rows) if rows else np.eye(dim)
     mean = x.mean(axis=0)
-    each = max(1, dim // bits)
-    return mean, [learn_rotation(x - mean, each * bits, seed) for seed in range(-(-tables // each))]
+    pairs = [p for p in partners(x, threshold) if len(p[0])]
+    bits, tables = plan_tables(n, dim, threshold)
+    while True:
+        each = max(1, dim // bits)
+        most = max(tables, MOST_TABLES)
+        met = [np.zeros(len(a), bool) for a, _ in pairs]
+        rot = []
+        while len(rot) * each < most:
+            rot.append(learn_rotation(x - mean, each * bits, len(rot)))
+            for m, (a, b) in zip(met, pairs):
+                m |= (code_of(a - mean, rot[-1], bits) == code_of(b - mean, rot[-1], bits)).any(axis=1)
+            if len(rot) * each >= tables and all(m.mean() >= RECALL for m in met):
+                return mean, rot, bits, len(rot) * each
+        if bits == 1:
+            return mean, rot, bits, len(rot) * each
+        bits -= 1
+        tables = 1
 
 
 def coded(points: DataFrame, mean: np.ndarray, rotations: list[np.ndarray], bits: int, tables: int) -> DataFrame:
@@ -94,12 +135,11 @@ def coded(points: DataFrame, mean: np.ndarray, rotations: list[np.ndarray], bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean_, rot = shared.value
-        weight = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
             if not len(b):
                 continue
             x = unit(b.column(2).to_pylist()) - mean_
-            codes = np.concatenate([((x @ r) >= 0).reshape(len(x), -1, bits) @ weight for r in rot], axis=1)[:, :tables]
+            codes = np.concatenate([code_of(x, r, bits) for r in rot], axis=1)[:, :tables]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(codes.tolist(), pa.list_(pa.int64()))],
                 names=["vec_id", "copies", "embedding", "codes"])
@@ -183,8 +223,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = None
     for r in sorted(dims):
         of = points.where(F.size("embedding") == r.dim)
-        bits, tables = plan_tables(r.n, r.dim, threshold)
-        mean, rot = _rotations(of, r.n, r.dim, tables, bits)
+        mean, rot, bits, tables = _rotations(of, r.n, r.dim, threshold)
         part = bucket_links(stored(coded(of, mean, rot, bits, tables), "vector-codes"), threshold)
         found = part if found is None else found.unionByName(part)
     bad = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"),

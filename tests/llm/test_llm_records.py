@@ -190,6 +190,25 @@ def test_vectors_recall_and_precision(spark, monkeypatch, block):
     assert itq_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_with_a_common_direction(spark):
+    """Mean norm 0.9: pairs at the threshold are far apart once the mean is taken off."""
+    rng = np.random.default_rng(4)
+
+    def normed(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    x = normed(normed(rng.standard_normal((4000, 64))) * 0.45 + 0.9 * np.eye(64)[0])
+    assert abs(np.linalg.norm(x.mean(axis=0)) - 0.9) < 0.02
+    a = x[:500]
+    u = rng.standard_normal(a.shape)
+    u = normed(u - (u * a).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.9501, 0.96, (500, 1))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([x, c * a + np.sqrt(1 - c ** 2) * u]).tolist())]
+    _, links = brute_vectors(rows)
+    got = itq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(links) >= 500 and 0.95 * 2 * len(links) <= sum(r.n_links for r in got) <= 2 * len(links)
+
+
 def test_vectors_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     ok, links = brute_vectors([(r.vec_id, list(r.embedding)) for r in df.collect()])
