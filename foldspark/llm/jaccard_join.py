@@ -161,14 +161,18 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def text_digest() -> list[Column]:
+    return [F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2")]
+
+
 def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """One row a document (``key`` null: ``doc_id, n, s1, s2``) and one a prefix shingle (``key, s1, n``
+    """One row a document (``key`` null: ``doc_id, n, s1, s2`` and the text's digest ``t1, t2``) and one a prefix shingle (``key, s1, n``
     and ``pos``, the number of the set's shingles before it).
 
     ``s1, s2`` are a 128-bit digest of the set; both are null for a document without words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    names = ["key", "s1", "s2", "n", "doc_id", "pos"]
+    names = ["key", "s1", "s2", "n", "doc_id", "pos", "t1", "t2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
@@ -193,16 +197,18 @@ def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             rows = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(rows, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()),
-                 pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32())], names=names)
+                 pa.array(ids, pa.int64()), pa.nulls(rows, pa.int32()), b.column(2), b.column(3)], names=names)
             if keys:
                 size = [len(k) for k, _, _ in keys]
                 key = np.concatenate([k for k, _, _ in keys])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(np.repeat([s for _, s, _ in keys], size)), pa.nulls(len(key), pa.int64()),
                      pa.array(np.repeat([m for _, _, m in keys], size)), pa.nulls(len(key), pa.int64()),
-                     pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in size]))], names=names)
+                     pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in size])),
+                     pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.int64())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, s1 long, s2 long, n long, doc_id long, pos int")
+    return docs.select("doc_id", "text", *text_digest()).mapInArrow(
+        run, "key long, s1 long, s2 long, n long, doc_id long, pos int, t1 long, t2 long")
 
 
 def regions(keys: DataFrame) -> DataFrame:
@@ -356,16 +362,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(points_and_keys(docs, frequent_shingles(docs)), "shingle-keys")
-    every = stored(rows.where("key is null").select("doc_id", "n", "s1", "s2"), "points")
+    every = stored(rows.where("key is null").select("doc_id", "n", "s1", "s2", "t1", "t2"), "points")
     classes = stored(every.where("s1 is not null").groupBy("s1").agg(
-        F.min("doc_id").alias("doc_id"), F.min("s2").alias("lo"), F.max("s2").alias("hi")), "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row"),
+        F.min("s2").alias("lo"), F.max("s2").alias("hi")), "classes")
     if classes.where("lo <> hi").limit(1).count():
         raise ValueError("two different shingle sets share a 64-bit digest; change the seed of the digest")
     region = stored(regions(rows.where("key is not null").select("key", "s1", "n", "pos")), "region-of")
     discard(rows)
-    members = region.join(classes.select(F.col("s1").alias("node"), "doc_id"), "node").where(
-        "doc_id is not null").select(F.col("node").alias("s1"), F.col("component").alias("region"), F.col("doc_id").alias("d"))
-    texts = docs.join(members, F.col("doc_id") == F.col("d")).select("region", "s1", "text")
+    # a class's text is that of one of its rows, found by id and digest: an id may have several texts, or be null
+    members = region.join(classes.select(F.col("s1").alias("node"), "row.doc_id", "row.t1", "row.t2"), "node").select(
+        F.col("node").alias("s1"), F.col("component").alias("region"), F.col("doc_id").alias("d"), "t1", "t2")
+    known = docs.select("doc_id", "text", *text_digest())
+    known = known.where("doc_id is not null").unionByName(known.where("doc_id is null").dropDuplicates(["t1", "t2"]))
+    texts = known.join(members, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("d"))).select("region", "s1", "text")
     texts = stored(texts, "region-texts")
     release(docs.sparkSession)
     extent = texts.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"))

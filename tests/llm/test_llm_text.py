@@ -103,6 +103,17 @@ def test_jaccard_chain_and_threshold(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 21}
 
 
+def test_jaccard_null_ids_and_two_texts_of_one_id(spark):
+    """A near copy without an id links and passes chains on; each text of an id links as itself."""
+    w = [f"a{i}" for i in range(24)]
+    rows = [(1, " ".join(w[:-2])), (None, " ".join(w[1:])), (None, " ".join(w[1:])), (2, " ".join(w[2:] + ["z1", "z2"]))]
+    other = [" ".join(f"{c}{i}" for i in range(20)) for c in "bc"]
+    rows += [(5, other[0]), (5, other[1]), (6, other[0] + " x"), (7, other[1] + " x")]
+    got = sorted([tuple(r) for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=repr)
+    want = brute_components(rows)
+    assert got == want and {c for i, _, c in want if i in (1, 2)} == {1}
+
+
 def test_jaccard_empty(spark):
     assert jj.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
