@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import (decontaminate, itq_dedup, jaccard_join, mixing, ppm_langid, span_dedup, token_count,
-                           toxicity, url_filter, warc)
+from foldspark.llm import (centroid_cluster, chat_format, decontaminate, itq_dedup, jaccard_join, mixing, ppm_langid,
+                           prefix_trie, span_dedup, token_count, toxicity, url_filter, warc)
 from foldspark.llm.common import shared_path
 from foldspark.sources.tables import table
 
@@ -171,3 +171,93 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector at cosine 0.95."""
     return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 16, rounds: int = 3) -> str:
+    """Squared distances computed anew in every round."""
+    sql = """
+with recursive q as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id::varchar), x) - 1)::int as j, x as c
+       from q where vec_id is not null qualify j < {k})""".replace("{k}", str(k))
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} as (select r, vec_id, x, min_by(j, (far, j)) as j, min(far) as far from (
+  select q.*, j, list_sum(list_transform(range(1, 65), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint as far from q, c{i})
+  group by r, vec_id, x)"""
+        if i < rounds:
+            sql += f""",
+s{i} as (select j, i, sum(v)::bigint as s, count(*) as n from (select j, unnest(range(1, 65)) as i, unnest(x) as v from a{i}) group by j, i),
+c{i + 1} as (select j, coalesce(m, c) as c from c{i} left join (
+  select j, list((s - ((s % n) + n) % n) // n order by i) as m from s{i} group by j) using (j))"""
+    return sql + f"""
+select vec_id, j::int as cluster, far as distance, (sum(far) over (partition by j))::bigint as cluster_inertia,
+       (sum(far) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} using (j)
+"""
+
+
+@register(_op11_sql())
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds of exact integer updates."""
+    return centroid_cluster.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e as (select *, replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') as r,
+             replace(replace(text, '\', '\\'), '<|', '<\|') as t from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>') + length(r) + 1 + length(t) + length('<|im_end|>') + 1)::bigint as formatted_chars,
+       0::bigint as n_rewrites
+from e group by conv_id
+"""
+
+
+@register(OP12_SQL)
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format every conversation and read the result back."""
+    return chat_format.read_back(chat_format.format_turns(
+        chat_format.with_probe_conversation(table(spark, sf_dir, "conversations"))))
+
+
+OP13_SQL = """
+with t as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+         sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as h,
+         row_number() over (partition by conv_id order by turn nulls first,
+           sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as rk
+  from conversations where conv_id is not null),
+ids as (select c, c - ((c % 100) + 100) % 100 as head,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(s) + 1), lambda i: ascii(s[i])::bigint)),
+      lambda a, x: list_reduce(list_prepend(xor(a, x), range(8)),
+                               lambda v, k: xor(v >> 1, 3988292384::bigint * (v & 1)))), 4294967295::bigint) % 6 as n
+  from (select distinct c, c::varchar as s from t)),
+p as (select ids.c, 1 as part, rk, h, text from ids join t on t.c = ids.head and rk <= n
+      union all select c, 2, rk, h, text from t join ids using (c) where rk > n),
+q as (select c, row_number() over w as depth, sha256(string_agg(h, '') over w) as node, text from p window w as (partition by c order by part, rk)),
+r as (select c, depth, node, length(text) as chars from q union all select c, 0, 'root', 0 from ids),
+l as (select *, lag(node) over (partition by c order by depth) as parent, max(depth) over (partition by c) as last from r),
+n as (select node, min(c) as conv_id, min(depth) as depth, min(parent) as parent, count(*) as n_convs, min(chars) as chars,
+             sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where depth = last), '')) as ends_sha256
+      from l group by node),
+k as (select parent as node, count(*) as n_children from n where parent is not null group by parent),
+f as (select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * chars as own from n left join k using (node)),
+s as (select distinct x.node as top, y.node from l x join l y on x.c = y.c and x.depth <= y.depth),
+m as (select top as node, sum((n_children = 0)::int)::bigint as n_leaves, sum(own)::bigint as saved_tokens from s join f using (node) group by top)
+select f.conv_id, f.depth::bigint as depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+from f join m using (node) left join n u on u.node = f.parent
+"""
+
+
+@register(OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
