@@ -51,9 +51,12 @@ def left_lookup(df: DataFrame, keys: Sequence[Column], table: DataFrame, table_k
         return df.join(F.broadcast(t), cond, "left").drop(*names)
     own = [f"__k{i}" for i in range(len(keys))]
     x = df.withColumns({o: k for o, k in zip(own, keys)})
-    # a null key may land anywhere: the salt is null unless a key is
+    # a row without a key matches nothing and may land anywhere: where follows from its own
+    # content, so a map task that runs again deals its rows out as before
     lost = reduce(lambda a, b: a | b, [F.col(o).isNull() for o in own])
-    x = x.withColumn("__salt", F.when(lost, (F.rand(7) * 65536).cast("int")).otherwise(F.lit(-1)))
+    told = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    x = x.withColumn("__salt", F.when(lost, F.pmod(F.xxhash64(*told) if told else F.lit(0), F.lit(65536)).cast("int"))
+                     .otherwise(F.lit(-1)))
     t = t.withColumn("__tsalt", F.lit(-1))
     for o, n in zip(own, names):
         kind = dict(t.dtypes)[n]

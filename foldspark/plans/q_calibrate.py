@@ -133,9 +133,8 @@ def q_calibrate_bins_test(spark, sf):
 def q_calibrate_isotonic_oof(spark, sf):
     """C1 + C2: isotonic correction in-sample (naive) and fold-safe, side by side, clipped."""
     base = calib_input(spark, sf)
-    safe = C.calibrate_isotonic(base, fold_safe=True, out="iso_fold_safe").select("id", "iso_fold_safe")
-    naive = C.calibrate_isotonic(base, fold_safe=False, out="iso_naive").select("id", "iso_naive")
-    return round_doubles(base.select("id", "is_train").join(safe, "id").join(naive, "id"))
+    both = C.calibrate_isotonic(base, out="iso_fold_safe", naive_out="iso_naive")
+    return round_doubles(both.select("id", "is_train", "iso_fold_safe", "iso_naive"))
 
 
 @query("calibrate_ridge_residual", None, "C5, F47")

@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from foldspark.operators import calibrate as C
+from foldspark.operators import isotonic as iso
 from foldspark.operators import folds
 
 
@@ -126,3 +128,46 @@ def test_isotonic_matches_pav(spark):
     tr = pdf[pdf.is_train]
     f = _pav(tr.pred.values, tr.target.values)
     assert np.allclose(out.calibrated.values, np.clip(f(pdf.sort_values("id").pred.values), 0, 10), atol=1e-9)
+
+
+@pytest.mark.parametrize("points,shape", [(500_000, "noisy"), (500_000, "saw"), (40, "falling"), (40, "saw"), (40, "constant"),
+                                          (7, "noisy"), (7, "rising"), (7, "saw"), (2, "noisy")])
+def test_distributed_pooling_equals_pav(spark, monkeypatch, points, shape):
+    """Pooling over many ranges gives the blocks of one range, also with as many blocks as rows."""
+    monkeypatch.setattr(iso, "POINTS", points)
+    rng = np.random.default_rng(8)
+    n = 60 if points == 2 else 150
+    x = np.sort(rng.choice(np.arange(1000), n, replace=False) / 10)
+    y = {"noisy": x / 20 + rng.normal(0, 3, n), "rising": x * 0.1, "falling": -x, "constant": np.full(n, 4.0),
+         "saw": -(x // 20) * 5 + x % 20}[shape]
+    pts = spark.createDataFrame([(f, float(a), float(b) * 2, 2.0) for f in (0, 3) for a, b in zip(x, y)],
+                                "fit int, x double, s double, n double")
+    model = iso.fit_isotonic(pts)
+    got = model.orderBy("fit", "lo").toPandas()
+    exact = _pav(x, y)
+    for f in (0, 3):
+        m = got[got.fit == f]
+        assert (np.diff(m.v.values) >= -1e-12).all() and (m.lo.values[1:] > m.hi.values[:-1]).all()
+        if shape == "rising":
+            assert len(m) == n
+    asked = np.concatenate([x, x + 0.05, [-5.0, 2000.0]])
+    want = spark.createDataFrame([(f, float(a)) for f in (0, 3, 9) for a in asked], "fit int, x double").distinct()
+    v = iso.score_isotonic(model, want).toPandas()
+    for f in (0, 3):
+        part = v[v.fit == f]
+        assert len(part) == len(np.unique(asked))
+        assert np.allclose(part.v.values, exact(part.x.values), atol=1e-9)
+    assert v[v.fit == 9].v.isna().all()
+
+
+def test_isotonic_edge_rows(spark, monkeypatch):
+    rows = [(1, 1.0, 0.0, True, 0), (2, 2.0, -0.0, True, 1), (3, None, 3.0, True, 0), (4, 5.0, None, True, 1),
+            (5, 9.0, float("nan"), True, 0), (6, None, 1.0, False, None), (7, None, None, False, None), (7, None, 9.0, False, None)]
+    df = spark.createDataFrame(rows, "id int, target double, pred double, is_train boolean, fold int")
+    for points in (500_000, 1):
+        monkeypatch.setattr(iso, "POINTS", points)
+        got = sorted(map(tuple, C.calibrate_isotonic(df, k=2, naive_out="naive").select("id", "calibrated", "naive").collect()), key=repr)
+        assert got == sorted([(1, 2.0, 1.5), (2, 1.0, 1.5), (3, 2.0, 1.5), (4, None, None), (5, None, None), (6, 1.5, 1.5),
+                              (7, None, None), (7, 1.5, 1.5)], key=repr)
+    none = df.where("id > 100")
+    assert C.calibrate_isotonic(none, k=2).collect() == []
