@@ -8,6 +8,7 @@ expression.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -21,8 +22,12 @@ from foldspark.operators.joins import attach_scalar_row
 
 def wide(long: DataFrame, models: Sequence[str], id_cols: Sequence[str] = ("id",),
          model_col: str = "model", pred_col: str = "pred") -> DataFrame:
-    """One column per model (pivot with explicit values: no extra distinct pass)."""
-    return long.groupBy(*id_cols).pivot(model_col, list(models)).agg(F.first(pred_col))
+    """One column per model (pivot with explicit values: no extra distinct pass). Two rows of one
+    id and model are an error; a model that an id lacks is null."""
+    cols = list(dict.fromkeys(models))
+    both = long.groupBy(*id_cols).pivot(model_col, cols).agg(F.first(pred_col).alias("p"), F.count(F.lit(1)).alias("n"))
+    return both.select(*id_cols, *[F.when(F.col(f"`{m}_n`") > 1, F.raise_error(F.lit(f"two predictions of one row by model {m}")))
+                                   .otherwise(F.col(f"`{m}_p`").cast("double")).cast("double").alias(m) for m in cols])
 
 
 def weighted_mean_long(long: DataFrame, weights: Mapping[str, float] | None = None,
@@ -72,9 +77,65 @@ def blend_with_fallback(df: DataFrame, preferred: Sequence[tuple[Sequence[str],
     raise ValueError("no candidate blend has all its inputs")
 
 
+#: Columns up to which moments are plain aggregate expressions; beyond, their number (the square) is too large.
+PLAIN_COLUMNS = 8
+
+
+def moments(df: DataFrame, values: Sequence[Column]) -> tuple[int, np.ndarray, np.ndarray]:
+    """``(n, means, centred products)`` of columns over the rows where none is null.
+
+    Each task keeps one matrix and merges batch by batch (pairwise formula for centred moments). The tasks' matrices are merged
+    in a tree: by some tasks first, whose number is the root of the number of shuffle partitions, then on the driver."""
+    p = len(values)
+    rows = df.select(*[v.cast("double").alias(f"c{i}") for i, v in enumerate(values)]).na.drop()
+
+    def merged(a, b):
+        (n, m, q), (n2, m2, q2) = a, b
+        if not n or not n2:
+            return a if n else b
+        d = m2 - m
+        return n + n2, m + d * (n2 / (n + n2)), q + q2 + np.outer(d, d) * (n * n2 / (n + n2))
+
+    def out(acc):
+        import pyarrow as pa
+        n, m, q = acc
+        return pa.RecordBatch.from_arrays([pa.array([n], type=pa.float64()), pa.array([m.tolist()], type=pa.list_(pa.float64())),
+                                           pa.array([q.ravel().tolist()], type=pa.list_(pa.float64()))], ["n", "m", "q"])
+
+    def partial(batches):
+        acc = (0.0, np.zeros(p), np.zeros((p, p)))
+        for b in batches:
+            if b.num_rows:
+                x = np.column_stack([np.asarray(b.column(i)) for i in range(p)])
+                m = x.mean(0)
+                acc = merged(acc, (float(len(x)), m, (x - m).T @ (x - m)))
+        if acc[0]:
+            yield out(acc)
+
+    def combine(batches):
+        acc = (0.0, np.zeros(p), np.zeros((p, p)))
+        for b in batches:
+            for n, m, q in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                acc = merged(acc, (n, np.array(m), np.array(q).reshape(p, p)))
+        if acc[0]:
+            yield out(acc)
+
+    schema = "n double, m array<double>, q array<double>"
+    some = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    got = rows.mapInArrow(partial, schema).repartition(some).mapInArrow(combine, schema).collect()
+    acc = (0.0, np.zeros(p), np.zeros((p, p)))
+    for r in got:
+        acc = merged(acc, (r["n"], np.array(r["m"]), np.array(r["q"]).reshape(p, p)))
+    return int(acc[0]), acc[1], acc[2]
+
+
 def residual_moments(df: DataFrame, cols: Sequence[str], y: str = "target") -> np.ndarray:
-    """``C_ij = mean((y - p_i)(y - p_j))`` in one aggregate (``n^2`` numbers)."""
+    """``C_ij = mean((y - p_i)(y - p_j))`` over the rows without nulls, in one pass (``n^2`` numbers)."""
     n = len(cols)
+    if n > PLAIN_COLUMNS:
+        rows, m, q = moments(df, [F.col(y) - F.col(c) for c in cols])
+        return q / rows + np.outer(m, m)
+    df = df.na.drop(subset=[*cols, y])
     r = [F.col(y) - F.col(c) for c in cols]
     aggs = [F.avg(r[i] * r[j]).alias(f"c_{i}_{j}") for i in range(n) for j in range(i, n)]
     row = df.agg(*aggs).first()
@@ -99,9 +160,13 @@ def optimal_weight_2(a: str, b: str, y: str = "target") -> Column:
 
 
 def centred_moments(df: DataFrame, cols: Sequence[str], y: str = "target"):
-    """Centred Gram ``Xc'Xc``, ``Xc'yc``, means and n in one aggregate
+    """Centred Gram ``Xc'Xc``, ``Xc'yc``, means and n over the rows without nulls, in one pass
     (``covar_pop`` merges co-moments, so no cancellation of raw sums)."""
     n = len(cols)
+    if n > PLAIN_COLUMNS:
+        rows, m, q = moments(df, [F.col(c) for c in [*cols, y]])
+        return q[:n, :n], q[:n, n], m[:n], float(m[n]), rows
+    df = df.na.drop(subset=[*cols, y])
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("my")]
     aggs += [F.avg(c).alias(f"m_{i}") for i, c in enumerate(cols)]
     aggs += [F.covar_pop(cols[i], cols[j]).alias(f"g_{i}_{j}") for i in range(n) for j in range(i, n)]

@@ -35,7 +35,7 @@ def query(name: str, oracle: str | None = None, ids: str = ""):
 def load_all() -> dict[str, Query]:
     # import for registration side effects
     from foldspark.plans import (q_prep, q_metrics, q_blend, q_calibrate,  # noqa: F401
-                                 q_models, q_checks)
+                                 q_models, q_checks, q_oracles)
     return REGISTRY
 
 

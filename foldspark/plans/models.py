@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
 
@@ -24,7 +24,8 @@ class Learner:
     patience: int | None = None          # M10: boost until the validation loss has not improved for so many rounds
     max_rounds: int = 5000               # M10: upper limit of boosting rounds
     validation: str = "fold"             # loss on the valid fold, or on a hash-chosen tenth of the fit rows ("inner")
-    kind: str = "regressor"              # or "classifier_ev" (M7)
+    kind: str = "regressor"              # or "classifier_ev", "one_vs_rest_ev" (M7: expected class value)
+    classes: int = 11                    # M7: the labels are 0 ... classes - 1
 
     def estimator(self, seed: int, **over):
         return self.make(seed, **{**self.params, **over})
@@ -49,6 +50,10 @@ def _forest_classifier(seed, **p):
                                   probabilityCol="probability", seed=seed, **p)
 
 
+def _boosted_classifier(seed, **p):
+    return GBTClassifier(featuresCol="features", labelCol="label", predictionCol="prediction", seed=seed, **p)
+
+
 # Rounds, patience, trees and depths default to the source workload's values. MLlib boosting is
 # sequential in rounds, so catalogue queries pass smaller values explicitly (see QUICK).
 LEARNERS: dict[str, Learner] = {
@@ -68,7 +73,11 @@ LEARNERS: dict[str, Learner] = {
                                               featureSubsetStrategy="0.7", bootstrap=False)),
     # M6: ridge on standardised columns; regParam = alpha / n * sd(y)
     "ridge": Learner("ridge", _linear, dict(maxIter=100), scale=True, ridge_alpha=1.0),
-    # M7: 11-class classifier -> expected value (MLlib's GBT classifier is binary only)
+    # M7: boosted 11-class model -> expected value. MLlib's boosted classifier is binary, so one model a class
+    # against the rest, probabilities divided by their sum
+    "class_boost": Learner("class_boost", _boosted_classifier, dict(maxIter=300, stepSize=0.05, maxDepth=5, minInstancesPerNode=30),
+                           kind="one_vs_rest_ev"),
+    # M7, second form: a forest of all classes at once
     "class_ev": Learner("class_ev", _forest_classifier, dict(numTrees=500, maxDepth=10, minInstancesPerNode=5),
                         kind="classifier_ev"),
     # M9: shallow, strongly regularised booster as meta-learner
@@ -81,6 +90,7 @@ QUICK: dict[str, dict] = {
     "gbt_leafwise": dict(stepSize=0.3, patience=3), "gbt_depthwise": dict(stepSize=0.3, patience=3),
     "gbt_hist": dict(stepSize=0.3, patience=3), "meta_gbt": dict(stepSize=0.3, patience=3),
     "forest": dict(numTrees=20, maxDepth=8), "class_ev": dict(numTrees=20, maxDepth=8), "ridge": {},
+    "class_boost": dict(maxIter=4, stepSize=0.3, maxDepth=3),
 }
 
 

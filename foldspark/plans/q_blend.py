@@ -20,7 +20,7 @@ def wide_preds(spark: SparkSession, sf: str) -> DataFrame:
     return folds.hash_folds(FX.preds(spark, sf), 5, 42)
 
 
-@query("blend_equal", PR_CTE + "select id, round((p_a + p_b + p_c) / 3, 8) as blend from preds", "B1, J5")
+@query("blend_equal", PR_CTE + "select id, round((p_a + p_b + p_c) / 3, 8) as blend from preds", "B1")
 def q_blend_equal(spark, sf):
     """B1: equal-weight mean of three models per id, aligned by id on the long table."""
     long = model_preds(spark, sf, train_only=False)
@@ -90,7 +90,7 @@ def q_seed_average(spark, sf):
 
 @query("best_experiment", PR_CTE + ", s as (select model, sqrt(avg((target - pred) * (target - pred))) as rmse "
        "from preds unpivot (pred for model in (p_a, p_b, p_c)) where is_train group by model)\n"
-       "select arg_min(model, rmse) as best_model, round(min(rmse), 6) as best_rmse from s", "G17, S7, T3")
+       "select arg_min(model, rmse) as best_model, round(min(rmse), 6) as best_rmse from s", "G17")
 def q_best_experiment(spark, sf):
     """Model with the lowest OOF RMSE (min_by over the score table)."""
     from foldspark.operators import metrics as M

@@ -81,7 +81,7 @@ def q_calibrate_quadratic(spark, sf):
 
 @query("fold_average", _quad_sql().split("select d.id, round(")[0]
        + "select d.id, count(*) as n_folds, round(avg(c2.b0 + c2.b1*x + c2.b2*x*x), 8) as pred "
-         "from d cross join c2 where not d.is_train group by d.id", "G19, J6")
+         "from d cross join c2 where not d.is_train group by d.id", "G19")
 def q_fold_average(spark, sf):
     """Each of the 5 fold models (quadratic correction) scores every test row;
     the test prediction is the mean over folds (k rows per test id, then averaged)."""
@@ -137,16 +137,7 @@ def q_calibrate_isotonic_oof(spark, sf):
     return round_doubles(both.select("id", "is_train", "iso_fold_safe", "iso_naive"))
 
 
-@query("calibrate_ridge_residual", None, "C5, F47")
-def q_calibrate_ridge_residual(spark, sf):
-    """Fold-safe ridge (alpha 2) of the stack's residual on meta features
-    (stack, three model predictions, stack^2, |stack-5|); test uses the real model predictions."""
-    p = calib_input(spark, sf).withColumn("stack", (F.col("p_a") + F.col("p_b") + F.col("p_c")) / 3)
-    out = C.calibrate_ridge_residual(p, "stack", ["p_a", "p_b", "p_c"])
-    return round_doubles(out.select("id", "is_train", "calibrated"))
-
-
-@query("calibration_choice", None, "C6, G11, G17")
+@query("calibration_choice", None, "C6, G17")
 def q_calibration_choice(spark, sf):
     """OOF RMSE of each fold-safe correction against none; best by score."""
     base = calib_input(spark, sf)

@@ -14,6 +14,8 @@ from foldspark.plans import runs
 from foldspark.plans.catalog import query
 from foldspark.plans.models import learner, quick
 from foldspark.plans.q_prep import cleaned_panel, round_doubles
+from foldspark.sources import store
+from foldspark.sources.scratch import shared_path
 
 CODE_COLS = [f"{c}_code" for c in FX.PANEL_CATEGORIES]
 V1_NAMES = R.feature_names(R.V1)
@@ -111,30 +113,28 @@ def q_cv_pseudo(spark, sf):
     return cv_output(res)
 
 
-@query("cv_multi_seed", None, "M15, K3, G18")
+#: The run matrix of the catalogue: the source's five seeds, three learners and five folds, with two rounds of shallow trees.
+MATRIX = {n: quick(n, patience=1, max_rounds=2, maxDepth=3) for n in ("gbt_leafwise", "gbt_depthwise", "gbt_hist")}
+
+
+@query("cv_multi_seed", None, "M15, K3, G18, J5, B3, S4, S12")
 def q_cv_multi_seed(spark, sf):
-    """M15 + K3 + G18: two seeds, each with its own folds and model seed; OOF and test
-    predictions averaged over seeds."""
-    p = R.features_v1(cleaned_panel(spark, sf))
-    p = clean.category_codes(p, FX.PANEL_CATEGORIES, suffix="_code")
-    parts = []
-    for s in (42, 123):
-        x = folds.hash_folds(p, 5, s)
-        x = x.withColumn("fold", F.when(F.col("is_train"), F.col("fold")))
-        res = runs.run_cv(x, FEATURES, quick("forest"), seed=s, experiment=f"forest_seed{s}")
-        parts.append(cv_output(res).withColumn("seed", F.lit(s)))
-    allp = parts[0].unionByName(parts[1])
-    return round_doubles(allp.groupBy("id", "split").agg(F.avg("pred").alias("pred"),
-                                                        F.count(F.lit(1)).alias("n_seeds")))
+    """5 seeds x 3 learners x 5 folds from one prepared table, averaged over the seeds (G18), one column a
+    learner (J5), stacked (B3)."""
+    p = clean.category_codes(R.features_v1(cleaned_panel(spark, sf)), FX.PANEL_CATEGORIES, suffix="_code")
+    res = runs.run_matrix(p, FEATURES, MATRIX, shared_path(spark, "run-matrix"))
+    out, coef, icpt = res.stacked(p.where("is_train"))
+    return round_doubles(out.withColumn("intercept", F.lit(icpt)).withColumns(
+        {f"coef_{m}": F.lit(float(v)) for m, v in zip(res.models, coef)}))
 
 
 @query("cv_hybrid", None, "M7, M8, K2, F45, F46")
 def q_cv_hybrid(spark, sf):
-    """M7 + M8: 11-class forest -> expected value; boosted trees on the residual with the
+    """M7 + M8: boosted 11-class model (one against the rest) -> expected value; boosted trees on the residual with the
     expected value as a feature (same stratified folds); sum, clipped."""
     mf = model_frame(spark, sf, stratified=True)
     mf = mf.withColumn("cls_label", F.when(F.col("is_train"), X.int_class("target")))
-    stage1 = runs.run_cv(mf, FEATURES, quick("class_ev"), target="cls_label", experiment="class_ev")
+    stage1 = runs.run_cv(mf, FEATURES, quick("class_boost"), target="cls_label", experiment="class_boost")
     ev = stage1.oof().select("id", F.col("pred").alias("ev")).unionByName(
         stage1.test_mean().select("id", F.col("pred").alias("ev")))
     x = mf.join(ev, "id").withColumn("residual", F.col("target") - F.col("ev"))
@@ -145,7 +145,7 @@ def q_cv_hybrid(spark, sf):
     return round_doubles(out.withColumn("split", F.when(F.col("fold").isNull(), "test").otherwise("oof")))
 
 
-@query("cv_meta", None, "M9, J5")
+@query("cv_meta", None, "M9")
 def q_cv_meta(spark, sf):
     """M9: shallow boosted meta-learner on three OOF prediction columns, own folds."""
     p = folds.hash_folds(FX.preds(spark, sf), 5, 7)
@@ -155,22 +155,27 @@ def q_cv_meta(spark, sf):
 
 @query("impute_chained", None, "M14, U2")
 def q_impute_chained(spark, sf):
-    """M14 + U2: chained-equation imputation of the numeric columns over train and test
-    together (target not used), mean start, five rounds."""
-    p = cleaned_panel(spark, sf)
-    out = runs.impute_chained(p, FX.PANEL_NUMERIC, rounds=5)
-    return round_doubles(out)
+    """M14 + U2: chained-equation imputation of the numeric columns and the v1 features over train and test
+    together (target not used), mean start, fewest nulls first, five rounds."""
+    p = R.features_v1(cleaned_panel(spark, sf))
+    return round_doubles(runs.impute_chained(p, FX.PANEL_NUMERIC + V1_NAMES, rounds=5))
 
 
-@query("random_search", None, "M16, S14, G17")
+@query("random_search", None, "M16, S12, S13, S14, G17")
 def q_random_search(spark, sf):
-    """Seeded random search (3 trials) over booster step size, depth, subsample and
-    leaf size; objective = OOF RMSE; trial table with the best flagged."""
-    space = runs.Space({"stepSize": ("logfloat", 0.05, 0.3), "maxDepth": ("int", 3, 6),
+    """40 seeded trials over booster step size, depth, subsample and leaf size from one prepared table; after
+    the first fold the best tenth runs the others; refit with more patience, parameters saved and read back.
+    Steps and patience are larger and shorter than ``runs.SPACES`` and the source's."""
+    space = runs.Space({"stepSize": ("logfloat", 0.05, 0.5), "maxDepth": ("int", 2, 5),
                         "subsamplingRate": ("float", 0.6, 1.0), "minInstancesPerNode": ("int", 5, 100)})
-    trials, _, _ = runs.random_search(model_frame(spark, sf), FEATURES, learner("gbt_leafwise", patience=3),
-                                      space, 3, seed=42)
-    best_rmse = trials.agg(F.min("cv_rmse").alias("b"))
-    from foldspark.operators.joins import attach_scalar_row
-    out = attach_scalar_row(trials, best_rmse).withColumn("is_best", F.col("cv_rmse") == F.col("b")).drop("b")
-    return round_doubles(out.withColumn("params_json", F.to_json("params")).drop("params"), 6)
+    path = shared_path(spark, "search")
+    trials, best, final = runs.random_search(model_frame(spark, sf), FEATURES, learner("gbt_leafwise", patience=1, max_rounds=3),
+                                             space, 40, seed=42, refit=learner("gbt_leafwise", patience=3), first_folds=1,
+                                             keep=0.1, path=path)
+    saved = store.load_params(spark, f"{path}/params", "gbt_leafwise")
+    logged = store.read_experiment_log(spark, f"{path}/log").first()
+    best_rmse = trials.where("complete").agg(F.min("cv_rmse")).first()[0]
+    out = trials.withColumn("is_best", F.col("complete") & (F.col("cv_rmse") == best_rmse)).withColumn(
+        "is_saved", F.to_json("params") == F.to_json(F.create_map(*[x for k in best for x in (F.lit(k), F.lit(saved[k]))])))
+    return round_doubles(out.withColumn("params_json", F.to_json("params")).drop("params").withColumn(
+        "refit_rmse", F.lit(logged["cv_rmse"])), 6)

@@ -95,7 +95,7 @@ def _features_oracle(names, where: str = "") -> str:
 
 # ---- step 1: cleaning and categories ---------------------------------------------
 
-@query("alias_normalize", P_CTE + "select id, country from p", "P1, P2, S3")
+@query("alias_normalize", P_CTE + "select id, country from p", "P1, P2")
 def q_alias_normalize(spark, sf):
     """Alias dictionary applied to the country column; null stays null."""
     return cleaned_panel(spark, sf).select("id", "country")
@@ -157,7 +157,7 @@ def _reg_features(name, feats, ids, doc):
     query(name, _features_oracle(R.feature_names(feats)), ids)(build)
 
 
-_reg_features("features_v1", R.V1, "F1-F10, FV1, FV3",
+_reg_features("features_v1", R.V1, "F1-F10, FV1",
               "v1 row features (sleep, lifestyle, demographic) with own-split medians.")
 _reg_features("missing_flags", R.MISSING, "F11-F17", "Six missing flags and their row total.")
 _reg_features("interactions", R.INTERACTION, "F18-F22", "Interaction features, medians of own split.")

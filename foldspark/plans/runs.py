@@ -1,16 +1,17 @@
 """k-fold runners and multi-run drivers.
 
-``run_cv`` fits one MLlib model per fold. The prepared table (features, label,
-fold) is persisted once; each fold's fit is a distributed job over the rows
-outside the fold, and folds run concurrently from a small thread pool (Spark
-schedules the jobs side by side). Nulls are filled with fold-train medians
-(only columns that contain nulls; all their ``k`` medians come from one filtered
-aggregate). The output is a
+``prepare`` writes features, label and folds once as Parquet in the shared folder; every fit of a
+run family (folds, seeds, learners, trials) reads that table. ``run_cv`` fits one MLlib model per
+fold: a distributed job over the rows outside the fold, the folds side by side from a small thread
+pool. Nulls are filled with fold-train medians (only columns that contain nulls; the medians of all
+folds and seeds come from one pass). The output is a
 keyed prediction table ``(experiment, id, fold, split, pred)`` on the model's scale: ``split='oof'``
 for each labelled row (scored by the model that did not see it) and
-``split='test'`` for each unlabelled row once per fold model. The table is
-checkpointed (reliable checkpoint in ``spark.checkpoint.dir``) so the lineage of
-k fits is cut before later stages use it.
+``split='test'`` for each unlabelled row once per fold model. It is written too, so no
+lineage of fits reaches later stages; a prepared table that ``run_cv`` made itself is deleted then.
+
+``run_matrix`` works off seeds x learners x folds as a table of jobs, each of which ends with its
+predictions in the store; started again it fits only what is missing.
 
 ``ridge_cv`` computes the k-fold ridge (M6) from per-fold sufficient statistics
 instead of k MLlib fits; the MLlib learner ``ridge`` gives the same model up to
@@ -20,7 +21,8 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
@@ -28,15 +30,17 @@ import numpy as np
 from pyspark import SparkContext
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldspark.functions import exprs as X
 from foldspark.functions import quantiles as Q
-from foldspark.operators import foldstats, metrics as M
+from foldspark.operators import blend, folds, foldstats, metrics as M
 from foldspark.plans.models import Learner
 from foldspark.session import ensure_checkpoint_dir
+from foldspark.sources import store
+from foldspark.sources.scratch import discard, shared_path, stored
 
 
 @dataclass
@@ -66,8 +70,7 @@ class CVResult:
 
 def _ev(prob: Column) -> Column:
     """Expected class value ``sum_k k * p_k`` of a probability vector (M7)."""
-    arr = vector_to_array(prob)
-    return F.aggregate(F.transform(arr, lambda p, i: p * i), F.lit(0.0), lambda acc, v: acc + v)
+    return _ev_array(vector_to_array(prob))
 
 
 def _lit(v) -> Column:
@@ -82,6 +85,49 @@ def _prepare(df: DataFrame, features: Sequence[str], target: str, fold_col: str,
                      label.alias("label"), *[F.col(c).cast("double").alias(c) for c in features])
 
 
+@dataclass
+class Prepared:
+    """The stored table ``id, __train, __fold, label, features...`` that all fits of a run family read."""
+    table: DataFrame
+    features: list
+    k: int
+    need: list                            # columns with nulls among labelled rows
+    fills: dict                           # seed (None: the given folds) -> {med_<column>_<fold>: median}
+
+    def folded(self, seed: int | None = None) -> tuple[DataFrame, dict]:
+        """The table under the given folds, or under the hash folds of ``seed``, and its fold-train medians."""
+        if seed is None:
+            return self.table, self.fills[None]
+        return self.table.withColumn("__fold", _seed_fold(seed, self.k)), self.fills[seed]
+
+    def discard(self) -> None:
+        discard(self.table)
+
+
+def _seed_fold(seed: int, k: int) -> Column:
+    return F.when(F.col("__train"), (X.seeded_key("id", seed) % k).cast("int"))
+
+
+def prepare(df: DataFrame, features: Sequence[str], *, target: str = "target", k: int = 5, fold_col: str | None = "fold",
+            train_col: str = "is_train", id_col: str = "id", label_fn=None, seeds: Sequence[int] = ()) -> Prepared:
+    """Write the table of a run family once and take the medians of all its folds in one pass.
+
+    ``fold_col``: the folds of ``run_cv``; ``seeds``: further hash folds, derived when read."""
+    features = list(features)
+    src = df if fold_col else df.withColumn("__nofold", F.lit(None).cast("int"))
+    table = stored(_prepare(src, features, target, fold_col or "__nofold", train_col, id_col, label_fn), "cv-table")
+    train = table.where("__train")
+    need = foldstats.columns_with_nulls(train, features)
+    cuts = ([(None, F.col("__fold"))] if fold_col else []) + [(s, _seed_fold(s, k)) for s in seeds]
+    fills: dict = {s: {} for s, _ in cuts}
+    if need:
+        t = Q.column_quantiles(train, {c: F.col(c) for c in need},
+                               weights=[(c != f).cast("int") for _, c in cuts for f in range(k)])
+        for r in t.collect():                           # columns x folds x seeds rows
+            fills[cuts[r["variant"] // k][0]][f"med_{r['col']}_{r['variant'] % k}"] = r["q0"]
+    return Prepared(table, features, k, need, fills)
+
+
 def fold_moments(base: DataFrame, features: Sequence[str], meds, k: int) -> dict:
     """Fold-train moments of the median-filled features and the label (one groupBy)."""
     md = meds if isinstance(meds, dict) else meds.asDict()
@@ -90,8 +136,10 @@ def fold_moments(base: DataFrame, features: Sequence[str], meds, k: int) -> dict
 
 def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, experiment: str,
               extra: DataFrame | None, importances: list, best_iters: dict,
-              moments: dict | None = None) -> DataFrame:
-    """Fit on rows outside fold ``f`` (plus ``extra`` rows), score fold ``f`` and unlabelled rows."""
+              moments: dict | None = None, labels: bool = False) -> DataFrame:
+    """Fit on rows outside fold ``f`` (plus ``extra`` rows), score fold ``f`` and unlabelled rows.
+
+    ``labels``: keep the label beside the prediction."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     fit = x.where(F.col("__train") & (F.col("__fold") != f)).select("id", "label", *features)
     if extra is not None:
@@ -121,6 +169,11 @@ def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, exp
         valid, fit = fit.where(inner), fit.where(~inner)
     else:
         valid = score.where(F.col("__train"))
+    if lrn.kind == "one_vs_rest_ev":
+        prob = one_vs_rest(lrn, seed, assembler.transform(fit), assembler.transform(score))
+        return prob.select(F.lit(experiment).alias("experiment"), "id", F.lit(f).alias("fold"),
+                           F.when(F.col("__train"), F.lit("oof")).otherwise(F.lit("test")).alias("split"),
+                           _ev_array(F.col("probability")).alias("pred"), *(["label", "probability"] if labels else []))
     if lrn.patience is None:
         model = lrn.estimator(seed, **over).fit(assembler.transform(fit))
     else:
@@ -132,49 +185,110 @@ def _fit_fold(f: int, x: DataFrame, features: list, lrn: Learner, seed: int, exp
     pred = _ev(F.col("probability")) if lrn.kind == "classifier_ev" else F.col("prediction")
     return out.select(F.lit(experiment).alias("experiment"), "id", F.lit(f).alias("fold"),
                       F.when(F.col("__train"), F.lit("oof")).otherwise(F.lit("test")).alias("split"),
-                      pred.cast("double").alias("pred"))
+                      pred.cast("double").alias("pred"), *(["label"] if labels else []))
+
+
+def one_vs_rest(lrn: Learner, seed: int, fit: DataFrame, score: DataFrame) -> DataFrame:
+    """M7: one boosted classifier a class (the integer labels 0, 1, ... of ``lrn.classes``), fitted side by side.
+
+    ``score`` gets ``probability``, the classes' probabilities divided by their sum. A class without rows of its own, or
+    that holds all rows, needs no model: its probability is 0 or 1 before the division."""
+    fit = fit.select("features", "label").persist()
+    counts = {int(r["label"]): r["count"] for r in fit.groupBy("label").count().collect()}
+    rows = sum(counts.values())
+
+    def one(c: int):
+        if counts.get(c, 0) in (0, rows):
+            return None
+        return lrn.estimator(seed + c).fit(fit.withColumn("label", (F.col("label") == c).cast("double")))
+
+    with ThreadPoolExecutor(max_workers=lrn.classes) as pool:
+        models = list(pool.map(one, range(lrn.classes)))
+    fit.unpersist()
+    out = score
+    for c, m in enumerate(models):
+        if m is None:
+            out = out.withColumn(f"__p{c}", F.lit(1.0 if counts.get(c, 0) else 0.0))
+            continue
+        m = m.setPredictionCol("").setRawPredictionCol(f"__r{c}").setProbabilityCol(f"__v{c}")
+        out = m.transform(out).withColumn(f"__p{c}", vector_to_array(F.col(f"__v{c}"))[1]).drop(f"__r{c}", f"__v{c}")
+    total = sum((F.col(f"__p{c}") for c in range(lrn.classes)), F.lit(0.0))
+    names = [f"__p{c}" for c in range(lrn.classes)]
+    return out.withColumn("probability", F.array(*[F.try_divide(F.col(n), total) for n in names])).drop(*names)
+
+
+def _ev_array(prob: Column) -> Column:
+    return F.aggregate(F.transform(prob, lambda p, i: p * i), F.lit(0.0), lambda acc, v: acc + v)
+
+
+#: Rounds after which what the trees have left over is written, so that no plan holds more trees than that.
+RESIDUAL_ROUNDS = 25
 
 
 def boost(lrn: Learner, seed: int, fit: DataFrame, valid: DataFrame, over: dict):
     """Boost until the validation loss has not improved for ``patience`` rounds, and cut.
 
-    MLlib cannot continue a fit, so the number of rounds doubles until the best round
-    lies ``patience`` rounds or more before the last (or ``max_rounds`` is reached). The result
-    is one ensemble of the first ``best`` trees, the model a fit of that length gives.
-    """
-    fit, valid = fit.persist(), valid.persist()
-    rounds = min(lrn.max_rounds, max(8, 2 * lrn.patience))
+    One tree a round is fitted on what the trees before it left over (twice the residual, as MLlib's
+    squared loss has it; the first on the label), so no tree is fitted twice however long it
+    goes on, and the trees are those of one long MLlib run with these settings. Losses are read once
+    for several rounds. Every ``RESIDUAL_ROUNDS`` rounds the residual is stored as the rows' new label.
+    The result is one ensemble of the first ``best`` trees."""
+    p = {**lrn.params, **over}
+    step, most = p.pop("stepSize", 0.1), min(lrn.max_rounds, p.pop("maxIter", lrn.max_rounds))
+    every = max(2, min(lrn.patience, 10))
+    fit, valid = (rows.select("features", "label").persist() for rows in (fit, valid))
+    trees, losses, cut = [], [], 0
+
+    def weights(start: int) -> list:
+        return [1.0 if i == 0 else step for i in range(start, len(trees))]
+
+    def rest(rows: DataFrame) -> DataFrame:
+        """The rows with what the trees since the last cut leave over as label."""
+        if len(trees) == cut:
+            return rows
+        return ensemble(trees[cut:], weights(cut)).transform(rows).select(
+            "features", (F.col("label") - F.col("prediction")).alias("label"))
+
     while True:
-        model = lrn.estimator(seed, maxIter=rounds, **over).fit(fit)
-        losses = model.evaluateEachIteration(valid, "squared")
+        for _ in range(min(every, most - len(trees))):
+            forest = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=1, bootstrap=False,
+                                           seed=seed + len(trees), **p)
+            rows = rest(fit)
+            if trees:
+                rows = rows.withColumn("label", 2 * F.col("label"))
+            trees.append(forest.fit(rows)._java_obj.trees()[0])
+        losses[cut:] = ensemble(trees[cut:], weights(cut)).evaluateEachIteration(valid, "squared")
         best = int(np.argmin(losses)) + 1
-        if best + lrn.patience <= len(losses) or rounds >= lrn.max_rounds:
+        if best + lrn.patience <= len(trees) or len(trees) >= most:
             break
-        rounds = min(lrn.max_rounds, 2 * rounds)
-    fit.unpersist()
-    valid.unpersist()
-    return truncated(model, best), best
-
-
-def truncated(model, n: int):
-    """The boosted ensemble of the model's first ``n`` trees."""
+        if len(trees) - cut >= RESIDUAL_ROUNDS:
+            left = [stored(rest(rows), "residuals") for rows in (fit, valid)]
+            for old in (fit, valid):
+                old.unpersist()
+                discard(old)
+            (fit, valid), cut = left, len(trees)
+    for rows in (fit, valid):
+        rows.unpersist()
+        discard(rows)
+    return ensemble(trees[:best], weights(0)[:best]), best
+
+
+def ensemble(trees: Sequence, weights: Sequence[float]) -> GBTRegressionModel:
+    """The boosted ensemble of fitted trees (MLlib's objects) and their weights."""
     sc = SparkContext._active_spark_context
-    java, gateway = model._java_obj, sc._gateway
-    trees = gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = gateway.new_array(gateway.jvm.double, n)
-    for i, (t, w) in enumerate(zip(java.trees()[:n], java.treeWeights()[:n])):
-        trees[i], weights[i] = t, float(w)
-    short = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), trees, weights)
-    short.setFeaturesCol(java.getFeaturesCol())
-    short.setPredictionCol(java.getPredictionCol())
-    return GBTRegressionModel(short)
+    gateway = sc._gateway
+    ts = gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    ws = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (t, w) in enumerate(zip(trees, weights)):
+        ts[i], ws[i] = t, float(w)
+    return GBTRegressionModel(sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel("foldspark-boosted", ts, ws))
 
 
 def _collect(parts: list) -> DataFrame:
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)                      # J6: fold rows written back by id
-    return preds.checkpoint(eager=True)
+    return stored(preds, "cv-predictions")
 
 
 def _fill_expr(c: str, meds, f: int) -> Column:
@@ -192,23 +306,31 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
            seed: int = 42, experiment: str | None = None, extra_train: DataFrame | None = None,
            label_fn: Callable[[Column], Column] | None = None,
            inverse_fn: Callable[[Column], Column] | None = None,
-           parallel: int | None = None) -> CVResult:
+           parallel: int | None = None, prepared: Prepared | None = None, fold_seed: int | None = None) -> CVResult:
     """M11 (+ M12 with ``extra_train`` rows ``(id, label, model_fold, features...)``,
-    M13 with ``label_fn`` / ``inverse_fn``)."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    experiment = experiment or lrn.name
-    features = list(features)
-    # reliable checkpoint: the fold jobs then plan against a plain scan of the
-    # prepared table instead of re-optimising the whole upstream plan k times
-    base = _prepare(df, features, target, fold_col, train_col, id_col, label_fn).checkpoint(eager=True)
-    need, n_rows = foldstats.null_columns_and_rows(base.where(F.col("__train")), features)
-    meds = foldstats.fold_medians(base, need, k, "__fold", "__train").first() if need else {}
+    M13 with ``label_fn`` / ``inverse_fn``). ``prepared``: a table of ``prepare`` to read instead of making one."""
+    ensure_checkpoint_dir(df.sparkSession)
+    own = prepared is None
+    if own:
+        prepared = prepare(df, features, target=target, k=k, fold_col=fold_col, train_col=train_col, id_col=id_col,
+                           label_fn=label_fn)
     extra = None
     if extra_train is not None:
         extra = extra_train.select(F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"),
                                    F.col("model_fold").cast("int").alias("model_fold"),
-                                   *[F.col(c).cast("double").alias(c) for c in features])
+                                   *[F.col(c).cast("double").alias(c) for c in prepared.features])
+    res = _cv(prepared, lrn, seed, experiment or lrn.name, range(prepared.k), fold_seed, extra, parallel)
+    res.inverse = inverse_fn or (lambda c: c)
+    if own:
+        prepared.discard()
+    return res
+
+
+def _cv(prepared: Prepared, lrn: Learner, seed: int, experiment: str, which: Sequence[int], fold_seed: int | None = None,
+        extra: DataFrame | None = None, parallel: int | None = None) -> CVResult:
+    """The fold models ``which`` of one learner, side by side."""
+    base, meds = prepared.folded(fold_seed)
+    features, k = prepared.features, prepared.k
     importances, best_iters = [], {}
     moments = fold_moments(base, features, meds, k) if lrn.scale and extra is None else None
 
@@ -220,10 +342,9 @@ def run_cv(df: DataFrame, features: Sequence[str], lrn: Learner, *, target: str
                 "id", "label", *[_fill_expr(c, meds, f) for c in features])
         return _fit_fold(f, x, features, lrn, seed, experiment, ex, importances, best_iters, moments)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
-        parts = list(ex_.map(one_fold, range(k)))
-    preds = _collect(parts)
-    return CVResult(experiment, preds, importances, best_iters, inverse_fn or (lambda c: c))
+    with ThreadPoolExecutor(max_workers=max(1, parallel or len(which))) as pool:
+        parts = list(pool.map(one_fold, which))
+    return CVResult(experiment, _collect(parts), importances, best_iters)
 
 
 def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], lrn: Learner, *,
@@ -233,31 +354,30 @@ def run_cv_encoded(df: DataFrame, numeric: Sequence[str], cats: Sequence[str], l
     """M3: categories (missing as a level, P5) enter as target statistics computed
     inside each model fold: fold-train rows get out-of-inner-fold encodings, the
     held-out fold and unlabelled rows get the full fold-train encoding (no target
-    of a scored row reaches its own features)."""
-    from foldspark.operators import clean, encode, folds
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    of a scored row reaches its own features). The encodings of all model folds come out of one
+    aggregate (``encode.nested_target_encoding``) and are stored once."""
+    from foldspark.operators import clean, encode
+    ensure_checkpoint_dir(df.sparkSession)
     experiment = experiment or f"{lrn.name}_category"
-    src = clean.missing_as_level(df, list(cats))
-    src = folds.hash_folds(src, k, seed + 1000, id_col, out="__inner").checkpoint(eager=True)
-    enc_names = [f"fe_te_{c}" for c in cats]
-    features = list(numeric) + enc_names
+    src = folds.hash_folds(clean.missing_as_level(df, list(cats)), k, seed + 1000, id_col, out="__inner")
+    encoded = encode.nested_target_encoding(src, list(cats), target, fold_col, "__inner", train_col, k, k, smoothing)
+    names = [f"fe_te_{c}" for c in cats]
+    own = [f"{n}_{f}" for n in names for f in range(k)]
+    flat = encoded.select("*", *[F.get(n, F.lit(f)).alias(f"{n}_{f}") for n in names for f in range(k)])
+    prepared = prepare(flat, [*numeric, *own], target=target, k=k, fold_col=fold_col, train_col=train_col, id_col=id_col)
+    base, meds = prepared.folded()
+    features = [*numeric, *names]
     importances, best_iters = [], {}
 
     def one_fold(f: int) -> DataFrame:
-        in_fit = F.col(train_col) & (F.col(fold_col) != f)
-        xf = encode.target_encode(src.withColumn("__fit", in_fit), list(cats), target, "__inner", "__fit",
-                                  smoothing)
-        x = _prepare(xf, features, target, fold_col, train_col, id_col, None)
-        fit_rows = x.where(F.col("__train") & (F.col("__fold") != f))
-        meds = {r["col"]: r["q0"] for r in Q.column_quantiles(fit_rows, {c: F.col(c) for c in features}).collect()}
-        x = x.select("id", "__train", "__fold", "label",
-                     *[F.coalesce(F.col(c), _lit(meds.get(c))).alias(c) for c in features])
+        x = base.select("id", "__train", "__fold", "label", *[_fill_expr(c, meds, f) for c in numeric],
+                        *[F.col(f"{n}_{f}").alias(n) for n in names])
         return _fit_fold(f, x, features, lrn, seed, experiment, None, importances, best_iters)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel or k)) as ex_:
         parts = list(ex_.map(one_fold, range(k)))
     preds = _collect(parts)
+    prepared.discard()
     return CVResult(experiment, preds, importances, best_iters)
 
 
@@ -273,40 +393,145 @@ def importance_table(spark, res: CVResult) -> DataFrame:
 
 def impute_chained(df: DataFrame, cols: Sequence[str], rounds: int = 5, id_col: str = "id",
                    make_estimator: Callable[[], object] | None = None) -> DataFrame:
-    """Start from column means; each round, for every column that had nulls, fit
+    """Start from column means; each round, for every column that had nulls (fewest nulls first), fit
     a regressor on rows where it was observed (other columns at their current values)
-    and replace the originally-missing values by its predictions. Each round ends
-    with a reliable checkpoint, so lineage does not grow with rounds x columns."""
+    and replace the originally-missing values by its predictions.
+
+    What changes lives in one narrow table ``(id, column, value)`` of the missing cells, rewritten once a
+    round; the rows themselves are never copied. ``id_col`` is unique. ``make_estimator`` gives any MLlib
+    regressor (features ``features``, label ``__label``, prediction ``__p``); linear least squares by
+    default. A column without any value stays null and is no feature of the others."""
     from pyspark.ml.regression import LinearRegression
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    cols = list(cols)
+    ensure_checkpoint_dir(df.sparkSession)
     make = make_estimator or (lambda: LinearRegression(featuresCol="features", labelCol="__label",
                                                        predictionCol="__p", solver="normal"))
-    null_counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    todo = [c for c in cols if null_counts[c] > 0]
-    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    cur = df.select(F.col(id_col), *[F.col(c).isNull().alias(f"__miss_{c}") for c in cols],
-                    *[F.coalesce(F.col(c).cast("double"), _lit(means[c])).alias(c) for c in cols])
-    cur = cur.checkpoint(eager=True)
+    stats = df.agg(F.count("*").alias("__n"), *[F.count(c).alias(f"n_{c}") for c in cols],
+                   *[F.avg(c).alias(f"m_{c}") for c in cols]).first()
+    cols = [c for c in cols if stats[f"n_{c}"]] if stats["__n"] else list(cols)
+    todo = sorted((c for c in cols if stats[f"n_{c}"] < stats["__n"]), key=lambda c: (-stats[f"n_{c}"], cols.index(c)))
+    base = df.select(F.col(id_col).alias("__id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    if not todo:
+        return base.withColumnRenamed("__id", id_col)
+    missing = F.explode(F.array_compact(F.array(*[
+        F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("col"), F.lit(float(stats[f"m_{c}"])).alias("value"))) for c in todo])))
+    cells = stored(base.select("__id", missing.alias("x")).select("__id", "x.col", "x.value"), "imputed-cells")
+
+    def current(cells: DataFrame) -> DataFrame:
+        """The rows with their missing cells at their current values; ``__miss_<c>`` marks those."""
+        wide = cells.groupBy("__id").pivot("col", todo).agg(F.max("value")).select(
+            F.col("__id").alias("__cid"), *[F.col(f"`{c}`").alias(f"__cell_{c}") for c in todo])
+        both = base.join(wide, F.col("__id") == F.col("__cid"), "left")
+        return both.select("__id", *[F.col(c).isNull().alias(f"__miss_{c}") for c in todo],
+                           *[(F.coalesce(c, f"__cell_{c}") if c in todo else F.col(c)).alias(c) for c in cols])
+
     for _ in range(rounds):
+        now, steps = cells, []
         for c in todo:
-            others = [o for o in cols if o != c]
-            asm = VectorAssembler(inputCols=others, outputCol="features")
-            obs = asm.transform(cur.where(~F.col(f"__miss_{c}")).withColumn("__label", F.col(c)))
-            model = make().fit(obs)
-            cur = (model.transform(asm.transform(cur))
-                        .withColumn(c, F.when(F.col(f"__miss_{c}"), F.col("__p")).otherwise(F.col(c)))
-                        .drop("features", "__p"))
-        cur = cur.checkpoint(eager=True)
-    return cur.drop(*[f"__miss_{c}" for c in cols])
+            asm = VectorAssembler(inputCols=[o for o in cols if o != c], outputCol="features")
+            rows = asm.transform(current(now))
+            model = make().fit(rows.where(~F.col(f"__miss_{c}")).withColumn("__label", F.col(c)))
+            new = model.transform(rows.where(f"__miss_{c}")).select("__id", F.lit(c).alias("col"), F.col("__p").alias("value"))
+            # stored per column: the next fit reads values, not a chain of models
+            new = stored(new, "imputed-column")
+            now = now.where(F.col("col") != c).unionByName(new)
+            steps.append(new)
+        after = stored(now, "imputed-cells")
+        for old in (cells, *steps):
+            discard(old)
+        cells = after
+    return current(cells).select(F.col("__id").alias(id_col), *cols)
+
+
+# ---- M15 run matrix ----------------------------------------------------------------------
+
+#: Fixed values of the source's multi-seed runs.
+SEEDS = (42, 123, 456, 789, 2024)
+
+
+@dataclass
+class MatrixResult:
+    """The store of a run matrix and the jobs that this call has fitted."""
+    spark: SparkSession
+    path: str
+    models: list
+    fitted: list
+
+    def predictions(self) -> DataFrame:
+        """``seed, model, fold, id, split, pred``."""
+        return self.spark.read.schema("id bigint, split string, pred double, seed int, model string, fold int").parquet(
+            f"{self.path}/predictions")
+
+    def averaged(self) -> DataFrame:
+        """G18 (and G19): ``id, split, model, pred, n_avg``, the mean over the seeds (and, for test rows, their fold models)."""
+        return blend.average_over(self.predictions(), ["id", "split", "model"])
+
+    def stacked(self, labels: DataFrame, target: str = "target", alpha: float = 1.0,
+                clip: tuple[float, float] = (0.0, 10.0)) -> tuple[DataFrame, np.ndarray, float]:
+        """J5 + B3: ``id, split, <model>..., pred``, one column a model and their ridge stack, with its weights and intercept."""
+        wide = blend.wide(self.averaged(), self.models, ["id", "split"])
+        fit = wide.where("split = 'oof'").join(labels.select("id", F.col(target).alias("__y")), "id")
+        coef, icpt = blend.ridge_stack(fit, self.models, "__y", alpha)
+        return wide.withColumn("pred", X.clip(blend.linear_score(self.models, coef, icpt), *clip)), coef, icpt
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def run_matrix(df: DataFrame, features: Sequence[str], learners: Mapping[str, Learner], path: str, *,
+               seeds: Sequence[int] = SEEDS, k: int = 5, target: str = "target", train_col: str = "is_train",
+               id_col: str = "id", extra_train: DataFrame | None = None, parallel: int = 8) -> MatrixResult:
+    """M15 + K3: every learner under every seed (its folds and its model seed), ``seeds x learners x k`` fits.
+
+    Each fit is a job of its own in the FAIR pool of its learner and ends with its predictions below
+    ``path`` (``predictions/seed=/model=/fold=``, written whole or not at all). A call on a path with
+    finished jobs fits the others only. When all are there, each (learner, seed) that this call has touched gets a
+    record in the log ``path``/log (S12). ``extra_train``: rows ``(id, label, features...)`` that every fold model
+    trains on besides (M12)."""
+    spark = df.sparkSession
+    jobs = [(s, m, f) for s in seeds for m in learners for f in range(k)]
+    place = {j: f"{path}/predictions/seed={j[0]}/model={j[1]}/fold={j[2]}" for j in jobs}
+    todo = [j for j in jobs if not _exists(spark, f"{place[j]}/_SUCCESS")]
+    if todo:
+        prepared = prepare(df, features, target=target, k=k, fold_col=None, train_col=train_col, id_col=id_col,
+                           seeds=sorted({s for s, _, _ in todo}))
+        extra = None if extra_train is None else extra_train.select(
+            F.col(id_col).alias("id"), F.col("label").cast("double").alias("label"),
+            *[F.col(c).cast("double").alias(c) for c in features])
+        began = time.time()
+
+        def one(job: tuple) -> None:
+            s, m, f = job
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", m)
+            base, meds = prepared.folded(s)
+            ex = None if extra is None else extra.select("id", "label", *[_fill_expr(c, meds, f) for c in prepared.features])
+            out = _fit_fold(f, _filled(base, prepared.features, meds, f), prepared.features, learners[m], s, m, ex, [], {})
+            out.select("id", "split", "pred").write.mode("overwrite").parquet(place[job])
+
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            list(pool.map(one, todo))
+        took = time.time() - began
+        prepared.discard()
+    res = MatrixResult(spark, path, list(learners), todo)
+    touched = sorted({(m, s) for s, m, _ in todo})
+    if touched:
+        y = df.select(F.col(id_col).alias("id"), F.col(target).alias("target"))
+        scored = res.predictions().where("split = 'oof'").join(y, "id")
+        rows = M.rmse(scored, by=["model", "seed", "fold"]).collect()      # one row a job
+        for m, s in touched:
+            scores = [r["rmse"] for r in sorted(rows, key=lambda r: r["fold"]) if (r["model"], r["seed"]) == (m, s)]
+            store.log_experiment(spark, f"{path}/log", f"{m}_seed{s}", float(np.mean(scores)), float(np.std(scores)), scores,
+                                 took, {"model": m, "seed": s})
+    return res
 
 
 # ---- M16 random search -----------------------------------------------------------------
 
 @dataclass
 class Space:
-    """Bounded search space: name -> (kind, lo, hi); kind in float / logfloat / int."""
+    """Bounded search space: name -> (kind, lo, hi); kind in float / logfloat / int / logint, or fraction (a share
+    written as text, as ``featureSubsetStrategy`` takes it)."""
     dims: dict
 
     def sample(self, rng: random.Random) -> dict:
@@ -314,36 +539,86 @@ class Space:
         for name, (kind, lo, hi) in self.dims.items():
             if kind == "int":
                 out[name] = rng.randint(int(lo), int(hi))
-            elif kind == "logfloat":
-                out[name] = float(math.exp(rng.uniform(math.log(lo), math.log(hi))))
+            elif kind in ("logfloat", "logint"):
+                v = float(math.exp(rng.uniform(math.log(lo), math.log(hi))))
+                out[name] = v if kind == "logfloat" else round(v)
             else:
-                out[name] = float(rng.uniform(lo, hi))
+                v = float(rng.uniform(lo, hi))
+                out[name] = repr(round(v, 4)) if kind == "fraction" else v
         return out
 
 
-def random_search(df: DataFrame, features: Sequence[str], base: Learner, space: Space, n_trials: int = 40,
-                  seed: int = 42, refit: Learner | None = None, **cv_kw):
-    """Seeded random trials, each scored by the k-fold runner (objective = OOF RMSE).
+# The source's ranges, on the parameters that MLlib has of them (it has no leaf
+# penalties, column shares by level or bagging temperature).
+SPACES: dict[str, Space] = {
+    "gbt_leafwise": Space({"stepSize": ("logfloat", 0.01, 0.1), "maxDepth": ("int", 4, 12),
+                           "minInstancesPerNode": ("int", 5, 100), "featureSubsetStrategy": ("fraction", 0.5, 1.0),
+                           "subsamplingRate": ("float", 0.5, 1.0), "minInfoGain": ("float", 0.0, 1.0)}),
+    "gbt_depthwise": Space({"stepSize": ("logfloat", 0.01, 0.1), "maxDepth": ("int", 4, 12),
+                            "minInstancesPerNode": ("logint", 1, 20), "featureSubsetStrategy": ("fraction", 0.5, 1.0),
+                            "subsamplingRate": ("float", 0.5, 1.0), "minInfoGain": ("float", 0.0, 5.0)}),
+    "gbt_category": Space({"stepSize": ("logfloat", 0.01, 0.1), "maxDepth": ("int", 4, 10),
+                           "minInstancesPerNode": ("int", 1, 100), "maxBins": ("int", 32, 255)}),
+}
 
-    Returns ``(trials DataFrame, best params, refit result or None)``; the trial table stores
-    params as a map. ``refit``: a learner with a longer budget, run once with the best parameters.
-    """
-    rng = random.Random(seed)
+
+def random_search(df: DataFrame, features: Sequence[str], base: Learner, space: Space, n_trials: int = 40,
+                  seed: int = 42, refit: Learner | None = None, first_folds: int | None = None, keep: float = 0.5,
+                  parallel: int = 8, path: str | None = None, **cv_kw):
+    """Seeded random trials, each scored over the folds (objective = pooled OOF RMSE).
+
+    All trials read one prepared table and run side by side; a trial leaves two numbers a fold, no table.
+    With ``first_folds`` set, every trial runs that many folds first and only the best ``keep`` of the trials
+    (one at least) run the rest; the others keep the score of their first folds and ``complete = false``.
+    ``refit``: a learner with a longer budget, run once with the best complete trial's parameters. With
+    ``path``, these parameters are saved (S14) and the refit, or else the best trial, is logged (S12).
+
+    Returns ``(trials DataFrame, best params, refit result or None)``; the trial table stores params as a map."""
+    spark, rng, began = df.sparkSession, random.Random(seed), time.time()
+    params = [space.sample(rng) for _ in range(n_trials)]
+    prepared = prepare(df, features, **cv_kw)
+    table, meds = prepared.folded()
+    found: dict[int, dict[int, tuple]] = {t: {} for t in range(n_trials)}
+
+    def one(job: tuple) -> None:
+        t, f = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{t}")
+        lrn = replace(base, params={**base.params, **params[t]})
+        out = _fit_fold(f, _filled(table, prepared.features, meds, f), prepared.features, lrn, seed, base.name, None, [], {},
+                        labels=True)
+        r = out.where("split = 'oof'").agg(F.sum((F.col("label") - F.col("pred")) ** 2).alias("sse"), F.count("*").alias("n")).first()
+        found[t][f] = (r["sse"] or 0.0, r["n"])
+
+    def score(t: int) -> float:
+        return math.sqrt(sum(e for e, _ in found[t].values()) / max(1, sum(n for _, n in found[t].values())))
+
+    k, first = prepared.k, min(first_folds or prepared.k, prepared.k)
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        list(pool.map(one, [(t, f) for t in range(n_trials) for f in range(first)]))
+        on = sorted(range(n_trials), key=lambda t: (score(t), t))[:max(1, math.ceil(keep * n_trials)) if first < k else n_trials]
+        list(pool.map(one, [(t, f) for t in sorted(on) for f in range(first, k)]))
     rows = []
     for t in range(n_trials):
-        params = space.sample(rng)
-        lrn = replace(base, params={**base.params, **params})
-        res = run_cv(df, features, lrn, experiment=f"{base.name}_trial{t}", seed=seed, **cv_kw)
-        s = res.scores(df).first()
-        rows.append((t, {k: float(v) for k, v in params.items()}, float(s["cv_rmse"]), float(s["cv_std"] or 0.0), params))
-    spark = df.sparkSession
-    trials = spark.createDataFrame([r[:4] for r in rows], "trial int, params map<string,double>, cv_rmse double, cv_std double")
-    best = min(rows, key=lambda r: r[2])[4]
+        each = [math.sqrt(e / n) for e, n in found[t].values() if n]
+        rows.append((t, {p: float(v) for p, v in params[t].items()}, score(t), float(np.std(each)) if each else None,
+                     len(found[t]), len(found[t]) == k))
+    trials = spark.createDataFrame(rows, "trial int, params map<string,double>, cv_rmse double, cv_std double, n_folds int, "
+                                         "complete boolean")
+    winner = min(on, key=lambda t: (score(t), t))
     final = None
     if refit is not None:
-        final = run_cv(df, features, replace(refit, params={**refit.params, **best}),
-                       experiment=f"{base.name}_tuned", seed=seed, **cv_kw)
-    return trials, best, final
+        final = run_cv(df, features, replace(refit, params={**refit.params, **params[winner]}),
+                       experiment=f"{base.name}_tuned", seed=seed, prepared=prepared)
+    if path is not None:
+        store.save_params(spark, f"{path}/params", base.name, params[winner])
+        scores = [math.sqrt(e / n) for _, (e, n) in sorted(found[winner].items()) if n]
+        if final is not None:
+            y = table.where("__train").select("id", F.col("label").alias("target"))
+            scores = [r["rmse"] for r in M.rmse(final.oof().join(y, "id"), by=["fold"]).orderBy("fold").collect()]
+        store.log_experiment(spark, f"{path}/log", f"{base.name}_tuned", float(np.mean(scores)), float(np.std(scores)), scores,
+                             time.time() - began, {"trials": n_trials, "trial": winner})
+    prepared.discard()
+    return trials, params[winner], final
 
 
 # ---- M6 by sufficient statistics -------------------------------------------------------
@@ -364,9 +639,8 @@ def ridge_cv(df: DataFrame, features: Sequence[str], *, alpha: float = 1.0, targ
     ensure_checkpoint_dir(spark)
     features = list(features)
     p = len(features)
-    # no checkpoint: every pass below is a short projection/aggregate of the input,
-    # and scoring is one projection with literal coefficients (no model lineage)
-    base = _prepare(df, features, target, fold_col, train_col, id_col, None)
+    # stored once: every pass below, scoring included, reads a plain table
+    base = stored(_prepare(df, features, target, fold_col, train_col, id_col, None), "cv-table")
     tr = base.where(F.col("__train"))
     stats = tr.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in features],
                    *[F.avg(c).alias(f"a_{c}") for c in features]).first()

@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.scheduler.mode": "FAIR",            # the fits of run families share the executors
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",

@@ -269,3 +269,195 @@ def test_kfold_runner_is_leak_safe(spark, sf):
     f1 = a.fold == 1
     assert np.allclose(a.pred[f1].values, b.pred[f1].values, atol=1e-12)
     assert not np.allclose(a.pred[~f1].values, b.pred[~f1].values)
+
+
+# ---- boosting on, run matrix, search, imputation, CSV by name -----------------------------------
+
+def _boost_rows(spark, n=400, seed=4):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3))
+    y = x[:, 0] * 2 + np.abs(x[:, 1]) + rng.normal(0, 0.2, n)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "label": y}))
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+
+
+@pytest.mark.parametrize("cut", [25, 3])
+def test_boosting_on_equals_one_long_run(spark, monkeypatch, cut):
+    """Tree by tree on the residual gives MLlib's own ensemble, also when the residual is stored on the way."""
+    from pyspark.ml.regression import GBTRegressor
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    monkeypatch.setattr(runs, "RESIDUAL_ROUNDS", cut)
+    rows = _boost_rows(spark)
+    fit, valid = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    fitted = []
+    forest = runs.RandomForestRegressor.fit
+
+    def counted(self, *a, **kw):
+        fitted.append(1)
+        return forest(self, *a, **kw)
+
+    monkeypatch.setattr(runs.RandomForestRegressor, "fit", counted)
+    lrn = learner("gbt_leafwise", patience=40, max_rounds=9, stepSize=0.2, maxDepth=3, minInstancesPerNode=2,
+                  subsamplingRate=1.0, featureSubsetStrategy="all")
+    model, best = runs.boost(lrn, 7, fit, valid, {})
+    assert len(fitted) == 9 and best <= 9
+    long = GBTRegressor(maxIter=best, stepSize=0.2, maxDepth=3, minInstancesPerNode=2, seed=7).fit(fit)
+    got = model.transform(valid).toPandas().sort_values("id").prediction.values
+    assert np.allclose(got, long.transform(valid).toPandas().sort_values("id").prediction.values, atol=1e-9)
+    losses = long.evaluateEachIteration(valid, "squared")
+    assert int(np.argmin(losses)) + 1 == best and model.getNumTrees == best
+    assert np.allclose(model.featureImportances.toArray(), long.featureImportances.toArray(), atol=1e-9)
+
+
+def test_run_matrix_goes_on_where_it_stopped(spark, sf, tmp_path, monkeypatch):
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    p = Q.model_frame(spark, sf)
+    two = {"r1": learner("ridge"), "r2": learner("ridge", maxIter=50)}
+    path = str(tmp_path / "m")
+    real, seen = runs._fit_fold, []
+
+    def failing(f, *a, **kw):
+        if len(seen) == 5:
+            raise RuntimeError("executor lost")
+        seen.append(f)
+        return real(f, *a, **kw)
+
+    monkeypatch.setattr(runs, "_fit_fold", failing)
+    with pytest.raises(RuntimeError):
+        runs.run_matrix(p, ["age", "steps"], two, path, seeds=(1, 2), k=3, parallel=1)
+    monkeypatch.setattr(runs, "_fit_fold", real)
+    res = runs.run_matrix(p, ["age", "steps"], two, path, seeds=(1, 2), k=3)
+    assert len(res.fitted) == 12 - 5
+    assert runs.run_matrix(p, ["age", "steps"], two, path, seeds=(1, 2), k=3).fitted == []
+    n_train, n_test = p.where("is_train").count(), p.where("not is_train").count()
+    counts = {(r.model, r.split): r["count"] for r in res.predictions().groupBy("model", "split").count().collect()}
+    assert counts == {(m, s): n for m in two for s, n in (("oof", 2 * n_train), ("test", 6 * n_test))}
+    out, coef, _ = res.stacked(p.where("is_train"))
+    assert out.count() == n_train + n_test and out.where("pred is null or r1 is null").count() == 0 and (coef >= 0).all()
+
+
+def test_matrix_trains_on_extra_rows(spark, tmp_path):
+    """M12 in the matrix: pseudo rows train every fold's model and are never scored."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"id": np.arange(90), "x": rng.normal(size=90), "is_train": np.arange(90) < 60})
+    pdf["target"] = pdf.x
+    df = spark.createDataFrame(pdf)
+    extra = df.where("not is_train").select("id", F.lit(50.0).alias("label"), "x")
+    a = runs.run_matrix(df, ["x"], {"r": learner("ridge")}, str(tmp_path / "a"), seeds=(1,), k=3)
+    b = runs.run_matrix(df, ["x"], {"r": learner("ridge")}, str(tmp_path / "b"), seeds=(1,), k=3, extra_train=extra)
+    assert b.predictions().count() == a.predictions().count()
+    assert b.predictions().agg(F.avg("pred")).first()[0] > a.predictions().agg(F.avg("pred")).first()[0] + 5
+
+
+def test_search_stops_hopeless_trials(spark, sf, tmp_path):
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    p = Q.model_frame(spark, sf)
+    space = runs.Space({"regParam": ("logfloat", 1e-3, 1e3), "maxIter": ("logint", 5, 50)})
+    base = replace(learner("ridge"), ridge_alpha=None, scale=False)
+    path = str(tmp_path / "s")
+    trials, best, final = runs.random_search(p, ["age", "stress", "steps"], base, space, 6, first_folds=2, keep=0.34,
+                                             refit=base, path=path)
+    t = trials.orderBy("trial").collect()
+    assert sorted(r.n_folds for r in t) == [2, 2, 2, 5, 5, 5] or sorted(r.n_folds for r in t) == [2, 2, 2, 2, 5, 5]
+    assert {r.complete for r in t if r.n_folds == 5} == {True}
+    whole, best2, _ = runs.random_search(p, ["age", "stress", "steps"], base, space, 6)
+    w = whole.orderBy("trial").collect()
+    assert all(r.complete for r in w) and [r.params for r in w] == [r.params for r in t]
+    win = min(w, key=lambda r: (r.cv_rmse, r.trial))
+    assert best2 == {"regParam": win.params["regParam"], "maxIter": int(win.params["maxIter"])}
+    assert store.load_params(spark, f"{path}/params", "ridge") == pytest.approx({k: float(v) for k, v in best.items()})
+    assert store.read_experiment_log(spark, f"{path}/log").first().cv_rmse == pytest.approx(
+        final.scores(p).first().mean_fold_rmse)
+    for s in runs.SPACES.values():
+        got = s.sample(__import__("random").Random(1))
+        assert set(got) == set(s.dims) and all(isinstance(got[k], str) for k, d in s.dims.items() if d[0] == "fraction")
+
+
+def test_imputation_order_learner_and_empty_columns(spark):
+    from pyspark.ml.regression import DecisionTreeRegressor
+    from foldspark.plans import runs
+    rows = [(i, float(i % 10), None if i % 3 == 0 else float(i % 10) * 2, None if i % 5 == 0 else 1.0, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, never double")
+    out = runs.impute_chained(df, ["a", "b", "c", "never"], 2, make_estimator=lambda: DecisionTreeRegressor(
+        featuresCol="features", labelCol="__label", predictionCol="__p", maxDepth=6))
+    got = out.toPandas().set_index("id").sort_index()
+    assert list(out.columns) == ["id", "a", "b", "c"]
+    assert np.allclose(got.b.values, [i % 10 * 2 for i in range(60)]) and (got.c == 1.0).all()
+    assert runs.impute_chained(df.where("id < 0"), ["a", "b"]).count() == 0
+
+
+def test_wide_refuses_two_predictions_of_a_row(spark):
+    from foldspark.operators import blend as B
+    rows = [(1, "a", 1.0), (1, "b", None), (2, "a", 3.0), (3, "z", 9.0)]
+    long = spark.createDataFrame(rows, "id int, model string, pred double")
+    assert sorted(map(tuple, B.wide(long, ["a", "b"]).collect())) == [(1, 1.0, None), (2, 3.0, None), (3, None, None)]
+    with pytest.raises(Exception, match="two predictions of one row by model a"):
+        B.wide(long.unionByName(long), ["a", "b"]).collect()
+
+
+def test_moments_of_many_columns(spark):
+    from foldspark.operators import blend as B
+    rng = np.random.default_rng(6)
+    x = rng.normal(1000, 1, size=(500, 76))
+    names = [f"m{i}" for i in range(75)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[*names, "target"])).repartition(7)
+    df = df.unionByName(df.limit(1).withColumn("m3", F.lit(None).cast("double")))
+    r = x[:, 75:] - x[:, :75]
+    assert np.allclose(B.residual_moments(df, names), r.T @ r / 500, atol=1e-9)
+    g, b, m, my, n = B.centred_moments(df, names)
+    c = x - x.mean(0)
+    assert n == 500 and np.allclose(g, c[:, :75].T @ c[:, :75], atol=1e-7) and np.allclose(b, c[:, :75].T @ c[:, 75], atol=1e-7)
+    few = names[:4]
+    plain = B.residual_moments(df, few)
+    assert np.allclose(plain, B.residual_moments(df, names)[:4, :4], atol=1e-9)
+    w = B.optimal_weights(df, names)
+    assert w.min() >= 0 and w.sum() == pytest.approx(1)
+
+
+def test_csv_binds_by_name(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("stress", T.DoubleType()),
+                           T.StructField("bmi", T.DoubleType()), T.StructField("note", T.StringType())])
+    p = tmp_path / "a.csv"
+    p.write_text('bmi,id,note,extra,stress\n1,2,"a\nb ""c""",x,3\n4,5,,y,NA\n')
+    assert [tuple(r) for r in CSV.read_csv(spark, str(p), schema).collect()] == [(2, 3.0, 1.0, 'a\nb "c"'), (5, None, 4.0, None)]
+    p.write_text("id,stress,bmi\n1,2,3\n")
+    with pytest.raises(ValueError, match="no column note"):
+        CSV.read_csv(spark, str(p), schema)
+    d = tmp_path / "two"
+    d.mkdir()
+    (d / "1.csv").write_text("id,stress,bmi,note\n1,2,3,a\n" * 1)
+    (d / "2.csv").write_text("stress,id,bmi,note\n1,2,3,a\n")
+    with pytest.raises(Exception):
+        CSV.read_csv(spark, str(d), schema).collect()
+
+
+def test_csv_quarantine(spark, tmp_path):
+    schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("x", T.DoubleType())])
+    p = tmp_path / "q.csv"
+    p.write_text("x,id\n1.5,1\nabc,2\n2,3,4\nNaN,4\n2,5.5\n")
+    good, bad = CSV.read_csv_quarantined(spark, str(p), schema)
+    assert sorted(map(tuple, good.collect())) == [(1, 1.5), (4, None)]
+    assert sorted((r.reason, "abc" in r.record or "5.5" in r.record or "2,3,4" in r.record) for r in bad.collect()) == [
+        ("column id", True), ("column x", True), ("fields", True)]
+    with pytest.raises(Exception, match="cannot read"):
+        CSV.read_csv(spark, str(p), schema).collect()
+    assert CSV.read_csv(spark, str(p), schema, malformed="null").count() == 5
+
+
+def test_class_without_rows_has_no_probability(spark):
+    from foldspark.plans import runs
+    from foldspark.plans.models import quick
+    rows = _boost_rows(spark).withColumn("label", F.when(F.col("label") > 1, 3.0).otherwise(0.0))
+    lrn = replace(quick("class_boost", maxIter=2), classes=5)
+    got = runs.one_vs_rest(lrn, 1, rows, rows).select("label", "probability").toPandas()
+    p = np.array(got.probability.tolist())
+    assert np.allclose(p.sum(1), 1) and (p[:, [1, 2, 4]] == 0).all()
+    assert ((p[:, 3] > 0.5) == (got.label == 3)).mean() > 0.9
+    one = rows.withColumn("label", F.lit(2.0))
+    assert np.array(runs.one_vs_rest(lrn, 1, one, one).toPandas().probability.tolist())[:, 2].min() == 1.0
