@@ -193,7 +193,10 @@ def _name_archives(spark: SparkSession, folder: str) -> None:
     if fs.exists(root):
         for f in fs.listStatus(root):
             if (old := f.getPath()).getName().endswith(".txt"):
-                fs.rename(old, old.getParent().suffix(f"/{old.getName()[:10]}.warc.gz"))
+                # part-NNNNN-...: the number has five digits or more
+                part = "-".join(old.getName().split("-")[:2])
+                if not fs.rename(old, old.getParent().suffix(f"/{part}.warc.gz")):
+                    raise OSError(f"{old.toString()} could not be renamed to {part}.warc.gz")
 
 
 def read_index(spark: SparkSession, target: str) -> DataFrame:
