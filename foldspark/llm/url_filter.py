@@ -119,9 +119,10 @@ def page_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` edges that crawled pages state.
 
     Of each page: the target of ``<link rel="canonical" href>``, the target of a
-    ``<meta http-equiv="refresh">`` redirect, and the address a server sends the
-    syntactic variants of a url to (https, no ``www.`` or ``m.``, no query, fragment,
-    ``.html`` or closing slash). Only absolute targets (with ``://``) count.
+    ``<meta http-equiv="refresh">`` redirect, and the same address over https, without ``www.`` or
+    ``m.`` and without the fragment, which no server sees. Path and query stay whole: what a page
+    with another query or file name is, only that page can state. Only absolute targets (with
+    ``://``) count.
     """
     html, url = F.col("html"), F.col("url")
     tag = F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0)
@@ -129,9 +130,9 @@ def page_edges(pages: DataFrame) -> DataFrame:
     meta = F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0)
     fresh = F.regexp_extract(meta, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     host, path = split_url(url)
+    rest = F.substring(url, F.instr(url, "://") + F.lit(3), F.length(url))
     plain = F.when(F.instr(url, "://") > 0, F.concat(
-        F.lit("https://"), F.regexp_replace(host, r"^(www|m)\.", ""),
-        F.regexp_replace(F.regexp_replace(path, r"\.html$", ""), r"/+$", "")))
+        F.lit("https://"), F.regexp_replace(host, r"^(www|m)\.", ""), path, F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1)))
     return pages.where("url is not null").select(
         url.alias("src"), F.explode(F.array_distinct(F.array(canon, fresh, plain))).alias("dst")
     ).where(F.col("dst").contains("://") & (F.col("dst") != F.col("src"))).distinct()

@@ -78,6 +78,14 @@ def test_member_ends_in_zero():
         assert m[-1] == 0 and gzip.decompress(m) == data
 
 
+def test_archive_names_keep_the_part_number(spark, tmp_path):
+    for part in ("part-00009-c000.txt", "part-99999-c000.txt", "part-100000-c000.txt", "part-1000001-c000.txt"):
+        (tmp_path / part).write_text("x")
+    warc._name_archives(spark, str(tmp_path))
+    assert {f.name for f in tmp_path.iterdir() if not f.name.startswith(".")} == {
+        f"part-{n}.warc.gz" for n in ("00009", "99999", "100000", "1000001")}
+
+
 def test_archive_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_pages(none, shared_path(spark, "test-warc")).count() == 0
@@ -115,10 +123,29 @@ def test_page_edges(spark):
     pages = [(1, "http://a.net/x.html?q", '<link rel="stylesheet" href="s.css"><LINK href="http://c.net/1" rel=canonical>'),
              (2, "http://a.net/2", "<meta content='0; URL=http://d.net/2' http-equiv='refresh'>"), (3, "bad", None), (4, None, "x")]
     got = {tuple(r) for r in url_filter.page_edges(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {("http://a.net/x.html?q", "http://c.net/1"), ("http://a.net/x.html?q", "https://a.net/x"),
+    assert got == {("http://a.net/x.html?q", "http://c.net/1"), ("http://a.net/x.html?q", "https://a.net/x.html?q"),
                    ("http://a.net/2", "http://d.net/2"), ("http://a.net/2", "https://a.net/2")}
 
 
+def test_query_strings_are_no_aliases(spark):
+    """A blocked page takes its other schemes and hosts with it, and no page with another query or file name."""
+    pages = spark.createDataFrame([
+        (1, "https://shop.net/view?id=1", '<link rel="canonical" href="https://x.example.org/es/1">'),
+        (2, "https://shop.net/view?id=2", None), (3, "http://www.shop.net/view?id=1#top", None),
+        (4, "https://shop.net/view", None), (5, "https://shop.net/view.html?id=1", None),
+        (6, "https://long.net/" + "a" * 200_000 + "?" + "b" * 200_000, "x")], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, url_filter.page_edges(pages), url_filter.rules_frame(spark)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow", 6: "allow"}
+
+
+def test_rules_without_host_or_path(spark):
+    rules = spark.createDataFrame([(None, "/", "block"), ("a.net", None, "block"), ("b.net", "/", "block")],
+                                  "host string, path string, verdict string")
+    urls = spark.createDataFrame([(1, "http://a.net/"), (2, "http://b.net/"), (3, None)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge(urls, spark.createDataFrame([], "src string, dst string"), rules).collect()}
+    assert got == {1: "allow", 2: "block", 3: "allow"}
+
+
 def test_url_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "src string, dst string"),
                             url_filter.rules_frame(spark)).count() == 0
@@ -209,6 +236,13 @@ def test_vectors_with_a_common_direction(spark):
     assert len(links) >= 500 and 0.95 * 2 * len(links) <= sum(r.n_links for r in got) <= 2 * len(links)
 
 
+def test_vectors_of_many_lengths(spark):
+    """No number of lengths is refused; a vector without another one of its length has no links."""
+    rows = [(d, [1.0] * d) for d in range(1, 91)]
+    got = itq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(d, 0, d, True) for d in range(1, 91)]
+
+
 def test_vectors_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     ok, links = brute_vectors([(r.vec_id, list(r.embedding)) for r in df.collect()])
