@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 ORDER = 3
 #: Expected bytes of text a language is learned from.
 SAMPLE_BYTES = 3_000_000
-#: More languages than this are refused.
-MOST_LANGUAGES = 500
+#: Expected bytes of all languages together: with many languages each is learned from less.
+ALL_BYTES = 12_000_000
+#: Languages whose tables share one set of keys; more languages come in several sets.
+GROUP = 8
 UNKNOWN = "und"
 
 
@@ -107,23 +109,36 @@ class Trees:
         return total
 
 
-def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Trees:
+class Forest:
+    """The trees of any number of languages, in groups of ``GROUP`` with tables of their own."""
+
+    def __init__(self, groups: list[Trees]) -> None:
+        self.groups = groups
+        self.langs = [x for t in groups for x in t.langs]
+
+    def bits(self, text: bytes) -> np.ndarray:
+        """Code length of the whole text in each language, in bits."""
+        return np.concatenate([t.bits(text) for t in self.groups]) if self.groups else np.zeros(0)
+
+
+def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Forest:
     """Learn trees from ``docs`` (``doc_id, text, lang``) that aren't held out.
 
-    Rows with null text or lang teach nothing. The tables have at most
-    ``(order + 1) * sample_bytes`` entries a language in expectation, whatever the input.
+    Rows with null text or lang teach nothing. A language is learned from ``sample_bytes`` of text, and from less
+    where all languages together would have more than ``ALL_BYTES``. The tables have at most ``order + 1`` entries a
+    sampled byte and ``GROUP`` columns each, whatever the input and the number of languages.
     """
     rows = docs.select("text", "lang", held_out(F.col("doc_id")).alias("out")).where(
         "text is not null and lang is not null and not out")
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sizes = sorted((r.lang, r.n) for r in sizes)
+    sizes = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect())
     if not sizes:
-        return Trees([], {}, order)
+        return Forest([])
     langs = [x for x, _ in sizes]
-    rate = F.create_map(*[F.lit(v) for x, n in sizes for v in (x, min(1.0, sample_bytes / max(1, n)))])
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20))
+    each = min(sample_bytes, ALL_BYTES / len(langs))
+    rates = docs.sparkSession.createDataFrame([(x, min(1.0, each / max(1, n))) for x, n in sizes], "lang string, rate double")
+    # one row a language
+    picked = rows.join(F.broadcast(rates), "lang").where(
+        F.shiftrightunsigned(F.xxhash64("text"), 1).cast("double") < F.col("rate") * float(1 << 63))
     number = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,17 +157,21 @@ def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER)
     table = picked.select("text", "lang").mapInArrow(count, "lang int, k int, run long, n long").groupBy(
         "lang", "k", "run").agg(F.sum("n").alias("n")).toArrow()
     lang, kk, run, n = (table.column(i).to_numpy() for i in range(4))
-    counts = {}
-    for k in range(order + 1):
-        m = kk == k
-        key, at = np.unique(run[m], return_inverse=True)
-        c = np.zeros((len(key), len(langs)), np.int64)
-        c[at, lang[m]] = n[m]
-        counts[k] = (key, c)
-    return Trees(langs, counts, order)
+    groups = []
+    for g in range(0, len(langs), GROUP):
+        counts, width = {}, min(GROUP, len(langs) - g)
+        own = (lang >= g) & (lang < g + GROUP)
+        for k in range(order + 1):
+            m = own & (kk == k)
+            key, at = np.unique(run[m], return_inverse=True)
+            c = np.zeros((len(key), width), np.int64)
+            c[at, lang[m] - g] = n[m]
+            counts[k] = (key, c)
+        groups.append(Trees(langs[g:g + GROUP], counts, order))
+    return Forest(groups)
 
 
-def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, trees: Forest, keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, bits_per_byte`` for each row of ``docs`` (``doc_id, text``).
 
     ``score`` is the winner's posterior probability under equal priors, from the exact
@@ -162,15 +181,18 @@ def predict(docs: DataFrame, trees: Trees, keep: list[str] | None = None) -> Dat
     are not read, unless ``keep`` names columns that take the place of doc_id and held_out.
     One narrow pass; the trees are broadcast, bounded by the training sample.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(trees.__dict__)
+    shared = docs.sparkSession.sparkContext.broadcast([g.__dict__ for g in trees.groups])
     head = ["doc_id", "held_out"] if keep is None else [f"c{i}" for i in range(len(keep))]
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"),
                        F.col("text").cast("string")) if keep is None else docs.select(
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trees.__new__(Trees)
-        t.__dict__.update(shared.value)
+        groups = []
+        for state in shared.value:
+            groups.append(Trees.__new__(Trees))
+            groups[-1].__dict__.update(state)
+        t = Forest(groups)
         for b in batches:
             pred, score, rate = [], [], []
             for text in b.column(len(head)).to_pylist():
