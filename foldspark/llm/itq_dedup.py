@@ -103,10 +103,11 @@ def code_of(x: np.ndarray, rotation: np.ndarray, bits: int) -> np.ndarray:
 def _rotations(points: DataFrame, n: int, dim: int, threshold: float) -> tuple[np.ndarray, list[np.ndarray], int, int]:
     """Mean, rotations of ``dim // bits`` tables each, bits and tables, from a bounded sample.
 
-    Tables are at least those of ``plan_tables``, and as many as the sampled pairs need to meet.
+    Tables are at least those of ``plan_tables``, and as many as the sampled pairs need to meet. Where ``MOST_TABLES`` are
+    not enough the substrings get shorter, down to one bit; of those there are ``MOST_TABLES`` at most, whatever the recall.
     """
     rate = min(1.0, SAMPLE_VALUES / max(1, n * dim))
-    rows = points.where(F.pmod(F.xxhash64(F.lit("itq"), "k1"), F.lit(1 << 20)) < int(rate * (1 << 20))).select(
+    rows = points.where(F.pmod(F.xxhash64(F.lit("itq"), "k1"), F.lit(1 << 60)) < int(rate * (1 << 60))).select(
         "embedding").toArrow().column(0).to_pylist()
     x = unit(rows) if rows else np.eye(dim)
     mean = x.mean(axis=0)
@@ -217,19 +218,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     fit = usable() & F.col("vec_id").isNotNull()
     good = rows.where(fit).withColumns({"k1": F.xxhash64(F.lit(1), "embedding"), "k2": F.xxhash64(F.lit(2), "embedding")})
     points = stored(points_of(good), "vector-points")
-    dims = points.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).limit(65).collect()
-    if len(dims) > 64:
-        raise ValueError("more than 64 different vector lengths")
+    dims = points.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()
     found = None
-    for r in sorted(dims):
+    for r in sorted(dims):                # one row a length; a length with one vector has no pairs
+        if r.n < 2:
+            continue
         of = points.where(F.size("embedding") == r.dim)
         mean, rot, bits, tables = _rotations(of, r.n, r.dim, threshold)
         part = bucket_links(stored(coded(of, mean, rot, bits, tables), "vector-codes"), threshold)
         found = part if found is None else found.unionByName(part)
     bad = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                   F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    if found is None:
+    if not dims:
         return bad
+    if found is None:                     # no two vectors of one length
+        found = vectors.sparkSession.createDataFrame([], "vec_id long, links long, root long")
     found = stored(found, "vector-links")
     comp = stored(connected_components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))), "vector-components")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
