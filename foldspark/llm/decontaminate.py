@@ -6,8 +6,9 @@ are divided by the item's score for itself, so a score is the share of the item
 passage explains. Every training text is cut into overlapping passages, long
 enough that any item fits whole into one. Each passage queries the index; block-max
 WAND skips items whose bound stays below the threshold and returns all items
-at or above it. A hit is then verified: word runs of the item's question and of its
-answer must both occur in the passage.
+at or above it. A hit is then verified: word runs of the item's question, of its
+answer and of the whole item must occur in the passage. Short parts have shorter runs, so one
+changed word does not hide them; the whole item's runs keep chance matches of these out.
 
 The index is made in shards of a bounded number of items; a shard is broadcast, and
 all documents are scanned once a shard.
@@ -55,6 +56,18 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return all_[:n], all_[n:]
 
 
+def run_length(n: int) -> int:
+    """Length of the word runs that ``n`` words are compared by: the longest of 5, 3, 2 and 1 of which one changed word
+    leaves ``MIN_OVERLAP``. It stands in up to that many of the ``n - length + 1`` runs."""
+    return next((k for k in (RUN, 3, 2) if n - k + 1 > 0 and (n - 2 * k + 1) / (n - k + 1) >= MIN_OVERLAP), 1)
+
+
+def item_runs(text: str) -> list[set[tuple[str, ...]]]:
+    """Word runs of an item's question, its answer and the whole item."""
+    question, answer = question_and_answer(text)
+    return [runs(w, run_length(len(w))) for w in (question, answer, question + answer)]
+
+
 def runs(tokens: list[str], n: int = RUN) -> set[tuple[str, ...]]:
     """Runs of ``n`` words, or the whole sequence when it is shorter."""
     if len(tokens) < n:
@@ -116,7 +129,7 @@ class Index:
         for b, lists in enumerate(self.postings):
             for t, (_, impacts) in lists.items():
                 self.maxima[t, b] = max(impacts)
-        self.parts = [tuple(runs(w) for w in question_and_answer(r.text)) for r in rows]
+        self.parts = [item_runs(r.text) for r in rows]
         self.longest = max((r.dl for r in rows), default=1)
 
 
@@ -203,7 +216,7 @@ def scan(index: Index, text: str, least: float, overlap: float) -> dict[int, tup
                 seen[start, n] = runs(tokens[start:start + 2 * step], n)
             shares.append(len(part & seen[start, n]) / len(part) if part else 1.0)
         if min(shares) >= overlap and (item not in best or best[item][0] < score):
-            best[item] = (score, *shares)
+            best[item] = (score, *shares[:2])
     return best
 
 
@@ -216,18 +229,44 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, ov
     items with null ids are left out, of repeated item_ids the texts are taken as one
     item each (the least text); repeated documents give their rows each. No items: no rows.
     """
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for index in shards_of(items, shard_items):
+        out = out.unionByName(_scan_shard(docs, index, least, overlap, schema))
+    return out
+
+
+def shards_of(items: DataFrame, shard_items: int = SHARD_ITEMS) -> Iterator[Index]:
+    """The index of ``items``, shard by shard."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
         "item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     rows = item_statistics(items)
     total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
     shards = -(-total.n // shard_items)
-    out = docs.sparkSession.createDataFrame([], schema)
     for s in range(shards):
-        part = rows.where(F.col("shard") % shards == s).drop("shard").collect()
-        out = out.unionByName(_scan_shard(docs, Index(part, total.n, total.avgdl), least, overlap, schema))
-    return out
+        yield Index(rows.where(F.col("shard") % shards == s).drop("shard").collect(), total.n, total.avgdl)
+
+
+def without_items(docs: DataFrame, items: DataFrame, least: float = MIN_SCORE, overlap: float = MIN_OVERLAP,
+                  shard_items: int = SHARD_ITEMS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Judged row by row where they lie, so nothing is shuffled, and rows without or with repeated ids
+    are judged by their own text. Null and empty texts hold nothing."""
+    names = docs.columns
+    for index in shards_of(items, shard_items):
+        shared = docs.sparkSession.sparkContext.broadcast(index.__dict__)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = Index.__new__(Index)
+            own.__dict__.update(shared.value)
+            for b in batches:
+                texts = b.column(b.schema.names.index("text")).to_pylist()
+                yield b.filter(pa.array([not (t and scan(own, t, least, overlap)) for t in texts], pa.bool_()))
+
+        docs = docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, docs.schema)
+    return docs
 
 
 def _scan_shard(docs: DataFrame, index: Index, least: float, overlap: float, schema: str) -> DataFrame:

@@ -259,3 +259,35 @@ def test_decontamination_finds_planted_items(spark):
     assert none.count() == 0
     assert dc.contaminated(spark.createDataFrame([], "doc_id long, text string"),
                            spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_items_with_one_changed_word(spark):
+    """A changed word hides neither a short answer nor a short question; chance words of short items are no hit."""
+    r = random.Random(31)
+    asks = [(i, f"{prose(25, r)} Answer: {prose(8, r)}") for i in range(6)] + [(6, "what is it? so be it")]
+    rows = [(100 + i, t) for i, t in asks]
+    for i, t in asks[:6]:
+        w = t.split()
+        for at in (3, len(w) - 4):
+            changed = [*w[:at], "changed", *w[at + 1:]]
+            rows.append((200 + 10 * i + at % 10, prose(40, r) + " " + " ".join(changed) + " " + prose(40, r)))
+    rows += [(900 + k, prose(300, r)) for k in range(5)] + [(950, "it is so and be what it may, so it"), (None, asks[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x"))
+    items = spark.createDataFrame(asks, "item_id long, text string").withColumn("score", F.lit(0))
+    hit = {(x.doc_id, x.item_id) for x in dc.contaminated(docs, items).collect()}
+    assert {i for i, _ in hit if i is not None and 200 <= i < 900} == {i for i, _ in rows if i and 200 <= i < 900}
+    assert not {i for i, _ in hit if i and 900 <= i < 950} and (None, 0) in hit
+    left = dc.without_items(docs, items)
+    assert left.columns == docs.columns
+    want = [i for i, t in rows if i not in {x for x, _ in hit}]
+    assert sorted(x.doc_id for x in left.collect()) == sorted(want)
+    assert dc.without_items(docs, items.limit(0)).count() == len(rows) and dc.without_items(docs.limit(0), items).count() == 0
+
+
+def test_run_lengths_survive_one_changed_word():
+    for n in range(1, 60):
+        k = dc.run_length(n)
+        w = [str(i) for i in range(n)]
+        for at in range(n):
+            left = dc.runs(w, k) & dc.runs([*w[:at], "x", *w[at + 1:]], k)
+            assert n < 5 or len(left) / len(dc.runs(w, k)) >= dc.MIN_OVERLAP
