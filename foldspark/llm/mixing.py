@@ -88,28 +88,60 @@ def thresholds(docs: DataFrame, budgets: DataFrame, levels: int = LEVELS, digits
     return state.select("source", F.col("prefix").alias("below"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` (words taken, repeats counted) and ``copies``.
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """``DIGITS * LEVELS`` hexadecimal digits from a document's id and text; nulls hash like empty texts."""
+    own = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+    return F.substring(F.md5(own), 1, DIGITS * LEVELS)
 
-    Reads ``doc_id, text, source`` only. A document is taken ``floor(target /
-    source_size)`` times, once more if its hash (md5 of its id) lies below its
-    source's threshold. Null text and text without words: size 0, taken 0. Null source:
-    a source of its own, last in order. A source without words has target 0. Repeated
-    rows share one hash and are kept or left together; a null doc_id hashes like
-    empty text. An empty table gives an empty result.
-    """
-    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                              F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1,
-                                          DIGITS * LEVELS).alias("h")), "mix-sizes")
+
+def plan_sources(rows: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, levels: int = LEVELS) -> DataFrame:
+    """``src, source_size, target, whole, below``, a stored row a source, for rows ``source, size, h``: each document
+    is taken ``whole`` times, and once more if its ``h`` is less than ``below``."""
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
                      .withColumn("whole", F.when(F.col("source_size") > 0,
                                                  F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
                      .withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")),
                      "mix-targets")
-    below = thresholds(rows, targets.select("source", "budget"))
-    plan = targets.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumnRenamed("source", "src")
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["src"]))
+    below = thresholds(rows, targets.select("source", "budget"), levels)
+    plan = targets.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    return stored(plan.select(F.col("source").alias("src"), "source_size", "target", "whole", "below"), "mix-plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame, most: int) -> DataFrame:
+    """``rows`` with their source's plan and ``copies``, how often each is taken."""
     copies = F.least(F.lit(most), F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0))
-    return joined.select("doc_id", "source", "size", "source_size", "target",
-                         (F.col("size") * copies).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return rows.join(plan, rows["source"].eqNullSafe(plan["src"])).withColumn("copies", copies.cast("int"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` (words taken, repeats counted) and ``copies``.
+
+    Reads ``doc_id, text, source`` only. A document is taken ``floor(target /
+    source_size)`` times, once more if its hash (of its id and text) lies below its
+    source's threshold. Null text and text without words: size 0, taken 0. Null source:
+    a source of its own, last in order. A source without words has target 0. Rows with the
+    same id and text follow each other by a number that the stored table gives them, so the
+    threshold can fall between two of them; how many are taken does not depend on their order. An empty
+    table gives an empty result.
+    """
+    own = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                      hash_of(F.col("doc_id"), F.col("text")).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = stored(own.withColumn("h", F.concat("h", F.substring(F.md5(F.col("row").cast("string")), 1, DIGITS * LEVELS))),
+                  "mix-sizes").drop("row")
+    out = taken(rows, plan_sources(rows, weights, most, 2 * LEVELS), most)
+    return out.select("doc_id", "source", "size", "source_size", "target",
+                      (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies")
+
+
+def mix_rows(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The documents that the mix takes, all their columns and ``size, source_size, target, taken, copies``.
+
+    The rows of ``docs`` are read twice and never shuffled: the plan has a row a source. Rows that share id and text are
+    taken or left together. Columns of ``docs`` with these names are replaced."""
+    new = ["size", "source_size", "target", "taken", "copies"]
+    keep = [c for c in docs.columns if c not in new]
+    hashed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("source").alias("source"),
+                         word_count(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("h"))
+    plan = plan_sources(stored(hashed.select("source", "size", "h"), "mix-sizes"), weights, most)
+    out = taken(hashed, plan, most).where("copies > 0").withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *new)

@@ -56,7 +56,7 @@ with recursive rules(r_host, r_path, r_verdict) as (values
   ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 raw as (select page_id, url, html,
   case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
-cut as (select page_id, url, html,
+cut as (select page_id, url, html, rest,
   translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from raw),
 edges as (
@@ -67,7 +67,7 @@ edges as (
     select url, regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
                                '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) from cut
     union all
-    select url, 'https://' || regexp_replace(host, '^(www|m)\.', '') || regexp_replace(regexp_replace(path, '\.html$', ''), '/+$', '')
+    select url, 'https://' || regexp_replace(host, '^(www|m)\.', '') || path || regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1)
     from cut where instr(url, '://') > 0)
   where dst like '%://%' and dst <> url),
 links as (select src as a, dst as b from edges union select dst, src from edges),
@@ -125,7 +125,7 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
-         substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as h from documents),
+         substr(md5(coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15) as h, row_number() over () as r from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 k as (select *, row_number() over (order by source is null, encode(source)) - 1 as rk from s),
 w as (select *, 1 + rk % 3 as weight, 3 * source_size as cap from k),
@@ -139,7 +139,7 @@ t as (select source, source_size, case when capped then cap::double else (u.m.ro
       from f cross join u),
 b as (select *, case when source_size > 0 then floor(target / source_size) else 0 end as whole from t),
 c as (select d.doc_id, d.size, b.source_size, b.target, b.whole, d.h,
-        sum(d.size) over (partition by d.source order by d.h range between unbounded preceding and current row) as upto,
+        sum(d.size) over (partition by d.source order by d.h, d.r rows between unbounded preceding and current row) as upto,
         b.target - b.whole * b.source_size as budget
       from d join b on d.source is not distinct from b.source)
 select doc_id, size, source_size, target,

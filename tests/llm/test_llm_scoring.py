@@ -173,3 +173,36 @@ def test_thresholds_are_nested(spark):
         kept.append({r.doc_id for r in df.where(F.col("h") < b).collect()})
         assert len(kept[-1]) == min(500, budget // 3)
     assert all(a <= b for a, b in zip(kept, kept[1:]))
+
+
+def test_mix_splits_rows_with_one_hash(spark):
+    """Rows without ids, and equal rows, are taken one by one, so the source comes near its target."""
+    rows = [(None, f"{'w ' * 20}x{k}", "a") for k in range(300)] + [(None, "w " * 20, "b")] * 300 + [(k, "w " * 90, "c") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    for _, part in got.groupby("source"):
+        assert part.taken.sum() <= part.target.iloc[0] and part.taken.sum() > part.target.iloc[0] - 2 * part["size"].max()
+    again = mixing.mix(df.repartition(5)).groupBy("source").agg({"taken": "sum"}).collect()
+    assert {tuple(x) for x in again} == {(s, int(t)) for s, t in got.groupby("source").taken.sum().items()}
+
+
+def test_mix_rows_keeps_columns(spark):
+    rows = [(None if k % 7 == 0 else k, "w " * (k % 9), "ab"[k % 2], k, "x") for k in range(90)] + [(5, "w " * 3, None, 5, "y")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, h string")
+    got = mixing.mix_rows(df)
+    assert got.columns == ["doc_id", "text", "source", "h", "size", "source_size", "target", "taken", "copies"]
+    assert {r.h for r in got.collect()} <= {"x", "y"} and got.where("taken <> size * copies or copies < 1").count() == 0
+    assert mixing.mix_rows(df.limit(0)).count() == 0
+
+
+def test_many_languages(spark, monkeypatch):
+    """No number of languages is refused; groups of tables give the code lengths of one table."""
+    words = {f"l{i:03}": "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(12)) for i in range(40)}
+    rows = [(k, f"{w} {w[::-1]} {w} {k}", lang) for k, (lang, w) in enumerate((x for x in words.items() for _ in range(8)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = ppm_langid.identify(df).collect()
+    monkeypatch.setattr(ppm_langid, "GROUP", 64)
+    whole = ppm_langid.identify(df).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in one) == sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in whole)
+    truth = {i: lang for i, _, lang in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in one) > 0.9 * len(rows)
