@@ -4,7 +4,6 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from foldspark.llm import decontaminate as dc
 
 from tests.llm.test_llm_text import brute_components, brute_spans, prose
 
@@ -65,7 +64,6 @@ def test_stages(spark, tmp_path):
             want = {r.doc_id: before[r.doc_id] for r in docs.collect() if r.taken == r.size * r.copies and r.copies > 0}
             assert docs.count() > 0
         assert out == want, name
-    assert dc.words("A b") == ["a", "b"]
     again = {r.doc_id: r.text for r in cp.run(spark, sf).collect()}
     assert again == out
 
@@ -77,3 +75,26 @@ def test_stages_without_rows(spark, tmp_path):
     for name, stage in cp.STAGES:
         docs = write(stage(spark, docs, sf), f"{sf}/{name}")
         assert docs.count() == 0
+
+
+def test_rows_without_id_and_repeated_rows(spark, tmp_path):
+    """Clean rows without an id stay, leaks without one go, a row repeated under one id stays once."""
+    sf = str(tmp_path)
+    docs, rows = corpus(spark, sf)
+    r = random.Random(77)
+    clean, twice = prose(80, r), prose(70, r)
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 7").first().text
+    more = [(None, clean), (None, clean), (None, rows[3][1]), (None, f"{prose(40, r)}. {leak}. {prose(40, r)}"),
+            (500, twice), (500, twice), (500, twice + " z")]
+    extra = spark.createDataFrame([(i, t, "en", None, len(t), 1) for i, t in more], docs.schema)
+    names = [*docs.columns, "size", "taken", "__text", "copies"]
+    docs = write(docs.unionByName(extra).withColumns({c: F.lit(c) for c in names[6:]}), f"{sf}/all")
+    kept = write(cp.near_duplicates(spark, docs, sf), f"{sf}/near")
+    assert kept.columns == names
+    assert kept.where(F.col("doc_id").isNull() & (F.col("text") == clean)).count() == 1
+    assert kept.where(F.col("doc_id").isNull() & (F.col("text") == rows[3][1])).count() == 0
+    assert [x.text for x in kept.where("doc_id = 500").collect()] == [twice]
+    left = write(cp.benchmark_leaks(spark, kept, sf), f"{sf}/leaks")
+    assert left.columns == names and left.where("doc_id is null").count() == kept.where("doc_id is null").count() - 1
+    mixed = cp.source_mix(spark, left, sf)
+    assert set(mixed.columns) == {*names, "source_size", "target"} and mixed.where("taken <> size * copies").count() == 0
