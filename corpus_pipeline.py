@@ -19,11 +19,6 @@ from foldspark.sources.tables import table
 MOST_BITS = 8.0
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (``left_semi``) or isn't (``left_anti``) among ``ids``."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id") == F.col("__id"), how)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Rejects null texts, texts without a letter and texts that no learned
     language explains; a null ``lang`` becomes the predicted language."""
@@ -37,9 +32,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join. Of each component the document with the smallest id stays; a
-    document without words is a component of its own."""
+    document without words is a component of its own. Of several rows with the id that stays, the one with the
+    smallest text stays. Rows without an id cannot be the smallest of a component: of those with one
+    text one stays, unless a row with an id has that text."""
+    names = docs.columns
     found = jaccard_join.jaccard_join(docs)
-    return keep_ids(docs, found.where(F.col("doc_id") == F.col("component_id")))
+    ids = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    row = F.struct(F.col("text").alias("first"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+
+    def one(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min(row).alias("__row")).select(
+            *[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)])
+
+    # the semi join has dealt the rows out by id already
+    kept = one(docs.join(ids, F.col("doc_id") == F.col("__id"), "left_semi"), "doc_id")
+    lost = docs.where("doc_id is null")
+    if lost.isEmpty():
+        return kept
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    known = docs.where("doc_id is not null").select(digest.alias("__known"))
+    lost = lost.withColumn("__digest", digest).join(known, F.col("__digest") == F.col("__known"), "left_anti")
+    return kept.unionByName(one(lost, "__digest"))
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,18 +67,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination. Documents with a verified test item go."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return keep_ids(docs, found, "left_anti")
+    """Benchmark decontamination. Rows with a verified test item go, whatever their id; rows with null text stay."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights. Documents that the mix does not take go; the others come with
-    ``size, source_size, target, taken`` and ``copies``, the number of times to repeat them."""
-    mixed = mixing.mix(docs).where("copies > 0").select(
-        F.col("doc_id").alias("__id"), "size", "source_size", "target", "taken", "copies").dropDuplicates(["__id"])
-    extra = [c for c in ("size", "source_size", "target", "taken", "copies") if c in docs.columns]
-    return docs.drop(*extra).join(mixed, F.col("doc_id") == F.col("__id")).drop("__id")
+    """Mixing to target weights. Rows that the mix does not take go; the others come with
+    ``size, source_size, target, taken`` and ``copies``, the number of times to repeat them. Rows with the same id and
+    text, null or not, are taken together or not at all; columns of these names are replaced."""
+    return mixing.mix_rows(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
