@@ -5,9 +5,12 @@ Jaccard distance is a metric, and documents link at distance ``TAU`` (0.2) or le
 * Classes: documents with equal shingle sets are one point.
 * Regions: unrelated texts share nothing and lie at distance 1 from every pivot, so
   pivots alone cannot tell them apart. The first division is therefore by content: two linked sets
-  share one of the first ``floor(n / 5) + 1`` shingles of either, in any fixed order (here: frequent ones last).
-  Points that share such a shingle at places and with sizes that allow a link, directly or
-  in a chain, form a region. No link leaves its region.
+  share one of the first ``floor(n / 5) + 1`` shingles of either, in any fixed order (here: frequent ones last),
+  and ``k`` of the first ``floor(n / 5) + k``. A point with fewer shared shingles in its longer prefix than
+  its smallest partner would need links with nothing and leaves, so texts that have only a passage in
+  common aren't chained. Of the others, those that share a shingle at places and with sizes that allow
+  a link, directly or in a chain, form a region. No link leaves its region. Large regions are divided
+  again by the same condition, their shingles in the order of exact counts, rare ones first.
 * Inside a region pivots create Voronoi cells: a point within ``TAU`` of a pivot belongs to the
   first such pivot and is linked with it. By the triangle inequality whatever links with
   a point of the cell lies within ``2 * TAU`` of the pivot, so only the points of that shell are
@@ -34,6 +37,8 @@ WORDS = 5
 #: A link needs NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
 TAU = 1 - NUM / DEN
+#: A prefix has one shingle in ``EXTRA`` of its set more than a link needs at least, and so has to share as many.
+EXTRA = 20
 #: Ratio of the size bands in which regions are made.
 BAND = 1.06
 #: Documents sampled to find frequent shingles, how many of them a frequent one is in at least, and
@@ -69,6 +74,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
+def prefix(n: int) -> int:
+    """Length of the prefix of a set of ``n``: it holds the first ``n // EXTRA + 1`` shingles that the set
+    shares with any set it links with."""
+    return n - -(-NUM * n // DEN) + n // EXTRA + 1
+
+
 def linked(common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return DEN * common >= NUM * (n + m - common)
 
@@ -189,11 +200,10 @@ def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 h = xxhash.xxh3_128_digest(s.tobytes())
                 s1.append(int.from_bytes(h[:8], "big", signed=True))
                 s2.append(int.from_bytes(h[8:], "big", signed=True))
-                take = len(s) - -(-NUM * len(s) // DEN) + 1
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     s = np.concatenate([s[often[at] != s], s[often[at] == s]])
-                keys.append((s[:take].view(np.int64), s1[-1], n[-1]))
+                keys.append((s[:prefix(n[-1])].view(np.int64), s1[-1], n[-1]))
             rows = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(rows, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(n, pa.int64()),
@@ -211,8 +221,12 @@ def points_and_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         run, "key long, s1 long, s2 long, n long, doc_id long, pos int, t1 long, t2 long")
 
 
-def regions(keys: DataFrame) -> DataFrame:
+def regions(keys: DataFrame, copies: DataFrame) -> DataFrame:
     """``node, component``: classes that share a prefix shingle and may link, directly or in a chain.
+    ``keys``: ``key, s1, n, pos``, as often as ``copies`` (``s1, copies``) says.
+
+    Two linked sets have the first ``m // EXTRA + 1`` of their common shingles in both prefixes, m the smaller
+    size, which is at least 4/5 of n. A class with fewer shared prefix shingles has no link.
 
     Let ``key`` be the first shingle that x and y share. The ``pos`` shingles of x before it are not in
     y, so at most ``n - pos`` are common; a link needs 4/9 of both sizes together. So
@@ -225,11 +239,17 @@ def regions(keys: DataFrame) -> DataFrame:
 
     shared = keys.groupBy("key").agg(
         F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max((F.col("pos") * (NUM + DEN) <= F.col("n") * (DEN - NUM)).cast(
-            "int")).alias("early")).where("lo < hi and early = 1").select("key")
+            "int")).alias("early")).where("lo < hi").select("key", "early")
+    entries = stored(keys.join(shared, "key"), "shared-entries")
+    release(keys.sparkSession)
     least = F.ceil(F.col("n") * NUM / DEN)
     most = F.least(F.floor(F.col("n") * DEN / NUM), F.floor((F.col("n") - F.col("pos")) * (NUM + DEN) / NUM) - F.col("n"))
-    cand = stored(keys.join(shared, "key").where(most >= least).select(
+    enough = entries.groupBy("s1").agg(F.count("*").alias("found"), F.max("n").alias("n")).join(copies, "s1").where(
+        F.col("found") >= F.col("copies") * (F.floor(least / EXTRA) + 1)).select("s1")
+    # a first common shingle lies before the extra ones; the size left over for y says so, too
+    cand = stored(entries.where((F.col("early") == 1) & (most >= least)).join(enough, "s1", "left_semi").select(
         "key", "s1", band(F.col("n")).alias("own"), band(least).alias("from"), band(most).alias("to")), "shared-keys")
+    discard(entries)
     release(keys.sparkSession)
     cells = cand.select("key", "s1", "own", F.explode(F.sequence("from", "to")).alias("b")).select(
         "key", "s1", F.least("own", "b").alias("b1"), F.greatest("own", "b").alias("b2"),
@@ -244,6 +264,36 @@ def regions(keys: DataFrame) -> DataFrame:
     return connected_components(edges, "regions")
 
 
+def divided(points: DataFrame) -> DataFrame:
+    """``s1, region`` of the points of large regions (``s1, text``) that may link with another, in smaller regions.
+
+    All shingles are counted, and a prefix takes the rarest: first those that no other point has, then those
+    of a text's own copies. A passage that many texts have in common comes last and connects nothing.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s1, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = shingles(text)
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), s1, np.int64)),
+                                                  pa.array(np.full(len(s), len(s), np.int64))], names=["key", "s1", "n"])
+
+    every = stored(points.select("s1", "text").mapInArrow(run, "key long, s1 long, n long"), "region-shingles")
+    counts = every.groupBy("key").agg(F.count("*").alias("c"), F.min("s1").alias("lo"), F.max("s1").alias("hi")).where(
+        "lo < hi").select("key", "c")
+    # repeated rows of a point count once
+    shared = every.join(counts, "key").dropDuplicates(["key", "s1"])
+    of = Window.partitionBy("s1")
+    alone = F.col("n") - F.count("*").over(of)
+    keys = shared.select("key", "s1", "n", (alone + F.row_number().over(of.orderBy("c", "key")) - 1).cast("int").alias("pos"))
+    keys = stored(keys.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.floor(F.col("n") / EXTRA) + 1),
+                  "region-keys")
+    discard(every)
+    release(points.sparkSession)
+    out = regions(keys, points.select("s1", F.lit(1).alias("copies")).distinct())
+    discard(keys)
+    return out.select(F.col("node").alias("s1"), F.col("component").alias("region"))
+
+
 def join_small(points: DataFrame) -> DataFrame:
     """``a, b`` edges of regions that fit one task. ``points``: ``region, s1, text``."""
     def run(table: pa.Table) -> pa.Table:
@@ -353,6 +403,12 @@ def join_large(points: DataFrame) -> DataFrame | None:
     return edges
 
 
+def large_regions(points: DataFrame) -> DataFrame:
+    """``region`` of those too large for one task. ``points``: ``region, text``."""
+    extent = points.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"))
+    return stored(extent.where((F.col("points") > REGION_POINTS) | (F.col("chars") > REGION_CHARS)).select("region"), "big")
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``docs`` (``doc_id, text``).
 
@@ -365,10 +421,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     every = stored(rows.where("key is null").select("doc_id", "n", "s1", "s2", "t1", "t2"), "points")
     classes = stored(every.where("s1 is not null").groupBy("s1").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row"),
-        F.min("s2").alias("lo"), F.max("s2").alias("hi")), "classes")
+        F.min("s2").alias("lo"), F.max("s2").alias("hi"), F.count("*").alias("copies")), "classes")
     if classes.where("lo <> hi").limit(1).count():
         raise ValueError("two different shingle sets share a 64-bit digest; change the seed of the digest")
-    region = stored(regions(rows.where("key is not null").select("key", "s1", "n", "pos")), "region-of")
+    region = stored(regions(rows.where("key is not null").select("key", "s1", "n", "pos"), classes.select("s1", "copies")),
+                    "region-of")
     discard(rows)
     # a class's text is that of one of its rows, found by id and digest: an id may have several texts, or be null
     members = region.join(classes.select(F.col("s1").alias("node"), "row.doc_id", "row.t1", "row.t2"), "node").select(
@@ -378,14 +435,23 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     texts = known.join(members, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("d"))).select("region", "s1", "text")
     texts = stored(texts, "region-texts")
     release(docs.sparkSession)
-    extent = texts.groupBy("region").agg(F.count("*").alias("points"), F.sum(F.length("text")).alias("chars"))
-    big = stored(extent.where((F.col("points") > REGION_POINTS) | (F.col("chars") > REGION_CHARS)).select("region"), "big")
+    big = large_regions(texts)
     edges = stored(join_small(texts.join(big, "region", "left_anti")), "small-edges")
-    large = stored(texts.join(big, "region"), "big-texts")
+    large = stored(texts.join(big, "region", "left_semi"), "big-texts")
     discard(texts)
+    discard(big)
+    part = stored(divided(large), "divided")
+    again = stored(large.select("s1", "text").join(part, "s1").select("region", "s1", "text"), "divided-texts")
+    discard(large)
+    discard(part)
+    big = large_regions(again)
+    more = stored(join_small(again.join(big, "region", "left_anti")), "more-edges")
+    large = stored(again.join(big, "region", "left_semi"), "big-texts")
+    discard(again)
     far = join_large(large)
-    found = stored(connected_components(edges if far is None else edges.unionByName(far), "links"), "classes-linked")
-    for table in (classes, region, big, large, edges, far):
+    near = edges.unionByName(more)
+    found = stored(connected_components(near if far is None else near.unionByName(far), "links"), "classes-linked")
+    for table in (classes, region, big, large, edges, more, far):
         discard(table)
     release(docs.sparkSession)
     joined = every.where("s1 is not null").join(found, F.col("s1") == F.col("node"), "left").select(

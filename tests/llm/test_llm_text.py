@@ -114,6 +114,49 @@ def test_jaccard_null_ids_and_two_texts_of_one_id(spark):
     assert got == want and {c for i, _, c in want if i in (1, 2)} == {1}
 
 
+def edited(words, share, r):
+    """``words`` with about ``share`` of them replaced by new ones, one run of them."""
+    w = list(words)
+    n = int(len(w) * share)
+    at = r.randrange(len(w) - n + 1)
+    w[at:at + n] = [f"n{r.randint(0, 10**9)}" for _ in range(n)]
+    return w
+
+
+@pytest.mark.parametrize("limit", [400, 3])
+def test_jaccard_long_texts_at_middle_distances(spark, monkeypatch, limit):
+    """Long copies of one text at distances around 0.1 to 0.4, and sizes that differ, among texts that share passages."""
+    monkeypatch.setattr(jj, "REGION_POINTS", limit)
+    r = random.Random(11)
+    base = [f"t{r.randint(0, 10**6)}" for _ in range(400)]
+    passages = [[f"p{k}x{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for _ in range(40):
+        rows.append(" ".join(edited(base, r.choice([0.03, 0.08, 0.1, 0.12, 0.15, 0.2]), r)[:r.choice([400, 390, 350, 320])]))
+    for _ in range(30):
+        own = [f"o{r.randint(0, 10**9)}" for _ in range(r.randint(200, 500))] + r.choice(passages)
+        rows += [" ".join(own), " ".join(edited(own, r.choice([0.05, 0.09, 0.11, 0.25]), r))]
+    rows = list(enumerate(rows))
+    got = sorted([tuple(x) for x in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=repr)
+    assert got == brute_components(rows)
+
+
+def test_jaccard_passages_do_not_chain(spark):
+    """Texts with near copies of their own that have only a passage in common fall into regions of their own."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for k in range(12):
+        own = [f"w{k}x{i}" for i in range(300)]
+        rows += [(2 * k, " ".join(own + passage)), (2 * k + 1, " ".join(edited(own, 0.05, r) + passage))]
+    rows += rows[:3]                          # repeated rows
+    got = jj.divided(spark.createDataFrame(rows, "s1 long, text string")).collect()
+    of = {}
+    for x in got:
+        of.setdefault(x.region, set()).add(x.s1)
+    assert sorted(of.values(), key=min) == [{2 * k, 2 * k + 1} for k in range(12)]
+
+
 def test_jaccard_empty(spark):
     assert jj.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
