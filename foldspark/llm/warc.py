@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldspark.operators.joins import checked_small, left_lookup
+
 CRLF = "\r\n"
 #: Payloads of at least so many bytes may be stored once and revisited. Fixed value of the query.
 MIN_SHARED = 1000
@@ -35,17 +37,20 @@ def plan_revisits(pages: DataFrame, smallest: int = MIN_SHARED) -> DataFrame:
     """``pages`` (``page_id, url, html``) with payload, digest and the page each one revisits.
 
     Of pages with equal payloads of ``smallest`` bytes or more, that with the largest
-    page_id keeps its payload; the others refer to it. Only digests and ids are shuffled:
-    the owner of a digest is a ``max`` with map-side combine, and only digests that
-    occur twice are joined back, in a join that adaptive execution splits when one
-    digest holds many rows. Null html: empty payload. Pages without an id stay responses.
+    page_id keeps its payload; the others refer to it. The owner of a digest is a ``max`` with
+    map-side combine. Digests that occur twice are stored and measured; a small table of them is
+    broadcast, so payloads stay where they are. A larger one is joined by a shuffle that moves the
+    payloads too; adaptive execution splits a digest of many rows, and pages below ``smallest``, which have
+    no key, are spread over all tasks. Null html: empty payload. Pages without an id stay responses.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({
         "payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha1("html")})
     owners = p.where(F.col("payload_bytes") >= smallest).groupBy(F.col("payload_digest").alias("digest")).agg(
         F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    j = p.join(owners, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= smallest), "left")
-    return j.withColumn("refers_to", F.when(F.col("owner") != F.col("page_id"), F.col("owner"))).drop("owner", "digest")
+    owners, small = checked_small(owners)
+    shared = F.when(F.col("payload_bytes") >= smallest, F.col("payload_digest"))
+    return left_lookup(p, [shared], owners, ["digest"], small).withColumn(
+        "refers_to", F.when(F.col("owner") != F.col("page_id"), F.col("owner"))).drop("owner")
 
 
 def record_text(planned: DataFrame) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foldspark.llm import itq_dedup, url_filter, warc
 from foldspark.llm.common import connected_components, shared_path
 from foldspark.llm.queries import ORACLES, QUERIES
+from foldspark.operators import joins
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +27,10 @@ PAGES = [(1, "http://a/1", "x" * 1500), (2, "http://a/2", "x" * 1500), (3, None,
          (14, "big", "z q" * 400_000)]
 
 
-def test_archive_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_archive_round_trip(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("owner", F.lit(1)).repartition(3)
     got = warc.archive_pages(df, shared_path(spark, "test-warc")).collect()
     assert len(got) == len(PAGES) and all(r.verified for r in got)
