@@ -7,7 +7,8 @@ compared by exact cosine in double precision. Substring length follows the logar
 of vectors, so buckets stay small. Centring widens the angles between vectors that have a direction in
 common, so the number of tables is measured: sampled vectors and partners at the threshold are
 coded, and rotations are added until ``RECALL`` of them meet. When that takes more than
-``MOST_TABLES``, substrings get shorter.
+``MOST_TABLES``, substrings get shorter; when one bit is still too long, all vectors share one bucket and are compared
+block by block, so no link is lost.
 
 Equal vectors are one point with a multiplicity. Large buckets are cut into blocks, and pairs
 of blocks are compared in tasks of bounded size; a pair counts in the first
@@ -104,7 +105,8 @@ def _rotations(points: DataFrame, n: int, dim: int, threshold: float) -> tuple[n
     """Mean, rotations of ``dim // bits`` tables each, bits and tables, from a bounded sample.
 
     Tables are at least those of ``plan_tables``, and as many as the sampled pairs need to meet. Where ``MOST_TABLES`` are
-    not enough the substrings get shorter, down to one bit; of those there are ``MOST_TABLES`` at most, whatever the recall.
+    not enough the substrings get shorter, down to one bit. Where even these miss ``RECALL`` (sets of a few vectors, or vectors
+    that differ by rounding only), a rotation to zero puts all vectors into one bucket, whose blocks hold every pair.
     """
     rate = min(1.0, SAMPLE_VALUES / max(1, n * dim))
     rows = points.where(F.pmod(F.xxhash64(F.lit("itq"), "k1"), F.lit(1 << 60)) < int(rate * (1 << 60))).select(
@@ -125,7 +127,7 @@ def _rotations(points: DataFrame, n: int, dim: int, threshold: float) -> tuple[n
             if len(rot) * each >= tables and all(m.mean() >= RECALL for m in met):
                 return mean, rot, bits, len(rot) * each
         if bits == 1:
-            return mean, rot, bits, len(rot) * each
+            return mean, [np.zeros((dim, 1))], 1, 1
         bits -= 1
         tables = 1
 

@@ -247,6 +247,23 @@ def test_vectors_of_many_lengths(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(d, 0, d, True) for d in range(1, 91)]
 
 
+@pytest.mark.parametrize("block", [1000, 30])
+def test_vectors_beyond_any_table(spark, monkeypatch, block):
+    """Where no number of tables reaches the recall asked for, every pair is compared, each once."""
+    monkeypatch.setattr(itq_dedup, "BLOCK", block)
+    monkeypatch.setattr(itq_dedup, "RECALL", 1.01)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((60, 6))
+    rows = [(i, v) for i, v in enumerate(np.concatenate([base, base + 0.25 * rng.standard_normal(base.shape)]).tolist())]
+    ok, links = brute_vectors(rows)
+    n = {i: 0 for i, _ in rows}
+    for a, b in links:
+        n[ok[a][0]] += 1
+        n[ok[b][0]] += 1
+    got = itq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert links and {r.vec_id: r.n_links for r in got} == n
+
+
 def test_vectors_on_the_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     ok, links = brute_vectors([(r.vec_id, list(r.embedding)) for r in df.collect()])
