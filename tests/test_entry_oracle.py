@@ -1,5 +1,6 @@
 """Driver contract and a DuckDB oracle comparison on sf0.001."""
 import math
+import subprocess
 import sys
 from pathlib import Path
 
@@ -24,6 +25,14 @@ def test_contract_keys():
     assert set(o) <= set(q) and len(q) >= 60
 
 
+def test_missing_optional_package():
+    """Without a package that only the training-data operators need, the other queries stay."""
+    run = ("import sys, warnings; warnings.simplefilter('ignore'); sys.modules['sentencepiece'] = None; sys.modules['xxhash'] = None\n"
+           "import __spark_entry__ as E; print(len(E.queries()) >= 60, 'features_v2' in E.queries())")
+    out = subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, cwd=Path(E.__file__).parent, check=True)
+    assert out.stdout.split() == ["True", "True"]
+
+
 def _norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 5)
