@@ -137,6 +137,33 @@ def test_prefix_stays_short_if_the_template_lets_it():
     assert longest <= 8
 
 
+def numbered_in_tens(turns):
+    return "".join(f"{f'#{i} ' if i % 10 == 0 else ''}{r}: {t}\n" for i, (r, t) in enumerate(turns))
+
+
+def back_reference(turns):
+    return "".join(f"{r}: {t} ({turns[i - 2][0] if i > 1 else ''})\n" for i, (r, t) in enumerate(turns))
+
+
+def test_length_of_a_conversation_changes_no_span():
+    """The last turns of a cut prefix may render alike and the next one not."""
+    turns = [("user", str(i)) for i in range(90)]
+    for window, overlap in ((1000, 4), (64, 4), (8, 2)):
+        assert "".join(p for p, _, _ in spans(numbered_in_tens, turns, window, overlap)) == numbered_in_tens(turns)
+
+
+def test_context_is_the_template_s_word(monkeypatch):
+    turns = [("ab"[i // 2 % 2], str(i)) for i in range(90)]
+    whole = spans(back_reference, turns)
+    monkeypatch.setattr(back_reference, "context", 2, raising=False)
+    assert spans(back_reference, turns, 8, 1) == whole
+    r = cf.Renderer(back_reference, 8, 1)
+    assert max(len((r.add(*t), r.turns)[1]) for t in turns) == 4
+    monkeypatch.setattr(back_reference, "context", 1)
+    with pytest.raises(ValueError):
+        spans(back_reference, turns, 8, 1)
+
+
 def test_template_that_rewrites_history():
     found = spans(last_marked, [("user", "a"), ("assistant", "b"), ("user", "c")])
     assert [p is None for p, _, _ in found] == [False, True, True]
