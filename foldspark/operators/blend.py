@@ -22,10 +22,13 @@ from foldspark.operators.joins import attach_scalar_row
 
 def wide(long: DataFrame, models: Sequence[str], id_cols: Sequence[str] = ("id",),
          model_col: str = "model", pred_col: str = "pred") -> DataFrame:
-    """One column per model (pivot with explicit values: no extra distinct pass). Two rows of one
+    """One column per model. One aggregate with a condition a model, so rows of an id that lie in one task leave it as one
+    row (a pivot shuffles every prediction first). Two rows of one
     id and model are an error; a model that an id lacks is null."""
     cols = list(dict.fromkeys(models))
-    both = long.groupBy(*id_cols).pivot(model_col, cols).agg(F.first(pred_col).alias("p"), F.count(F.lit(1)).alias("n"))
+    own = [F.col(model_col) == F.lit(m) for m in cols]
+    both = long.groupBy(*id_cols).agg(*[x.alias(f"{m}_{s}") for m, o in zip(cols, own) for s, x in (
+        ("p", F.first(F.when(o, F.col(pred_col)), ignorenulls=True)), ("n", F.count_if(o)))])
     return both.select(*id_cols, *[F.when(F.col(f"`{m}_n`") > 1, F.raise_error(F.lit(f"two predictions of one row by model {m}")))
                                    .otherwise(F.col(f"`{m}_p`").cast("double")).cast("double").alias(m) for m in cols])
 
