@@ -461,3 +461,50 @@ def test_class_without_rows_has_no_probability(spark):
     assert ((p[:, 3] > 0.5) == (got.label == 3)).mean() > 0.9
     one = rows.withColumn("label", F.lit(2.0))
     assert np.array(runs.one_vs_rest(lrn, 1, one, one).toPandas().probability.tolist())[:, 2].min() == 1.0
+
+
+def test_imputation_joins_nothing(spark, monkeypatch):
+    """Gaps follow from the models so far; no table of cells is joined (or sent through the driver), whatever the
+    number of models that one plan holds."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+    from foldspark.plans import runs
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3)) + 5
+    x[:, 1] += x[:, 0]
+    pdf = pd.DataFrame({"id": np.arange(300), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
+    df = spark.createDataFrame(pdf).withColumn("a", F.when(F.col("id") % 5 > 0, F.col("a"))).withColumn(
+        "b", F.when(F.col("id") % 3 > 0, F.col("b")))
+
+    def refused(*a, **k):
+        raise AssertionError("join")
+
+    monkeypatch.setattr(Classic, "join", refused)
+    want = runs.impute_chained(df, ["b", "a", "c"], rounds=3).toPandas().sort_values("id").reset_index(drop=True)
+    monkeypatch.setattr(runs, "CHAIN", 1)
+    got = runs.impute_chained(df, ["b", "a", "c"], rounds=3).toPandas().sort_values("id").reset_index(drop=True)
+    assert list(want.columns) == ["id", "b", "a", "c"] and np.allclose(want, got, atol=1e-9)
+    a, b, c = (pdf[n].to_numpy(copy=True) for n in "abc")
+    ga, gb = (pdf.id % 5 == 0).values, (pdf.id % 3 == 0).values
+    a[ga], b[gb] = a[~ga].mean(), b[~gb].mean()
+    for _ in range(3):
+        for y, other, gap in ((a, b, ga), (b, a, gb)):
+            m = np.column_stack([np.ones(300), other, c])
+            y[gap] = m[gap] @ np.linalg.lstsq(m[~gap], y[~gap], rcond=None)[0]
+    assert np.allclose(got.a, a, atol=1e-6) and np.allclose(got.b, b, atol=1e-6)
+
+
+def test_fits_side_by_side_follow_the_memory(spark):
+    """Few rows: all at once; rows beyond the executors' memory: one after the other."""
+    from foldspark.plans import runs
+    assert runs.abreast(spark, 1000, 40, 11) == 11 and runs.abreast(spark, 0, 0, 5) == 5
+    assert runs.abreast(spark, 10 ** 10, 40, 11) == 1
+
+
+def test_wide_shuffles_an_id_once(spark):
+    """One shuffle, after the rows of an id that one task holds have become one."""
+    from foldspark.operators import blend as B
+    long = spark.range(100).selectExpr("id", "explode(array('a', 'b', 'c')) as model").withColumn("pred", F.col("id") * 1.5)
+    w = B.wide(long.where("model <> 'c' or id > 2"), ["a", "b", "c"])
+    assert w._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") + w._jdf.queryExecution().executedPlan().toString().count(
+        "Exchange hashpartitioning") <= 3
+    assert {tuple(r) for r in w.where("id < 4").collect()} == {(i, i * 1.5, i * 1.5, i * 1.5 if i > 2 else None) for i in range(4)}
