@@ -171,3 +171,17 @@ def test_isotonic_edge_rows(spark, monkeypatch):
                               (7, None, None), (7, 1.5, 1.5)], key=repr)
     none = df.where("id > 100")
     assert C.calibrate_isotonic(none, k=2).collect() == []
+
+
+def test_choice_scores_the_corrections_once(spark, monkeypatch):
+    """The result reads the stored scores, so the best of them is no second pass over the rows."""
+    from foldspark.plans import q_calibrate as Q
+    df, _ = _data(spark)
+    df = df.withColumns({c: F.col("pred") + F.col("id") % d for c, d in (("p_a", 2), ("p_b", 3), ("p_c", 5))})
+    monkeypatch.setattr(Q, "calib_input", lambda spark, sf: df)
+    out = Q.q_calibration_choice(spark, None)
+    assert out.inputFiles() and all("/calibration-scores-" in f for f in out.inputFiles())
+    got = out.toPandas()
+    assert sorted(got.method) == ["bins", "isotonic", "none", "quadratic", "ridge"]
+    rows = df.where("is_train").toPandas()
+    assert got.set_index("method").loc["none", "rmse"] == pytest.approx(((rows.target - rows.pred) ** 2).mean() ** 0.5, abs=1e-5)
