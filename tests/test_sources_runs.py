@@ -508,3 +508,22 @@ def test_wide_shuffles_an_id_once(spark):
     assert w._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") + w._jdf.queryExecution().executedPlan().toString().count(
         "Exchange hashpartitioning") <= 3
     assert {tuple(r) for r in w.where("id < 4").collect()} == {(i, i * 1.5, i * 1.5, i * 1.5 if i > 2 else None) for i in range(4)}
+
+
+def test_a_round_applies_the_newest_tree_only(spark, monkeypatch):
+    """Rows carry what the trees so far leave over, so a round's work does not grow with the rounds."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rows, sizes = _boost_rows(spark), []
+    real = runs.ensemble
+
+    def seen(trees, weights):
+        sizes.append(len(trees))
+        return real(trees, weights)
+
+    monkeypatch.setattr(runs, "ensemble", seen)
+    monkeypatch.setattr(runs, "RESIDUAL_ROUNDS", 4)
+    lrn = learner("gbt_leafwise", patience=2, max_rounds=8, stepSize=0.1, maxDepth=3, minInstancesPerNode=2,
+                  subsamplingRate=1.0, featureSubsetStrategy="all")
+    model, best = runs.boost(lrn, 7, rows, rows, {})
+    assert best == model.getNumTrees == sizes[-1] == 8 and max(sizes[:-1]) == 2
