@@ -527,3 +527,17 @@ def test_a_round_applies_the_newest_tree_only(spark, monkeypatch):
                   subsamplingRate=1.0, featureSubsetStrategy="all")
     model, best = runs.boost(lrn, 7, rows, rows, {})
     assert best == model.getNumTrees == sizes[-1] == 8 and max(sizes[:-1]) == 2
+
+
+def test_averages_are_taken_after_the_shuffle(spark, tmp_path):
+    """No sums are held per row read before the shuffle; the means stay."""
+    from foldspark.plans import runs
+    rows = [(i, "oof" if i % 2 else "test", i + s + f / 10, s, m, f) for i in range(20) for s in (1, 2) for m in ("a", "b")
+            for f in ((0,) if i % 2 else (0, 1))]
+    spark.createDataFrame(rows, "id long, split string, pred double, seed int, model string, fold int").write.partitionBy(
+        "seed", "model", "fold").parquet(str(tmp_path / "m" / "predictions"))
+    out = runs.MatrixResult(spark, str(tmp_path / "m"), ["a", "b"], []).averaged()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
+    got = {(r.id, r.split, r.model): (round(r.pred, 9), r.n_avg) for r in out.collect()}
+    assert got == {(i, "oof" if i % 2 else "test", m): ((i + 1.5, 2) if i % 2 else (i + 1.55, 4)) for i in range(20) for m in ("a", "b")}
