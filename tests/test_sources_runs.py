@@ -541,3 +541,38 @@ def test_averages_are_taken_after_the_shuffle(spark, tmp_path):
     assert plan.count("Exchange") == 1 and plan.rindex("Aggregate") < plan.index("Exchange")
     got = {(r.id, r.split, r.model): (round(r.pred, 9), r.n_avg) for r in out.collect()}
     assert got == {(i, "oof" if i % 2 else "test", m): ((i + 1.5, 2) if i % 2 else (i + 1.55, 4)) for i in range(20) for m in ("a", "b")}
+
+
+@pytest.mark.parametrize("rounds, most, patience", [(6, 12, 40), (6, 5, 40), (24, 500, 2)])
+def test_many_rows_start_with_one_long_run(spark, monkeypatch, rounds, most, patience):
+    """From ``LONG_RUN_ROWS`` rows on the first rounds are one MLlib run that bins the rows once; trees, losses and
+    the stop are those of boosting tree by tree, whether that ends within the run or beyond it."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rows = _boost_rows(spark)
+    fit, valid = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    lrn = learner("gbt_leafwise", patience=patience, max_rounds=most, stepSize=0.4, maxDepth=3, minInstancesPerNode=2,
+                  subsamplingRate=1.0, featureSubsetStrategy="all")
+    want, best = runs.boost(lrn, 7, fit, valid, {})
+    fitted = {"forest": 0, "gbt": 0}
+
+    def counted(cls, name):
+        real = cls.fit
+
+        def call(self, *a, **kw):
+            fitted[name] += 1
+            return real(self, *a, **kw)
+        monkeypatch.setattr(cls, "fit", call)
+
+    counted(runs.RandomForestRegressor, "forest")
+    from pyspark.ml.regression import GBTRegressor
+    counted(GBTRegressor, "gbt")
+    monkeypatch.setattr(runs, "LONG_RUN_ROWS", 300)
+    monkeypatch.setattr(runs, "LONG_RUN_ROUNDS", rounds)
+    got, again = runs.boost(lrn, 7, fit, valid, {})
+    first = min(most, max(1, rounds * 2 // max(2, min(patience, 10))) * max(2, min(patience, 10)))
+    assert fitted == {"forest": most - first if patience == 40 else 0, "gbt": 1}
+    assert again == best == got.getNumTrees
+    a, b = (m.transform(valid).toPandas().sort_values("id").prediction.values for m in (want, got))
+    assert np.allclose(a, b, atol=1e-9)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-9)
