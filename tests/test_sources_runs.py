@@ -576,3 +576,27 @@ def test_many_rows_start_with_one_long_run(spark, monkeypatch, rounds, most, pat
     a, b = (m.transform(valid).toPandas().sort_values("id").prediction.values for m in (want, got))
     assert np.allclose(a, b, atol=1e-9)
     assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-9)
+
+
+@pytest.mark.parametrize("rounds, most, patience", [(1, 500, 2), (5, 14, 40)])
+def test_a_run_without_a_stop_is_followed_by_a_longer_one(spark, monkeypatch, rounds, most, patience):
+    """On many rows no tree beyond the first run is fitted on its own, unless few are left; model and stop stay."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rows = _boost_rows(spark)
+    fit, valid = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    lrn = learner("gbt_leafwise", patience=patience, max_rounds=most, stepSize=0.4, maxDepth=3, minInstancesPerNode=2,
+                  subsamplingRate=1.0, featureSubsetStrategy="all")
+    want, best = runs.boost(lrn, 7, fit, valid, {})
+    lengths, alone = [], []
+    gbt, forest = runs.GBTRegressor.fit, runs.RandomForestRegressor.fit
+    monkeypatch.setattr(runs.GBTRegressor, "fit", lambda self, *a: lengths.append(self.getMaxIter()) or gbt(self, *a))
+    monkeypatch.setattr(runs.RandomForestRegressor, "fit", lambda self, *a: alone.append(1) or forest(self, *a))
+    monkeypatch.setattr(runs, "LONG_RUN_ROWS", 300)
+    monkeypatch.setattr(runs, "LONG_RUN_ROUNDS", rounds)
+    got, again = runs.boost(lrn, 7, fit, valid, {})
+    assert not alone and len(lengths) > 1 and lengths == [min(most, lengths[0] * 2 ** i) for i in range(len(lengths))]
+    assert again == best == got.getNumTrees
+    a, b = (m.transform(valid).toPandas().sort_values("id").prediction.values for m in (want, got))
+    assert np.allclose(a, b, atol=1e-9)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-9)
