@@ -116,9 +116,9 @@ class Forest:
         self.groups = groups
         self.langs = [x for t in groups for x in t.langs]
 
-    def bits(self, text: bytes) -> np.ndarray:
+    def bits(self, text: bytes, step: int = 1 << 18) -> np.ndarray:
         """Code length of the whole text in each language, in bits."""
-        return np.concatenate([t.bits(text) for t in self.groups]) if self.groups else np.zeros(0)
+        return np.concatenate([t.bits(text, step) for t in self.groups]) if self.groups else np.zeros(0)
 
 
 def train(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> Forest:

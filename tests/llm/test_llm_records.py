@@ -290,7 +290,7 @@ def test_vectors_on_the_table(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
