@@ -600,3 +600,60 @@ def test_a_run_without_a_stop_is_followed_by_a_longer_one(spark, monkeypatch, ro
     a, b = (m.transform(valid).toPandas().sort_values("id").prediction.values for m in (want, got))
     assert np.allclose(a, b, atol=1e-9)
     assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), atol=1e-9)
+
+
+def test_matrix_learners_are_whole():
+    """The run matrix boosts with the source's settings, not a few rounds of shallow trees."""
+    from foldspark.plans import q_models as Q
+    from foldspark.plans.models import LEARNERS
+    assert Q.MATRIX == {n: LEARNERS[n] for n in ("gbt_leafwise", "gbt_depthwise", "gbt_hist")}
+
+
+def test_long_patience_is_one_run(spark, monkeypatch):
+    """Where the patience makes many rounds certain, few rows too are binned once; model and stop are those of tree by tree."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rows = _boost_rows(spark)
+    fit, valid = rows.where("id % 4 > 0"), rows.where("id % 4 = 0")
+    lrn = learner("gbt_leafwise", patience=6, max_rounds=30, stepSize=0.4, maxDepth=3, minInstancesPerNode=2,
+                  subsamplingRate=1.0, featureSubsetStrategy="all")
+    want, best = runs.boost(lrn, 7, fit, valid, {})
+    alone, forest = [], runs.RandomForestRegressor.fit
+    monkeypatch.setattr(runs.RandomForestRegressor, "fit", lambda self, *a: alone.append(1) or forest(self, *a))
+    monkeypatch.setattr(runs, "LONG_PATIENCE", 5)
+    got, again = runs.boost(lrn, 7, fit, valid, {})
+    assert not alone and again == best == got.getNumTrees
+    a, b = (m.transform(valid).toPandas().sort_values("id").prediction.values for m in (want, got))
+    assert np.allclose(a, b, atol=1e-9)
+
+
+def test_a_fitted_tree_outlives_the_release_of_its_model(spark, monkeypatch):
+    """The model whose trees are taken is still named then, so the JVM cannot drop it before."""
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    forest, early = runs.RandomForestRegressor.fit, []
+
+    def watched(self, *a):
+        model = forest(self, *a)
+
+        class Held:
+            def __init__(self):
+                self.gone = False
+
+            @property
+            def _java_obj(self):
+                held = self
+
+                class Java:
+                    def trees(self):
+                        early.append(held_ref() is None)
+                        return model._java_obj.trees()
+                import weakref
+                held_ref = weakref.ref(held)
+                del held
+                return Java()
+        return Held()
+
+    monkeypatch.setattr(runs.RandomForestRegressor, "fit", watched)
+    runs.boost(learner("gbt_leafwise", patience=1, max_rounds=2, maxDepth=2), 7, _boost_rows(spark), _boost_rows(spark), {})
+    assert early and not any(early)
