@@ -657,3 +657,36 @@ def test_a_fitted_tree_outlives_the_release_of_its_model(spark, monkeypatch):
     monkeypatch.setattr(runs.RandomForestRegressor, "fit", watched)
     runs.boost(learner("gbt_leafwise", patience=1, max_rounds=2, maxDepth=2), 7, _boost_rows(spark), _boost_rows(spark), {})
     assert early and not any(early)
+
+
+def test_search_query_is_whole(spark, sf, monkeypatch):
+    """The query hands the source's ranges, rounds and patience to every trial and leaves none after its first folds."""
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import LEARNERS
+    asked = {}
+
+    class Asked(Exception):
+        pass
+
+    def search(df, features, base, space, n_trials=40, seed=42, refit=None, first_folds=None, **kw):
+        asked.update(base=base, space=space, n=n_trials, refit=refit, first=first_folds)
+        raise Asked
+
+    monkeypatch.setattr(runs, "random_search", search)
+    with pytest.raises(Asked):
+        Q.q_random_search(spark, sf)
+    assert asked["base"] == replace(LEARNERS["gbt_leafwise"], patience=100, max_rounds=3000)
+    assert asked["refit"] == LEARNERS["gbt_leafwise"] and asked["space"] is runs.SPACES["gbt_leafwise"]
+    assert asked["n"] == 40 and asked["first"] is None
+
+
+def test_search_saves_shares_written_as_text(spark, sf, tmp_path):
+    """A share sampled as text is a number in the trial table and in the saved parameters."""
+    from foldspark.plans import q_models as Q, runs
+    from foldspark.plans.models import learner
+    space = runs.Space({"featureSubsetStrategy": ("fraction", 0.5, 1.0), "maxDepth": ("int", 1, 2)})
+    path = str(tmp_path / "s")
+    trials, best, final = runs.random_search(Q.model_frame(spark, sf), ["age", "steps"], learner("gbt_leafwise", patience=1, max_rounds=2),
+                                             space, 2, refit=learner("gbt_leafwise", patience=1, max_rounds=2), path=path)
+    assert store.load_params(spark, f"{path}/params", "gbt_leafwise") == {k: float(v) for k, v in best.items()}
+    assert trials.where("n_folds = 5").count() == 2 and final.oof().count() > 0
