@@ -690,3 +690,16 @@ def test_search_saves_shares_written_as_text(spark, sf, tmp_path):
                                              space, 2, refit=learner("gbt_leafwise", patience=1, max_rounds=2), path=path)
     assert store.load_params(spark, f"{path}/params", "gbt_leafwise") == {k: float(v) for k, v in best.items()}
     assert trials.where("n_folds = 5").count() == 2 and final.oof().count() > 0
+
+
+def test_a_middling_table_is_binned_once(spark, monkeypatch):
+    """No fit a tree from 50,000 rows on."""
+    from pyspark.ml.feature import VectorAssembler
+    from foldspark.plans import runs
+    from foldspark.plans.models import learner
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.range(50000).selectExpr("double(id % 97) as x", "double(id % 97) * 2 as label"))
+    alone, forest = [], runs.RandomForestRegressor.fit
+    monkeypatch.setattr(runs.RandomForestRegressor, "fit", lambda self, *a: alone.append(1) or forest(self, *a))
+    model, best = runs.boost(learner("meta_gbt", patience=1, max_rounds=2), 7, rows, rows, {})
+    assert not alone and best == model.getNumTrees == 2
