@@ -703,3 +703,24 @@ def test_a_middling_table_is_binned_once(spark, monkeypatch):
     monkeypatch.setattr(runs.RandomForestRegressor, "fit", lambda self, *a: alone.append(1) or forest(self, *a))
     model, best = runs.boost(learner("meta_gbt", patience=1, max_rounds=2), 7, rows, rows, {})
     assert not alone and best == model.getNumTrees == 2
+
+
+def test_imputation_keeps_rows_between_models(spark):
+    """A fit reads rows that are kept since the model before, not the chain of all models; none stay kept at the end."""
+    from pyspark.ml.regression import LinearRegression
+    from foldspark.plans import runs
+    plans = []
+
+    class Seen(LinearRegression):
+        def fit(self, rows, params=None):
+            plans.append(rows._jdf.queryExecution().withCachedData().toString())
+            return super().fit(rows, params)
+
+    rows = [(i, float(i % 7), None if i % 3 == 0 else i % 7 * 2.0, None if i % 5 == 0 else i % 4 * 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = runs.impute_chained(df, ["a", "b", "c"], 2, make_estimator=lambda: Seen(
+        featuresCol="features", labelCol="__label", predictionCol="__p", solver="normal"))
+    assert ["InMemoryRelation" in p for p in plans] == [False, True, True, True]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert out.count() == 60 and out.where("b is null or c is null").count() == 0
