@@ -724,3 +724,22 @@ def test_imputation_keeps_rows_between_models(spark):
     assert ["InMemoryRelation" in p for p in plans] == [False, True, True, True]
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
     assert out.count() == 60 and out.where("b is null or c is null").count() == 0
+
+
+def test_imputation_of_repeated_ids_keeps_no_shuffled_rows(spark):
+    """Where ids repeat, every model needs a shuffle; kept rows behind each would double the plan's text with every model."""
+    from pyspark.ml.regression import LinearRegression
+    from foldspark.plans import runs
+    plans = []
+
+    class Seen(LinearRegression):
+        def fit(self, rows, params=None):
+            plans.append(rows._jdf.queryExecution().withCachedData().toString())
+            return super().fit(rows, params)
+
+    rows = [(i // 2, float(i % 7), None if i % 3 == 0 else i % 7 * 2.0, None if i % 5 == 0 else i % 4 * 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    out = runs.impute_chained(df, ["a", "b", "c"], 2, make_estimator=lambda: Seen(
+        featuresCol="features", labelCol="__label", predictionCol="__p", solver="normal"))
+    assert len(plans) == 4 and not any("InMemoryRelation" in p for p in plans)
+    assert out.count() == 60 and out.where("b is null or c is null").count() == 0
